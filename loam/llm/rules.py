@@ -61,10 +61,12 @@ def repeated_words(tokens: Column, n: int = WINDOW) -> Column:
     """
     if n & (n - 1):
         raise ValueError("the window must be a power of two")
+    def doubled(width: int):
+        return lambda a: F.zip_with(a, F.slice(a, width + 1, F.size(a)), lambda x, y: F.xxhash64(x, y))
+
     grams, width = F.transform(tokens, lambda w: F.xxhash64(w)), 1
     while width < n:
-        step = width
-        grams = _let(grams, lambda a, step=step: F.zip_with(a, F.slice(a, step + 1, F.size(a)), lambda x, y: F.xxhash64(x, y)))
+        grams = _let(grams, doubled(width))
         width *= 2
     windows = F.slice(grams, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
 
