@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, mixing, rules
+from loam.llm import chat, langid, mixing, pieces, pii, quality_conv, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,57 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(planted)))
 
 
+def _held_out() -> Column:
+    """The fold that no model learns from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(documents, pii.fit_from(documents))
+    base = F.filter("spans", lambda s: s.base)
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s.base & (s.kind == kind))).cast("long").alias(f"n_{kind}")
+    counts = [of_kind(kind) for kind in pii.KINDS[:4]]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_conv.fit_from(documents.filter(~_held_out()), _table(spark, sf_dir, "labels").filter(~_held_out()))
+    scored = quality_conv.predict(documents, model)
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(documents.filter(~_held_out()))
+    labelled = langid.predict(documents.drop("lang"), model)
+    return labelled.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def piece_model() -> str:
+    """Path of the public vocabulary file; its package is installed wherever Python workers run."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.element_at("ends", -1).cast("long").alias("spanned_bytes"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position")
@@ -31,7 +82,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {"op2_chat": op2_chat, "op8_mixing": op8_mixing, "op10_rules": op10_rules}
+QUERIES = {"op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op10_rules": op10_rules}
 
 _ESCAPED = r"""regexp_replace({x}, '([<\[])(\\*)(\|(?:turn|text|also|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"""
 
