@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, langid, mixing, pieces, pii, quality_conv, rules, vectors
+from loam.llm import chat, jaccard, langid, mixing, pieces, pii, quality_conv, rules, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -45,6 +50,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(documents.filter(~_held_out()))
@@ -86,7 +95,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {"op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules}
+QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules}
 
 _ESCAPED = r"""regexp_replace({x}, '([<\[])(\\*)(\|(?:turn|text|also|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"""
 
@@ -113,13 +122,13 @@ from marked group by conv_id
 with recursive sound as (
   select vec_id, label, embedding::double[] as v from embeddings
   where label is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), link as (
   select a.vec_id as a, b.vec_id as b from sound a join sound b
   on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.93
-), reach(vec_id, at) as (
-  select vec_id, vec_id from embeddings union select r.vec_id, l.b from reach r join link l on l.a = r.at
-), component as (select vec_id, min(at) as component_id from reach group by vec_id),
+), reach(vec_id, node) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, l.b from reach r join link l on l.a = r.node
+), component as (select vec_id, min(node) as component_id from reach group by vec_id),
 degree as (select a as vec_id, count(*) as n from link group by a)
 select c.vec_id, coalesce(d.n, 0)::bigint as n_links, c.component_id, c.vec_id = c.component_id as kept
 from component c left join degree d using (vec_id)
