@@ -389,38 +389,62 @@ def fit_from(documents: DataFrame, carriers: int = CARRIERS) -> Model:
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())])
 
 
-def find(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``df`` with ``spans`` (kind, begin, end, base), by kind as listed, then begin."""
+def batch_spans(model: Model, column: pa.Array) -> Iterator[tuple[int, str, list[tuple[str, int, int, bool]]]]:
+    """Row, text and spans of the texts of a column that hold a digit or ``@``; no others have spans."""
+    data, offsets = textkit.string_bytes(column)
+    spots = np.flatnonzero(_TRIGGER[data])
+    owner = np.searchsorted(offsets, spots, "right") - 1
+    rows, first = np.unique(owner, return_index=True)
+    for d, lo, hi in zip(rows.tolist(), first.tolist(), [*first[1:].tolist(), len(spots)], strict=True):
+        raw = data[offsets[d] : offsets[d + 1]]
+        whole = raw.tobytes().decode(errors="replace")
+        at = spots[lo:hi] - offsets[d]
+        if len(whole) != len(raw):
+            at = (np.cumsum((raw & 0xC0) != 0x80) - 1)[at]
+        base = base_spans(whole)
+        found = [(*s, True) for s in base] + [(*s, False) for s in added_spans(model, whole, base, at.tolist())]
+        yield d, whole, sorted(found, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+
+
+def find(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` without ``text`` but with ``spans`` (kind, begin, end, base), by kind as listed, then begin."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    kept = [f for f in df.schema.fields if keep_text or f.name != text]
-    schema = T.StructType([*kept, T.StructField("spans", T.ArrayType(SPAN))])
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != text], T.StructField("spans", T.ArrayType(SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         spans_type = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for batch in batches:
-            data, offsets = textkit.string_bytes(batch.column(batch.schema.get_field_index(text)))
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            spots = np.flatnonzero(_TRIGGER[data])
-            owner = np.searchsorted(offsets, spots, "right") - 1
-            for d in np.unique(owner).tolist():
-                raw = data[offsets[d] : offsets[d + 1]]
-                whole = raw.tobytes().decode(errors="replace")
-                point = np.cumsum((raw & 0xC0) != 0x80) - 1 if len(whole) != len(raw) else None
-                at = spots[owner == d] - offsets[d]
-                at = (at if point is None else point[at]).tolist()
-                base = base_spans(whole)
-                found = [(*s, True) for s in base] + [(*s, False) for s in added_spans(own, whole, base, at)]
-                found.sort(key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+            for d, _, found in batch_spans(shared.value, batch.column(batch.schema.get_field_index(text))):
                 spans[d] = [{"kind": k, "begin": b, "end": e, "base": x} for k, b, e, x in found]
-            columns = [c for c, f in zip(batch.columns, batch.schema, strict=True) if keep_text or f.name != text]
+            columns = [c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != text]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, spans_type)], names=[f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 
 
+def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` with every span of ``text`` replaced by its kind; texts without spans stay as they are."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(text)
+            changed = {d: masked(whole, [s[:3] for s in found]) for d, whole, found in batch_spans(shared.value, batch.column(place)) if found}
+            if changed:
+                values = batch.column(place).to_pylist()
+                for d, value in changed.items():
+                    values[d] = value
+                batch = batch.set_column(place, text, pa.array(values, batch.column(place).type))
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.begin.cast("string"), s.end.cast("string"))), ",")
 
