@@ -1,57 +1,5 @@
-"""Tables cut from their lineage, written where every executor sees them.
+"""The engine's shared-folder tables, under this subpackage's name."""
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is
-unset and the master is local (tests), a temporary folder of this machine serves; on
-a cluster without the setting this raises, since executors share no local folder.
-"""
+from loam.store import materialize, remove, shared_root, workspace
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="loam-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one; removed when the driver ends."""
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if not _MADE:
-        atexit.register(_clean)
-    _MADE.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clean() -> None:
-    for spark, path in _MADE:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM may be gone; nothing else is at stake here
-            return
-
-
-def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: lost executors recompute from files."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "remove", "shared_root", "workspace"]
