@@ -99,6 +99,7 @@ def mix(df: DataFrame, rows: int | None = None, carry: tuple[str, ...] = ()) ->
     a, b = F.col("tilt"), 1 - F.col("tilt")
     root = lambda u: F.when(F.abs(a) < 1e-12, u).otherwise((F.sqrt(b * b + 4 * a * u) - b) / (2 * a))
     times = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)), lambda k: F.round(root(at(k)), 12))
+    out = out.withColumn("mix_times", times)  # apart from the select below, whose aliases would shadow its inputs
     return out.select(
         *kept,
         size.alias("size"),
@@ -106,8 +107,8 @@ def mix(df: DataFrame, rows: int | None = None, carry: tuple[str, ...] = ()) ->
         F.round("target", 6).alias("target"),
         (size * F.col("copies")).alias("taken"),
         "copies",
-        times.alias("positions"),
-        F.try_element_at(times, F.lit(1)).alias("first_position"),
+        F.col("mix_times").alias("positions"),
+        F.try_element_at("mix_times", F.lit(1)).alias("first_position"),
     )
 
 

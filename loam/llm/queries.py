@@ -100,6 +100,45 @@ QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_
 _ESCAPED = r"""regexp_replace({x}, '([<\[])(\\*)(\|(?:turn|text|also|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"""
 
 SQL = {
+    "op1_warc": """
+with page as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), named as (
+  select page_id, payload_bytes, translate(
+    to_base(('0x' || substr(h, 1, 10))::bigint, 32, 8) || to_base(('0x' || substr(h, 11, 10))::bigint, 32, 8)
+    || to_base(('0x' || substr(h, 21, 10))::bigint, 32, 8) || to_base(('0x' || substr(h, 31, 10))::bigint, 32, 8),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest, min(page_id) over (partition by h) as least from page
+)
+select page_id, payload_bytes, payload_digest, case when page_id > least then 'revisit' else 'response' end as record_type,
+  case when page_id > least then least end as refers_to from named
+""",
+    "op8_mixing": r"""
+with sized as (
+  select doc_id, source, coalesce(text, '') as text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+), src as (
+  select source, sum(size)::bigint as source_size from sized group by source
+), weighed as (
+  select *, 3 * source_size as cap, (3 * source_size)::double / weight as level, sum(source_size) over () as total, count(*) over () as n from (
+    select *, place, [5, 2, 1][place % 3 + 1] as weight from (select *, row_number() over (order by source nulls last) - 1 as place from src))
+), filled as (
+  select *, (total - coalesce(sum(cap) over (order by level, place rows between unbounded preceding and 1 preceding), 0))::double
+    / sum(weight) over (order by level, place rows between current row and unbounded following) as share from weighed
+), water as (select level as w_level, place as w_place, share as w_share from filled where level >= share order by level, place limit 1),
+targets as (
+  select source, source_size, 0.5::double * (1 - 2 * place / greatest(n - 1, 1)::double) as tilt,
+    case when w_level is not null and (level > w_level or (level = w_level and place >= w_place)) then least(weight * w_share, cap::double) else cap::double end as target
+  from filled left join water on true
+), placed as (
+  select s.doc_id, s.size, t.source_size, t.target, t.tilt, coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(s.doc_id::varchar, '')), s.doc_id nulls first, s.text
+      rows between unbounded preceding and 1 preceding), 0) + s.size / 2.0::double as middle
+  from sized s join targets t on s.source is not distinct from t.source
+), taken as (
+  select *, case when size = 0 then 0 else floor(target / greatest(source_size, 1)) + case when middle < target - floor(target / greatest(source_size, 1)) * greatest(source_size, 1) then 1 else 0 end end::bigint as copies,
+    least(middle / greatest(target, 1.0::double), 1.0::double) as u, 1 - tilt as b from placed
+)
+select doc_id, size, source_size, round(target, 6) as target, size * copies as taken, copies,
+  case when copies > 0 then round(case when abs(tilt) < 1e-12 then u else (sqrt(b * b + 4 * tilt * u) - b) / (2 * tilt) end, 12) end as first_position from taken
+""",
     "op2_chat": f"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
