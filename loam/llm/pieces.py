@@ -115,40 +115,39 @@ class Normalizer:
 
     def _replace(self, data: bytes) -> tuple[bytes, np.ndarray]:
         space = SPACE if self.escape else b" "
-        bits: list[tuple[bytes, int]] = []
+        bits: list[tuple[bytes, int, bool]] = []  # normalised bytes, place in the source, whether copied
         at = 0
         while at < len(data):
             hit = self.longest_prefix(data, at)
+            copied = hit is None
             if hit is None:
                 lead = data[at]
                 n = 1 if lead < 0x80 else 2 if lead >> 5 == 6 else 3 if lead >> 4 == 14 else 4 if lead >> 3 == 30 else 0
                 try:
                     data[at : at + n].decode()
-                    hit = (n, data[at : at + n]) if n else (1, "�".encode())
+                    hit, copied = ((n, data[at : at + n]), True) if n else ((1, "\ufffd".encode()), False)
                 except UnicodeDecodeError:
-                    hit = (1, "�".encode())
-            bits.append((hit[1], at))
+                    hit, copied = (1, "\ufffd".encode()), False
+            bits.append((hit[1], at, copied))
             at += hit[0]
         if self.remove_extra:  # no blanks at either end, none behind another
-            while bits and not bits[0][0].strip(b" "):
-                bits.pop(0)
-            kept: list[tuple[bytes, int]] = []
-            for text, place in bits:
-                if kept and kept[-1][0].endswith(b" "):
+            kept: list[tuple[bytes, int, bool]] = []
+            for text, place, copied in bits:
+                if not kept or kept[-1][0].endswith(b" "):
                     text = text.lstrip(b" ")
                 if text:
-                    kept.append((text, place))
+                    kept.append((text, place, copied))
+            while kept and not kept[-1][0].rstrip(b" "):
+                kept.pop()
+            if kept:
+                kept[-1] = (kept[-1][0].rstrip(b" "), *kept[-1][1:])
             bits = kept
-            while bits and not bits[-1][0].rstrip(b" "):
-                bits.pop()
-            if bits:
-                bits[-1] = (bits[-1][0].rstrip(b" "), bits[-1][1])
         if self.dummy_prefix and bits:
-            bits = [*bits, (b" ", len(data))] if self.suffix else [(b" ", bits[0][1]), *bits]
-        out = [(text.replace(b" ", space), place) for text, place in bits]
-        joined = b"".join(t for t, _ in out)
-        align = np.repeat(np.array([p for _, p in out], np.int32), [len(t) for t, _ in out]) if out else np.zeros(0, np.int32)
-        return joined, np.append(align, np.int32(len(data)))
+            bits = [*bits, (b" ", len(data), False)] if self.suffix else [(b" ", bits[0][1], False), *bits]
+        out = [(text.replace(b" ", space), place, copied and text != b" ") for text, place, copied in bits]
+        # a copied character keeps the places of its own bytes
+        align = [place + np.arange(len(text)) if copied else np.full(len(text), place) for text, place, copied in out]
+        return b"".join(text for text, _, _ in out), np.concatenate([*align, [len(data)]]).astype(np.int32)
 
 
 class Encoder:
@@ -220,6 +219,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``df`` without ``text`` but with ids, begins, ends (source bytes) and decoded."""
     import pyspark.sql.types as T
 
+    df = df.drop(*(c for c in ("ids", "begins", "ends", "decoded") if c != text))  # the results replace columns of their names
     carried = [f for f in df.schema.fields if f.name != text]
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([*carried, T.StructField("ids", ints), T.StructField("begins", ints), T.StructField("ends", ints), T.StructField("decoded", T.StringType())])
