@@ -54,31 +54,34 @@ class Model:
     offset: float
     constant: float | None = None
 
-    def responses(self, data: np.ndarray) -> np.ndarray:
-        """Bytes by filters: each filter's response to the bytes from there on (zero beyond the end)."""
-        out = self.filters[0][data]
-        for k in range(1, min(WIDTH, len(data))):
-            out[:-k] += self.filters[k][data[k:]]
-        return out
-
     def pooled(self, data: np.ndarray, offsets: np.ndarray, where: bool = False):
         """Per chunk the largest responses (and their places), and the chunks' documents.
 
-        Responses are made for one block of chunks after another, so that they stay in cache.
+        Each document is followed by places that no filter weighs, so its responses are its own
+        whatever stands beside it. Blocks of chunks are worked on in turn, to stay in cache.
         """
         begin, end, doc = chunk_bounds(offsets)
+        f = self.filters.shape[2]
+        if not len(begin):
+            none = np.zeros((0, f), np.float32), doc
+            return (*none, np.zeros((0, f), np.int64)) if where else none
+        table = np.concatenate([self.filters, np.zeros((WIDTH, 1, f), np.float32)], 1)
+        shift = (WIDTH - 1) * np.arange(len(offsets) - 1)
+        padded = np.full(len(data) + (WIDTH - 1) * (len(offsets) - 1), 256, np.uint16)
+        padded[np.arange(len(data)) + np.repeat(shift, np.diff(offsets))] = data
+        first, last = begin + shift[doc], end + shift[doc]
         pooled, places = [], []
         for lo in range(0, len(begin), 64):
-            b, e = begin[lo : lo + 64], end[lo : lo + 64]
-            r = self.responses(data[b[0] : e[-1]])
+            b, e = first[lo : lo + 64], last[lo : lo + 64]
+            r = table[0][padded[b[0] : e[-1]]]
+            for k in range(1, WIDTH):
+                r += table[k][padded[b[0] + k : e[-1] + k]]
             cut = np.stack([b, e], 1).ravel() - b[0]
-            ends_here = cut[-1] == len(r)
-            pooled.append(np.maximum.reduceat(r, cut[:-1] if ends_here else cut, axis=0)[::2])
+            pooled.append(np.maximum.reduceat(r, cut[:-1], axis=0)[::2])
             if where:
-                places.append(np.stack([r[x:y].argmax(0) + x + b[0] for x, y in zip(cut[::2], cut[1::2], strict=True)]))
-        n = self.filters.shape[2]
-        top = np.concatenate([np.zeros((0, n), np.float32), *pooled])
-        return (top, doc, np.concatenate([np.zeros((0, n), np.int64), *places])) if where else (top, doc)
+                places.append(np.stack([r[x:y].argmax(0) + x + b[0] for x, y in zip(cut[::2], cut[1::2], strict=True)]) - shift[doc[lo : lo + 64], None])
+        top = np.concatenate(pooled)
+        return (top, doc, np.concatenate(places)) if where else (top, doc)
 
     def features(self, top: np.ndarray, doc: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, f = len(offsets) - 1, top.shape[1]
@@ -162,6 +165,7 @@ def fit_from(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` without ``text`` but with score and predicted."""
+    df = df.drop(*(c for c in ("score", "predicted") if c != text))  # the results replace columns of their names
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
