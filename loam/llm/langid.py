@@ -236,6 +236,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` without ``text`` but with lang_pred, score and spans."""
+    df = df.drop(*(c for c in ("lang_pred", "score", "spans") if c != text))  # the results replace columns of their names
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

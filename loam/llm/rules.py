@@ -8,7 +8,8 @@ third. The ordered rules become one ``CASE WHEN`` column; the default keeps a do
 
 Defined results: null text has no words and no statistic (all counts 0); it fails the base
 rule. Empty label tables, or labels of one class only, give an empty list that keeps all.
-Repeated rows are judged alike; other columns pass through ``judge`` untouched.
+Repeated rows are judged alike; other columns pass through ``judge`` untouched, except that the
+statistics replace columns of their (prefixed) names.
 """
 
 from __future__ import annotations
@@ -88,8 +89,8 @@ def with_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> Data
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bangs, n_upper."""
     whole = F.coalesce(F.col(text), F.lit(""))
     name = lambda x: prefix + x
-    out = df.withColumn(name("tokens"), words(F.col(text)))
-    tokens = F.col(name("tokens"))
+    out = df.withColumn("loam_rule_tokens", words(F.col(text)))
+    tokens = F.col("loam_rule_tokens")
     return out.withColumns(
         {
             name("n_words"): F.size(tokens).cast("long"),
@@ -100,7 +101,7 @@ def with_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> Data
             name("n_bangs"): count_chars(whole, "!"),
             name("n_upper"): F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")).cast("long"),
         }
-    ).drop(name("tokens"))
+    ).drop("loam_rule_tokens")
 
 
 #: Numerator and denominator of each statistic that a rule may test.
