@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,5 +48,11 @@ def embed(df: DataFrame, key: str, text: str, out: str = "embedding") -> DataFra
     return df.withColumn("loam_marks", marks).withColumn(out, counts).drop("loam_marks")
 
 
+def unrolled_dot(a: str, b: str) -> Column:
+    """The dot product of two embedded columns, spelt out so that it is generated code and not a
+    loop of interpreted lambdas; the order of the sum is that of ``dot``."""
+    return reduce(lambda x, y: x + y, (F.col(a)[k] * F.col(b)[k] for k in range(DIM)))
+
+
 def similarity(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
     return df.withColumn(out, cosine(F.col(a), F.col(b)))

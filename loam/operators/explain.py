@@ -19,13 +19,13 @@ def trace(questions: DataFrame, graph: Graph, config: Config = DEFAULT) -> DataF
 
     As the trace defines it, a missing vector scores 0 and concepts have no least relevance.
     """
-    rows = graph.community.select("community", "embedding").crossJoin(questions.select("qid", "q"))
+    rows = R.embedded(graph.community, "community").crossJoin(R.asked(questions))
     rows = R.ranked(R.scored(rows).na.fill(0.0, ["similarity"]), "similarity", "community")
     keep = (F.col("rank") <= config.top_k_communities) & ((F.col("similarity") >= config.min_community_similarity) | (F.col("rank") == 1))
     flag = F.when(keep, "SELECTED").when(F.col("similarity") < config.min_community_similarity, "BELOW THRESHOLD").otherwise("DROPPED")
     first = rows.select("qid", F.lit("1 communities").alias("stage"), "rank", F.col("community").alias("item"), F.col("similarity").alias("score"), flag.alias("flag"))
     matched = rows.filter(keep).select("qid", "community", "rank")
-    under = matched.join(graph.community_concept, "community").select("qid", "concept").distinct().join(graph.concept.select("concept", "embedding"), "concept").join(questions.select("qid", "q"), "qid")
+    under = matched.join(graph.community_concept, "community").select("qid", "concept").distinct().join(R.embedded(graph.concept, "concept"), "concept").join(R.asked(questions), "qid")
     under = R.ranked(R.scored(under), "similarity", "concept")
     kept = F.when(F.col("rank") <= config.top_k_concepts, "SELECTED").otherwise("DROPPED")
     second = under.select("qid", F.lit("2 concepts").alias("stage"), "rank", F.col("concept").alias("item"), F.col("similarity").alias("score"), kept.alias("flag"))

@@ -20,8 +20,18 @@ from loam.operators.graph import Graph, symmetric
 from loam.store import materialize
 
 
-def scored(pairs: DataFrame, a: str = "q", b: str = "embedding", out: str = "similarity") -> DataFrame:
-    return pairs.withColumn(out, F.round(V.cosine(F.col(a), F.col(b)), 6))
+def asked(questions: DataFrame) -> DataFrame:
+    """(qid, q, q_norm): a vector's length is found once a row, not once a pair."""
+    return questions.select("qid", "q", V.norm(F.col("q")).alias("q_norm"))
+
+
+def embedded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, "embedding", V.norm(F.col("embedding")).alias("embedding_norm"))
+
+
+def scored(pairs: DataFrame, out: str = "similarity") -> DataFrame:
+    """``pairs`` of ``asked`` and ``embedded`` rows with their cosine."""
+    return pairs.withColumn(out, F.round(V.unrolled_dot("q", "embedding") / (F.col("q_norm") * F.col("embedding_norm") + V.EPSILON), 6))
 
 
 def ranked(rows: DataFrame, score: str, tie: str, out: str = "rank") -> DataFrame:
@@ -37,13 +47,13 @@ def best(rows: DataFrame, score: str, tie: str, k: int, least: float | None = No
 def top_chunks(questions: DataFrame, chunk: DataFrame, k: int = DEFAULT.top_k_chunks) -> DataFrame:
     """Vector-only retrieval: (qid, chunk_id, similarity, rank). Questions are the stated set that
     is held against all chunks; scoring is narrow and the window keeps k rows a task and question."""
-    pairs = chunk.select("chunk_id", "embedding").crossJoin(questions.select("qid", "q"))
+    pairs = embedded(chunk, "chunk_id").crossJoin(asked(questions))
     return best(scored(pairs), "similarity", "chunk_id", k).select("qid", "chunk_id", "similarity", "rank")
 
 
 def match_communities(questions: DataFrame, graph: Graph, config: Config = DEFAULT) -> DataFrame:
     """(qid, community, similarity, rank)."""
-    rows = graph.community.filter("embedding is not null").select("community", "embedding").crossJoin(questions.select("qid", "q"))
+    rows = embedded(graph.community.filter("embedding is not null"), "community").crossJoin(asked(questions))
     found = best(scored(rows), "similarity", "community", config.top_k_communities, config.min_community_similarity)
     return found.select("qid", "community", "similarity", "rank")
 
@@ -51,7 +61,7 @@ def match_communities(questions: DataFrame, graph: Graph, config: Config = DEFAU
 def drill(questions: DataFrame, matched: DataFrame, graph: Graph, config: Config = DEFAULT) -> DataFrame:
     """(qid, concept, community, relevance, rank): concepts under the matched communities."""
     rows = matched.join(graph.community_concept, "community").groupBy("qid", "concept").agg(F.min_by("community", "rank").alias("community"))
-    rows = rows.join(graph.concept.select("concept", "embedding"), "concept").join(questions.select("qid", "q"), "qid")
+    rows = rows.join(embedded(graph.concept, "concept"), "concept").join(asked(questions), "qid")
     found = best(scored(rows, out="relevance"), "relevance", "concept", config.top_k_concepts, config.min_concept_relevance)
     return found.select("qid", "concept", "community", "relevance", "rank")
 
@@ -82,7 +92,7 @@ def expand(start: DataFrame, graph: Graph, hops: int = DEFAULT.max_hops) -> Data
 def collect(questions: DataFrame, reached: DataFrame, graph: Graph, config: Config = DEFAULT) -> DataFrame:
     """(qid, name, type, description, from_concept, hop, reached_via, relevance, rank): at most
     ``max_entities`` a question, by likeness of "name: description", whose vector is stored."""
-    rows = reached.join(graph.entity.select("name", "type", "description", "embedding"), "name").join(questions.select("qid", "q"), "qid")
+    rows = reached.join(embedded(graph.entity, "name", "type", "description"), "name").join(asked(questions), "qid")
     found = best(scored(rows, out="relevance"), "relevance", "name", config.max_entities)
     return found.select("qid", "name", "type", "description", "from_concept", "hop", "reached_via", "relevance", "rank")
 
@@ -160,7 +170,7 @@ def context(questions: DataFrame, names: DataFrame, graph: Graph, config: Config
     """
     k = config.graph_top_k_chunks
     found = names.select("qid", "name").distinct().join(graph.has_entity, F.col("name") == F.col("entity")).select("qid", "chunk_id").distinct()
-    rows = found.join(graph.chunk, "chunk_id").join(questions.select("qid", "q"), "qid")
+    rows = found.join(embedded(graph.chunk, "chunk_id", "doc_id", "idx", "text"), "chunk_id").join(asked(questions), "qid")
     rows = scored(rows).select("qid", "chunk_id", "doc_id", "idx", "similarity", X.detected_source(F.col("text")).alias("source"))
     by_rank = Window.partitionBy("qid").orderBy(F.desc("similarity"), "chunk_id")
     rows = rows.withColumns({"rank": F.row_number().over(by_rank), "candidates": F.count(F.lit(1)).over(Window.partitionBy("qid"))})

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loam.functions import vector as V
 from loam.operators import client, community, concepts, evaluate, extract, graph, resolve, retrieve, similar
 from loam.store import workspace
 
@@ -146,11 +147,12 @@ def test_diversity(spark, n, k):
     from loam.config import Config
 
     rng = random.Random(n * k)
-    chunks = [(f"c{i:02}", 1, i, f"Title of source {rng.randint(0, 2)}\nx", [float(n - i), float(i * i + 1)]) for i in range(n)]
+    rest = [0.0] * (V.DIM - 2)
+    chunks = [(f"c{i:02}", 1, i, f"Title of source {rng.randint(0, 2)}\nx", [float(n - i), float(i * i + 1), *rest]) for i in range(n)]
     g = type("G", (), {})()
     g.chunk = spark.createDataFrame(chunks, "chunk_id string, doc_id long, idx long, text string, embedding array<double>")
     g.has_entity = g.chunk.select("chunk_id", F.lit("E").alias("entity"))
-    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, q array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0, *rest])], "qid long, q array<double>")
     names = spark.createDataFrame([(1, "E")], "qid long, name string")
     got = [r.chunk_id for r in retrieve.context(asked, names, g, Config(graph_top_k_chunks=k)).orderBy("choice").collect()]
     assert got == [c for c, _ in diverse([(c[0], c[3].split("\n")[0]) for c in chunks], k)]
