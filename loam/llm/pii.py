@@ -395,6 +395,8 @@ def batch_spans(model: Model, column: pa.Array) -> Iterator[tuple[int, str, list
     spots = np.flatnonzero(_TRIGGER[data])
     owner = np.searchsorted(offsets, spots, "right") - 1
     rows, first = np.unique(owner, return_index=True)
+    if not len(rows):
+        return
     for d, lo, hi in zip(rows.tolist(), first.tolist(), [*first[1:].tolist(), len(spots)], strict=True):
         raw = data[offsets[d] : offsets[d + 1]]
         whole = raw.tobytes().decode(errors="replace")
@@ -408,6 +410,7 @@ def batch_spans(model: Model, column: pa.Array) -> Iterator[tuple[int, str, list
 
 def find(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` without ``text`` but with ``spans`` (kind, begin, end, base), by kind as listed, then begin."""
+    df = df.drop(*(c for c in ("spans",) if c != text))  # the results replace columns of their names
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
