@@ -133,6 +133,8 @@ def segment_features(text: str, begin: int, end: int, tokens: int) -> list[str]:
         out.append("assigned")
     if " " in s:
         out.append("blank")
+        if letters and n:
+            out.append("worded")
     if s[0] == "+":
         out.append("plus")
     if s[0] == "(" or ("(" in s) != (")" in s):
@@ -380,8 +382,12 @@ def fit(carriers: list[str], n: int = EXAMPLES, epochs: int = EPOCHS, seed: int
 
 
 def fit_from(documents: DataFrame, carriers: int = CARRIERS) -> Model:
-    rows = documents.filter("text is not null and length(text) between 40 and 20000").select(F.substring("text", 1, 2000).alias("t"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    return fit([r.t for r in rows.orderBy("h", "doc_id").limit(carriers).collect()])
+    """Learn with words of ``carriers`` documents, the smallest by hash of doc_id. Ids and lengths
+    alone are ranked, so what reaches the driver is bounded by ``carriers`` whatever the table."""
+    fitting = documents.filter("doc_id is not null and text is not null and length(text) between 40 and 20000")
+    chosen = fitting.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(carriers).distinct()
+    rows = fitting.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, 2000).alias("t"))
+    return fit(sorted(r.t for r in rows.limit(4 * carriers).collect()))
 
 
 # ---- Spark ----
