@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 from loam.llm.store import materialize
 
 
-def deal(df: DataFrame, keys: list[str], unit: str, weight, limit: int) -> DataFrame:
+def deal(df: DataFrame, keys: list[str], unit: str, weight, limit: int, least: int = 1) -> DataFrame:
     """Rows of ``df`` with own block ``blk`` and block pair (``bi``, ``bj``), several times where a
-    key has several blocks; sorted by key and pair inside partitions."""
+    key has several blocks; sorted by key and pair inside partitions. Keys of fewer than ``least``
+    rows, which have no pairs, are left out."""
     weighed = df.withColumn("deal_weight", weight)
-    totals = weighed.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum("deal_weight") / limit)).cast("int").alias("n_blocks"))
-    totals = totals.select(*[F.col(k).alias(f"deal_{k}") for k in keys], "n_blocks")
+    totals = weighed.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum("deal_weight") / limit)).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("deal_rows"))
+    totals = totals.filter(F.col("deal_rows") >= least).select(*[F.col(k).alias(f"deal_{k}") for k in keys], "n_blocks")
     on = None
     for k in keys:
         same = F.col(k) == F.col(f"deal_{k}")
@@ -108,6 +109,16 @@ def spanning(n: int, compare: Callable[[int, np.ndarray], np.ndarray], allowed:
     return edges
 
 
+def least_reached(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """For every row the smallest id within reach of its links."""
+    root = ids.copy()
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1))
+        if (least == root).all():
+            return root
+        root = least
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step on distinct edges (hi, lo) with hi > lo."""
     both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))

@@ -15,7 +15,8 @@ A pair at the threshold is missed by all bands with probability (1 - 0.8^4)^24 =
 Defined results: words are runs of anything but white space; a text of one to four words has
 one shingle, of all its words; a null text or one without words links with nothing and is its
 own class; repeated rows count as copies; a null doc_id still joins its copies' class (the
-smallest doc_id names it, or a hash where all are null); other columns are not read.
+smallest doc_id names it, or a hash where all are null); different texts must have different ids;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -219,13 +220,7 @@ def _verify(threshold: float):
             if bi[lo] != bj[lo]:
                 linked &= blk[lo:hi, None] != blk[None, lo:hi]
             links[lo:hi] = linked @ copies[lo:hi]
-            root = label[lo:hi]
-            while True:  # the smallest id within reach
-                least = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1))
-                if (least == root).all():
-                    break
-                root = least
-            label[lo:hi] = root
+            label[lo:hi] = groups.least_reached(ids[lo:hi], linked)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(label), pa.array(blocks > 1)], names=[f.name for f in VERIFIED])
 
     return work

@@ -4,12 +4,15 @@ Equal vectors of one label are one class. A vector's hash is, per function, the
 sign) that it is nearest to after three rounds of random signs and a fast Hadamard transform;
 ``k`` functions make a bucket, ``tables`` independent buckets a vector. Multiprobe: a vector
 also looks into the buckets in which one of its ``k`` axes is replaced by the second nearest.
-Bucket mates are verified by their cosine in double precision, which gives edges that span the
-groups; inside each connected component all pairs are then counted in blocks of bounded size.
-So a component's links are all of them, whichever pairs the hashing had found.
+Rows of buckets carry a sketch of ``BITS`` signs instead of the vector; bucket mates whose sketches
+differ in more bits than a pair at the threshold ever does (``SIGMAS`` deviations over the mean) are
+dropped, and what is left gives edges that span candidate groups. Inside each group all pairs are
+verified by their cosine in double precision, in blocks of bounded size; the verified links are
+counted and make the components. So a group's links are all of them, whichever pairs met in buckets.
 
-``plan`` sets k so that unrelated vectors rarely meet and then as many tables as leave a pair at
-the threshold unfound once in ``1 / MISS`` cases, from collision rates measured on the spot.
+``plan`` sets k so that about ``LOAD`` unrelated vectors meet in a bucket at most, and then as many
+tables as leave a pair at the threshold unfound once in ``1 / MISS`` cases, from collision rates
+measured on the spot.
 
 Defined results: a vector that is null, zero, or has null or non-finite components, or has a
 null label, links with nothing; vectors of different length do not link; an empty table gives
@@ -31,8 +34,10 @@ from loam.llm import groups
 from loam.llm.store import materialize, workspace
 
 COSINE = 0.93
-MISS = 1e-5
-LOAD = 0.25
+MISS = 1e-4
+LOAD = 16
+BITS = 128
+SIGMAS = 6
 #: Vectors of a bucket or component compared in one task at most.
 BLOCK = 1024
 
@@ -50,7 +55,9 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 class Hasher:
     def __init__(self, dim: int, k: int, tables: int, seed: int = 5):
         self.width, self.k, self.tables = 1 << max(1, (dim - 1).bit_length()), k, tables
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables * k, 3, self.width))
+        rng = np.random.default_rng(seed)
+        self.signs = rng.choice([-1.0, 1.0], size=(tables * k, 3, self.width))
+        self.planes = rng.normal(size=(dim, BITS))
 
     def axes(self, x: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest and the second nearest signed axis of each row under function ``which``."""
@@ -65,6 +72,10 @@ class Hasher:
         second = size.argmax(1)
         return first * 2 + (y[rows, first] > 0), second * 2 + (y[rows, second] > 0)
 
+    def sketch(self, x: np.ndarray) -> np.ndarray:
+        """``BITS`` sides of random planes, in 64-bit words."""
+        return np.packbits(x @ self.planes > 0, axis=1).view(np.uint64)
+
     def buckets(self, x: np.ndarray, salt: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
         """64-bit bucket ids of each row: its own of each table, then the probed ones."""
         for table in range(self.tables):
@@ -93,6 +104,12 @@ def plan(rows: int, dim: int, cosine: float = COSINE, miss: float = MISS) -> tup
     return k, max(1, math.ceil(math.log(miss) / math.log(1 - min(hit, 0.999))))
 
 
+def most_bits(cosine: float) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.ceil(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p)))
+
+
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
@@ -107,15 +124,17 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = df.sparkSession
     folder = workspace(spark, "vectors")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    rows = df.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    # scaled by the largest component, so that squares neither overflow nor vanish
+    element = df.schema["embedding"].dataType.elementType.simpleString()
+    element = element if element in ("float", "double") else "double"
+    rows = df.select("vec_id", "label", F.col("embedding").cast(f"array<{element}>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     keys = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(1), "v", "label").alias("h2")]
     rows = rows.select("vec_id", "label", "sound", F.when(F.col("sound"), F.col("v")).alias("v"), *keys)
     classes = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").cast("long").alias("label"), F.first("v").alias("v"))
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    classes = classes.withColumn("top", top).select("h1", "h2", "id", "copies", "label", F.transform("v", lambda x: x / F.col("top")).alias("v"))
+    # scaled by a power of two, so that squares neither overflow nor vanish and no digit is lost
+    top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    classes = classes.withColumn("top", F.pow(F.lit(2.0), F.floor(F.log2(top)))).select("h1", "h2", "id", "copies", "label", F.transform("v", lambda x: (x.cast("double") / F.col("top")).cast(element)).alias("v"))
     classes = materialize(classes, folder, "classes")
     dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").limit(1000).collect()]
     links = None
@@ -138,67 +157,75 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
     """(id, links, component) of the classes that link with others; links count rows."""
     k, tables = plan(classes.count(), dim, cosine)
     hasher = Hasher(dim, k, tables)
-    light = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", T.LongType()), T.StructField("own", T.IntegerType())])
+    light = T.StructType([T.StructField(n, t) for n, t in (("bucket", T.LongType()), ("id", T.LongType()), ("own", T.BooleanType()), ("sketch", T.BinaryType()))])
+    limit = most_bits(cosine)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0)
+            ids, n = batch.column(0), batch.num_rows
             salt = batch.column(1).to_numpy().astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            for key, own in hasher.buckets(_unit(_matrix(batch.column(2), dim)), salt):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, pa.array(np.full(len(ids), int(own), np.int32))], schema=pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("own", pa.int32())]))
-
-    spread = classes.select("id", "label", "v").mapInArrow(hashed, light)
-    spread = materialize(spread, folder, f"buckets-{dim}")
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("owners")).filter("n > 1 and owners > 0").select(F.col("bucket").alias("full"))
-    members = spread.join(shared, F.col("bucket") == F.col("full")).select("bucket", F.col("id").alias("member"), "own")
-    members = members.join(classes.select("id", "v"), F.col("member") == F.col("id")).select("bucket", "id", "own", "v")
+            x = _unit(_matrix(batch.column(2), dim))
+            raw = hasher.sketch(x).tobytes()
+            sketch = pa.array([raw[k * BITS // 8 : (k + 1) * BITS // 8] for k in range(n)], pa.binary())
+            for key, own in hasher.buckets(x, salt):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, pa.array(np.full(n, own)), sketch], names=[f.name for f in light])
+
+    spread = materialize(classes.select("id", "label", "v").mapInArrow(hashed, light), folder, f"buckets-{dim}")
     edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def mates(table: pa.Table) -> pa.RecordBatch | None:
         column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
         ids, own, blk, bi, bj = (column(c) for c in ("id", "own", "blk", "bi", "bj"))
         bounds = groups.group_bounds([column("bucket"), bi, bj])
-        x = _unit(_matrix(table.column("v"), dim))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
         out: list[tuple[int, int]] = []
         size = np.diff(bounds)
         two = bounds[:-1][size == 2]  # most buckets: one comparison for all of them
-        hit = two[((x[two] * x[two + 1]).sum(1) >= cosine) & ((own[two] | own[two + 1]) > 0)]
+        hit = two[(np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= limit) & (own[two] | own[two + 1])]
         out += zip(ids[hit].tolist(), ids[hit + 1].tolist(), strict=True)
         for lo, hi in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
-            part, mine, at = x[lo:hi], own[lo:hi], blk[lo:hi]
+            part, mine, at = bits[lo:hi], own[lo:hi], blk[lo:hi]
             cross = bi[lo] != bj[lo]
-            allowed = lambda i, js, at=at, mine=mine, cross=cross: ((mine[i] | mine[js]) > 0) & (not cross or at[js] != at[i])
-            pairs = groups.spanning(hi - lo, lambda i, js, part=part: part[js] @ part[i] >= cosine, lambda i, js, f=allowed: np.asarray(f(i, js), bool))
-            out += [(int(ids[lo + i]), int(ids[lo + j])) for i, j in pairs]
+
+            def like(i: int, js: np.ndarray, part=part) -> np.ndarray:
+                return np.bitwise_count(part[js] ^ part[i]).sum(1) <= limit
+
+            def allowed(i: int, js: np.ndarray, mine=mine, at=at, cross=cross) -> np.ndarray:
+                return (mine[i] | mine[js]) & ((at[js] != at[i]) if cross else True)
+
+            out += [(int(ids[lo + i]), int(ids[lo + j])) for i, j in groups.spanning(hi - lo, like, allowed)]
         if not out:
             return None
         ends = np.unique(np.array(out, np.int64), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-    dealt = groups.deal(members, ["bucket"], "id", F.lit(1), BLOCK)
+    dealt = groups.deal(spread, ["bucket"], "id", F.lit(1), BLOCK, least=2)
     edges = materialize(groups.scan(dealt, ["bucket"], edge, mates), folder, f"edges-{dim}")
     grouped = groups.components(edges, folder, f"cc-{dim}")
     members = grouped.join(classes.select(F.col("id").alias("own_id"), "copies", "v"), F.col("id") == F.col("own_id")).select("component", "id", "copies", "v")
-    counted = T.StructType([T.StructField("id", T.LongType()), T.StructField("component", T.LongType()), T.StructField("links", T.LongType())])
+    counted = T.StructType([T.StructField("id", T.LongType()), T.StructField("links", T.LongType()), T.StructField("label", T.LongType()), T.StructField("split", T.BooleanType())])
 
     def count(table: pa.Table) -> pa.RecordBatch | None:
         column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        ids, comp, copies, blk, bi, bj = (column(c) for c in ("id", "component", "copies", "blk", "bi", "bj"))
+        ids, comp, copies, blk, bi, bj, blocks = (column(c) for c in ("id", "component", "copies", "blk", "bi", "bj", "n_blocks"))
         bounds = groups.group_bounds([comp, bi, bj])
         x = _unit(_matrix(table.column("v"), dim))
-        links = np.zeros(len(ids), np.int64)
+        links, label = np.zeros(len(ids), np.int64), ids.copy()
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            left = np.flatnonzero(blk[lo:hi] == bi[lo]) + lo
-            right = np.flatnonzero(blk[lo:hi] == bj[lo]) + lo
-            linked = x[left] @ x[right].T >= cosine
-            if bi[lo] == bj[lo]:
-                np.fill_diagonal(linked, False)
-                links[left] += linked @ copies[right]
-            else:
-                links[left] += linked @ copies[right]
-                links[right] += linked.T @ copies[left]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comp), pa.array(links)], names=["id", "component", "links"])
-
-    return groups.scan(groups.deal(members, ["component"], "id", F.lit(1), BLOCK), ["component"], counted, count)
+            linked = x[lo:hi] @ x[lo:hi].T >= cosine
+            np.fill_diagonal(linked, False)
+            if bi[lo] != bj[lo]:
+                linked &= blk[lo:hi, None] != blk[None, lo:hi]
+            links[lo:hi] = linked @ copies[lo:hi]
+            label[lo:hi] = groups.least_reached(ids[lo:hi], linked)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(label), pa.array(blocks > 1)], names=[f.name for f in counted])
+
+    verified = materialize(groups.scan(groups.deal(members, ["component"], "id", F.lit(1), BLOCK), ["component"], counted, count), folder, f"verified-{dim}")
+    result = verified.groupBy("id").agg(F.sum("links").alias("links"), F.min("label").alias("component"))
+    across = verified.filter("split and id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    if across.isEmpty():
+        return result
+    joined = groups.components(across, folder, f"across-{dim}").select(F.col("id").alias("own_id"), F.col("component").alias("whole"))
+    return result.join(joined, F.col("id") == F.col("own_id"), "left").select("id", "links", F.coalesce("whole", "component").alias("component"))
