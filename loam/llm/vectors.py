@@ -37,6 +37,8 @@ COSINE = 0.93
 MISS = 1e-4
 LOAD = 16
 BITS = 128
+#: Buckets of so many rows at most are compared without a step of Python each.
+FEW = 8
 SIGMAS = 6
 #: Vectors of a bucket or component compared in one task at most.
 BLOCK = 1024
@@ -180,12 +182,16 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
         ids, own, blk, bi, bj = (column(c) for c in ("id", "own", "blk", "bi", "bj"))
         bounds = groups.group_bounds([column("bucket"), bi, bj])
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        out: list[tuple[int, int]] = []
         size = np.diff(bounds)
-        two = bounds[:-1][size == 2]  # most buckets: one comparison for all of them
-        hit = two[(np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= limit) & (own[two] | own[two + 1])]
-        out += zip(ids[hit].tolist(), ids[hit + 1].tolist(), strict=True)
-        for lo, hi in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
+        few = (size <= FEW) & (bi[bounds[:-1]] == bj[bounds[:-1]])  # most buckets: compared side by side
+        until = np.where(np.repeat(few, size), np.repeat(bounds[1:], size), 0)
+        ends = [np.zeros((0, 2), np.int64)]
+        for step in range(1, FEW):
+            i = np.flatnonzero(until > np.arange(len(ids)) + step)
+            i = i[(own[i] | own[i + step]) & (np.bitwise_count(bits[i] ^ bits[i + step]).sum(1) <= limit)]
+            ends.append(np.stack([ids[i], ids[i + step]], 1))
+        out: list[tuple[int, int]] = []
+        for lo, hi in zip(bounds[:-1][~few].tolist(), bounds[1:][~few].tolist(), strict=True):
             part, mine, at = bits[lo:hi], own[lo:hi], blk[lo:hi]
             cross = bi[lo] != bj[lo]
 
@@ -196,10 +202,8 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
                 return (mine[i] | mine[js]) & ((at[js] != at[i]) if cross else True)
 
             out += [(int(ids[lo + i]), int(ids[lo + j])) for i, j in groups.spanning(hi - lo, like, allowed)]
-        if not out:
-            return None
-        ends = np.unique(np.array(out, np.int64), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+        pairs = np.unique(np.concatenate([*ends, np.array(out, np.int64).reshape(-1, 2)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     dealt = groups.deal(spread, ["bucket"], "id", F.lit(1), BLOCK, least=2)
     edges = materialize(groups.scan(dealt, ["bucket"], edge, mates), folder, f"edges-{dim}")
