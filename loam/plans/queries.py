@@ -407,12 +407,13 @@ def _(spark, d):
     return _table(spark, d, "labels").select("doc_id", evaluate.judge_score(reply).alias("score"))
 
 
-_METRIC_SQL = "select event_type as category, (event_id % 7) / 8.0 as answer_relevancy, (event_id % 5) / 4.0 as faithfulness, (user_id % 3) / 2.0 as context_recall, (user_id % 9) / 8.0 as avg_relevance_score, event_id from events"
+_METRIC_SQL = "select event_type as category, (event_id % 7) / 7::double as answer_relevancy, (event_id % 5) / 7::double as faithfulness, (user_id % 3) / 3::double as context_recall, (user_id % 9) / 11::double as avg_relevance_score, event_id from events"
 
 
 def _metrics(events: DataFrame) -> DataFrame:
+    # thirds, sevenths and elevenths: their means are no ties of decimal rounding, which engines break differently
     e, u = F.col("event_id"), F.col("user_id")
-    return events.select(F.col("event_type").alias("category"), "event_id", (e % 7 / 8.0).alias("answer_relevancy"), (e % 5 / 4.0).alias("faithfulness"), (u % 3 / 2.0).alias("context_recall"), (u % 9 / 8.0).alias("avg_relevance_score"))
+    return events.select(F.col("event_type").alias("category"), "event_id", (e % 7 / 7.0).alias("answer_relevancy"), (e % 5 / 7.0).alias("faithfulness"), (u % 3 / 3.0).alias("context_recall"), (u % 9 / 11.0).alias("avg_relevance_score"))
 
 
 def _means(where: str = "") -> str:
