@@ -18,7 +18,7 @@ from loam.llm.store import materialize, workspace
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep (operator 10)."""
     learned = rules.learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rules.judge(docs, learned, prefix="loam_q_").filter("loam_q_kept").select(*docs.columns)
+    return docs.filter(rules.keeps(F.col("text"), learned))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

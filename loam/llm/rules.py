@@ -104,6 +104,25 @@ def with_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> Data
     ).drop("loam_rule_tokens")
 
 
+def statistics(text: Column) -> Column:
+    """The same statistics as one struct, whose parts are each evaluated once wherever it stands
+    (a filter, unlike a projection, does not share what its expressions have in common)."""
+    whole = F.coalesce(text, F.lit(""))
+
+    def of(tokens: Column) -> Column:
+        return F.struct(
+            F.size(tokens).cast("long").alias("n_words"),
+            F.length(F.array_join(tokens, "")).cast("long").alias("word_chars"),
+            count_chars(whole, SYMBOLS).alias("n_symbols"),
+            duplicate_lines(whole).alias("n_dup_lines"),
+            repeated_words(tokens).alias("n_repeat_words"),
+            count_chars(whole, "!").alias("n_bangs"),
+            F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        )
+
+    return _let(words(text), of)
+
+
 #: Numerator and denominator of each statistic that a rule may test.
 RATIOS = {
     "words": ("n_words", None),
@@ -121,10 +140,14 @@ def _ratio_value(name: str, row) -> float:
     return float(row[top]) / max(row[bottom], 1) if bottom else float(row[top])
 
 
-def _ratio_column(name: str, prefix: str) -> Column:
+def _ratio_column(name: str, of) -> Column:
     top, bottom = RATIOS[name]
-    value = F.col(prefix + top).cast("double")
-    return value / F.greatest(F.col(prefix + bottom), F.lit(1)) if bottom else value
+    value = of(top).cast("double")
+    return value / F.greatest(of(bottom), F.lit(1)) if bottom else value
+
+
+def _prefixed(prefix: str):
+    return lambda name: F.col(prefix + name)
 
 
 @dataclass(frozen=True)
@@ -133,8 +156,9 @@ class Test:
     above: bool
     threshold: float
 
-    def column(self, prefix: str = "") -> Column:
-        value = _ratio_column(self.statistic, prefix)
+    def column(self, of) -> Column:
+        """The test as an expression; ``of`` gives the column of a statistic."""
+        value = _ratio_column(self.statistic, of)
         return value > self.threshold if self.above else value <= self.threshold
 
     def __str__(self) -> str:
@@ -223,24 +247,35 @@ def learn_from(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return learn(rows.limit(4 * sample).collect())
 
 
-def verdict(rules: list[Rule], prefix: str = "") -> Column:
+def verdict(rules: list[Rule], of) -> Column:
     """The 1-based place of the first rule that rejects, 0 if none does."""
     out = None
     for k, rule in enumerate(rules, 1):
-        test = rule.tests[0].column(prefix)
+        test = rule.tests[0].column(of)
         for t in rule.tests[1:]:
-            test = test & t.column(prefix)
+            test = test & t.column(of)
         out = F.when(test, k) if out is None else out.when(test, k)
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def base_failed(prefix: str = "") -> Column:
-    n, repeated = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+def base_failed(of) -> Column:
+    n, repeated = of("n_words"), of("n_repeat_words")
     return (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
 
 
+def keeps(text: Column, rules: list[Rule]) -> Column:
+    """Whether the base rule and the decision list keep a text, as one expression for a filter."""
+
+    def decide(s: Column) -> Column:
+        of = lambda name: s.getField(name)
+        return ~base_failed(of) & (verdict(rules, of) == 0)
+
+    return _let(statistics(text), decide)
+
+
 def judge(df: DataFrame, rules: list[Rule], text: str = "text", prefix: str = "q_") -> DataFrame:
     """``df`` with prefixed statistics, ``base_failed``, ``rule`` and ``kept`` columns."""
     out = with_statistics(df, text, prefix)
-    out = out.withColumns({prefix + "base_failed": base_failed(prefix), prefix + "rule": verdict(rules, prefix)})
+    of = _prefixed(prefix)
+    out = out.withColumns({prefix + "base_failed": base_failed(of), prefix + "rule": verdict(rules, of)})
     return out.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "rule") == 0))

@@ -41,6 +41,15 @@ def test_learned_rules_reject_what_the_labels_call_low(spark):
     assert got.get((1, False), 0) - base <= 0.02 * got[1, True]
 
 
+def test_the_filter_decides_as_the_columns_do(spark):
+    docs, labels = spark.read.parquet(DOCS), spark.read.parquet(DOCS.replace("documents", "labels"))
+    odd = spark.createDataFrame(ODD, "doc_id long, text string")
+    learned = rules.learn_from(docs, labels)
+    df = docs.select("doc_id", "text").union(odd)
+    by_column = sorted(r.doc_id for r in rules.judge(df, learned).filter("q_kept").collect())
+    assert by_column == sorted(r.doc_id for r in df.filter(rules.keeps(F.col("text"), learned)).collect())
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = spark.createDataFrame([(1, "word " * 30)], "doc_id long, text string")
