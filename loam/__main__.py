@@ -26,7 +26,7 @@ def asked(spark: SparkSession, question: str):
 def build(spark: SparkSession, source: str, store: str) -> None:
     files, name = readers.read_input(spark, source)
     docs = files.withColumn("doc_id", F.xxhash64("file_name")).select("doc_id", "text", F.col("file_name").alias("source"))
-    built = graph.build(docs)
+    built = graph.build(docs, drafts="batches")
     built.save(store)
     sinks.write_json(graph.statistics(built, docs).withColumn("document", F.lit(name)), f"{store}/statistics")
 

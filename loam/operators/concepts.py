@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.config import DEFAULT
+from loam.operators.resolve import numbered
 
 MEMBERS = 6
 
@@ -22,6 +23,25 @@ def draft(found: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("Theme of "), F.col("source")).alias("concept"), F.col("name").alias("member"), "place")
 
 
+def draft_batches(entities: DataFrame, folder: str, per_batch: int = DEFAULT.concept_batch) -> DataFrame:
+    """(concept, member, place): every merged entity, in batches of ``per_batch`` in entity order,
+    as the reference puts them to its model. The offline stand-in for the reply: runs of two to six
+    neighbours, each sharing its last member with the next run of the batch.
+
+    Every entity is in one concept or two; a batch of one alone makes a concept of one member, which
+    falls away like any other.
+    """
+    step = MEMBERS - 1
+    rows = numbered(entities, folder).select("name", F.floor(F.col("n") / per_batch).alias("batch"), (F.col("n") % per_batch).alias("k"))
+    own = F.floor(F.col("k") / step)
+    runs = F.when((F.col("k") > 0) & (F.col("k") % step == 0), F.array(own - 1, own)).otherwise(F.array(own))
+    rows = rows.withColumn("run", F.explode(runs)).withColumn("place", (F.col("k") - F.col("run") * step + 1).cast("int"))
+    # a last entity that only closes the run before it opens none of its own
+    size = F.count(F.lit(1)).over(Window.partitionBy("batch", "run"))
+    rows = rows.withColumn("size", size).filter("size > 1 or run = 0")
+    return rows.select(F.format_string("Theme %d.%d", F.col("batch") + 1, F.col("run") + 1).alias("concept"), F.col("name").alias("member"), "place")
+
+
 def resolve_members(drafts: DataFrame, entities: DataFrame) -> DataFrame:
     """(concept, entity): members found by exact name, else by lower case, else the smallest name
     that contains the member or is contained in it; concepts of one member fall away."""

@@ -33,10 +33,12 @@ class Graph:
         return cls(**sinks.read_graph(spark, folder, [f.name for f in fields(cls)]))
 
 
-def build(documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "components") -> Graph:
+def build(documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "components", drafts: str = "sources") -> Graph:
     """All layers from (doc_id, text, source), each written before the next reads it.
 
     ``method``: communities by connected ``components`` of concept overlap, or by ``modularity``.
+    ``drafts``: concepts of all merged entities in ``batches``, or (the definition that the SQL of the
+    queries holds) of a few names of each of the ``sources``.
     """
     spark = documents.sparkSession
     folder = folder or workspace(spark, "graph")
@@ -48,7 +50,8 @@ def build(documents: DataFrame, config: Config = DEFAULT, folder: str | None = N
     cleaned = resolve.clean_relationships(extract.relationships(found), entity)
     relation = keep(resolve.ingest_edges(cleaned, entity), "relation")
     has_entity = keep(entity.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("name").alias("entity")), "has_entity")
-    members = keep(concepts.resolve_members(concepts.draft(found, documents), entity), "concept_member")
+    drafted = concepts.draft(found, documents) if drafts == "sources" else concepts.draft_batches(entity, folder, config.concept_batch)
+    members = keep(concepts.resolve_members(drafted, entity), "concept_member")
     described = members.groupBy("concept").agg(F.array_join(F.sort_array(F.collect_set("entity")), " ").alias("description"))
     concept = keep(V.embed(described, "concept", "description"), "concept")
     edges = keep(concepts.overlap(members), "overlap")

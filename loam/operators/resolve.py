@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
@@ -37,6 +37,18 @@ def merge_entities(found: DataFrame) -> DataFrame:
     )
 
 
+def numbered(entities: DataFrame, folder: str) -> DataFrame:
+    """``entities`` with their number ``n`` from 0 in entity order (the first mention's place): places
+    within the written parts of a range sort, plus the rows of the parts before. No task gets all rows."""
+    at = F.monotonically_increasing_id()
+    rows = materialize(entities.orderBy("first_place", "canon").withColumn("loam_at", at), folder, "numbered")
+    rows = rows.withColumns({"loam_part": F.shiftright("loam_at", 33), "loam_k": F.col("loam_at").bitwiseAND((1 << 33) - 1)})
+    parts = rows.groupBy("loam_part").agg(F.count(F.lit(1)).alias("loam_rows"))
+    before = F.sum("loam_rows").over(Window.orderBy("loam_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("loam_part", F.coalesce(before, F.lit(0)).alias("loam_before"))
+    return rows.join(parts, "loam_part").withColumn("n", F.col("loam_before") + F.col("loam_k")).drop("loam_part", "loam_at", "loam_k", "loam_before")
+
+
 def flat_index(found: DataFrame) -> DataFrame:
     """(key, name, type, chunks): entities by lower-case name with every chunk that mentions them."""
     rows = found.filter("name <> ''").withColumn("key", F.lower("name"))

@@ -238,6 +238,13 @@ def _(spark, d):
     return concepts.draft(extract.mentions(extract.chunk(documents)), documents)
 
 
+@query("concept_drafts_whole")
+def _(spark, d):
+    # all merged entities; concept_drafts has the few names a source that its SQL has
+    merged = resolve.merge_entities(extract.mentions(extract.chunk(_table(spark, d, "documents"))))
+    return concepts.draft_batches(merged, workspace(spark, "drafts"))
+
+
 @query("concept_members", "select concept, entity from concept_member")
 def _(spark, d):
     return stored(spark, d).concept_member

@@ -107,6 +107,29 @@ def test_resolve_members(spark):
     assert {tuple(r) for r in concepts.resolve_members(drafts, entities).collect()} == {("c", "Alpha"), ("c", "Beta"), ("c", "Gamma")}
 
 
+def test_concepts_take_every_entity(spark):
+    rows = [(f"k{k:02}", f"Name{k:02}", (k // 7, 0, k % 7)) for k in range(57)]
+    entities = spark.createDataFrame(rows, "canon string, name string, first_place struct<doc_id:long,idx:long,pos:long>").repartition(5)
+    want = {}
+    for lo in range(0, 57, 25):
+        batch = [r[1] for r in rows[lo : min(lo + 25, 57)]]
+        for g in range(0, len(batch), 5):
+            if g == 0 or len(batch[g:]) > 1:
+                want[f"Theme {lo // 25 + 1}.{g // 5 + 1}"] = batch[g : g + 6]
+    got = {}
+    for r in concepts.draft_batches(entities, workspace(spark, "t")).orderBy("place").collect():
+        got.setdefault(r.concept, []).append(r.member)
+    assert got == want and {m for c in got.values() for m in c} == {r[1] for r in rows}
+
+
+def test_a_graph_of_batched_concepts_holds_every_entity(spark):
+    text = " ".join(f"Alpha{a}{b}" for a in "abcdefgh" for b in "abcdefgh")
+    docs = spark.createDataFrame([(k, text, f"s{k}") for k in range(5)], "doc_id long, text string, source string")
+    assert graph.build(docs).concept_member.count() == 0  # all names are in over three sources
+    whole = graph.build(docs, drafts="batches")
+    assert whole.concept_member.select("entity").distinct().count() == whole.entity.count() == 64
+
+
 def test_replies_align_by_segment(spark):
     list_reply = '[{"segment": 2, "entities": [{"name": "B"}]}, {"segment": 1, "entities": [{"name": "A"}], "relationships": []}]'
     rows = spark.createDataFrame([(1, 0, list_reply), (1, 1, '{"entities": [{"name": "C"}]}'), (2, 0, "no")], "doc_id long, batch long, reply string")
