@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +34,24 @@ class Graph:
         return cls(**sinks.read_graph(spark, folder, [f.name for f in fields(cls)]))
 
 
-def build(documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "components", drafts: str = "sources") -> Graph:
+def build(documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "components", drafts: str = "sources", names: Callable[[DataFrame], DataFrame] | None = None) -> Graph:
     """All layers from (doc_id, text, source), each written before the next reads it.
 
     ``method``: communities by connected ``components`` of concept overlap, or by ``modularity``.
     ``drafts``: concepts of all merged entities in ``batches``, or (the definition that the SQL of the
     queries holds) of a few names of each of the ``sources``.
+    ``names``: a vector model of display names (see ``resolve.merge_similar``); without one, entities
+    are merged by canonical key alone.
     """
     spark = documents.sparkSession
     folder = folder or workspace(spark, "graph")
     keep = lambda df, name: materialize(df, folder, name)
     chunk = keep(V.embed(extract.chunk(documents, config.chunk_size, config.chunk_overlap), "chunk_id", "text"), "chunk")
     found = keep(extract.mentions(chunk), "mention")
-    merged = resolve.merge_entities(found).withColumn("loam_text", F.concat("name", F.lit(": "), F.coalesce("description", F.lit(""))))
+    resolved = resolve.merge_entities(found)
+    if names is not None:
+        resolved = resolve.merge_similar(resolved, names, f"{folder}/similar", config.entity_dedup_threshold)
+    merged = resolved.withColumn("loam_text", F.concat("name", F.lit(": "), F.coalesce("description", F.lit(""))))
     entity = keep(V.embed(merged, "name", "loam_text").drop("loam_text"), "entity")
     cleaned = resolve.clean_relationships(extract.relationships(found), entity)
     relation = keep(resolve.ingest_edges(cleaned, entity), "relation")

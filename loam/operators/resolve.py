@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.config import DEFAULT
 from loam.functions import text as X
 from loam.operators.extract import ORDER
+from loam.operators.similar import similar_pairs
 from loam.store import materialize
 
 
@@ -82,6 +86,26 @@ def leaders(pairs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
     raise RuntimeError("no fixed point")
 
 
+def merge_similar(entities: DataFrame, embed: Callable[[DataFrame], DataFrame], folder: str, threshold: float = DEFAULT.entity_dedup_threshold) -> DataFrame:
+    """``entities`` (of ``merge_entities``) after the second phase: in entity order, each absorbs the
+    later ones whose display name is at least so similar and that none absorbed before.
+
+    ``embed`` adds ``name_vector`` to a frame with ``name``. An absorbed entity leaves its
+    description, mentions and longer name; its key goes, so edges that name it fall away at ingest.
+    """
+    rows = materialize(embed(numbered(entities, folder)), folder, "named")
+    pairs = materialize(similar_pairs(rows, "n", "name_vector", threshold), folder, "pairs")
+    led = leaders(pairs.select("a", "b"), rows.select(F.col("n").alias("id")), f"{folder}/leaders")
+    merged = rows.drop("name_vector").join(led, F.col("n") == F.col("id")).groupBy("leader").agg(
+        F.max_by("name", F.struct(F.length("name"), -F.col("n"))).alias("name"),
+        *[F.min_by(c, "n").alias(c) for c in ("canon", "type", "doc_id", "idx", "first_place")],
+        F.sum("n_mentions").alias("n_mentions"),
+        F.sort_array(F.collect_list(F.struct("n", F.coalesce("description", F.lit("")).alias("d")))).alias("all"),
+    )
+    described = F.aggregate(F.transform("all", lambda x: x.d), F.lit(""), lambda a, b: X.better_description(a, b))
+    return merged.withColumn("description", described).select(*entities.columns)
+
+
 def resolve(names: Column, canon_known: Column) -> Column:
     """The display name of an endpoint: that of its key, else its own title."""
     return F.coalesce(canon_known, X.entity_name(names))

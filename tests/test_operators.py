@@ -101,6 +101,18 @@ def test_entity_merge_keeps_first_and_longest(spark):
     assert (r.canon, r.name, r.type, r.description, r.n_mentions) == ("acme", "Acme (Inc)", "ORG", "longer", 3)
 
 
+def test_similar_entities_merge_in_entity_order(spark):
+    # by angle: 0 absorbs 10 and leaves 25 (over 18 degrees away), which 10 would have taken; 25 absorbs 40
+    angles = {"Alphas": 0, "Alphasy": 10, "Betasx": 25, "Betas": 40, "Gammas": 180}
+    rows = [(n.lower(), n, "ORG", "seen" + " again" * (n == "Alphasy"), 1, 0, (1, 0, k), k + 1) for k, n in enumerate(angles)]
+    schema = "canon string, name string, type string, description string, doc_id long, idx long, first_place struct<doc_id:long,idx:long,pos:long>, n_mentions long"
+    angle = F.create_map(*[F.lit(x) for n, a in angles.items() for x in (n, float(a))])
+    embed = lambda df: df.withColumn("name_vector", F.array(F.cos(F.radians(angle[F.col("name")])), F.sin(F.radians(angle[F.col("name")]))))
+    entities = spark.createDataFrame(rows, schema).repartition(3)
+    got = sorted(tuple(r) for r in resolve.merge_similar(entities, embed, workspace(spark, "t")).select("canon", "name", "description", "n_mentions").collect())
+    assert got == [("alphas", "Alphasy", "seen again", 3), ("betasx", "Betasx", "seen", 7), ("gammas", "Gammas", "seen", 5)]
+
+
 def test_resolve_members(spark):
     drafts = spark.createDataFrame([("c", "Alpha"), ("c", "beta"), ("c", "Gam"), ("d", "Alpha"), ("d", "zzz")], "concept string, member string")
     entities = spark.createDataFrame([("Alpha",), ("Beta",), ("Gamma",)], "name string")
