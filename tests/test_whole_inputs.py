@@ -19,7 +19,22 @@ def title(text):
     return re.sub(r"[^\W\d_]+", lambda r: (r[0][0].upper().capitalize() + r[0][1:].lower()), text.strip(BLANKS))
 
 
+def key(name):
+    name = name.lower().strip(BLANKS)
+    for article in ("the ", "a ", "an "):
+        name = name.removeprefix(article)
+    name = re.sub(r"[^a-z0-9 ]", "", re.sub(r"\s*\(.*?\)\s*", " ", name, flags=re.ASCII))
+    return re.sub(" +", " ", name).strip(" ")
+
+
 def test_title_case_reaches_the_end_of_every_text(spark):
     want = {k: None if t is None else title(t) for k, t in texts().items()}
     got = {r.doc_id: r.title for r in plans.QUERIES["title_case_whole"](spark, FOLDER).collect()}
     assert any(t and len(t) > 200 for t in got.values()) and got == want
+
+
+def test_canonical_key_of_whole_texts(spark):
+    forms = (" The {} (UN)  x", "A The {}", "An {}", "{}")
+    want = {k: None if t is None else key(forms[k % 4].replace("{}", t)) for k, t in texts().items()}
+    got = {r.doc_id: r.canon for r in plans.QUERIES["canonical_key_whole"](spark, FOLDER).collect()}
+    assert any(t and len(t) > 200 for t in got.values()) and got == want
