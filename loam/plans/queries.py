@@ -224,6 +224,14 @@ def _(spark, d):
     return pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("label", "vec_id", "similarity", "rank")
 
 
+@query("topk_cosine_all")
+def _(spark, d):
+    # the stated queries: ids divisible by 100, against all rows; topk_cosine has the one query of its SQL
+    rows = _table(spark, d, "embeddings")
+    found = similar.top_pairs(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", "label")
+    return found.select("query", "label", F.col("id").alias("vec_id"), "similarity", "rank")
+
+
 @query("similar_pairs", """select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.v, b.v), 5) as similarity
     from (select vec_id, embedding::double[] as v from embeddings) a join (select vec_id, embedding::double[] as v from embeddings) b
     on a.vec_id < b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.35""", plain=True)
