@@ -194,7 +194,7 @@ def common(value: np.ndarray, where: np.ndarray, n: int, columns: int = 4096) ->
     if not len(place):
         return out
     place = np.cumsum(np.diff(place, prepend=place[0]) > 0)
-    edges = np.searchsorted(place, np.arange(0, place[-1] + columns, columns))
+    edges = np.searchsorted(place, np.arange(0, place[-1] + columns + 1, columns))
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
         rows, local = np.unique(where[lo:hi], return_inverse=True)
         block = np.zeros((len(rows), columns), np.float32)

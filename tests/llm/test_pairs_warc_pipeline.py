@@ -86,6 +86,12 @@ def test_jaccard_odd_tables(spark):
     assert sorted(r.n_links for r in got) == [0, 2, 2, 2] and len(got) == 4
 
 
+@pytest.mark.parametrize("n", [1, 4095, 4096, 4097, 8193])
+def test_common_counts_the_last_shingle(n):
+    value = np.tile(np.arange(n, dtype=np.uint64), 2)
+    assert (jaccard.common(value, np.repeat([0, 1], n), 2) == n).all()
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     for n, least in jaccard.least_matches():
         assert 0 < least < 0.8 * n
