@@ -15,7 +15,8 @@ A pair at the threshold is missed by all bands with probability (1 - 0.8^4)^24 =
 Defined results: words are runs of anything but white space; a text of one to four words has
 one shingle, of all its words; a null text or one without words links with nothing and is its
 own class; repeated rows count as copies; a null doc_id still joins its copies' class (the
-smallest doc_id names it, or a hash where all are null); different texts must have different ids;
+smallest doc_id names it, or a hash where all are null; a group's smallest doc_id comes before any
+hash, and one row stands for a group without a doc_id); different texts must have different ids;
 other columns are not read.
 """
 
@@ -126,6 +127,7 @@ def _likely(one: np.ndarray, others: np.ndarray, limits: list[tuple[int, int]])
 SKETCH = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType())]
 )
+DIGESTED = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("text", T.StringType())])
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 BUCKET = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("member", T.LongType())])
 VERIFIED = T.StructType([T.StructField("id", T.LongType()), T.StructField("links", T.LongType()), T.StructField("label", T.LongType()), T.StructField("split", T.BooleanType())])
@@ -143,6 +145,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(sig, pa.binary())], names=[f.name for f in SKETCH])
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by the digests of their sets, for rows that no doc_id names."""
+    for batch in batches:
+        data, offsets = textkit.string_bytes(batch.column(0))
+        for lo, hi in textkit.slices(offsets):
+            value, where = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            _, one, two, _ = signatures(value, where, hi - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).slice(lo, hi - lo)], names=[f.name for f in DIGESTED])
+
+
 def _unpack(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), HASHES)
@@ -241,9 +253,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = (
         sketch.filter("n_shingles > 0").groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-        .select("h1", "h2", F.coalesce("least", F.xxhash64("h1", "h2")).alias("id"), "copies", "n_shingles", "sig")
+        .select("h1", "h2", F.coalesce("least", F.xxhash64("h1", "h2")).alias("id"), F.col("least").isNull().alias("nameless"), "copies", "n_shingles", "sig")
     )
     classes = materialize(classes, folder, "classes")
+    some_nameless = not classes.filter("nameless").limit(1).isEmpty()
     spread = materialize(classes.select("id", "sig").mapInArrow(_band_rows, BUCKET), folder, "buckets")
     full = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("bucket").alias("full"))
     members = spread.join(full, F.col("bucket") == F.col("full")).select("bucket", "member")
@@ -251,12 +264,16 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     limits = least_matches(threshold)
     edges = materialize(groups.scan(groups.deal(members, ["bucket"], "id", F.lit(1), BUCKET_BLOCK), ["bucket"], EDGE, _mates(limits)), folder, "edges")
     grouped = groups.components(edges, folder)
-    chosen = grouped.join(classes.select(F.col("id").alias("own"), "h1", "h2", "copies", "n_shingles"), F.col("id") == F.col("own")).drop("own")
+    chosen = grouped.join(classes.select(F.col("id").alias("own"), "h1", "h2", "nameless", "copies", "n_shingles"), F.col("id") == F.col("own")).drop("own")
     # the text of one row of each class: the first of the rows that carry its smallest doc_id
     chosen = materialize(chosen, folder, "chosen")
-    texts = documents.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = documents.join(chosen.filter("not nameless").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+    if some_nameless:
+        unnamed = documents.filter("doc_id is null and text is not null").select("text").mapInArrow(_digested, DIGESTED)
+        unnamed = unnamed.groupBy("h1", "h2").agg(F.max("text").alias("text")).join(chosen.filter("nameless").select("h1", "h2", "id"), ["h1", "h2"])
+        texts = texts.unionByName(unnamed.select(F.col("id").alias("doc_id"), "text"))
     payload = texts.join(chosen, F.col("doc_id") == F.col("id")).select("component", "id", "copies", "n_shingles", "text")
     weight = F.greatest("n_shingles", F.lit(VERIFY_BLOCK // VERIFY_ROWS))
     verified = groups.scan(groups.deal(payload, ["component"], "id", weight, VERIFY_BLOCK), ["component"], VERIFIED, _verify(threshold), 512)
@@ -266,10 +283,19 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not across.isEmpty():  # groups over several blocks: their pieces' links meet once more
         joined = groups.components(across, folder, "across").withColumnRenamed("id", "own")
         result = result.join(joined, F.col("id") == F.col("own"), "left").select("id", "links", F.coalesce("component", "label").alias("label"))
-    known = classes.select("h1", "h2", "id", "copies").join(result.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left")
-    known = known.select("h1", "h2", "id", F.coalesce("label", "id").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    out = sketch.drop("sig").join(known, ["h1", "h2"], "left").withColumn("copy_of", F.coalesce("id", "doc_id")).withColumn("class_id", F.coalesce("label", "doc_id"))
+    known = classes.select("h1", "h2", "id", "nameless", "copies").join(result.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left")
+    known = known.select("h1", "h2", "id", "nameless", F.coalesce("label", "id").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
+    rows = sketch.drop("sig").withColumn("first", F.lit(False))
+    if some_nameless:  # a group is named by its smallest doc_id, hashes being none
+        known = materialize(known, folder, "known")
+        named = known.filter("not nameless").groupBy("label").agg(F.min("id").alias("named"))
+        known = known.join(named, "label", "left").withColumn("label", F.coalesce("named", "label")).drop("named")
+        numbered = materialize(rows.filter("doc_id is null").withColumn("n", F.monotonically_increasing_id()), folder, "nameless")
+        firsts = numbered.groupBy("h1", "h2").agg(F.min("n").alias("least_n"))
+        numbered = numbered.join(firsts, ["h1", "h2"]).withColumn("first", F.col("n") == F.col("least_n"))
+        rows = rows.filter("doc_id is not null").unionByName(numbered.select(*rows.columns))
+    out = rows.join(known, ["h1", "h2"], "left").withColumn("copy_of", F.coalesce("id", "doc_id")).withColumn("class_id", F.coalesce("label", "doc_id"))
     return out.select(
         "doc_id", "class_id", "copy_of", F.when(F.col("n_shingles") > 0, F.col("n")).otherwise(0).cast("long").alias("n_links"),
-        ((F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))).alias("kept"),
+        ((F.col("n_shingles") == 0) | F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("first") & F.col("nameless") & (F.col("id") == F.col("class_id")), F.lit(False))).alias("kept"),
     )

@@ -86,6 +86,21 @@ def test_jaccard_odd_tables(spark):
     assert sorted(r.n_links for r in got) == [0, 2, 2, 2] and len(got) == 4
 
 
+def test_jaccard_classes_without_doc_ids(spark):
+    """A class of null doc_ids bridges two that are too far apart, and a group of such keeps one row."""
+    words = [f"w{k}" for k in range(64)]
+    texts = {name: " ".join(words[k : k + 54]) for k, name in enumerate(("a", "b", "c", "d", "e", "f", "g", "h"))}
+    a, b, c = texts["a"], texts["e"], " ".join(words[8:62])  # 46 of 54 shingles to the next, 42 to the one after
+    x, y = " ".join(f"x{k}" for k in range(60)), " ".join(f"x{k}" for k in range(1, 60))
+    rows = [(5, a), (None, b), (None, b), (9, c), (None, x), (None, y), (None, y)]
+    assert [len(shingle_set(p) & shingle_set(q)) / len(shingle_set(p) | shingle_set(q)) >= 0.8 for p, q in ((a, b), (b, c), (a, c), (x, y))] == [True, True, False, True]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = sorted((r.doc_id or 0, r.n_links, r.kept) for r in got if r.class_id == 5)
+    assert linked == [(0, 3, False), (0, 3, False), (5, 2, True), (9, 2, False)]
+    rest = [r for r in got if r.class_id != 5]
+    assert [r.n_links for r in rest] == [2, 2, 2] and len({r.class_id for r in rest}) == 1 and sum(r.kept for r in rest) == 1
+
+
 @pytest.mark.parametrize("n", [1, 4095, 4096, 4097, 8193])
 def test_common_counts_the_last_shingle(n):
     value = np.tile(np.arange(n, dtype=np.uint64), 2)
