@@ -138,13 +138,17 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
     classes = classes.withColumn("top", F.pow(F.lit(2.0), F.floor(F.log2(top)))).select("h1", "h2", "id", "copies", "label", F.transform("v", lambda x: (x.cast("double") / F.col("top")).cast(element)).alias("v"))
     classes = materialize(classes, folder, "classes")
-    dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").limit(1000).collect()]
-    links = None
-    for dim in dims:  # one in practice; vectors of different length never link
-        found = _links(classes.filter(F.size("v") == dim), dim, cosine, folder)
-        links = found if links is None else links.unionByName(found)
-    if links is None:
+    lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    dims = [r.d for r in lengths if r.n > 1]  # a vector alone in its length links with none
+    if len(dims) == 1:  # so in practice; vectors of different length never link
+        links = _links(classes.filter(F.size("v") == dims[0]), dims[0], cosine, folder)
+    else:  # written one by one, so that the plan does not grow with the lengths
+        links = spark.createDataFrame([], "id long, links long, component long")
+        for dim in dims:
+            _links(classes.filter(F.size("v") == dim), dim, cosine, folder).select(*links.columns).write.mode("append").parquet(f"{folder}/links")
+        links = spark.read.schema(links.schema).parquet(f"{folder}/links") if dims else links
     links = links.groupBy("id").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
     known = classes.select("h1", "h2", "id", "copies").join(links, "id", "left")
     known = known.select(

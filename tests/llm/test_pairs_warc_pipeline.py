@@ -199,6 +199,13 @@ def test_vector_links_and_components(spark, monkeypatch, small):
     assert got == sorted((i, links[i], root[i], root[i] == i) for i, *_ in rows)
 
 
+def test_vectors_of_over_a_thousand_lengths(spark):
+    rows = [(k, [1.0] * k, 0) for k in range(1, 1003)] + [(2001, [1.0] * 1100, 0), (2002, [1.0] * 1099 + [1.1], 0), (2003, [2.0, 1.0], 1), (2004, [2.0, 1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = {i: (0, i, True) for i, *_ in rows} | {2001: (1, 2001, True), 2002: (1, 2001, False), 2003: (1, 2003, True), 2004: (1, 2003, False)}
+    assert got == want
+
+
 def test_vectors_of_an_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
