@@ -1,7 +1,7 @@
 """Groups of alike rows without all-pairs joins: blocked buckets, connected components.
 
-``deal`` puts the rows of each key into blocks of bounded weight and sends every pair of blocks
-to one task, so a hot key spreads over many tasks, each of bounded memory, and no pair of rows
+``blocks`` and ``deal`` put the rows of each key into blocks of bounded weight and send every pair
+of blocks to one task, so a hot key spreads over many tasks, each of bounded memory, and no pair of rows
 of one key is missed or emitted. ``scan`` feeds a function with one block pair at a time.
 ``components`` alternates large-star and small-star steps on edges (Kiveris et al., 2014),
 cutting lineage with a written table after each round.
@@ -20,18 +20,27 @@ from pyspark.sql import types as T
 from loam.llm.store import materialize
 
 
-def deal(df: DataFrame, keys: list[str], unit: str, weight, limit: int, least: int = 1) -> DataFrame:
-    """Rows of ``df`` with own block ``blk`` and block pair (``bi``, ``bj``), several times where a
-    key has several blocks; sorted by key and pair inside partitions. Keys of fewer than ``least``
-    rows, which have no pairs, are left out."""
-    weighed = df.withColumn("deal_weight", weight)
-    totals = weighed.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum("deal_weight") / limit)).cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("deal_rows"))
-    totals = totals.filter(F.col("deal_rows") >= least).select(*[F.col(k).alias(f"deal_{k}") for k in keys], "n_blocks")
-    on = None
-    for k in keys:
-        same = F.col(k) == F.col(f"deal_{k}")
-        on = same if on is None else on & same
-    rows = weighed.drop("deal_weight").join(totals, on).drop(*[f"deal_{k}" for k in keys])
+#: Blocks of a key of middling weight at most, and by how much they are smaller than the limit.
+SPREAD = 64
+SMALLER = 8
+
+
+def blocks(df: DataFrame, keys: list[str], weight, limit: int, folder: str, name: str, least: int = 1) -> DataFrame:
+    """(keys, n_blocks): in how many blocks each key's weight goes, none over ``limit``; keys of
+    middling weight go in up to ``SPREAD`` smaller ones, so that many tasks share them. Keys of
+    fewer than ``least`` rows are left out.
+
+    It is written, so that two plain tables meet where rows are joined with it on the key:
+    adaptive execution may then split a hot key's rows among tasks, which it may not beside an
+    aggregate."""
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.sum(weight) / limit), F.least(F.lit(SPREAD), F.ceil(F.sum(weight) / max(1, limit // SMALLER))))
+    totals = df.groupBy(*keys).agg(n_blocks.cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("deal_rows"))
+    return materialize(totals.filter(F.col("deal_rows") >= least).drop("deal_rows"), folder, f"blocks-{name}")
+
+
+def deal(rows: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Rows (with ``n_blocks`` of their key) with own block ``blk`` and block pair (``bi``, ``bj``),
+    several times where a key has several blocks; sorted by key and pair inside partitions."""
     rows = rows.withColumn("blk", F.pmod(F.xxhash64(unit), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     rows = rows.withColumns({"bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")}).drop("other")
@@ -112,32 +121,45 @@ def spanning(n: int, compare: Callable[[int, np.ndarray], np.ndarray], allowed:
 def least_reached(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """For every row the smallest id within reach of its links."""
     root = ids.copy()
-    while True:
-        least = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1))
-        if (least == root).all():
-            return root
-        root = least
+    unseen = np.ones(len(ids), bool)
+    for i in np.argsort(ids, kind="stable").tolist():
+        if not unseen[i]:
+            continue
+        unseen[i] = False
+        reached = [i]
+        for j in reached:  # grows while it is read
+            new = np.flatnonzero(linked[j] & unseen)
+            unseen[new] = False
+            root[new] = ids[i]
+            reached += new.tolist()
+    return root
+
 
+def _stars(edges: DataFrame, folder: str, name: str) -> DataFrame:
+    """One large-star and one small-star step on distinct edges (hi, lo) with hi > lo.
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on distinct edges (hi, lo) with hi > lo."""
+    What nodes hang on is written before it is joined: adaptive execution can then split the
+    edges of a hub among tasks, which it cannot beside an aggregate."""
     both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = edges.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct()
-    lowest = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), folder, f"{name}-least")
+    large = materialize(edges.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct(), folder, f"{name}-large")
+    lowest = materialize(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")), folder, f"{name}-lowest")
     pairs = large.join(lowest, F.col("hi") == F.col("u")).select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
     return pairs.select("e.hi", "e.lo").filter("hi > lo").distinct()
 
 
-def components(edges: DataFrame, folder: str, name: str = "cc") -> DataFrame:
-    """(id, component) of every end of the edges (a, b): the smallest id it can reach."""
+def components(edges: DataFrame, folder: str, name: str = "cc", most_rounds: int = 60) -> DataFrame:
+    """(id, component) of every end of the edges (a, b): the smallest id it can reach. Rounds grow
+    with the logarithm of the longest path; not to have settled after ``most_rounds`` raises."""
     current = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct()
     current = materialize(current, folder, f"{name}-0")
-    for step in range(1, 60):
-        current = materialize(_stars(current), folder, f"{name}-{step}")
+    for step in range(1, most_rounds + 1):
+        current = materialize(_stars(current, folder, f"{name}-{step}"), folder, f"{name}-{step}")
         # done when every node hangs on one root and no root hangs on another
         roots = current.groupBy("hi").agg(F.count(F.lit(1)).alias("n"))
         chained = current.join(roots.select(F.col("hi").alias("r")), F.col("lo") == F.col("r"), "left_semi").limit(1)
         if roots.filter("n > 1").select("hi").limit(1).unionByName(chained.select("hi")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return current.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(current.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())

@@ -6,11 +6,14 @@
    time; a pair is dropped as soon as the posterior probability (uniform prior) that its
    similarity reaches the threshold, given the matches so far, is below ``TOLERANCE``. What is
    left gives edges that span groups of likely neighbours.
-3. Inside each connected group all pairs are verified exactly on their whole shingle sets, by
-   counting common shingles in blocks of bounded size; links are summed per document, and the
-   verified links give the final groups. No pair of documents becomes a row.
+3. Inside each connected group the pairs are pruned in the same way, whichever band they met in
+   or none, and those that survive are verified exactly on their whole shingle sets, by counting
+   common shingles in blocks of bounded bytes; links are summed per document, and the verified
+   links give the final groups. No pair of documents becomes a row.
 
-A pair at the threshold is missed by all bands with probability (1 - 0.8^4)^24 = 3e-6.
+A pair at the threshold is missed by all bands with probability (1 - 0.8^4)^24 = 3e-6, and pruned
+with ``TOLERANCE`` at most. Shingles are compared by 64-bit hashes; words over 512 bytes enter by a
+cryptographic digest.
 
 Defined results: words are runs of anything but white space; a text of one to four words has
 one shingle, of all its words; a null text or one without words links with nothing and is its
@@ -41,10 +44,13 @@ BANDS = 24
 HASHES = ROWS_A_BAND * BANDS
 STEP = 16
 TOLERANCE = 1e-6
-#: Candidates compared in one task, and shingles verified in one task, at most (twice this for a pair of blocks).
+#: Candidates compared, and bytes and rows verified, in one block (a task holds a pair of blocks).
 BUCKET_BLOCK = 2048
-VERIFY_BLOCK = 2_000_000
+VERIFY_BLOCK = 4 << 20
 VERIFY_ROWS = 1024
+#: Rows of a block, and shingles, that are compared at once.
+STRIPE = 64
+COLUMNS = 2048
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -193,7 +199,7 @@ def _mates(limits: list[tuple[int, int]]):
     return work
 
 
-def common(value: np.ndarray, where: np.ndarray, n: int, columns: int = 4096) -> np.ndarray:
+def common(value: np.ndarray, where: np.ndarray, n: int, columns: int = COLUMNS) -> np.ndarray:
     """Numbers of common shingles of all pairs of ``n`` sets."""
     order = np.argsort(value, kind="stable")
     value, where = value[order], where[order]
@@ -211,27 +217,79 @@ def common(value: np.ndarray, where: np.ndarray, n: int, columns: int = 4096) ->
         rows, local = np.unique(where[lo:hi], return_inverse=True)
         block = np.zeros((len(rows), columns), np.float32)
         block[local, place[lo:hi] - k * columns] = 1
-        out[np.ix_(rows, rows)] += block @ block.T
+        for at in range(0, len(rows), 4 * STRIPE):
+            out[np.ix_(rows[at : at + 4 * STRIPE], rows)] += block[at : at + 4 * STRIPE] @ block.T
     return out
 
 
-def _verify(threshold: float):
+def survivors(sig: np.ndarray, limits: list[tuple[int, int]], side: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of rows survive the step-by-step comparison; with ``side``, of rows of two sides only."""
+    n = len(sig)
+    out = np.zeros((n, n), bool)
+    for lo in range(0, n, STRIPE):
+        mine = sig[lo : lo + STRIPE]
+        alive = np.ones((len(mine), n), bool) if side is None else side[lo : lo + STRIPE, None] != side[None, :]
+        alive[np.arange(len(mine)), np.arange(lo, lo + len(mine))] = False
+        columns = np.flatnonzero(alive.any(0))
+        matches, alive = np.zeros((len(mine), len(columns)), np.uint8), alive[:, columns]
+        for m, least in limits:
+            theirs = sig[columns]
+            for k in range(m - STEP, m):
+                matches += mine[:, k, None] == theirs[None, :, k]
+            alive &= matches >= least
+            left = alive.any(0)
+            if not left.all():
+                columns, matches, alive = columns[left], matches[:, left], alive[:, left]
+            if not len(columns):
+                break
+        out[lo : lo + STRIPE, columns] = alive
+    return out
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` slice by slice."""
+    values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for lo, hi in textkit.slices(offsets):
+        value, where = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        values.append(value)
+        owners.append((where + lo).astype(np.int32))
+    return np.concatenate(values), np.concatenate(owners)
+
+
+def verified_links(data: np.ndarray, offsets: np.ndarray, sig: np.ndarray, limits: list[tuple[int, int]], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of texts (with ``side``, of two sides) whose sets reach the threshold: the pruned
+    ones are left out, every other pair is settled by its common shingles."""
+    linked = survivors(sig, limits, side)
+    busy = np.flatnonzero(linked.any(1))
+    if not len(busy):
+        return linked
+    value, where = _sets(data, offsets)
+    size = np.bincount(where, minlength=len(sig)).astype(np.float64)[busy]
+    place = np.full(len(sig), -1, np.int32)
+    place[busy] = np.arange(len(busy))
+    wanted = place[where] >= 0
+    both = common(value[wanted], place[where[wanted]], len(busy))
+    for lo in range(0, len(busy), STRIPE):
+        part = both[lo : lo + STRIPE].astype(np.float64)
+        enough = (part >= threshold * (size[lo : lo + STRIPE, None] + size[None, :] - part) - 1e-9) & (part > 0)
+        linked[np.ix_(busy[lo : lo + STRIPE], busy)] &= enough
+    return linked
+
+
+def _verify(threshold: float, limits: list[tuple[int, int]]):
     def work(table: pa.Table) -> pa.RecordBatch | None:
         column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
         ids, comp, copies, blk, bi, bj, blocks = (column(c) for c in ("id", "component", "copies", "blk", "bi", "bj", "n_blocks"))
         bounds = groups.group_bounds([comp, bi, bj])
-        data, offsets = textkit.string_bytes(table.column("text").combine_chunks())
         links, label = np.zeros(len(ids), np.int64), ids.copy()
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            value, where = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            size = np.bincount(where, minlength=hi - lo).astype(np.float64)
-            both = common(value, where, hi - lo).astype(np.float64)
-            linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-            linked &= both > 0
-            np.fill_diagonal(linked, False)
-            if bi[lo] != bj[lo]:
-                linked &= blk[lo:hi, None] != blk[None, lo:hi]
-            links[lo:hi] = linked @ copies[lo:hi]
+            if hi - lo == 1:
+                continue
+            group = table.slice(lo, hi - lo)
+            data, offsets = textkit.string_bytes(group.column("text").combine_chunks())
+            linked = verified_links(data, offsets, _unpack(group.column("sig")), limits, threshold, blk[lo:hi] if bi[lo] != bj[lo] else None)
+            for at in range(0, hi - lo, STRIPE):
+                links[lo + at : min(lo + at + STRIPE, hi)] = linked[at : at + STRIPE] @ copies[lo:hi]
             label[lo:hi] = groups.least_reached(ids[lo:hi], linked)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(label), pa.array(blocks > 1)], names=[f.name for f in VERIFIED])
 
@@ -247,7 +305,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = df.sparkSession
     folder = workspace(spark, "jaccard")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    textkit.bound_batches(spark)
     documents = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(documents.mapInArrow(_sketch, SKETCH), folder, "sketch")
     classes = (
@@ -258,25 +316,27 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = materialize(classes, folder, "classes")
     some_nameless = not classes.filter("nameless").limit(1).isEmpty()
     spread = materialize(classes.select("id", "sig").mapInArrow(_band_rows, BUCKET), folder, "buckets")
-    full = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("bucket").alias("full"))
-    members = spread.join(full, F.col("bucket") == F.col("full")).select("bucket", "member")
-    members = members.join(classes.select("id", "sig"), F.col("member") == F.col("id")).select("bucket", "id", "sig")
+    full = groups.blocks(spread, ["bucket"], F.lit(1), BUCKET_BLOCK, folder, "buckets", least=2)
+    members = spread.join(full, "bucket").join(classes.select("id", "sig"), F.col("member") == F.col("id")).select("bucket", "n_blocks", "id", "sig")
     limits = least_matches(threshold)
-    edges = materialize(groups.scan(groups.deal(members, ["bucket"], "id", F.lit(1), BUCKET_BLOCK), ["bucket"], EDGE, _mates(limits)), folder, "edges")
+    edges = materialize(groups.scan(groups.deal(members, ["bucket"], "id"), ["bucket"], EDGE, _mates(limits)), folder, "edges")
     grouped = groups.components(edges, folder)
-    chosen = grouped.join(classes.select(F.col("id").alias("own"), "h1", "h2", "nameless", "copies", "n_shingles"), F.col("id") == F.col("own")).drop("own")
+    chosen = grouped.join(classes.select(F.col("id").alias("own"), "h1", "h2", "nameless", "copies", "sig"), F.col("id") == F.col("own")).drop("own")
     # the text of one row of each class: the first of the rows that carry its smallest doc_id
     chosen = materialize(chosen, folder, "chosen")
-    texts = documents.join(chosen.filter("not nameless").select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    # merged at every size: whether the ids fit a broadcast must not decide how this grows
+    texts = documents.join(chosen.filter("not nameless").select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
     if some_nameless:
         unnamed = documents.filter("doc_id is null and text is not null").select("text").mapInArrow(_digested, DIGESTED)
         unnamed = unnamed.groupBy("h1", "h2").agg(F.max("text").alias("text")).join(chosen.filter("nameless").select("h1", "h2", "id"), ["h1", "h2"])
         texts = texts.unionByName(unnamed.select(F.col("id").alias("doc_id"), "text"))
-    payload = texts.join(chosen, F.col("doc_id") == F.col("id")).select("component", "id", "copies", "n_shingles", "text")
-    weight = F.greatest("n_shingles", F.lit(VERIFY_BLOCK // VERIFY_ROWS))
-    verified = groups.scan(groups.deal(payload, ["component"], "id", weight, VERIFY_BLOCK), ["component"], VERIFIED, _verify(threshold), 512)
+    payload = texts.join(chosen, F.col("doc_id") == F.col("id")).select("component", "id", "copies", "sig", "text")
+    payload = materialize(payload, folder, "payload")  # read twice: for the blocks, and dealt into them
+    weight = F.greatest(F.octet_length("text"), F.lit(VERIFY_BLOCK // VERIFY_ROWS))
+    dealt = groups.deal(payload.join(groups.blocks(payload, ["component"], weight, VERIFY_BLOCK, folder, "verify"), "component"), ["component"], "id")
+    verified = groups.scan(dealt, ["component"], VERIFIED, _verify(threshold, limits), 512)
     verified = materialize(verified, folder, "verified")
     result = verified.groupBy("id").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
     across = verified.filter("split and id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))

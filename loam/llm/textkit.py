@@ -7,19 +7,34 @@ per word. A slice holds about ``SLICE_BYTES`` of text, more only where one docum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch, where the session says nothing else: Spark counts rows alone, and ten
+#: thousand long texts are more than a task should hold.
+BATCH_ROWS = 512
 #: White space of the contract: blank and the five control characters 9 to 13.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Words of more bytes get a cryptographic digest; for shorter ones no two strings that cancel
+#: out modulo 2^64 whatever the multiplier (Thue and Morse) fit.
+LONG_WORD = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for this session, unless it sets a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,26 +89,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        tables = []
-        for p in (_P, _P_INVERSE):
-            t = np.full(size, p, np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        _powers = tuple(tables)
-    return _powers
+@lru_cache(1)
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse; their size does not depend on any text."""
+    tables = []
+    for p in (_P, _P_INVERSE):
+        t = np.full(SLICE_BYTES + LONG_WORD + 1, p, np.uint64)
+        t[0] = 1
+        tables.append(np.multiply.accumulate(t))
+    return tables[0], tables[1]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every word, by differences of a running polynomial."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix64(value ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+    """A 64-bit hash of the bytes of every word, by differences of a running polynomial that
+    starts anew every ``SLICE_BYTES``."""
+    power, inverse = _power_tables()
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = int(np.searchsorted(starts, base + SLICE_BYTES, "left"))
+        first = starts[lo:hi] - base
+        last = np.minimum(ends[lo:hi] - base, first + LONG_WORD)
+        part = data[base : base + int(last.max())].astype(np.uint64)
+        part += np.uint64(1)
+        part *= power[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        value = (sums[last] - sums[first]) * inverse[first]
+        out[lo:hi] = mix64(value ^ ((last - first).astype(np.uint64) << np.uint64(48)))
+        lo = hi
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -209,7 +209,8 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
         pairs = np.unique(np.concatenate([*ends, np.array(out, np.int64).reshape(-1, 2)]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = groups.deal(spread, ["bucket"], "id", F.lit(1), BLOCK, least=2)
+    full = groups.blocks(spread, ["bucket"], F.lit(1), BLOCK, folder, f"buckets-{dim}", least=2)
+    dealt = groups.deal(spread.join(full, "bucket"), ["bucket"], "id")
     edges = materialize(groups.scan(dealt, ["bucket"], edge, mates), folder, f"edges-{dim}")
     grouped = groups.components(edges, folder, f"cc-{dim}")
     members = grouped.join(classes.select(F.col("id").alias("own_id"), "copies", "v"), F.col("id") == F.col("own_id")).select("component", "id", "copies", "v")
@@ -230,7 +231,9 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
             label[lo:hi] = groups.least_reached(ids[lo:hi], linked)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(label), pa.array(blocks > 1)], names=[f.name for f in counted])
 
-    verified = materialize(groups.scan(groups.deal(members, ["component"], "id", F.lit(1), BLOCK), ["component"], counted, count), folder, f"verified-{dim}")
+    members = materialize(members, folder, f"members-{dim}")
+    whole = groups.blocks(members, ["component"], F.lit(1), BLOCK, folder, f"verify-{dim}")
+    verified = materialize(groups.scan(groups.deal(members.join(whole, "component"), ["component"], "id"), ["component"], counted, count), folder, f"verified-{dim}")
     result = verified.groupBy("id").agg(F.sum("links").alias("links"), F.min("label").alias("component"))
     across = verified.filter("split and id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
     if across.isEmpty():

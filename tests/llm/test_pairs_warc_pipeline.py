@@ -117,6 +117,56 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert alive[:300].all() and not alive[300:].any()
 
 
+def test_pruning_of_a_block_is_that_of_its_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, (5, jaccard.HASHES), np.uint64).astype(np.uint32)
+    sig = np.where(rng.random((200, jaccard.HASHES)) < rng.random(200)[:, None], base[rng.integers(0, 5, 200)], rng.integers(0, 1 << 32, (200, jaccard.HASHES))).astype(np.uint32)
+    limits = jaccard.least_matches()
+    want = np.stack([jaccard._likely(one, sig, limits) for one in sig])
+    np.fill_diagonal(want, False)
+    assert want.any() and not want.all() and (jaccard.survivors(sig, limits) == want).all()
+    side = rng.integers(0, 2, 200)
+    assert (jaccard.survivors(sig, limits, side) == (want & (side[:, None] != side[None, :]))).all()
+
+
+def test_reach_is_that_of_the_links():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        linked = rng.random((40, 40)) < 0.02
+        linked |= linked.T
+        ids = rng.permutation(40)
+        want = ids.copy()
+        for _ in range(40):
+            want = np.minimum(want, np.where(linked, want[None, :], 99).min(1))
+        assert (groups.least_reached(ids, linked) == want).all()
+
+
+def test_long_words_and_far_words_hash_alike_anywhere():
+    import pyarrow as pa
+
+    ab = lambda x, y, n: x if n == 0 else ab(x, y, n - 1) + ab(y, x, n - 1)
+    long_, other = ab("a", "b", 11), ab("b", "a", 11)  # these cancel out in any polynomial modulo 2^64
+    texts = [f"{long_} x", "y " * 700_000 + long_ + " x", f"{other} z", "q" * (textkit.SLICE_BYTES + 5)]
+    data, offsets = textkit.string_bytes(pa.array(texts))
+    starts, ends, doc = textkit.word_bounds(data, offsets)
+    h = textkit.word_hashes(data, starts, ends)
+    assert h[0] == h[doc == 1][-2] and h[1] == h[-4] and len({int(h[0]), int(h[doc == 2][0]), int(h[doc == 3][0])}) == 3
+    assert len(set(h[doc == 1][:-2].tolist())) == 1
+
+
+def test_unsettled_components_raise(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        groups.components(chain, workspace(spark, "t"), most_rounds=1)
+
+
+def test_recall_of_pairs_on_a_larger_table(spark):
+    """Groups and links of all documents of sf0.01 that share a shingle with another, by brute force."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_groups(rows))
+
+
 def test_minhash_estimates_similarity():
     rng = random.Random(5)
     words = [f"w{k}" for k in range(3000)]
