@@ -10,7 +10,7 @@ documents are made side by side, chained per document, and traced back, so a ver
 costs no Python step per word and the path is the exact optimum.
 
 Learning takes at most ``PER_LANGUAGE`` labelled documents of each language, of at most
-``LONGEST`` characters, the smallest by hash of doc_id. Defined results: null text, or text
+``LONGEST`` characters, the smallest by hash of doc_id and text (repeated rows count once). Defined results: null text, or text
 with no letter, is ``und`` with score 0 and no spans; with nothing learned all is ``und``;
 ties go to the smaller language name. The score is the share of letters under the prediction.
 """
@@ -20,14 +20,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loam.llm import textkit
+from loam.llm import sampling, textkit
 
 PER_LANGUAGE = 400
 LONGEST = 20_000
@@ -48,11 +48,10 @@ SCRIPT_RANGES = [
     (0x0D80, "Other"), (0x0E00, "Thai"), (0x0E80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"),
     (0x1400, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "None"), (0x2C00, "Other"), (0x2E80, "Han"),
     (0x3000, "None"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"),
-    (0xFB00, "Other"), (0xFF00, "None"), (0xFF21, "Latin"), (0xFF5B, "None"), (0xFF66, "Kana"), (0x1F000, "None"), (0x20000, "Han"),
+    (0xFB00, "Other"), (0xFF00, "None"), (0xFF21, "Latin"), (0xFF5B, "None"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0xFFE0, "None"),
+    (0x10000, "Other"), (0x1AFF0, "Kana"), (0x1B170, "Other"), (0x1F000, "None"), (0x20000, "Han"), (0x33480, "None"),
 ]
 SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
-_STARTS = np.array([start for start, _ in SCRIPT_RANGES])
-_BIT = np.array([0 if name == "None" else 1 << SCRIPTS.index(name) for _, name in SCRIPT_RANGES], np.int64)
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -60,6 +59,18 @@ _LOWER[65:91] += 32
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+@lru_cache(1)
+def _point_bits() -> np.ndarray:
+    """The bit of the script of every code point; a letter outside all ranges has that of ``Other``."""
+    starts = np.array([start for start, _ in SCRIPT_RANGES])
+    bits = np.array([0, *(0 if name == "None" else 1 << SCRIPTS.index(name) for _, name in SCRIPT_RANGES)], np.int32)
+    out = bits[np.searchsorted(starts, np.arange(0x110000), "right")]
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    out[:0x300][~letter[:0x300]] = 0
+    out[letter & (out == 0)] = 1 << SCRIPTS.index("Other")
+    return out
+
+
 def script_bits(data: np.ndarray) -> np.ndarray:
     """For every byte the bit of its character's script; 0 where it is no letter."""
     latin = 1 << SCRIPTS.index("Latin")
@@ -70,8 +81,7 @@ def script_bits(data: np.ndarray) -> np.ndarray:
         b0, b1, b2, b3 = (padded[high + k] for k in range(4))
         n = np.where(b0 < 0xE0, 2, np.where(b0 < 0xF0, 3, 4))
         point = np.where(n == 2, (b0 & 31) << 6 | b1 & 63, np.where(n == 3, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63, (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63))
-        bit = _BIT[np.searchsorted(_STARTS, point, "right") - 1]
-        bit[(point < 0xC0) & (point != 0xAA) & (point != 0xB5) & (point != 0xBA) | (point == 0xD7) | (point == 0xF7)] = 0
+        bit = _point_bits()[np.minimum(point, 0x10FFFF)]
         for k in range(4):
             at = high[n > k] + k
             ok = at < len(data)
@@ -228,10 +238,8 @@ def label(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str
 
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from documents (doc_id, text, lang), all of which may be used."""
-    rows = documents.filter(f"lang is not null and text is not null and length(text) <= {LONGEST}").withColumn("h", F.xxhash64("doc_id", "text"))
-    window = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "doc_id", "h").withColumn("k", F.row_number().over(window)).filter(F.col("k") <= per_language).select("h").distinct()
-    return Model.fit(sorted((r.text, r.lang) for r in rows.join(F.broadcast(chosen), "h", "left_semi").select("text", "lang").collect()))
+    rows = documents.filter(f"lang is not null and text is not null and length(text) <= {LONGEST}").select("doc_id", "text", "lang")
+    return Model.fit(sorted((r.text, r.lang) for r in sampling.smallest(rows, ["doc_id", "text"], per_language, "lang").collect()))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -239,7 +247,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     df = df.drop(*(c for c in ("lang_pred", "score", "spans") if c != text))  # the results replace columns of their names
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    textkit.bound_batches(spark)
     kept = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
     most = textkit.SLICE_BYTES * 16 // max(16, len(model.languages) ** 2)
