@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm import textkit
+from loam.llm import sampling, textkit
 
 SAMPLE = 1500
 LONGEST = 30_000
@@ -155,12 +155,11 @@ def fit(rows: list[tuple[str, int]], seed: int = 7, epochs: int = EPOCHS) -> Mod
 
 def fit_from(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from documents (doc_id, text) and labels (doc_id, quality), all of which may be used."""
-    chosen = (
-        labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(f"text is not null and octet_length(text) <= {LONGEST}")
-    return fit(sorted((r.text, r.quality) for r in rows.limit(4 * sample).collect()))
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    chosen = F.broadcast(sampling.smallest(known, ["doc_id"], 2 * sample))  # twice, as some have no text that fits
+    rows = documents.select("doc_id", "text").join(chosen, "doc_id").filter(f"text is not null and octet_length(text) <= {LONGEST}")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return fit(sorted((r.text, r.quality) for r in rows.collect()))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -168,7 +167,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     df = df.drop(*(c for c in ("score", "predicted") if c != text))  # the results replace columns of their names
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    textkit.bound_batches(spark)
     kept = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
