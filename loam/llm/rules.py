@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm import sampling
+
 # Fixed values of the contract: white space, symbols, window of words, thresholds.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -238,13 +240,12 @@ def _all(tests: dict[Test, int], chosen: list[Test], start: int) -> int:
 
 
 def learn_from(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Learn from at most ``sample`` labelled documents, the smallest by hash of doc_id."""
-    chosen = (
-        labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    rows = with_statistics(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).drop("text")
-    return learn(rows.limit(4 * sample).collect())
+    """Learn from at most ``sample`` labelled documents, the smallest by hash of doc_id. Of clashing
+    labels, and of the texts of one doc_id, the smallest counts."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = F.broadcast(sampling.smallest(known, ["doc_id"], sample))
+    rows = documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    return learn(with_statistics(rows).drop("text").collect())
 
 
 def verdict(rules: list[Rule], of) -> Column:
