@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm import groups
+from loam.llm import groups, textkit
 from loam.llm.store import materialize, workspace
 
 COSINE = 0.93
@@ -125,7 +125,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
     spark = df.sparkSession
     folder = workspace(spark, "vectors")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    textkit.bound_batches(spark)
     element = df.schema["embedding"].dataType.elementType.simpleString()
     element = element if element in ("float", "double") else "double"
     rows = df.select("vec_id", "label", F.col("embedding").cast(f"array<{element}>").alias("v"))
@@ -133,7 +133,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     keys = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(1), "v", "label").alias("h2")]
     rows = rows.select("vec_id", "label", "sound", F.when(F.col("sound"), F.col("v")).alias("v"), *keys)
-    classes = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").cast("long").alias("label"), F.first("v").alias("v"))
+    classes = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     # scaled by a power of two, so that squares neither overflow nor vanish and no digit is lost
     top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
     classes = classes.withColumn("top", F.pow(F.lit(2.0), F.floor(F.log2(top)))).select("h1", "h2", "id", "copies", "label", F.transform("v", lambda x: (x.cast("double") / F.col("top")).cast(element)).alias("v"))
@@ -171,14 +171,14 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
             if not batch.num_rows:
                 continue
             ids, n = batch.column(0), batch.num_rows
-            salt = batch.column(1).to_numpy().astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            salt = batch.column(1).to_numpy().view(np.uint64)
             x = _unit(_matrix(batch.column(2), dim))
             raw = hasher.sketch(x).tobytes()
             sketch = pa.array([raw[k * BITS // 8 : (k + 1) * BITS // 8] for k in range(n)], pa.binary())
             for key, own in hasher.buckets(x, salt):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, pa.array(np.full(n, own)), sketch], names=[f.name for f in light])
 
-    spread = materialize(classes.select("id", "label", "v").mapInArrow(hashed, light), folder, f"buckets-{dim}")
+    spread = materialize(classes.select("id", F.xxhash64("label").alias("salt"), "v").mapInArrow(hashed, light), folder, f"buckets-{dim}")
     edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def mates(table: pa.Table) -> pa.RecordBatch | None:
@@ -213,17 +213,21 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
     dealt = groups.deal(spread.join(full, "bucket"), ["bucket"], "id")
     edges = materialize(groups.scan(dealt, ["bucket"], edge, mates), folder, f"edges-{dim}")
     grouped = groups.components(edges, folder, f"cc-{dim}")
-    members = grouped.join(classes.select(F.col("id").alias("own_id"), "copies", "v"), F.col("id") == F.col("own_id")).select("component", "id", "copies", "v")
+    members = grouped.join(classes.select(F.col("id").alias("own_id"), "copies", "v", F.hash("label").alias("salt"), F.xxhash64("label").alias("salt2")), F.col("id") == F.col("own_id")).select("component", "id", "copies", "v", "salt", "salt2")
     counted = T.StructType([T.StructField("id", T.LongType()), T.StructField("links", T.LongType()), T.StructField("label", T.LongType()), T.StructField("split", T.BooleanType())])
 
     def count(table: pa.Table) -> pa.RecordBatch | None:
         column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
         ids, comp, copies, blk, bi, bj, blocks = (column(c) for c in ("id", "component", "copies", "blk", "bi", "bj", "n_blocks"))
         bounds = groups.group_bounds([comp, bi, bj])
+        salt, salt2 = column("salt"), column("salt2")
         x = _unit(_matrix(table.column("v"), dim))
         links, label = np.zeros(len(ids), np.int64), ids.copy()
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             linked = x[lo:hi] @ x[lo:hi].T >= cosine
+            for of in (salt, salt2):  # labels that met by the hash of a bucket
+                if (of[lo:hi] != of[lo]).any():
+                    linked &= of[lo:hi, None] == of[None, lo:hi]
             np.fill_diagonal(linked, False)
             if bi[lo] != bj[lo]:
                 linked &= blk[lo:hi, None] != blk[None, lo:hi]
