@@ -33,6 +33,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm import textkit
 from loam.llm.store import materialize, workspace
 
 #: Payload bytes after which a task begins its next archive.
@@ -128,8 +129,13 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
         del held[:end]
 
 
+def _located(uri: str) -> tuple[arrow_fs.FileSystem, str]:
+    """File system and path of a URI as Spark writes it."""
+    return arrow_fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def _place(folder: str) -> tuple[arrow_fs.FileSystem, str]:
-    system, path = arrow_fs.FileSystem.from_uri(folder)
+    system, path = _located(folder)
     system.create_dir(path, recursive=True)
     return system, path
 
@@ -168,7 +174,7 @@ def _normaliser(folder: str):
         system, path = _place(folder)
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                source, at = arrow_fs.FileSystem.from_uri(archive)
+                source, at = _located(archive)
                 name = f"{uuid.uuid4().hex}.warc.gz"
                 offset = n = 0
                 with (
@@ -204,7 +210,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for archive in batch.column(0).to_pylist():
-            source, at = arrow_fs.FileSystem.from_uri(archive)
+            source, at = _located(archive)
             rows: list[tuple] = []
             with source.open_input_stream(f"{at}.idx", compression=None) as f:
                 index = f.read().decode().splitlines()
@@ -245,14 +251,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         rows = keyed.join(revisits, (F.col("page_id") == F.col("revisit_id")) & (F.col("payload_digest") == F.col("d")), "left").select("page_id", "url", "html", "refers_to")
     else:
         rows = rows.withColumn("refers_to", F.lit(None).cast("long"))
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    textkit.bound_batches(pages.sparkSession)
     return materialize(rows.mapInArrow(_writer(f"{folder}/monolithic"), "archive string, n_records long"), folder, "written")
 
 
 def _apart(archives: DataFrame, keep: str = "archive") -> DataFrame:
-    """Archives dealt over tasks by name."""
+    """Archives dealt over tasks, as many to each: by ranges of their names, which are random."""
     parts = max(1, min(10_000, archives.count()))
-    return archives.select(keep).repartition(parts, keep)
+    return archives.select(keep).repartitionByRange(parts, keep)
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
