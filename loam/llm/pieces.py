@@ -2,29 +2,43 @@
 
 ``Normalizer`` replays the model's normalisation: at each place the longest prefix found in
 the compiled character map is replaced, any other character is copied, then white space is
-escaped. It records for every normalised byte the source byte that it came from. The library
-segments. The pieces' lengths in normalised bytes, summed up, point into that alignment and
-give the source span of each piece. The lengths must add up to the normalised text, which is
-checked for every document.
-
-Defined results: null and empty text give the end id alone, with an empty span; decoding gives
-back what the library's ``decode`` gives. Other columns pass through. Memory is bounded by a
-batch of ``ROWS`` documents.
+escaped. It records for every normalised byte the source byte that it came from. ``Segmenter``
+merges the normalised text by the model's pieces, best score first and leftmost among equals;
+what no piece holds becomes byte pieces. The pieces' lengths in normalised bytes, summed up, point
+into the alignment and give the source span of each piece. The lengths must add up to the
+normalised text, which is checked for every document. Decoding joins the pieces' bytes.
+
+Where no piece of the model goes on past the blank that ends a word, words are merged apart,
+and the pieces of up to ``REMEMBERED`` short words are kept at hand. The library is not called: it
+is what the tests hold ids and decoded texts against.
+
+Defined results: null and empty text give the end id alone, with an empty span; a model must be of
+the BPE kind with byte pieces, and without pieces of its user (any other raises). Other columns
+pass through. Memory is bounded by a batch and the longest text.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SPACE = "▁".encode()
-ROWS = 256
+from loam.llm import textkit
+
+BLANK = "▁"
+SPACE = BLANK.encode()
+REMEMBERED = 200_000
+#: Words of more characters are not kept at hand, and are merged with a heap.
+SHORT = 40
+# Fixed values of the format: the kinds of pieces, and of models.
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+BPE = 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -150,37 +164,129 @@ class Normalizer:
         return b"".join(text for text, _, _ in out), np.concatenate([*align, [len(data)]]).astype(np.int32)
 
 
-class Encoder:
-    def __init__(self, model_path: str):
-        import sentencepiece
+class Segmenter:
+    """Byte-pair merges of normalised text by the scores of a model's pieces."""
+
+    def __init__(self, pieces: list[tuple[bytes, float, int]]):
+        self.ids, self.score, self.byte = {}, {}, {}
+        for k, (piece, score, kind) in enumerate(pieces):
+            if kind == NORMAL:
+                self.ids[piece.decode()], self.score[piece.decode()] = k, score
+            elif kind == BYTE:
+                self.byte[int(piece[1:-1], 16)] = k
+            elif kind not in (UNKNOWN, CONTROL):
+                raise ValueError(f"pieces of kind {kind} are not supported")
+        if len(self.byte) != 256:
+            raise ValueError("the model has no byte pieces")
+        apart = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
+        self.words = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if apart else r"(?s:.+)").findall
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, text: str) -> list[int]:
+        out: list[int] = []
+        known = self.known
+        for word in self.words(text):
+            found = known.get(word)
+            if found is None:
+                found = self.merged(word)
+                if len(word) <= SHORT:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = found
+            out += found
+        return out
+
+    def merged(self, word: str) -> list[int]:
+        parts = self._few(list(word)) if len(word) <= SHORT else self._many(list(word))
+        out = []
+        for part in parts:
+            k = self.ids.get(part)
+            out += [k] if k is not None else [self.byte[b] for b in part.encode()]
+        return out
+
+    def _few(self, parts: list[str]) -> list[str]:
+        while len(parts) > 1:
+            best, at = None, 0
+            for k in range(len(parts) - 1):
+                score = self.score.get(parts[k] + parts[k + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, k
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _many(self, parts: list[str]) -> list[str]:
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(k: int) -> tuple[float, int, str] | None:
+            whole = parts[k] + parts[after[k]]
+            score = self.score.get(whole)
+            return None if score is None else (-score, k, whole)
+
+        heap = [x for k in range(n - 1) if (x := pair(k))]
+        heapify(heap)
+        while heap:
+            _, k, whole = heappop(heap)
+            if not parts[k] or after[k] == n or parts[k] + parts[after[k]] != whole:
+                continue  # one of the two has been merged since
+            gone = after[k]
+            parts[k], parts[gone] = whole, ""
+            after[k] = after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+                if x := pair(k):
+                    heappush(heap, x)
+            if before[k] >= 0 and (x := pair(before[k])):
+                heappush(heap, x)
+        return [p for p in parts if p]
+
 
-        with open(model_path, "rb") as f:
-            model = f.read()
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+class Encoder:
+    def __init__(self, model: bytes):
         self.normalizer = Normalizer.of(model)
-        lengths = []
+        pieces, trainer = [], {}
         for field, value in _fields(model):
             if field == 1:
                 piece = dict(_fields(value))
-                kind = piece.get(3, 1)  # 1 normal, 2 unknown, 3 control, 6 byte
-                lengths.append({2: -1, 3: 0, 6: 1}.get(kind, len(piece.get(1, b""))))
-        self.lengths = np.array(lengths, np.int64)
+                score = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
+                pieces.append((piece.get(1, b""), score, piece.get(3, NORMAL)))
+            elif field == 2:
+                trainer |= dict(_fields(value))
+        if trainer.get(3, 1) != BPE:
+            raise ValueError("the model is of another kind than BPE")
+        self.segment = Segmenter(pieces)
+        self.end = next(k for k, (p, _, kind) in enumerate(pieces) if kind == CONTROL and p == trainer.get(47, b"</s>"))
+        self.lengths = np.array([{NORMAL: len(p), BYTE: 1}.get(kind, 0) for p, _, kind in pieces], np.int64)
+        self.surface = [{NORMAL: p.replace(SPACE, b" "), BYTE: bytes([int(p[1:-1], 16)]) if kind == BYTE else b"", UNKNOWN: " \u2047 ".encode()}.get(kind, b"") for p, _, kind in pieces]
         n = self.normalizer
         self.plain = n.units is None and n.dummy_prefix and n.escape and not n.remove_extra and not n.suffix
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """All ids (an end id closes each text), the texts' n + 1 offsets into them, the source
         bytes [begin, end) of each id, and the decoded texts."""
-        found = self.library.encode(texts, add_eos=True, num_threads=1)
-        decoded = self.library.decode(found) if texts else []
+        if self.plain:
+            normal = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+        else:
+            both = [self.normalizer(t.encode()) for t in texts]
+            normal = [x.decode() for x, _ in both]
+        found = [self.segment(t) + [self.end] for t in normal]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
-        if self.plain and len(ids) and (self.lengths[ids] >= 0).all():
+        ids = np.array([k for x in found for k in x], np.int32)
+        if self.plain:
             begins, ends = self._plain_spans(texts, ids, offsets)
         else:
-            spans = [self.spans(t, ids[lo:hi]) for t, lo, hi in zip(texts, offsets, offsets[1:], strict=False)]
+            spans = [self.spans(*pair, ids[lo:hi]) for pair, lo, hi in zip(both, offsets, offsets[1:], strict=False)]
             begins, ends = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in spans)]) for k in (0, 1))
-        return ids, offsets.astype(np.int32), begins.astype(np.int32), ends.astype(np.int32), decoded
+        return ids, offsets.astype(np.int32), begins.astype(np.int32), ends.astype(np.int32), [self.decode(x) for x in found]
+
+    def decode(self, ids: list[int]) -> str:
+        whole = b"".join(map(self.surface.__getitem__, ids))
+        n = self.normalizer
+        if (n.dummy_prefix or n.remove_extra) and not n.suffix and ids and self.surface[ids[0]].startswith(b" "):
+            whole = whole[1:]  # the blank that the model puts first
+        return whole.decode(errors="replace")
 
     def _plain_spans(self, texts: list[str], ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``spans`` of many texts at once where the character map is empty."""
@@ -197,13 +303,9 @@ class Encoder:
         shift = np.repeat(limits[:-1], np.diff(offsets))
         return align[ends - self.lengths[ids]] - shift, align[ends] - shift
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Source bytes [begin, end) of each id."""
-        normal, align = self.normalizer(text.encode())
+    def spans(self, normal: bytes, align: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Source bytes [begin, end) of each id, from the normalised text and its alignment."""
         width = self.lengths[ids]
-        if (width < 0).any():  # unknown pieces have no length of their own
-            found = self.library.encode(text, out_type="immutable_proto").pieces
-            width = np.array([len(p.piece.encode()) if self.lengths[p.id] else 0 for p in found] + [0] * (len(ids) - len(found)))
         ends = np.cumsum(width)
         if len(ids) and ends[-1] != len(normal):
             raise ValueError(f"the pieces hold {ends[-1]} bytes, the normalised text {len(normal)}")
@@ -212,7 +314,8 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(model_path: str) -> Encoder:
-    return Encoder(model_path)
+    with open(model_path, "rb") as f:
+        return Encoder(f.read())
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -223,7 +326,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     carried = [f for f in df.schema.fields if f.name != text]
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([*carried, T.StructField("ids", ints), T.StructField("begins", ints), T.StructField("ends", ints), T.StructField("decoded", T.StringType())])
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    textkit.bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path)
