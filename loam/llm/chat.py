@@ -1,10 +1,13 @@
 """Chat formatting as a relational plan: collect, sort, merge and concatenate in Spark expressions.
 
 Template: ``<|turn|>role<|text|>first<|also|>second<|end|>`` per group of adjacent turns with
-one role, so a merged group still says where each of its turns began. Loss falls on the texts
-of assistant groups, and on no control string. Control strings inside a role or text get a
-backslash behind their first character, one more than they have; taking one away restores the
-text exactly.
+one role, so a merged group still says where each of its turns began. Control strings inside a
+role or text get a backslash behind their first character, one more than they have; taking one away
+restores the text exactly.
+
+The loss mask is a list of spans of the formatted text, one for each assistant text, in code
+points and in bytes; it touches no control string. Offsets are running sums made by doubling, so
+a conversation of n turns takes n log n steps.
 
 Defined results: null text or role is empty; a null conversation id is a conversation of its
 own; turns sort by turn number (null first), then role, then text, and repeated rows all stay;
@@ -13,6 +16,8 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,23 +35,54 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*)({CONTROL})", "$1$2$3")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _added(step: int) -> Callable[[Column], Column]:
+    return lambda a: F.when(F.size(a) > step, F.transform(a, lambda x, i: F.when(i >= step, x + F.get(a, i - step)).otherwise(x))).otherwise(a)
+
+
+def running(sizes: Column) -> Column:
+    """Running sums of an array: each step adds what stands 1, 2, 4, .. places before."""
+    for k in range(31):  # as many as an array may need; the steps beyond its length do nothing
+        sizes = _let(sizes, _added(1 << k))
+    return sizes
+
+
 def format_conversations(df: DataFrame) -> DataFrame:
-    """(conv_id, formatted), one row a conversation, from rows (conv_id, turn, role, text)."""
-    turn = F.struct(
-        F.col("turn").alias("turn"),
-        escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-        escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-    )
+    """(conv_id, formatted, loss), one row a conversation, from rows (conv_id, turn, role, text);
+    ``loss``: spans (begin, end, byte_begin, byte_end) of ``formatted`` that carry loss."""
+    turn = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     turns = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     roles = F.transform("turns", lambda t: t.role)
     previous = F.concat(F.array(F.lit(None).cast("string")), F.slice(roles, 1, F.size(roles) - 1))
 
     def piece(t: Column, before: Column) -> Column:
-        opened = F.concat(F.lit(TURN), t.role, F.lit(TEXT))
-        return F.concat(F.when(before.isNull(), opened).when(before == t.role, F.lit(ALSO)).otherwise(F.concat(F.lit(END), opened)), t.text)
-
-    formatted = F.concat(F.array_join(F.zip_with("turns", previous, piece), ""), F.lit(END))
-    return turns.select("conv_id", formatted.alias("formatted"))
+        opened = F.concat(F.lit(TURN), escape(t.role), F.lit(TEXT))
+        lead = F.when(before.isNull(), opened).when(before == t.role, F.lit(ALSO)).otherwise(F.concat(F.lit(END), opened))
+        return F.struct(lead.alias("lead"), escape(t.text).alias("said"), (t.role == ASSISTANT).alias("loss"))
+
+    pieces = turns.select("conv_id", F.zip_with("turns", previous, piece).alias("pieces"))
+    ends = lambda size: running(F.transform("pieces", lambda p: (size(p.lead) + size(p.said)).cast("int")))
+    placed = pieces.select("conv_id", "pieces", ends(F.length).alias("ends"), ends(F.octet_length).alias("byte_ends"))
+    spans = F.transform(
+        F.arrays_zip("pieces", "ends", "byte_ends"),
+        lambda z: F.struct(
+            (z.ends - F.length(z.pieces.said)).alias("begin"), z.ends.alias("end"),
+            (z.byte_ends - F.octet_length(z.pieces.said)).alias("byte_begin"), z.byte_ends.alias("byte_end"), z.pieces.loss.alias("loss"),
+        ),
+    )
+    loss = F.transform(F.filter(spans, lambda s: s.loss), lambda s: s.dropFields("loss"))
+    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p.lead, p.said)), ""), F.lit(END))
+    return placed.select("conv_id", formatted.alias("formatted"), loss.alias("loss"))
+
+
+def loss_texts(formatted: Column, loss: Column) -> Column:
+    """The texts under the loss mask, cut from the formatted text and unescaped."""
+    cut = lambda s: F.substring(formatted.cast("binary"), s.byte_begin + 1, s.byte_end - s.byte_begin)
+    return F.transform(loss, lambda s: unescape(cut(s).cast("string")))
 
 
 def parse(formatted: Column) -> Column:
@@ -63,11 +99,13 @@ def parse(formatted: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted conversations hold, taken from the output alone."""
-    read = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("groups"))
+    """Digests of what the formatted conversations hold, taken from text and mask alone."""
+    read = formatted.select(
+        "conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("groups"),
+        F.array_join(loss_texts(F.col("formatted"), F.col("loss")), "").alias("loss"), F.size("loss").cast("long").alias("n_loss_spans"),
+    )
     each = F.flatten(F.transform("groups", lambda g: F.transform(g.texts, lambda t: F.concat(g.role, F.lit("\n"), t, F.lit("\n")))))
-    loss = F.array_join(F.flatten(F.transform(F.filter("groups", lambda g: g.role == ASSISTANT), lambda g: g.texts)), "")
-    read = read.select("conv_id", "formatted_chars", each.alias("turns"), loss.alias("loss"), F.size("groups").cast("long").alias("n_groups"))
+    read = read.select("conv_id", "formatted_chars", each.alias("turns"), "loss", "n_loss_spans", F.size("groups").cast("long").alias("n_groups"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -76,4 +114,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
         "n_groups",
+        "n_loss_spans",
     )

@@ -2,26 +2,31 @@
 
 Base spans are the leftmost non-overlapping matches of one pattern a kind with its test
 (octets, Luhn, digit counts); each scanner is linear in the text. The model reads windows of
-tokens around digits and ``@``. A segment of up to ``ENTITY_TOKENS`` tokens is scored as a
-whole: its length, digit groups, character classes, checks (Luhn, octets) and its neighbours.
-Dynamic programming over segments and types finds the best labelling of a window, boundaries
-and types jointly; forward-backward over the same lattice gives the gradient in training.
+tokens around those digits and ``@`` that no base span holds. A segment of up to
+``ENTITY_TOKENS`` tokens is scored as a whole: its length, digit groups, character classes, checks
+(Luhn, octets) and its neighbours. Dynamic programming over segments and types finds the best
+labelling of a window, boundaries and types jointly; forward-backward over the same lattice gives
+the gradient in training.
 
 Training needs no labels: entities of each kind and look-alikes (versions, years, counts) are
-generated from a seed and put between words of a bounded sample of documents (``CARRIERS``).
-Added spans never touch a base span. Added kind ``secret``: keys, tokens and passwords.
+generated from a seed and put between words of a bounded sample of documents: the first
+``CARRIER_CHARS`` characters of the ``CARRIERS`` documents with the smallest hashes.
+Segments that touch a base span are no candidates. Added kind ``secret``: keys and tokens.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive;
-other columns pass through; an empty table gives no rows. Whole texts are read; memory is
-bounded by a batch and the longest text.
+other columns pass through; an empty table gives no rows. Whole texts are read, in time that is
+linear in a text and its spans; memory is bounded by a batch and the longest text.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm import textkit
+from loam.llm import sampling, textkit
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 ENTITY_TOKENS = 14
-CONTEXT = 4
+#: Characters that a window takes in on either side of a digit or ``@``.
+REACH = 80
+#: Candidates hold an ``@``, so many digits, or a run of letters and digits so long.
+LEAST_DIGITS, MOST_DIGITS, LONG_TOKEN = 7, 80, 12
 CARRIERS = 200
-EXAMPLES = 360
+CARRIER_CHARS = 2000
+EXAMPLES = 700
 EPOCHS = 5
 
 # Fixed values of the contract: the base patterns, from their rarest character on.
@@ -48,6 +57,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), 64]] = True
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+_REST = re.compile(r"[^\W_]*")
 
 
 def luhn(digits: str) -> bool:
@@ -156,7 +166,7 @@ def segment_features(text: str, begin: int, end: int, tokens: int) -> list[str]:
     if n and letters and plain.isalnum() and tokens == 1:
         changes = sum(a.isdigit() != b.isdigit() for a, b in zip(plain, plain[1:], strict=False))
         out.append(f"mixed{min(changes // 3, 3)}")
-        if all(c in "0123456789abcdef" for c in plain):
+        if all(c in "0123456789abcdef" for c in plain.lower()):
             out.append("hex")
         if plain.isupper():
             out.append("capitals")
@@ -171,88 +181,118 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((len(KINDS), 0)))
     change: np.ndarray = field(default_factory=lambda: np.zeros((len(KINDS) + 1, len(KINDS) + 1)))
 
-    def lattice(self, text: str, window: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-        """Candidate segments (first token, one past the last, feature ids): they hold a digit
-        or ``@``, cross no line and begin and end like an entity."""
-        out = []
-        for i, (b, _) in enumerate(window):
-            c = text[b]
-            if not (c.isalnum() or c in "+("):
+    def segments(self, text: str, window: np.ndarray, free=lambda b, e: True) -> Iterator[tuple[int, list[tuple[int, list[int]]]]]:
+        """For each token that may begin an entity: (one past the last token, feature ids) of the
+        candidates. They hold an ``@``, digits of an entity's number or a long run of letters and
+        digits, cross no line, begin and end like an entity and are ``free``."""
+        begins, ends = (array("i", window[:, k].tobytes()) for k in (0, 1))
+        hot = [text[b] == "@" or any("0" <= x <= "9" for x in text[b:e]) for b, e in zip(begins, ends, strict=True)]
+        n, ahead = len(begins), -1
+        for i in range(n):
+            ahead = max(ahead, i)
+            while ahead < n and not hot[ahead]:
+                ahead += 1
+            if ahead >= i + ENTITY_TOKENS or ahead == n:
                 continue
-            seen = False
-            for j in range(i, min(i + ENTITY_TOKENS, len(window))):
-                tb, te = window[j]
-                if j > i and (tb - window[j - 1][1] > 1 or text[window[j - 1][1] : tb] in ("\n", "\r", "\t")):
+            b = begins[i]
+            if not (text[b].isalnum() or text[b] in "+("):
+                continue
+            out, at, digits, longest = [], False, 0, 0
+            for j in range(i, min(i + ENTITY_TOKENS, n)):
+                tb, te = begins[j], ends[j]
+                if j > i and (tb - ends[j - 1] > 1 or text[ends[j - 1] : tb] in ("\n", "\r", "\t")):
+                    break
+                if hot[j]:
+                    at = at or text[tb] == "@"
+                    digits += sum("0" <= x <= "9" for x in text[tb:te])
+                    longest = max(longest, te - tb)
+                if digits > MOST_DIGITS or not free(b, te):
                     break
-                seen = seen or text[tb] == "@" or any("0" <= x <= "9" for x in text[tb:te])
-                if seen and text[te - 1].isalnum():
+                if (at or digits >= LEAST_DIGITS or longest >= LONG_TOKEN) and text[te - 1].isalnum():
                     names = segment_features(text, b, te, j - i + 1)
-                    out.append((i, j + 1, [k for x in names if (k := self.names.get(x)) is not None]))
-        return out
+                    out.append((j + 1, [k for x in names if (k := self.names.get(x)) is not None]))
+            if out:
+                yield i, out
 
-    def best(self, text: str, window: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        """The entities of the best labelling of a window."""
-        segments = self.lattice(text, window)
-        if not segments:
-            return []
-        none = len(KINDS)
-        value = np.full((len(window) + 1, none + 1), -np.inf)
+    def lattice(self, text: str, window: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        return [(i, j, ids) for i, found in self.segments(text, window) for j, ids in found]
+
+    def best(self, text: str, window: np.ndarray, free=lambda b, e: True) -> list[tuple[str, int, int]]:
+        """The entities of the best labelling of a window.
+
+        Scores are kept for the last ``ENTITY_TOKENS`` places only; what stays of each place is
+        where its best labelling comes from, some bytes a token."""
+        n, none, span = len(window), len(KINDS), ENTITY_TOKENS + 1
+        value = np.full((span, none + 1), -np.inf)  # of place j in row j modulo the span
         value[0, none] = 0
-        back: list[list[tuple[int, int] | None]] = [[None] * (none + 1) for _ in range(len(window) + 1)]
-        ending: dict[int, list] = {}
-        for i, j, ids in segments:
-            ending.setdefault(j, []).append((i, self.weights[:, ids].sum(1)))
-        for j in range(1, len(window) + 1):
-            reach = value[j - 1] + self.change[:, none]
-            value[j, none], back[j][none] = reach.max(), (j - 1, int(reach.argmax()))
-            for i, score in ending.get(j, ()):
-                reach = value[i][:, None] + self.change[:, :none]
-                top, total = reach.argmax(0), reach.max(0) + score
-                for kind in np.flatnonzero(total > value[j, :none]):
-                    value[j, kind], back[j][kind] = total[kind], (i, int(top[kind]))
-        found, j, state = [], len(window), int(value[-1].argmax())
+        steps, froms = np.ones((n + 1, none + 1), np.uint8), np.full((n + 1, none + 1), none, np.uint8)
+        found = self.segments(text, window, free)
+        start, here = next(found, (n, []))
+        if start == n:
+            return []
+        for i in range(n):
+            now = value[i % span]
+            reach = now + self.change[:, none]
+            after = value[(i + 1) % span]
+            if (total := reach.max()) > after[none]:
+                after[none], steps[i + 1, none], froms[i + 1, none] = total, 1, reach.argmax()
+            if start == i:
+                moved = now[:, None] + self.change[:, :none]
+                top, reach = moved.argmax(0), moved.max(0)
+                for j, ids in here:
+                    total, later = reach + self.weights[:, ids].sum(1), value[j % span]
+                    for kind in np.flatnonzero(total > later[:none]).tolist():
+                        later[kind], steps[j, kind], froms[j, kind] = total[kind], j - i, top[kind]
+                start, here = next(found, (n, []))
+            now[:] = -np.inf
+        out, j, state = [], n, int(value[n % span].argmax())
         while j:
-            i, before = back[j][state]
+            i = j - int(steps[j, state])
             if state != none:
-                found.append((KINDS[state], window[i][0], window[j - 1][1]))
-            j, state = i, before
-        return found[::-1]
-
-
-def windows(text: str, spots: list[int]) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens with a context of ``CONTEXT`` tokens around the given places."""
-    done = -1
-    merged: list[list[int]] = []
-    for at in spots:
-        lo, hi = max(0, at - 80), min(len(text), at + 80)
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = hi
-        else:
-            merged.append([lo, hi])
-    for lo, hi in merged:
-        while lo > 0 and not text[lo - 1].isspace() and lo > done + 1:
+                out.append((KINDS[state], int(window[i][0]), int(window[j - 1][1])))
+            j, state = i, int(froms[j, state])
+        return out[::-1]
+
+
+def windows(text: str, spots: list[int]) -> Iterator[np.ndarray]:
+    """Tokens (begin, end) of disjoint stretches of ``text`` around the given places, in order."""
+    done, k = 0, 0
+    while k < len(spots):
+        lo, hi = max(done, spots[k] - REACH), min(len(text), spots[k] + REACH)
+        while lo > done and text[lo - 1].isalnum() and text[lo].isalnum():
             lo -= 1
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
+        while True:
+            while k < len(spots) and spots[k] - REACH <= hi:
+                hi = max(hi, min(len(text), spots[k] + REACH))
+                k += 1
+            if hi < len(text) and text[hi - 1].isalnum():
+                hi = _REST.match(text, hi).end()
+            if k == len(spots) or spots[k] - REACH > hi:
+                break
         done = hi
-        tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-        hot = [k for k, (b, e) in enumerate(tokens) if text[b] == "@" or any("0" <= x <= "9" for x in text[b:e])]
-        run: list[int] = []
-        for k in [*hot, None]:
-            if run and (k is None or k - run[-1] > 2 * CONTEXT + ENTITY_TOKENS):
-                yield tokens[max(0, run[0] - CONTEXT - ENTITY_TOKENS // 2) : run[-1] + 1 + CONTEXT + ENTITY_TOKENS // 2]
-                run = []
-            if k is not None:
-                run.append(k)
+        flat = array("i", chain.from_iterable(m.span() for m in _TOKEN.finditer(text, lo, hi)))
+        if flat:
+            yield np.frombuffer(flat, np.int32).reshape(-1, 2)
 
 
 def added_spans(model: Model, text: str, base: list[tuple[str, int, int]], spots: list[int]) -> list[tuple[str, int, int]]:
-    taken = sorted((b, e) for _, b, e in base)
-    out = []
-    for window in windows(text, spots):
-        for kind, b, e in model.best(text, window):
-            if not any(x < e and b < y for x, y in taken):
-                out.append((kind, b, e))
+    """Spans of the model that touch no base span."""
+    begins: list[int] = []  # the base spans as disjoint stretches
+    ends: list[int] = []
+    for b, e in sorted((b, e) for _, b, e in base):
+        if ends and b < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(b)
+            ends.append(e)
+
+    def free(b: int, e: int) -> bool:
+        k = bisect_right(begins, e - 1) - 1
+        return k < 0 or ends[k] <= b
+
+    if begins:
+        spots = [at for at in spots if free(at, at + 1)]
+    out = [found for window in windows(text, spots) for found in model.best(text, window, free)]
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -276,9 +316,14 @@ def _entity(rng: random.Random, kind: str) -> tuple[str, str, str]:
         a, b, c = number(3), number(3), number(4)
         return "", rng.choice([f"+1 ({a}) {b}-{c}", f"+{rng.randint(2, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"+{rng.randint(20, 99)}{a}{b}{c}"]), ""
     if kind == "secret":
+        if rng.random() < 0.25:  # keys with the mark of who gave them out
+            mixed = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(20, 36))) + rng.choice("0123456789") + rng.choice("abcdef")
+            return "", rng.choice(["ghp_", "sk-", "pk_live_", "xoxb-", ""]) + mixed, ""
         hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + rng.choice("0123456789") + rng.choice("abcdef")
         capital = rng.choice(["AKIA", "ASIA", ""]) + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(14)) + rng.choice("234567") + rng.choice("ABCDEF")
         name = rng.choice(["password", "token", "secret", "key", "api_key", "pwd"])
+        if rng.random() < 0.15:
+            hexes = lambda n, lower=hexes: lower(n).upper()
         return rng.choice([("", capital, ""), (f"{name}=", hexes(rng.choice([16, 18, 20, 24])), ""), (f'{name} = "', hexes(rng.choice([32, 40, 64])), '"'), (f"{name}: ", hexes(32), "")])
     if rng.random() < 0.3:  # as many digits as a card, but the check digit is wrong
         digits = number(rng.choice([13, 14, 15, 16, 16, 16, 17, 18, 19]))
@@ -290,6 +335,10 @@ def _entity(rng: random.Random, kind: str) -> tuple[str, str, str]:
             f"{rng.randint(1, 9)},{number(3)}", f"{rng.randint(1, 99)} {rng.randint(1, 99)}", f"{word(3, 6)}{rng.randint(1, 99)}", f"{rng.randint(2000, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
             f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", f"{rng.randint(256, 999)}.{number(3)}.{rng.randint(300, 999)}.{number(2)}", f"@{word(4, 9)}", f"{rng.randint(10, 99)}%",
             number(rng.randint(5, 8)), number(rng.randint(20, 30)), f"{rng.randint(1, 23)}:{rng.randint(10, 59)}",
+            rng.choice([" ", ", ", ",", "; "]).join(str(rng.randint(0, rng.choice([9, 99, 999]))) for _ in range(rng.randint(5, 12))),
+            ",".join(f'{{"{word(1, 5)}":{rng.randint(0, 999)},"{word(1, 3)}":{rng.randint(0, 99999)}}}' for _ in range(rng.randint(1, 3))),
+            f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}",
+            f"{word(1, 4)}={rng.randint(0, 9999)}&{word(1, 4)}={rng.randint(0, 9999)}", f"{word(10, 16)}{rng.randint(1, 99)}",
         ]
     )
     return "", decoy, ""
@@ -382,12 +431,10 @@ def fit(carriers: list[str], n: int = EXAMPLES, epochs: int = EPOCHS, seed: int
 
 
 def fit_from(documents: DataFrame, carriers: int = CARRIERS) -> Model:
-    """Learn with words of ``carriers`` documents, the smallest by hash of doc_id. Ids and lengths
-    alone are ranked, so what reaches the driver is bounded by ``carriers`` whatever the table."""
-    fitting = documents.filter("doc_id is not null and text is not null and length(text) between 40 and 20000")
-    chosen = fitting.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(carriers).distinct()
-    rows = fitting.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, 2000).alias("t"))
-    return fit(sorted(r.t for r in rows.limit(4 * carriers).collect()))
+    """Learn with words of ``carriers`` documents, the smallest by hash of doc_id and text: the first
+    ``CARRIER_CHARS`` characters of each."""
+    texts = documents.filter("text is not null and text <> ''").select("doc_id", F.substring("text", 1, CARRIER_CHARS).alias("t"))
+    return fit([r.t for r in sampling.smallest(texts, ["doc_id", "t"], carriers).collect()])
 
 
 # ---- Spark ----
@@ -419,7 +466,7 @@ def find(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     df = df.drop(*(c for c in ("spans",) if c != text))  # the results replace columns of their names
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    textkit.bound_batches(spark)
     schema = T.StructType([*[f for f in df.schema.fields if f.name != text], T.StructField("spans", T.ArrayType(SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +485,7 @@ def redact(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with every span of ``text`` replaced by its kind; texts without spans stay as they are."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    textkit.bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

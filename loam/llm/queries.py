@@ -40,6 +40,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *counts,
         F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s.kind == "secret")).cast("long").alias("n_secret"),
+        F.size(F.filter("spans", lambda s: ~s.base)).cast("long").alias("n_added"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -76,12 +79,13 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.element_at("ends", -1).cast("long").alias("spanned_bytes"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
     )
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position")
+    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position", "first_token")
 
 
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,19 +129,21 @@ with sized as (
     / sum(weight) over (order by level, place rows between current row and unbounded following) as share from weighed
 ), water as (select level as w_level, place as w_place, share as w_share from filled where level >= share order by level, place limit 1),
 targets as (
-  select source, source_size, 0.5::double * (1 - 2 * place / greatest(n - 1, 1)::double) as tilt,
+  select *, sum(target * (1 - tilt)) over () as steady, sum(target * tilt) over () as rising from (select source, source_size, 0.5::double * (1 - 2 * place / greatest(n - 1, 1)::double) as tilt,
     case when w_level is not null and (level > w_level or (level = w_level and place >= w_place)) then least(weight * w_share, cap::double) else cap::double end as target
-  from filled left join water on true
+  from filled left join water on true)
 ), placed as (
-  select s.doc_id, s.size, t.source_size, t.target, t.tilt, coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(s.doc_id::varchar, '')), s.doc_id nulls first, s.text
+  select s.doc_id, s.size, t.source_size, t.target, t.tilt, t.steady, t.rising, coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(s.doc_id::varchar, '')), s.doc_id nulls first, s.text
       rows between unbounded preceding and 1 preceding), 0) + s.size / 2.0::double as middle
   from sized s join targets t on s.source is not distinct from t.source
 ), taken as (
   select *, case when size = 0 then 0 else floor(target / greatest(source_size, 1)) + case when middle < target - floor(target / greatest(source_size, 1)) * greatest(source_size, 1) then 1 else 0 end end::bigint as copies,
     least(middle / greatest(target, 1.0::double), 1.0::double) as u, 1 - tilt as b from placed
+), timed as (
+  select *, case when copies > 0 then round(case when abs(tilt) < 1e-12 then u else (sqrt(b * b + 4 * tilt * u) - b) / (2 * tilt) end, 12) end as first_position from taken
 )
-select doc_id, size, source_size, round(target, 6) as target, size * copies as taken, copies,
-  case when copies > 0 then round(case when abs(tilt) < 1e-12 then u else (sqrt(b * b + 4 * tilt * u) - b) / (2 * tilt) end, 12) end as first_position from taken
+select doc_id, size, source_size, round(target, 6) as target, size * copies as taken, copies, first_position,
+  round(steady * first_position + rising * first_position * first_position, 3) as first_token from timed
 """,
     "op2_chat": f"""
 with rows as (
@@ -154,7 +160,8 @@ select conv_id,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '')) as loss_sha256,
   sum(length({_ESCAPED.format(x="text")}) + case when before = role then 8
       else 16 + length({_ESCAPED.format(x="role")}) + 7 end)::bigint as formatted_chars,
-  sum(case when before = role then 0 else 1 end)::bigint as n_groups
+  sum(case when before = role then 0 else 1 end)::bigint as n_groups,
+  count(*) filter (where role = 'assistant')::bigint as n_loss_spans
 from marked group by conv_id
 """,
     "op9_vectors": """

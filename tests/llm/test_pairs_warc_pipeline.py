@@ -256,6 +256,15 @@ def test_vectors_of_over_a_thousand_lengths(spark):
     assert got == want
 
 
+def test_vectors_with_labels_of_any_type(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    for schema, labels in (("string", ["a", "a", "b", None]), ("double", [1.2, 1.2, 1.7, None])):
+        df = spark.createDataFrame([(k, v, x) for k, x in enumerate(labels)], f"vec_id long, embedding array<float>, label {schema}")
+        near = spark.createDataFrame([(10 + k, [1.0, 2.0, 3.0, 4.1], x) for k, x in enumerate(labels)], df.schema)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df.union(near)).collect()}
+        assert got == {0: (3, 0), 1: (3, 0), 10: (3, 0), 11: (3, 0), 2: (1, 2), 12: (1, 2), 3: (0, 3), 13: (0, 13)}
+
+
 def test_vectors_of_an_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

@@ -123,6 +123,17 @@ def test_curriculum_moves_weight_from_first_to_last_sources(spark):
     assert mean["s0"] > 0.55 and mean["s1"] < 0.45
 
 
+def test_tokens_are_offsets_in_the_mixed_sequence(spark):
+    """A copy's offset is the number of words of all copies before its middle, to a document or so a source."""
+    out, _ = mixed(spark, [(k, "w " * (1 + k % 9), f"s{k % 4}") for k in range(3000)])
+    rows = mixing.sequence(out.filter("copies > 0")).collect()
+    read, whole = 0.0, sum(r.size for r in rows)
+    for r in rows:
+        assert abs(r.token - (read + r.size / 2)) <= 4 * 9
+        read += r.size
+    assert [r.token for r in rows] == sorted(r.token for r in rows) and 0 <= rows[0].token and rows[-1].token <= whole + 9
+
+
 def test_empty_mix(spark):
     assert mixed(spark, [])[0].count() == 0
     (r,) = mixed(spark, [(1, None, None)])[0].collect()
@@ -139,6 +150,33 @@ def test_escape_is_reversible_and_leaves_no_control_string(spark):
         assert not re.search(r"(?:<\|(?:turn|text|also|end|im_start|im_end|endoftext)\|>|</?s>|\[/?INST\]|<</?SYS>>)", r.e)
 
 
+def test_loss_spans_hold_the_assistants_words_and_nothing_else(spark):
+    rows = [(1, k, ("user", "assistant", "assistant", "system")[k % 4], s + "\u00e9\U0001f642") for k, s in enumerate(SAID)] + [(2, k, "assistant", f"t{k}") for k in range(300)] + [(3, 0, "user", "no loss"), (4, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.format_conversations(df).withColumn("texts", chat.loss_texts(F.col("formatted"), F.col("loss"))).collect():
+        want = [s for c, _, role, s in rows if c == r.conv_id and role == "assistant"]
+        assert r.texts == want
+        raw = r.formatted.encode()
+        for s, t in zip(r.loss, want, strict=True):
+            assert r.formatted[s.begin : s.end] == raw[s.byte_begin : s.byte_end].decode()
+            assert r.formatted[: s.begin].endswith((chat.TEXT, chat.ALSO)) and r.formatted[s.end :].startswith((chat.ALSO, chat.END))
+            assert len(t) <= s.end - s.begin
+
+
+def test_tied_turns_sort_by_their_own_text(spark):
+    """Not by the escaped one: the backslash sorts behind the bar."""
+    texts = ["<|end|>", "<~", "[INST]", "[H", "[J", "</s>", "<0"]
+    df = spark.createDataFrame([(1, 0, "assistant", t) for t in texts], "conv_id long, turn long, role string, text string")
+    (r,) = chat.read_back(chat.format_conversations(df.repartition(3))).collect()
+    assert r.loss_sha256 == hashlib.sha256("".join(sorted(texts)).encode()).hexdigest()
+
+
+def test_running_sums(spark):
+    for n in (1, 2, 3, 64, 65, 1000):
+        (r,) = spark.range(1).select(chat.running(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x)).alias("s")).collect()
+        assert r.s == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
 def test_conversations_read_back(spark):
     rows = [(1, k, ("user", "assistant", "assistant", "system")[k % 4], s) for k, s in enumerate(SAID)] + [(2, 0, None, None), (2, 0, "assistant", "b"), (2, 0, "assistant", "b"), (None, 1, "user", "x"), (3, None, "user", "last"), (3, 1, "user", "then")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, formatted int")

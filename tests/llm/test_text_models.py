@@ -102,6 +102,60 @@ def test_viterbi_takes_the_best_labelling(tagger):
         assert value == pytest.approx(total(0, none))
 
 
+def test_windows_are_disjoint_and_found_spans_are_distinct(tagger):
+    rng = random.Random(6)
+    for text in ("\u6570\u636e12\u5b57" * 400, ("a1" * 300 + "\u6587" * 300) * 5, " ".join(str(rng.randrange(10**6)) for _ in range(500)), '{"k":12345678901,"v":[1,2,3]},' * 200):
+        spots = [k for k, c in enumerate(text) if c in "0123456789@"]
+        seen = [tuple(t) for w in pii.windows(text, spots) for t in w.tolist()]
+        assert seen == sorted(set(seen)) and all(a[1] <= b[0] for a, b in zip(seen, seen[1:], strict=False))
+        assert {at for at in spots} <= {p for b, e in seen for p in range(b, e)}
+        found = spans_of(tagger, text)
+        assert len(found) == len(set(found))
+
+
+def test_long_texts_take_time_in_proportion(tagger):
+    import time
+
+    def took(text):
+        began = time.perf_counter()
+        spans_of(tagger, text)
+        return time.perf_counter() - began
+
+    contacts = "\n".join(f"name {k} +1 (632) 555-{1000 + k % 9000} a{k}@b.com 10.0.{k % 255}.7" for k in range(20_000))  # 1 MB, 60,000 spans
+    assert len(spans_of(tagger, contacts)) == 60_000 and took(contacts) < 20
+    unbroken = ("\u6570\u636e12\u5b57" * 60 + "\u6587" * 300) * 600  # no white space
+    assert took(unbroken) < 20
+
+
+def test_recall_of_each_kind_on_generated_texts(tagger):
+    """Texts of another seed than the model learned from, between words of other documents."""
+    held = pii.examples(sorted(t[:2000] for _, t in documents()[200:400]), 1500, 99)
+    hit, of, extra, empty = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0), 0, 0
+    for text, gold in held:
+        found = spans_of(tagger, text)
+        for kind, b, e in gold:
+            of[kind] += 1
+            hit[kind] += any(x < e and b < y for _, x, y, _ in found)
+        if not gold:
+            empty += 1
+            extra += bool([s for s in found if not s[3]])
+    assert all(hit[k] >= 0.9 * of[k] for k in pii.KINDS), (hit, of)
+    assert extra <= 0.05 * empty, (extra, empty)
+
+
+def test_planted_documents_are_found_and_others_left_alone(tagger):
+    mark = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.|\+1 \(|(?i:token) = \"|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+    got = want = wrong = 0
+    for _, t in documents():
+        found = spans_of(tagger, t)
+        if mark.search(t):
+            want += 1
+            got += bool(found)
+        else:
+            wrong += any(not own for *_, own in found)
+    assert want and got == want and wrong == 0
+
+
 def test_masking():
     assert pii.masked("a 12 b", [("card", 2, 4), ("phone", 2, 3)]) == "a <card> b"
     assert pii.masked("abcdef", [("ip", 0, 3), ("email", 2, 5)]) == "<ip>f"
@@ -170,6 +224,67 @@ def test_language_on_held_out_rows():
     assert ((score >= 0) & (score <= 1)).all()
 
 
+def test_letters_of_every_plane_have_a_script():
+    bits = lambda t: langid.script_bits(np.frombuffer(t.encode(), np.uint8))
+    kana = 1 << langid.SCRIPTS.index("Kana")
+    for letter in ("\U0001d400", "\U00010330", "\u2113", "\u2c00", "\u02b0"):
+        assert (bits(letter) > 0).all() and not (bits(letter) & kana).any(), letter
+    assert (bits("\u3042") == kana).all() and not bits("12 !? \u00d7\u2603\U0001f600").any()
+    model = langid.Model.fit([("the thing of that", "en"), ("der die und das", "de")])
+    assert all(p != "und" for p in langid.label(model, *textkit.string_bytes(pa.array(["\u2113", "\U0001d400\U0001d401", "\U00010330"])))[0])
+
+
+def test_the_sample_is_the_smallest_hashes_of_each_language(spark):
+    from loam.llm import sampling
+
+    rows = [(k, f"text {k}", ("en", "de", None)[k % 3]) for k in range(9000)] + [(None, "same", "en")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sampling.smallest(df.filter("lang is not null"), ["doc_id", "text"], 50, "lang")
+    from pyspark.sql import functions as F
+
+    hashed = df.filter("lang is not null").distinct().withColumn("h", F.xxhash64("doc_id", "text")).collect()
+    unsigned = lambda r: r.h % (1 << 64) >> 1
+    for lang in ("en", "de"):
+        few = {r.text for r in got.collect() if r.lang == lang}
+        assert len(few) == 50 and few <= {r.text for r in sorted((r for r in hashed if r.lang == lang), key=unsigned)[:142]}
+    assert {r.text for r in got.collect()} == {r.text for r in sampling.smallest(df.repartition(9).filter("lang is not null"), ["doc_id", "text"], 50, "lang").collect()}
+    assert sampling.smallest(df, ["doc_id"], 10_000_000).count() == 9001
+
+
+def test_clashing_labels_and_texts_give_one_model(spark):
+    docs = [(k, f"good words {k} here", ) for k in range(60)] + [(k, f"### %%% {k}") for k in range(60, 120)] + [(3, "another text"), (3, "another text")]
+    labels = [(k, int(k < 60)) for k in range(120)] + [(3, 0), (70, 1)]
+    frame = lambda rows, schema, n: spark.createDataFrame(rows, schema).repartition(n)
+    a, b = (quality_conv.fit_from(frame(docs, "doc_id long, text string", n), frame(labels, "doc_id long, quality int", n)) for n in (2, 7))
+    assert (a.filters == b.filters).all() and (a.weights == b.weights).all()
+
+
+def test_scores_equal_a_plain_loop():
+    model = quality_conv.fit([("good words here and there", 1), ("### %%% $$$", 0)] * 20, epochs=3)
+    rng = random.Random(9)
+    texts = ["", "a", "ab cd", "".join(rng.choice("abc #%\u00e9") for _ in range(1300)), "x" * quality_conv.CHUNK]
+
+    def plain(text):
+        data, tops = text.encode(), []
+        step, n = quality_conv.CHUNK - quality_conv.OVERLAP, len(text.encode())
+        begins = range(0, max(1, n - quality_conv.OVERLAP), step) if n else []
+        for b in begins:
+            e = min(n, b + quality_conv.CHUNK)
+            best = [-np.inf] * quality_conv.FILTERS
+            for f in range(quality_conv.FILTERS):
+                for at in range(b, e):
+                    total = sum(float(model.filters[k, data[at + k], f]) for k in range(quality_conv.WIDTH) if at + k < n)
+                    best[f] = max(best[f], total)
+            tops.append([max(0.0, x + float(c)) for x, c in zip(best, model.bias, strict=True)])
+        pooled = [sum(t[f] for t in tops) / len(tops) for f in range(quality_conv.FILTERS)] + [max(t[f] for t in tops) for f in range(quality_conv.FILTERS)] if tops else [0.0] * (2 * quality_conv.FILTERS)
+        length = model.features(np.zeros((0, quality_conv.FILTERS), np.float32), np.zeros(0, np.int64), np.array([0, n]))[0, -1]
+        z = sum(x * w for x, w in zip([*pooled, length], model.weights.tolist(), strict=True)) + model.offset
+        return 1 / (1 + np.exp(-z))
+
+    got = model.score(*textkit.string_bytes(pa.array(texts)))
+    assert got == pytest.approx([plain(t) for t in texts], abs=1e-4)
+
+
 def test_mixed_language_spans():
     model = langid.Model.fit([(t, x) for _, t, x in documents("0.01", "doc_id, text, lang")])
     first, second = "the thing is ention and of thand " * 5, "que la ción del llado para " * 8
@@ -214,10 +329,65 @@ def test_pieces_are_the_librarys_and_spans_cover_the_text(spark):
     ids, offsets, begins, ends, _ = encoder.batch(texts)
     for k, t in enumerate(texts):
         lo, hi = offsets[k], offsets[k + 1]
-        b, e = encoder.spans(t, ids[lo:hi])
+        b, e = encoder.spans(*encoder.normalizer(t.encode()), ids[lo:hi])
         assert (b == begins[lo:hi]).all() and (e == ends[lo:hi]).all()
 
 
+def test_pieces_of_odd_texts_are_the_librarys():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    rng = random.Random(4)
+    bits = ["the", "ing", " ", "  ", "\u2581", "\u00e9", "\u4f60\u597d", "\U0001f642", "<s>", "<0x41>", "\n", "\t", "0", "aa", "Z", "\u0301", "\x00", "\u200d"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 90))) for _ in range(1500)]
+    texts += ["a" * 5000, "ab" * 3000, " " * 3000 + "x", "\u4f60\u597d\u4e16\u754c" * 2000, "x" * 41, "word " * 30_000]
+    ids, offsets, _, _, decoded = pieces.encoder(piece_model()).batch(texts)
+    for k, t in enumerate(texts):
+        want = library.encode(t, add_eos=True)
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == want and decoded[k] == library.decode(want), t[:50]
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_a_model_with_a_character_map(extra):
+    """The public pieces under the library's own compiled map (compatibility forms, blanks)."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(piece_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    ruled = proto.ModelProto()
+    ruled.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    model.normalizer_spec.precompiled_charsmap = ruled.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = extra
+    data = model.SerializeToString()
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Encoder(data)
+    assert own.normalizer.units is not None and not own.plain
+    texts = [*TEXTS, "\ufb01ne \uff21\uff22\uff23 \u2460 \u00bd", "e\u0301 \u1e9b\u0323 x\u00a0y\u3000z", "\uac00 \u1100\u1161", "\u33a5 a\u200bb"] + [t for _, t in documents("0.001")[:40]]
+    ids, offsets, begins, ends, decoded = own.batch(texts)
+    for k, t in enumerate(texts):
+        lo, hi = offsets[k], offsets[k + 1]
+        want = library.encode(t, add_eos=True)
+        assert ids[lo:hi].tolist() == want, t
+        assert decoded[k] == library.decode(want)
+        assert (begins[lo:hi] <= ends[lo:hi]).all() and (np.diff(begins[lo:hi]) >= 0).all() and ends[lo:hi].max() <= len(t.encode())
+    wide = texts.index("\ufb01ne \uff21\uff22\uff23 \u2460 \u00bd")
+    raw = texts[wide].encode()
+    spans = [raw[b:e].decode(errors="replace") for b, e in zip(begins[offsets[wide] : offsets[wide + 1]], ends[offsets[wide] : offsets[wide + 1]], strict=True)]
+    assert any("\ufb01" in x for x in spans)
+
+
+def test_other_models_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(piece_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    with pytest.raises(ValueError):
+        pieces.Encoder(model.SerializeToString())
+
+
 def charsmap(entries):
     """A compiled character map: a double array over the keys, then the replacements."""
     strings, value = b"", {}
