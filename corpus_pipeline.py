@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents`` (the last one:
 token ids). Its result is written as Parquet, and the next stage reads that: a lost executor
 costs a stage's tasks at most.
+
+Defined results: null and empty texts fail the quality rules and go, so no later stage meets them
+in a run (alone, every stage takes them as its operator does); repeated rows are copies and one
+stays; a null doc_id or source stays null; an empty table gives an empty result; columns other than
+those of ``documents`` pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -22,11 +27,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (operator 5): the one with the smallest doc_id."""
-    named = docs.withColumn("loam_id", F.coalesce("doc_id", F.xxhash64("text")))
-    groups = jaccard.near_duplicates(named.select(F.col("loam_id").alias("doc_id"), "text"))
+    """One document of each group of near copies (operator 5): the one with the smallest doc_id.
+
+    A row without a doc_id goes by a hash of its text. Of rows that share a doc_id though their
+    texts differ, those of the smallest text hash keep it and the others go by a hash of both.
+    Of rows alike in doc_id and text the one whose values come first stays.
+    """
+    keyed = docs.withColumns({"loam_text": F.xxhash64("text"), "loam_id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))})
+    clash = keyed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("loam_text").alias("loam_first"), F.max("loam_text").alias("loam_last")).filter("loam_first < loam_last")
+    if not clash.isEmpty():
+        keyed = keyed.join(clash.drop("loam_last"), "doc_id", "left")
+        keyed = keyed.withColumn("loam_id", F.when(F.col("loam_text") > F.col("loam_first"), F.xxhash64("doc_id", "loam_text")).otherwise(F.col("loam_id")))
+    groups = jaccard.near_duplicates(keyed.select(F.col("loam_id").alias("doc_id"), "text"))
     kept = groups.filter("kept").select(F.col("doc_id").alias("loam_id"))
-    return named.join(kept, "loam_id", "left_semi").dropDuplicates(["loam_id"]).select(*docs.columns)
+    # merged at every size: whether the ids fit a broadcast must not decide how this grows
+    one = keyed.join(kept.hint("merge"), "loam_id", "left_semi").groupBy("loam_id").agg(F.min(F.struct(*docs.columns)).alias("loam_row"))
+    return one.select("loam_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
