@@ -380,3 +380,15 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
         spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "odd")).select("doc_id").distinct().count() >= 1
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pipeline_keeps_texts_that_share_a_doc_id(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, loam_extra string"
+    text = lambda k: " ".join(f"w{k}_{j}" for j in range(30))
+    rows = [(1, text(1), "en", "a", 1, "x"), (1, text(2), "en", "a", 1, "x"), (1, text(1), "en", "b", 1, "x"), (2, text(1), "en", "a", 1, "x"), (None, text(3), "en", "a", 1, "x"), (None, text(3), "en", "a", 1, "x"), (None, text(4), "en", None, 1, "x")]
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    for parts in (1, 5):
+        out = stage(spark, spark.createDataFrame(rows, schema).repartition(parts), "")
+        assert out.columns == [c.split()[0] for c in schema.split(", ")]
+        assert sorted((r.doc_id or 0, r.text, r.source or "") for r in out.collect()) == sorted([(0, text(3), "a"), (0, text(4), ""), (1, text(1), "a"), (1, text(2), "a")])
+    assert stage(spark, spark.createDataFrame([], schema), "").count() == 0
