@@ -9,7 +9,7 @@ into the alignment and give the source span of each piece. The lengths must add
 normalised text, which is checked for every document. Decoding joins the pieces' bytes.
 
 Where no piece of the model goes on past the blank that ends a word, words are merged apart,
-and the pieces of up to ``REMEMBERED`` short words are kept at hand. The library is not called: it
+and the pieces of up to twice ``REMEMBERED`` short words are kept at hand. The library is not called: it
 is what the tests hold ids and decoded texts against.
 
 Defined results: null and empty text give the end id alone, with an empty span; a model must be of
@@ -33,7 +33,7 @@ from loam.llm import textkit
 
 BLANK = "▁"
 SPACE = BLANK.encode()
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Words of more characters are not kept at hand, and are merged with a heap.
 SHORT = 40
 # Fixed values of the format: the kinds of pieces, and of models.
@@ -181,6 +181,7 @@ class Segmenter:
         apart = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         self.words = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if apart else r"(?s:.+)").findall
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def __call__(self, text: str) -> list[int]:
         out: list[int] = []
@@ -188,10 +189,11 @@ class Segmenter:
         for word in self.words(text):
             found = known.get(word)
             if found is None:
-                found = self.merged(word)
+                found = self.older.get(word) or self.merged(word)
                 if len(word) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED:  # words seen since the last turn stay for another
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[word] = found
             out += found
         return out
@@ -205,15 +207,16 @@ class Segmenter:
         return out
 
     def _few(self, parts: list[str]) -> list[str]:
-        while len(parts) > 1:
-            best, at = None, 0
-            for k in range(len(parts) - 1):
-                score = self.score.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        score, none = self.score.get, -np.inf
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
+            parts[k] += parts.pop(k + 1)
+            del scores[k]
+            if k < len(scores):
+                scores[k] = score(parts[k] + parts[k + 1], none)
+            if k:
+                scores[k - 1] = score(parts[k - 1] + parts[k], none)
         return parts
 
     def _many(self, parts: list[str]) -> list[str]:

@@ -99,11 +99,66 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules}
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 3: the base spans."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 10: the statistics and the base rule."""
+    return op10_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules, "pii_base": pii_base, "rule_statistics": rule_statistics}
 
 _ESCAPED = r"""regexp_replace({x}, '([<\[])(\\*)(\|(?:turn|text|also|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"""
 
+_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_HELD = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 or (length(ltrim(x, '0')) = 3 and ltrim(x, '0') > '255'))) = 0",
+    "card": "length(digits) between 13 and 19 and list_sum(list_transform(range(length(digits)), lambda i: case when i % 2 = 0 then ascii(reverse(digits)[i + 1]) - 48"
+    " when ascii(reverse(digits)[i + 1]) - 48 > 4 then 2 * (ascii(reverse(digits)[i + 1]) - 48) - 9 else 2 * (ascii(reverse(digits)[i + 1]) - 48) end)) % 10 = 0",
+    "phone": "length(digits) between 9 and 15",
+}
+_MATCHED = " union all ".join(f"select doc_id, '{kind}' as kind, {k} as place, regexp_extract_all(text, '{p}') as hits, regexp_split_to_array(text, '{p}') as gaps from texts" for k, (kind, p) in enumerate(_PATTERNS.items()))
+
 SQL = {
+    "pii_base": f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+matched as (select * from ({_MATCHED}) where len(hits) > 0),
+each as (
+  select doc_id, kind, place, unnest(hits) as hit,
+    unnest(list_transform(range(len(hits)), lambda i: list_sum(list_transform(gaps[1:i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i], lambda h: length(h))), 0))) as b
+  from matched
+), held as (
+  select * from (select *, regexp_replace(hit, '[^0-9]', '', 'g') as digits from each)
+  where case kind when 'email' then {_HELD["email"]} when 'ip' then {_HELD["ip"]} when 'card' then {_HELD["card"]} else {_HELD["phone"]} end
+), digested as (
+  select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card,
+    count(*) filter (where kind = 'phone') as n_phone, string_agg(kind || ':' || b::bigint || ':' || (b + length(hit))::bigint, ',' order by place, b) as listed
+  from held group by doc_id
+)
+select d.doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::bigint as n_ip, coalesce(n_card, 0)::bigint as n_card, coalesce(n_phone, 0)::bigint as n_phone,
+  sha256(coalesce(listed, '')) as base_sha256
+from documents d left join digested g on d.doc_id = g.doc_id
+""",
+    "rule_statistics": r"""
+with texts as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents
+), grams as (
+  select doc_id, unnest(range(1, len(w) - 6)) as pos, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as gram from texts where len(w) >= 8
+), twice as (
+  select doc_id, pos from (select doc_id, pos, count(*) over (partition by doc_id, gram) as n from grams) where n > 1
+), held as (
+  select doc_id, count(distinct word) as n from (select doc_id, unnest(range(pos, pos + 8)) as word from twice) group by doc_id
+)
+select t.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+  coalesce(n, 0)::bigint as n_repeat_words, len(w) < 20 or 100 * coalesce(n, 0) > 30 * len(w) as base_failed
+from texts t left join held h on t.doc_id = h.doc_id
+""",
     "op1_warc": """
 with page as (
   select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages

@@ -396,3 +396,46 @@ def test_pipeline_keeps_texts_that_share_a_doc_id(spark):
         seen.add(tuple(got))
     assert len(seen) == 1
     assert stage(spark, spark.createDataFrame([], schema), "").count() == 0
+
+
+def prefix_filter_links(rows, threshold=0.8):
+    """Exact links by another way: sets at the threshold share one of their rarest shingles."""
+    sets = [shingle_set(t) for _, t in rows]
+    count = collections.Counter(x for s in sets for x in s)
+    by_rare = collections.defaultdict(list)
+    ordered = [sorted(s, key=lambda x: (count[x], x)) for s in sets]
+    links = collections.defaultdict(set)
+    for i, own in enumerate(ordered):
+        seen = set()
+        for x in own[: int((1 - threshold) * len(own)) + 2]:
+            seen.update(by_rare[x])
+            by_rare[x].append(i)
+        for j in seen:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= threshold * max(len(a), len(b)):
+                both = len(a & b)
+                if both >= threshold * (len(a) + len(b) - both) - 1e-9:
+                    links[i].add(j)
+                    links[j].add(i)
+    return links
+
+
+def test_every_link_of_the_large_documents_is_found(spark):
+    df = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in df.collect()]
+    links = prefix_filter_links(rows)
+    got = {r.doc_id: r.n_links for r in jaccard.near_duplicates(df).collect()}
+    want = {i: len(links.get(k, ())) for k, (i, _) in enumerate(rows)}
+    assert sum(want.values()) > 1000 and got == want
+
+
+def test_every_link_of_the_large_vectors_is_found(spark):
+    df = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float), r.label) for r in df.collect() if r.embedding is not None and r.label is not None]
+    want = {}
+    for label in {r[2] for r in rows}:
+        own = [(i, v) for i, v, x in rows if x == label and np.isfinite(v).all() and v.any()]
+        x = np.stack([v / np.linalg.norm(v) for _, v in own])
+        want |= {i: int(n) - 1 for (i, _), n in zip(own, (x @ x.T >= 0.93).sum(1), strict=True)}
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+    assert sum(want.values()) > 0 and {i: n for i, n in got.items() if i in want} == want
