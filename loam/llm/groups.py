@@ -25,7 +25,7 @@ SPREAD = 64
 SMALLER = 8
 
 
-def blocks(df: DataFrame, keys: list[str], weight, limit: int, folder: str, name: str, least: int = 1) -> DataFrame:
+def blocks(df: DataFrame, keys: list[str], weight, limit: int, folder: str, name: str, least: int = 1, smaller: int = SMALLER) -> DataFrame:
     """(keys, n_blocks): in how many blocks each key's weight goes, none over ``limit``; keys of
     middling weight go in up to ``SPREAD`` smaller ones, so that many tasks share them. Keys of
     fewer than ``least`` rows are left out.
@@ -33,7 +33,7 @@ def blocks(df: DataFrame, keys: list[str], weight, limit: int, folder: str, name
     It is written, so that two plain tables meet where rows are joined with it on the key:
     adaptive execution may then split a hot key's rows among tasks, which it may not beside an
     aggregate."""
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.sum(weight) / limit), F.least(F.lit(SPREAD), F.ceil(F.sum(weight) / max(1, limit // SMALLER))))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.sum(weight) / limit), F.least(F.lit(SPREAD), F.ceil(F.sum(weight) / max(1, limit // smaller))))
     totals = df.groupBy(*keys).agg(n_blocks.cast("int").alias("n_blocks"), F.count(F.lit(1)).alias("deal_rows"))
     return materialize(totals.filter(F.col("deal_rows") >= least).drop("deal_rows"), folder, f"blocks-{name}")
 

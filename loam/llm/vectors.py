@@ -236,7 +236,7 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(label), pa.array(blocks > 1)], names=[f.name for f in counted])
 
     members = materialize(members, folder, f"members-{dim}")
-    whole = groups.blocks(members, ["component"], F.lit(1), BLOCK, folder, f"verify-{dim}")
+    whole = groups.blocks(members, ["component"], F.lit(1), BLOCK, folder, f"verify-{dim}", smaller=16)
     verified = materialize(groups.scan(groups.deal(members.join(whole, "component"), ["component"], "id"), ["component"], counted, count), folder, f"verified-{dim}")
     result = verified.groupBy("id").agg(F.sum("links").alias("links"), F.min("label").alias("component"))
     across = verified.filter("split and id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
