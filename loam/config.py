@@ -13,7 +13,6 @@ class Config:
     # fixed values: sizes, limits and thresholds of the pipeline
     chunk_size: int = 1500
     chunk_overlap: int = 150
-    embedding_dim: int = 768
     top_k_chunks: int = 5
     graph_top_k_chunks: int = 10
     max_chunk_chars: int = 1200
@@ -28,6 +27,7 @@ class Config:
     flat_top_k: int = 7
     flat_extra_chunks: int = 3
     flat_relationships: int = 10
+    flat_extract_chars: int = 2000
     judge_chunks: int = 6
     entity_dedup_threshold: float = 0.95
     extraction_batch: int = 3

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIM = 64
 EPSILON = 1e-9
@@ -49,10 +53,36 @@ def embed(df: DataFrame, key: str, text: str, out: str = "embedding") -> DataFra
 
 
 def unrolled_dot(a: str, b: str) -> Column:
-    """The dot product of two embedded columns, spelt out so that it is generated code and not a
-    loop of interpreted lambdas; the order of the sum is that of ``dot``."""
-    return reduce(lambda x, y: x + y, (F.col(a)[k] * F.col(b)[k] for k in range(DIM)))
+    """The dot product of two columns. Vectors of ``DIM`` entries are spelt out, so that it is
+    generated code and not a loop of interpreted lambdas, in the order of ``dot``; others take the
+    loop. Vectors of two lengths have none (null)."""
+    spelt = reduce(lambda x, y: x + y, (F.get(F.col(a), F.lit(k)) * F.get(F.col(b), F.lit(k)) for k in range(DIM)))
+    n, m = F.size(a), F.size(b)
+    return F.when((n == DIM) & (m == DIM), spelt).when(n == m, dot(F.col(a), F.col(b)))
 
 
 def similarity(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
     return df.withColumn(out, cosine(F.col(a), F.col(b)))
+
+
+def model_embed(encode: Callable[[list[str]], np.ndarray], batch: int = 256) -> Callable[..., DataFrame]:
+    """A function like ``embed`` from a model's: texts to a matrix of one row a text, of any width.
+    It runs on Arrow batches, ``batch`` texts at a time; null texts are empty."""
+
+    def run_embed(df: DataFrame, key: str, text: str, out: str = "embedding") -> DataFrame:
+        place = df.columns.index(text)
+        schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for lo in range(0, rows.num_rows, batch):
+                    part = rows.slice(lo, batch)
+                    x = np.asarray(encode([t or "" for t in part.column(place).to_pylist()]), np.float64)
+                    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if len(x) else 0))
+                    vectors = pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
+                    kept = [c for c, f in zip(part.columns, part.schema, strict=True) if f.name != out]
+                    yield pa.RecordBatch.from_arrays([*kept, vectors], names=[f.name for f in schema])
+
+        return df.mapInArrow(run, schema)
+
+    return run_embed

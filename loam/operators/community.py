@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
-from loam.store import materialize
+from loam.store import materialize, numbered
 
 
 def components(concepts: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
@@ -31,8 +33,8 @@ def components(concepts: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
 
 def greedy_modularity(nodes: list[str], edges: list[tuple[str, str, float]]) -> dict[str, str]:
     """Agglomeration by best modularity gain; ties go to the smaller names. Communities are named
-    by their smallest node."""
-    label = {v: v for v in nodes}
+    by their smallest node. A merge changes the gains of the merged community alone, so the others
+    stay in a heap."""
     total = sum(w for _, _, w in edges)
     if not total:
         return {v: min(nodes) for v in nodes}
@@ -43,19 +45,38 @@ def greedy_modularity(nodes: list[str], edges: list[tuple[str, str, float]]) ->
         degree[b] += w
         between[a][b] = between[a].get(b, 0) + w
         between[b][a] = between[b].get(a, 0) + w
-    while True:
-        gains = [(w / total - degree[a] * degree[b] / (2 * total * total), a, b) for a in between for b, w in between[a].items() if a < b]
-        best = max(gains, key=lambda g: (round(g[0], 12), [-ord(c) for c in g[1] + "\0" + g[2]]), default=None)
-        if best is None or best[0] <= 1e-12:
-            return label
-        _, a, b = best
+    age = dict.fromkeys(nodes, 0)
+    into: dict[str, str] = {}
+
+    def gain(a: str, b: str) -> tuple[float, str, str, int, int]:
+        a, b = min(a, b), max(a, b)
+        return (-round(between[a][b] / total - degree[a] * degree[b] / (2 * total * total), 12), a, b, age[a], age[b])
+
+    heap = [gain(a, b) for a in between for b in between[a] if a < b]
+    heapify(heap)
+    while heap:
+        least, a, b, was_a, was_b = heappop(heap)
+        if least >= -1e-12:
+            break
+        if a in into or b in into or (was_a, was_b) != (age[a], age[b]):
+            continue
+        into[b] = a
         for c, w in between.pop(b).items():
             del between[c][b]
             if c != a:
                 between[a][c] = between[a].get(c, 0) + w
                 between[c][a] = between[a][c]
         degree[a] += degree.pop(b)
-        label = {v: a if x == b else x for v, x in label.items()}
+        age[a] += 1
+        for c in between[a]:
+            heappush(heap, gain(a, c))
+    out = {}
+    for v in nodes:
+        root = v
+        while root in into:
+            root = into[root]
+        out[v] = root
+    return out
 
 
 def detect(concepts: DataFrame, edges: DataFrame, folder: str, weighted: bool = False) -> DataFrame:
@@ -93,18 +114,16 @@ def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return inside.join(squares).select(F.round(F.col("inner") / F.col("m") - F.col("squares") / (4.0 * F.col("m") * F.col("m")), 6).alias("modularity"))
 
 
-def summarise(labels: DataFrame, members: DataFrame) -> DataFrame:
-    """(community, name, n_concepts, members, summary), numbered by the root's name."""
+def summarise(labels: DataFrame, members: DataFrame, folder: str) -> DataFrame:
+    """(root, community, name, n_concepts, members, summary), numbered by the root's name: places in
+    a range sort, so that no task gets all communities."""
     rows = labels.join(members, "concept", "left")
     grouped = rows.groupBy("root").agg(F.count_distinct("concept").alias("n_concepts"), F.sort_array(F.collect_set("entity")).alias("members"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("root")) - 1
     listed = F.array_join("members", ", ")
-    return grouped.withColumn("k", place).select(
+    return numbered(grouped, ["root"], folder, "communities").select(
         "root",
-        F.concat(F.lit("community_"), F.col("k").cast("string")).alias("community"),
-        F.concat(F.lit("Community "), (F.col("k") + 1).cast("string")).alias("name"),
+        F.concat(F.lit("community_"), F.col("n").cast("string")).alias("community"),
+        F.concat(F.lit("Community "), (F.col("n") + 1).cast("string")).alias("name"),
         "n_concepts", "members",
         X.fallback_summary(F.lit(""), listed).alias("summary"),
     )

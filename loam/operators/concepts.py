@@ -65,18 +65,14 @@ def overlap(members: DataFrame) -> DataFrame:
     return left.join(right, "m").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def entity_prompt(entities: DataFrame, budget: int = DEFAULT.entity_text_chars, per_batch: int = DEFAULT.concept_batch) -> DataFrame:
-    """(batch, n_entities, listing): entity lines in batches, cut before the first line over budget.
-
-    Batches are cut from places within a document group, so that no window spans all rows.
-    """
+def entity_prompt(entities: DataFrame, folder: str, budget: int = DEFAULT.entity_text_chars, per_batch: int = DEFAULT.concept_batch) -> DataFrame:
+    """(batch, n_entities, listing): lines of all entities, in batches in entity order, each cut
+    before the first line over budget."""
     line = F.concat(F.lit("- "), F.col("name"), F.lit(" ["), F.coalesce("type", F.lit("OTHER")), F.lit("]: "), F.substring(F.coalesce("description", F.lit("")), 1, DEFAULT.entity_description_chars))
-    order = Window.partitionBy("doc_id").orderBy("first_place", "canon")
-    rows = entities.select("doc_id", "canon", "first_place", line.alias("line")).withColumn("place", F.row_number().over(order) - 1)
-    rows = rows.withColumn("batch", F.floor(F.col("place") / per_batch))
-    run = Window.partitionBy("doc_id", "batch").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = numbered(entities, folder).select(F.col("n").alias("place"), F.floor(F.col("n") / per_batch).alias("batch"), line.alias("line"))
+    run = Window.partitionBy("batch").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("used", F.coalesce(F.sum(F.length("line") + 1).over(run), F.lit(0)))
-    over = F.min(F.when(F.col("used") + F.length("line") > budget, F.col("place"))).over(Window.partitionBy("doc_id", "batch"))
+    over = F.min(F.when(F.col("used") + F.length("line") > budget, F.col("place"))).over(Window.partitionBy("batch"))
     rows = rows.withColumn("cut", over).filter("cut is null or place < cut")
     listing = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x.line), "\n")
-    return rows.groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("n_entities"), listing.alias("listing"))
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n_entities"), listing.alias("listing"))

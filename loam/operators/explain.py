@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.config import DEFAULT, Config
 from loam.functions import text as X
 from loam.operators import retrieve as R
 from loam.operators.graph import Graph
+from loam.store import materialize
 
 # Display colours by entity type and layer.
 COLOURS = {"PERSON": "#e74c3c", "TECHNOLOGY": "#3498db", "ORGANIZATION": "#2ecc71", "EVENT": "#f39c12", "CONCEPT": "#9b59b6", "PRODUCT": "#1abc9c", "DEPARTMENT": "#34495e"}
 
 
-def trace(questions: DataFrame, graph: Graph, config: Config = DEFAULT) -> DataFrame:
-    """(qid, stage, rank, item, score, flag): every candidate community and concept with its fate.
+def trace(questions: DataFrame, graph: Graph, config: Config = DEFAULT, folder: str | None = None) -> DataFrame:
+    """(qid, stage, rank, item, score, flag, bar): every candidate community and concept with its
+    fate, every entity with the way it was reached, and the chunks in reading order.
 
-    As the trace defines it, a missing vector scores 0 and concepts have no least relevance.
+    As the trace defines it, a missing vector scores 0, concepts have no least relevance, and all
+    chunks of the kept entities are listed, of which a model reads the first ``judge_chunks``.
     """
     rows = R.embedded(graph.community, "community").crossJoin(R.asked(questions))
     rows = R.ranked(R.scored(rows).na.fill(0.0, ["similarity"]), "similarity", "community")
@@ -29,7 +32,21 @@ def trace(questions: DataFrame, graph: Graph, config: Config = DEFAULT) -> DataF
     under = R.ranked(R.scored(under), "similarity", "concept")
     kept = F.when(F.col("rank") <= config.top_k_concepts, "SELECTED").otherwise("DROPPED")
     second = under.select("qid", F.lit("2 concepts").alias("stage"), "rank", F.col("concept").alias("item"), F.col("similarity").alias("score"), kept.alias("flag"))
-    return first.unionByName(second).withColumn("bar", X.bar(F.greatest("score", F.lit(0.0))))
+    chosen = under.filter(F.col("rank") <= config.top_k_concepts).select("qid", "concept", "rank")
+    reached = R.expand(R.seeds(chosen, graph), graph, config.max_hops)
+    if folder:  # read three times
+        reached = materialize(reached, folder, "trace-reached")
+    entities = reached.join(R.embedded(graph.entity, "name"), "name").join(R.asked(questions), "qid")
+    entities = R.ranked(R.scored(entities).na.fill(0.0, ["similarity"]), "similarity", "name")
+    capped = F.col("rank") <= config.max_entities
+    way = F.when(F.col("hop") == 0, F.concat(F.col("name"), F.lit(" (from: "), F.col("from_concept"), F.lit(")"))).otherwise(F.concat(F.lit("hop "), F.col("hop").cast("string"), F.lit(": "), F.col("reached_via")))
+    third = entities.select("qid", F.lit("3 entities").alias("stage"), "rank", way.alias("item"), F.col("similarity").alias("score"), F.when(capped, "SELECTED").otherwise("DROPPED").alias("flag"))
+    linked = entities.filter(capped).select("qid", "name").join(graph.has_entity, F.col("name") == F.col("entity")).groupBy("qid", "chunk_id").agg(F.count_distinct("name").alias("n"))
+    linked = linked.join(graph.chunk.select("chunk_id", "doc_id", "idx"), "chunk_id")
+    linked = linked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id", "idx")))
+    read = F.when(F.col("rank") <= config.judge_chunks, "READ").otherwise("LISTED")
+    fourth = linked.select("qid", F.lit("4 chunks").alias("stage"), "rank", F.concat(F.col("chunk_id"), F.lit(" (via "), F.col("n").cast("string"), F.lit(" entities)")).alias("item"), F.lit(0.0).alias("score"), read.alias("flag"))
+    return first.unionByName(second).unionByName(third).unionByName(fourth).withColumn("bar", X.bar(F.greatest("score", F.lit(0.0))))
 
 
 def hop_counts(reached: DataFrame) -> DataFrame:

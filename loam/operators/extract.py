@@ -91,3 +91,9 @@ def parse_replies(replies: DataFrame, size: int = DEFAULT.extraction_batch) -> D
         F.coalesce("item.entities", none.cast("array<struct<name:string,type:string,description:string>>")).alias("entities"),
         F.coalesce("item.relationships", none.cast("array<struct<source:string,target:string,type:string,evidence:string>>")).alias("relationships"),
     )
+
+
+def totals(extractions: DataFrame) -> DataFrame:
+    """One row: entities and relationships in all replies."""
+    count = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long").alias(c)
+    return extractions.agg(F.count(F.lit(1)).alias("chunks"), count("entities"), count("relationships"))

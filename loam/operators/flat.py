@@ -8,19 +8,36 @@ from pyspark.sql import functions as F
 from loam.config import DEFAULT, Config
 
 
+def terms(index: DataFrame) -> DataFrame:
+    """(key, term): what may stand in a question for an entity: its key, or a word of it over three letters."""
+    words = F.filter(F.split("key", r"\s+"), lambda w: F.length(w) > 3)
+    return index.select("key", F.explode(F.array_union(F.array("key"), words)).alias("term")).filter("term <> ''")
+
+
 def mentioned(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, key, name, chunks): entities whose key, or a word of it over three letters, stands in
-    the question as a substring. The questions are the stated set held against the whole index."""
+    """(qid, key, name): entities of which a term stands in the question as a substring.
+
+    Every stretch of a question as long as some term is joined with the terms by equality, so the
+    work is that of the questions' letters and of the index, not of their product. How many lengths
+    there are is bounded by the longest name.
+    """
+    known = terms(index)
+    lengths = sorted(r.n for r in known.select(F.length("term").alias("n")).distinct().collect())
+    if not lengths:
+        return questions.select("qid").join(index.select("key", "name").limit(0))
     q = F.lower("query")
-    hit = F.contains(q, F.col("key")) | F.exists(F.split("key", r"\s+"), lambda w: (F.length(w) > 3) & F.contains(q, w))
-    return index.crossJoin(questions.select("qid", "query")).filter(hit).select("qid", "key", "name", "chunks")
+    stretch = lambda n: F.transform(F.sequence(F.lit(1), F.length(q) - n + 1), lambda i: F.substr(q, i, F.lit(n)))
+    each = [F.when(F.length(q) >= n, stretch(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
+    seen = questions.select("qid", F.explode(F.array_distinct(F.concat(*each))).alias("term"))
+    return seen.join(known, "term").select("qid", "key").distinct().join(index.select("key", "name"), "key").select("qid", "key", "name")
 
 
-def merged_context(vector: DataFrame, matched: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def merged_context(vector: DataFrame, matched: DataFrame, postings: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(qid, chunk_id, phase, place): vector chunks by rank, then entity chunks by (doc_id, idx)."""
     cap = config.flat_top_k + config.flat_extra_chunks
     own = vector.select("qid", "chunk_id", F.lit(0).alias("phase"), F.col("rank").cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"))
-    rows = matched.select("qid", F.explode("chunks").alias("c")).select("qid", F.concat(F.col("c.doc_id").cast("string"), F.lit("_chunk_"), F.col("c.idx").cast("string")).alias("chunk_id"), F.lit(1).alias("phase"), F.col("c.doc_id").alias("o1"), F.col("c.idx").cast("long").alias("o2")).distinct()
+    rows = matched.select("qid", "key").join(postings, "key").select("qid", "doc_id", "idx").distinct()
+    rows = rows.select("qid", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("idx").cast("string")).alias("chunk_id"), F.lit(1).alias("phase"), F.col("doc_id").alias("o1"), F.col("idx").cast("long").alias("o2"))
     rows = rows.join(own.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
     order = Window.partitionBy("qid").orderBy("phase", "o1", "o2")
     return own.unionByName(rows).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap).select("qid", "chunk_id", "phase", "place")

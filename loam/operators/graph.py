@@ -17,6 +17,7 @@ from loam.store import materialize, workspace
 
 @dataclass
 class Graph:
+    document: DataFrame  # doc_id, source, n_chars
     chunk: DataFrame  # chunk_id, doc_id, idx, text, embedding
     entity: DataFrame  # canon, name, type, description, doc_id, idx, embedding of "name: description"
     has_entity: DataFrame  # chunk_id, entity
@@ -34,39 +35,52 @@ class Graph:
         return cls(**sinks.read_graph(spark, folder, [f.name for f in fields(cls)]))
 
 
-def build(documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "components", drafts: str = "sources", names: Callable[[DataFrame], DataFrame] | None = None) -> Graph:
+METHODS = {"components": community.components, "modularity": community.detect}
+DRAFTS = ("batches", "sources")
+
+
+def build(
+    documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "modularity", drafts: str = "batches",
+    names: Callable[[DataFrame], DataFrame] | None = None, embed: Callable[..., DataFrame] = V.embed,
+) -> Graph:
     """All layers from (doc_id, text, source), each written before the next reads it.
 
-    ``method``: communities by connected ``components`` of concept overlap, or by ``modularity``.
-    ``drafts``: concepts of all merged entities in ``batches``, or (the definition that the SQL of the
-    queries holds) of a few names of each of the ``sources``.
+    ``method``: communities by ``modularity`` of concept overlap, or by its connected ``components``.
+    ``drafts``: concepts of all merged entities in ``batches``, or of a few names of each of the ``sources``.
+    ``embed``: the vector model of chunks, entities, concepts and communities, called with a frame,
+    its key, a text column and the name of the new column (``vector.model_embed`` makes one of any
+    function from texts to a matrix); by default hashed words. Questions need the same one.
     ``names``: a vector model of display names (see ``resolve.merge_similar``); without one, entities
     are merged by canonical key alone.
     """
+    if method not in METHODS or drafts not in DRAFTS:
+        raise ValueError(f"method must be one of {sorted(METHODS)}, drafts one of {sorted(DRAFTS)}")
     spark = documents.sparkSession
     folder = folder or workspace(spark, "graph")
     keep = lambda df, name: materialize(df, folder, name)
-    chunk = keep(V.embed(extract.chunk(documents, config.chunk_size, config.chunk_overlap), "chunk_id", "text"), "chunk")
+    source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string")
+    document = keep(documents.select("doc_id", source.alias("source"), F.length("text").cast("long").alias("n_chars")).groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_chars").alias("n_chars")), "document")
+    chunk = keep(embed(extract.chunk(documents, config.chunk_size, config.chunk_overlap), "chunk_id", "text", "embedding"), "chunk")
     found = keep(extract.mentions(chunk), "mention")
     resolved = resolve.merge_entities(found)
     if names is not None:
         resolved = resolve.merge_similar(resolved, names, f"{folder}/similar", config.entity_dedup_threshold)
-    merged = resolved.withColumn("loam_text", F.concat("name", F.lit(": "), F.coalesce("description", F.lit(""))))
-    entity = keep(V.embed(merged, "name", "loam_text").drop("loam_text"), "entity")
-    cleaned = resolve.clean_relationships(extract.relationships(found), entity)
+    resolved = keep(resolved, "resolved")
+    merged = resolve.upserted(resolved).withColumn("loam_text", F.concat("name", F.lit(": "), F.coalesce("description", F.lit(""))))
+    entity = keep(embed(merged, "name", "loam_text", "embedding").drop("loam_text"), "entity")
+    cleaned = resolve.clean_relationships(extract.relationships(found), resolved)
     relation = keep(resolve.ingest_edges(cleaned, entity), "relation")
     has_entity = keep(entity.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("name").alias("entity")), "has_entity")
     drafted = concepts.draft(found, documents) if drafts == "sources" else concepts.draft_batches(entity, folder, config.concept_batch)
     members = keep(concepts.resolve_members(drafted, entity), "concept_member")
     described = members.groupBy("concept").agg(F.array_join(F.sort_array(F.collect_set("entity")), " ").alias("description"))
-    concept = keep(V.embed(described, "concept", "description"), "concept")
+    concept = keep(embed(described, "concept", "description", "embedding"), "concept")
     edges = keep(concepts.overlap(members), "overlap")
-    find = community.components if method == "components" else community.detect
-    labels = keep(find(members.select("concept").distinct(), edges, folder), "labels")
-    summary = community.summarise(labels, members)
-    communities = keep(V.embed(summary, "community", "summary"), "community")
+    labels = keep(METHODS[method](members.select("concept").distinct(), edges, folder), "labels")
+    summary = community.summarise(labels, members, folder)
+    communities = keep(embed(summary, "community", "summary", "embedding"), "community")
     contains = keep(labels.join(communities.select("root", "community"), "root").select("community", "concept"), "community_concept")
-    return Graph(chunk, entity, has_entity, relation, members, concept, communities, contains)
+    return Graph(document, chunk, entity, has_entity, relation, members, concept, communities, contains)
 
 
 def statistics(graph: Graph, documents: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -79,6 +93,11 @@ def statistics(graph: Graph, documents: DataFrame, config: Config = DEFAULT) ->
     return out.withColumn("llm_calls", calls.cast("long"))
 
 
+def has_chunk(graph: Graph) -> DataFrame:
+    """(doc_id, chunk_id): links of the documents that are there."""
+    return graph.chunk.select("doc_id", "chunk_id").join(graph.document.select("doc_id"), "doc_id", "left_semi")
+
+
 def symmetric(relation: DataFrame) -> DataFrame:
     """(u, v, type): each edge seen from both ends."""
     forth = relation.select(F.col("source").alias("u"), F.col("target").alias("v"), "type")

@@ -1,12 +1,14 @@
 """Functions backed by a language model: extraction, concepts, summaries, answers, judges, metrics.
 
 A client is any picklable function from a prompt to a reply. Calls run inside partitions, under
-a share of the rate limit (``call_each``); prompts and replies are built and parsed in
+a share of the rate limit (``call_each``), and replies are written before anything reads them: they
+cost money and may differ when asked for again. Prompts and replies are built and parsed in
 expressions. Every function has a deterministic stand-in elsewhere, so nothing needs a network.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +21,7 @@ from loam.functions import text as X
 from loam.functions import vector as V
 from loam.operators import client as C
 from loam.operators import concepts, evaluate, extract
+from loam.store import materialize, workspace
 
 Client = Callable[[str], str]
 ENTITY_WORDS = "entities (name, type, description) and relationships (source, target, type, evidence)"
@@ -26,7 +29,7 @@ ENTITY_WORDS = "entities (name, type, description) and relationships (source, ta
 
 def call_each(rows: DataFrame, client: Client, prompt: str = "prompt", tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
     """``rows`` with a ``reply`` to each ``prompt``, on ``tasks`` tasks that share the rate limit;
-    a prompt over the model's size gives a null reply."""
+    a prompt over the model's size gives a null reply. The replies are written."""
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +44,7 @@ def call_each(rows: DataFrame, client: Client, prompt: str = "prompt", tasks: in
         for part in parts:
             yield part.assign(reply=[one(p) for p in part[prompt]])
 
-    return rows.repartition(tasks).mapInPandas(run, schema)
+    return materialize(rows.repartition(tasks).mapInPandas(run, schema), workspace(rows.sparkSession, "replies"), "replies")
 
 
 def extraction_prompts(segments: DataFrame) -> DataFrame:
@@ -73,23 +76,61 @@ def named_relationships(extractions: DataFrame) -> DataFrame:
     return rows.select("doc_id", "idx", F.col("pos").cast("long").alias("pos"), X.entity_name(F.col("r.source")).alias("source"), X.entity_name(F.col("r.target")).alias("target"), "r.type", F.coalesce("r.evidence", F.lit("")).alias("evidence"))
 
 
-def draft_concepts(entities: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
-    """(concept, member, place) from a client, asked about batches of entity lines."""
-    prompts = concepts.entity_prompt(entities, config.entity_text_chars, config.concept_batch)
+FLAT = "entities array<struct<name:string,type:string>>, relationships array<struct<source:string,target:string,type:string,evidence:string>>"
+
+
+def extract_flat(chunks: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """The flat pipeline's own extraction: each chunk alone, its first ``flat_extract_chars``
+    characters. (doc_id, idx, pos, name, type) of mentions, names as written, and (doc_id, idx, pos,
+    source, target, type, evidence) of relationships; a reply that is no object holds nothing."""
+    ask = F.concat(F.lit(f"Return JSON with the {ENTITY_WORDS} of this text.\n\n"), F.substring("text", 1, config.flat_extract_chars))
+    replies = call_each(chunks.select("doc_id", "idx", ask.alias("prompt")), client, tasks=tasks, config=config)
+    body = X.reply_json(F.coalesce("reply", F.lit("")))
+    rows = replies.select("doc_id", "idx", F.when(~F.startswith(F.ltrim(body), F.lit("[")), F.from_json(body, FLAT)).alias("found"))
+    named = rows.select("doc_id", "idx", F.posexplode("found.entities").alias("pos", "e"))
+    named = named.select("doc_id", "idx", F.col("pos").cast("long").alias("pos"), X.strip(F.coalesce("e.name", F.lit(""))).alias("name"), F.coalesce("e.type", F.lit("UNKNOWN")).alias("type")).filter("name <> ''")
+    edges = rows.select("doc_id", "idx", F.posexplode("found.relationships").alias("pos", "r"))
+    return named, edges.select("doc_id", "idx", F.col("pos").cast("long").alias("pos"), "r.source", "r.target", "r.type", F.coalesce("r.evidence", F.lit("")).alias("evidence"))
+
+
+#: Seconds before concepts are asked for again, by attempt, where no reply held any.
+CONCEPT_PAUSES = (60, 120, 180)
+
+
+def draft_concepts(entities: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(concept, member, place) from a client, asked about batches of entity lines. Where no reply
+    holds a concept, all batches are asked again, up to three times, after growing pauses."""
+    prompts = concepts.entity_prompt(entities, workspace(entities.sparkSession, "concepts"), config.entity_text_chars, config.concept_batch)
     prompts = prompts.withColumn("prompt", F.concat(F.lit('Group these entities: JSON {"concepts": [{"name", "description", "members"}]}, exact names.\n'), F.col("listing")))
-    replies = call_each(prompts, client, tasks=tasks, config=config)
     parsed = F.from_json(X.reply_json(F.coalesce("reply", F.lit(""))), "concepts array<struct<name:string,description:string,members:array<string>>>")
-    rows = replies.select(F.explode(parsed["concepts"]).alias("c")).select(X.strip(F.coalesce("c.name", F.lit("Unknown Concept"))).alias("concept"), F.posexplode("c.members").alias("place", "member"))
+    for pause in (*CONCEPT_PAUSES, None):
+        found = call_each(prompts, client, tasks=tasks, config=config).select(F.explode(parsed["concepts"]).alias("c"))
+        if pause is None or not found.isEmpty():
+            break
+        sleep(pause)
+    rows = found.select(X.strip(F.coalesce("c.name", F.lit("Unknown Concept"))).alias("concept"), F.posexplode("c.members").alias("place", "member"))
     return rows.select("concept", X.strip(F.col("member")).alias("member"), F.col("place").cast("int").alias("place"))
 
 
+#: Members named when a prompt with all of them is too large.
+FEWER_MEMBERS = 15
+
+
 def summaries(communities: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
-    """``communities`` (community, members, ..) with a client's summary; an empty or refused reply
-    falls back to the list of members."""
-    listed = F.array_join("members", ", ")
-    asked = call_each(communities.drop("summary").withColumn("prompt", F.concat(F.lit("Summarise what unites: "), listed)), client, tasks=tasks, config=config)
-    short = F.array_join(F.slice("members", 1, 15), ", ")
-    return asked.withColumn("summary", X.fallback_summary(X.strip_think(F.coalesce("reply", F.lit(""))), F.when(F.col("reply").isNull(), short).otherwise(listed))).drop("prompt", "reply")
+    """``communities`` (community, members, ..) with a client's summary. A prompt that is too large
+    is asked again with the first ``FEWER_MEMBERS`` members; an empty reply falls back to the list."""
+    rows = communities.drop("summary")
+    columns = rows.columns
+
+    def ask(some: DataFrame, members) -> DataFrame:
+        said = some.withColumn("loam_listed", F.array_join(members, ", "))
+        return call_each(said.withColumn("prompt", F.concat(F.lit("Summarise what unites: "), F.col("loam_listed"))), client, tasks=tasks, config=config).drop("prompt")
+
+    asked = ask(rows, F.col("members"))
+    again = asked.filter("reply is null").select(*columns)
+    if not again.isEmpty():
+        asked = asked.filter("reply is not null").unionByName(ask(again, F.slice("members", 1, FEWER_MEMBERS)))
+    return asked.select(*columns, X.fallback_summary(X.strip_think(F.coalesce("reply", F.lit(""))), F.col("loam_listed")).alias("summary"))
 
 
 def answers(prompts: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
@@ -106,13 +147,13 @@ def judged(rows: DataFrame, client: Client, items: str, flag: str, said: str, ou
     return scored.select("qid", F.when((F.size("chunks") == 0) | (F.coalesce(F.col(said), F.lit("")) == ""), F.lit(0.0)).otherwise(score).alias(out))
 
 
-def metrics(rows: DataFrame) -> DataFrame:
+def metrics(rows: DataFrame, embed: Callable[..., DataFrame] = V.embed) -> DataFrame:
     """(qid, category, four metrics) of (qid, category, query, answer, ground_truth, chunks), by
     the offline judge: words of the answer or truth that the context holds."""
     joined = F.array_join(F.slice("chunks", 1, DEFAULT.judge_chunks), " ")
-    out = V.embed(V.embed(rows, "qid", "query", "loam_q"), "qid", "answer", "loam_a")
+    out = embed(embed(rows, "qid", "query", "loam_q"), "qid", "answer", "loam_a")
     out = out.withColumns({"answer_relevancy": evaluate.answer_relevancy(F.col("loam_q"), F.col("loam_a")), "faithfulness": evaluate.contained_score(F.col("answer"), joined), "context_recall": evaluate.contained_score(F.col("ground_truth"), joined)})
-    each = V.embed(rows.select("qid", "query", F.explode("chunks").alias("loam_c")), "qid", "loam_c", "loam_v")
-    each = V.embed(each, "qid", "query", "loam_q").select("qid", V.cosine(F.col("loam_q"), F.col("loam_v")).alias("similarity"))
+    each = embed(rows.select("qid", "query", F.explode("chunks").alias("loam_c")), "qid", "loam_c", "loam_v")
+    each = embed(each, "qid", "query", "loam_q").select("qid", V.cosine(F.col("loam_q"), F.col("loam_v")).alias("similarity"))
     relevance = evaluate.average_relevance(each).select("qid", "avg_relevance_score")
     return out.join(relevance, "qid", "left").select("qid", "category", "answer_relevancy", "faithfulness", "context_recall", F.coalesce("avg_relevance_score", F.lit(0.0)).alias("avg_relevance_score"))

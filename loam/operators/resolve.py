@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam import store
 from loam.config import DEFAULT
 from loam.functions import text as X
 from loam.operators.extract import ORDER
@@ -42,22 +43,27 @@ def merge_entities(found: DataFrame) -> DataFrame:
 
 
 def numbered(entities: DataFrame, folder: str) -> DataFrame:
-    """``entities`` with their number ``n`` from 0 in entity order (the first mention's place): places
-    within the written parts of a range sort, plus the rows of the parts before. No task gets all rows."""
-    at = F.monotonically_increasing_id()
-    rows = materialize(entities.orderBy("first_place", "canon").withColumn("loam_at", at), folder, "numbered")
-    rows = rows.withColumns({"loam_part": F.shiftright("loam_at", 33), "loam_k": F.col("loam_at").bitwiseAND((1 << 33) - 1)})
-    parts = rows.groupBy("loam_part").agg(F.count(F.lit(1)).alias("loam_rows"))
-    before = F.sum("loam_rows").over(Window.orderBy("loam_part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("loam_part", F.coalesce(before, F.lit(0)).alias("loam_before"))
-    return rows.join(parts, "loam_part").withColumn("n", F.col("loam_before") + F.col("loam_k")).drop("loam_part", "loam_at", "loam_k", "loam_before")
+    """``entities`` with their number ``n`` from 0 in entity order (the first mention's place)."""
+    return store.numbered(entities, ["first_place", "canon"], folder)
 
 
 def flat_index(found: DataFrame) -> DataFrame:
-    """(key, name, type, chunks): entities by lower-case name with every chunk that mentions them."""
+    """(key, name, type, n_chunks): entities by lower-case name, as first written."""
     rows = found.filter("name <> ''").withColumn("key", F.lower("name"))
-    each = rows.groupBy("key").agg(F.min_by("name", _place()).alias("name"), F.min_by("type", _place()).alias("type"), F.sort_array(F.collect_list(F.struct("doc_id", "idx"))).alias("chunks"))
-    return each
+    return rows.groupBy("key").agg(F.min_by("name", _place()).alias("name"), F.min_by("type", _place()).alias("type"), F.count(F.lit(1)).alias("n_chunks"))
+
+
+def flat_postings(found: DataFrame) -> DataFrame:
+    """(key, doc_id, idx): every chunk that mentions an entity, a row a mention: a common name's
+    chunks are never one value."""
+    return found.filter("name <> ''").select(F.lower("name").alias("key"), "doc_id", "idx")
+
+
+def upserted(entities: DataFrame) -> DataFrame:
+    """Entity nodes by name: where several keys have one display name, the last one written stands."""
+    kept = [c for c in entities.columns if c != "name"]
+    last = F.max_by(F.struct(*kept), F.struct("first_place", "canon")).alias("node")
+    return entities.groupBy("name").agg(last).select("name", "node.*").select(*entities.columns)
 
 
 def leaders(pairs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:

@@ -17,6 +17,7 @@ from loam.config import DEFAULT, Config
 from loam.functions import text as X
 from loam.functions import vector as V
 from loam.operators.graph import Graph, symmetric
+from loam.operators.similar import nearest
 from loam.store import materialize
 
 
@@ -46,15 +47,14 @@ def best(rows: DataFrame, score: str, tie: str, k: int, least: float | None = No
 
 def top_chunks(questions: DataFrame, chunk: DataFrame, k: int = DEFAULT.top_k_chunks) -> DataFrame:
     """Vector-only retrieval: (qid, chunk_id, similarity, rank). Questions are the stated set that
-    is held against all chunks; scoring is narrow and the window keeps k rows a task and question."""
-    pairs = embedded(chunk, "chunk_id").crossJoin(asked(questions))
-    return best(scored(pairs), "similarity", "chunk_id", k).select("qid", "chunk_id", "similarity", "rank")
+    is held against all chunks; every task keeps k rows a question."""
+    return best(nearest(chunk, questions, "chunk_id", k), "similarity", "chunk_id", k).select("qid", "chunk_id", "similarity", "rank")
 
 
 def match_communities(questions: DataFrame, graph: Graph, config: Config = DEFAULT) -> DataFrame:
     """(qid, community, similarity, rank)."""
-    rows = embedded(graph.community.filter("embedding is not null"), "community").crossJoin(asked(questions))
-    found = best(scored(rows), "similarity", "community", config.top_k_communities, config.min_community_similarity)
+    rows = nearest(graph.community, questions, "community", config.top_k_communities)
+    found = best(rows, "similarity", "community", config.top_k_communities, config.min_community_similarity)
     return found.select("qid", "community", "similarity", "rank")
 
 
@@ -189,6 +189,12 @@ def in_reading_order(chosen: DataFrame, graph: Graph) -> DataFrame:
     return rows.groupBy("qid").agg(texts.alias("chunks"))
 
 
+def by_rank(found: DataFrame, graph: Graph) -> DataFrame:
+    """(qid, chunks): the texts of vector retrieval, best first."""
+    rows = found.join(graph.chunk.select("chunk_id", "text"), "chunk_id")
+    return rows.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x.text).alias("chunks"))
+
+
 class Retrieval:
     """The stages' tables for a table of questions, each made when first asked for.
 
@@ -243,15 +249,51 @@ class Retrieval:
 
 def relationship_lines(rows: DataFrame, limit: int = DEFAULT.max_relationships_for_llm, evidence: int | None = 300, order: str = "step") -> DataFrame:
     """(qid, listing): numbered relationship lines for a prompt."""
-    said = X.strip(F.coalesce("evidence", F.lit("")))
+    said = X.strip(F.coalesce("evidence", F.lit(""))) if "evidence" in rows.columns else F.lit("")
     said = F.substring(said, 1, evidence) if evidence else said
     line = F.concat((F.col(order) + 1).cast("string"), F.lit(". "), F.col("source"), F.lit(" --["), F.col("type"), F.lit("]--> "), F.col("target"), F.when(said != "", F.concat(F.lit(" | "), said)).otherwise(""))
     kept = rows.filter(F.col(order) < limit).withColumn("line", line)
     return kept.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x.line), "\n").alias("listing"))
 
 
-def prompts(questions: DataFrame, lines: DataFrame, chunks: DataFrame, limit: int | None = DEFAULT.max_chunk_chars) -> DataFrame:
-    """(qid, prompt) from (qid, listing) and (qid, chunks)."""
-    rows = questions.select("qid", "query").join(lines, "qid", "left").join(chunks, "qid", "left")
-    shown = X.joined_chunks(F.coalesce("chunks", F.array().cast("array<string>")), limit)
-    return rows.select("qid", F.concat(F.lit("Relationships:\n"), F.coalesce("listing", F.lit("(none)")), F.lit("\n\nContext:\n"), shown, F.lit("\n\nQuestion: "), F.col("query")).alias("prompt"))
+#: Forms of the answer prompt: relationship lines, evidence characters, chunks and characters a
+#: chunk that each shows (None: all), and what it asks for.
+FORMS = {
+    "graph": (DEFAULT.max_relationships_for_llm, 300, None, DEFAULT.max_chunk_chars, "Relationships:\n"),
+    "flat": (DEFAULT.flat_relationships, 200, None, DEFAULT.max_chunk_chars, "Entity relationships:\n"),
+    "baseline": (0, 0, None, None, ""),
+    "short": (10, None, 5, None, "In three to five sentences.\n\nRelationships:\n"),
+}
+
+
+def prompts(questions: DataFrame, lines: DataFrame | None, chunks: DataFrame, limit: int | None = DEFAULT.max_chunk_chars, form: str = "graph") -> DataFrame:
+    """(qid, prompt) from (qid, listing) and (qid, chunks), without relationships where ``lines`` is None."""
+    _, _, most, _, head = FORMS[form]
+    rows = questions.select("qid", "query").join(chunks, "qid", "left")
+    texts = F.coalesce("chunks", F.array().cast("array<string>"))
+    shown = X.joined_chunks(F.slice(texts, 1, most) if most else texts, limit)
+    parts = [F.lit("Context:\n"), shown, F.lit("\n\nQuestion: "), F.col("query")]
+    if lines is not None:
+        rows = rows.join(lines, "qid", "left")
+        parts = [F.lit(head), F.coalesce("listing", F.lit("(none)")), F.lit("\n\n"), *parts]
+    return rows.select("qid", F.concat(*parts).alias("prompt"))
+
+
+def formed(form: str, questions: DataFrame, edges: DataFrame | None, chunks: DataFrame, order: str = "step") -> DataFrame:
+    """(qid, prompt) in one of the ``FORMS`` from a question's edges (qid, ``order``, ..) and chunks."""
+    n, evidence, _, limit, _ = FORMS[form]
+    lines = relationship_lines(edges, n, evidence, order) if n and edges is not None else None
+    return prompts(questions, lines, chunks, limit, form)
+
+
+def path_lines(found: Retrieval, samples: int = 4) -> DataFrame:
+    """(qid, section, place, line): what a question's retrieval went through, to be printed:
+    communities with bars, concepts, counts, and the first discourse paths."""
+    named = found.communities.join(found.graph.community.select("community", "name"), "community")
+    bar = X.bar(F.greatest("similarity", F.lit(0.0)), 20)
+    first = named.select("qid", F.lit(1).alias("section"), F.col("rank").alias("place"), F.concat(F.lit("["), bar, F.lit("] "), F.format_number("similarity", 3), F.lit("  "), F.col("name")).alias("line"))
+    second = found.concepts.select("qid", F.lit(2).alias("section"), F.col("rank").alias("place"), F.concat(F.lit("* "), F.col("concept"), F.lit(" (relevance="), F.format_number("relevance", 3), F.lit(")")).alias("line"))
+    counts = found.path.select("qid", F.lit(3).alias("section"), F.lit(1).alias("place"), F.format_string("%d entities, %d chunks, %d relationships", "n_entities", "n_chunks", "n_relationships").alias("line"))
+    ways = found.entities.filter("reached_via is not null").withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    last = ways.filter(F.col("place") <= samples).select("qid", F.lit(4).alias("section"), "place", F.concat(F.lit("> "), F.col("reached_via")).alias("line"))
+    return first.unionByName(second).unionByName(counts).unionByName(last)

@@ -61,11 +61,11 @@ CTES: dict[str, str] = {
         select *, regexp_replace(upper(type), '[^A-Z0-9_]', '_', 'g') as ty from clean_relation)
         where source in (select name from entity) and target in (select name from entity) group by source, ty, target""",
     "has_entity": "select doc_id || '_chunk_' || idx as chunk_id, name as entity from entity",
-    "draft": """select concept, member, place from (select 'Theme of ' || source as concept, name as member,
-          row_number() over (partition by source order by docs desc, sources desc, name) as place from (
-          select *, count(*) over (partition by name) as sources from (
-            select source, name, count(*) as docs from (select distinct doc_id, name from mention) join documents using (doc_id) where source is not null group by source, name))
-          where sources between 2 and 3) where place <= 6""",
+    "numbered": "select *, row_number() over (order by doc_id, idx, pos, canon) - 1 as n from entity",
+    "draft": """select 'Theme ' || (batch + 1) || '.' || (run + 1) as concept, member, k - run * 5 + 1 as place from (
+          select *, count(*) over (partition by batch, run) as size from (
+            select name as member, n // 25 as batch, n % 25 as k, unnest(case when n % 25 > 0 and n % 25 % 5 = 0 then [n % 25 // 5 - 1, n % 25 // 5] else [n % 25 // 5] end) as run from numbered))
+          where size > 1 or run = 0""",
     "concept_member": "select distinct concept, e.name as entity from draft join entity e on e.name = member where concept in (select concept from draft join entity e2 on e2.name = member group by concept having count(distinct e2.name) >= 2)",
     "concept": f"select concept, {embed('description')} as embedding from (select concept, string_agg(entity, ' ' order by entity) as description from concept_member group by concept)",
     "overlap": "select a.concept as a, b.concept as b, count(distinct lower(a.entity)) as weight from concept_member a join concept_member b on lower(a.entity) = lower(b.entity) and a.concept < b.concept group by 1, 2",
@@ -108,8 +108,32 @@ CTES: dict[str, str] = {
           case when nth <= 2 and candidates > 10 then 0 else 1 end, case when nth <= 2 and candidates > 10 then lead_rank else rank end,
           case when nth <= 2 and candidates > 10 then nth else 0 end) as choice from grouped) where choice <= 10""",
     "top_chunk": best(f"select qid, chunk_id, {cosine('embedding', 'q')} as similarity from chunk, question", "similarity", "chunk_id", 7),
-    "flat_index": "select lower(name) as key, first(name order by doc_id, idx, pos) as name, first(type order by doc_id, idx, pos) as type, list({'doc_id': doc_id, 'idx': idx} order by doc_id, idx) as chunks from mention where name <> '' group by lower(name)",
-    "flat_match": "select qid, key, name, chunks from flat_index, question where contains(lower(query), key) or len(list_filter(regexp_split_to_array(key, '\\s+'), lambda w: length(w) > 3 and contains(lower(query), w))) > 0",
+    "flat_index": "select lower(name) as key, first(name order by doc_id, idx, pos) as name, first(type order by doc_id, idx, pos) as type, count(*) as n_chunks from mention where name <> '' group by lower(name)",
+    "flat_match": "select qid, key, name from flat_index, question where contains(lower(query), key) or len(list_filter(regexp_split_to_array(key, '\\s+'), lambda w: length(w) > 3 and contains(lower(query), w))) > 0",
+    # the trace has no least relevance, so its seeds are more than those of the retrieval
+    "t_concept": f"select * from (select *, row_number() over (partition by qid order by relevance desc, concept) as rank from (select qid, concept, {cosine('embedding', 'q')} as relevance from (select distinct qid, concept from matched join community_concept using (community)) join concept using (concept) join question using (qid)))",
+    "t_seed": "select qid, entity as name, first(concept order by rank) as from_concept from t_concept join concept_member using (concept) where rank <= 10 group by qid, entity",
+    "t_hop1": "select qid, v as name, min(row(u, type)) as via from t_seed join both_ways on name = u where (qid, v) not in (select (qid, name) from t_seed) group by qid, v",
+    "t_hop2": "select h.qid, v as name, min((u, type)) as via from t_hop1 h join both_ways on h.name = u where (h.qid, v) not in (select (qid, name) from t_seed) and (h.qid, v) not in (select (qid, name) from t_hop1) group by h.qid, v",
+    "t_reached": """select qid, name, name || ' (from: ' || from_concept || ')' as way from t_seed
+        union all select qid, name, 'hop 1: ' || via[1] || ' --[' || via[2] || ']--> ' || name from t_hop1
+        union all select qid, name, 'hop 2: ' || via[1] || ' --[' || via[2] || ']--> ' || name from t_hop2""",
+    "t_entity": f"select *, row_number() over (partition by qid order by relevance desc, name) as rank from (select qid, name, way, {cosine('embedding', 'q')} as relevance from t_reached join described using (name) join question using (qid))",
+    "t_chunk": """select *, row_number() over (partition by qid order by doc_id, idx) as rank from (
+        select t.qid, chunk_id, doc_id, idx, count(distinct t.name) as n from t_entity t join has_entity h on h.entity = t.name join chunk using (chunk_id) where t.rank <= 25 group by t.qid, chunk_id, doc_id, idx)""",
+    # a question's edges one after the other: used are the places taken, free the starts still to try
+    "edge_list": """select qid, list({'place': place, 's': source, 't': target} order by place) as e from edge group by qid""",
+    "walk_start": """select qid, e, list_distinct(list_transform(e, lambda x: x.s)) as seen, list_filter(list_transform(e, lambda x: x.s), lambda s: not list_contains(list_transform(e, lambda y: y.t), s)) as roots from edge_list""",
+    "walk": """select qid, e, []::bigint[] as used, null::varchar as node, case when len(e) <= 1 then []::varchar[] else
+          list_transform(list_sort(list_transform(list_distinct(case when len(roots) > 0 then roots else list_transform(e, lambda x: x.s) end),
+            lambda s: {'at': list_min(list_transform(list_filter(e, lambda x: x.s = s), lambda x: x.place)), 's': s})), lambda z: z.s) end as free, 0 as step from walk_start
+        union all select qid, e, case when next is null then used else list_append(used, next) end, case when next is null then free[1] else list_filter(e, lambda x: x.place = next)[1].t end,
+          case when next is null then free[2:] else free end, step + 1 from (
+            select *, list_min(list_transform(list_filter(e, lambda x: x.s = node and not list_contains(used, x.place)), lambda x: x.place)) as next from walk)
+          where next is not null or len(free) > 0""",
+    "walked": "select qid, list_concat(used, list_filter(list_transform(e, lambda x: x.place), lambda p: not list_contains(used, p))) as places from (select *, row_number() over (partition by qid order by step desc) as r from walk) where r = 1",
+    "chain_edge": """select c.qid, c.step, source, type, target, evidence from (
+        select qid, unnest(places) as place, generate_subscripts(places, 1) - 1 as step from walked) c join edge e on e.qid = c.qid and e.place = c.place""",
 }
 
 

@@ -12,20 +12,27 @@ from loam.config import DEFAULT
 from loam.functions import text as X
 from loam.functions import vector as V
 from loam.operators import client, community, concepts, evaluate, explain, extract, flat, graph, resolve, retrieve, similar
-from loam.plans.oracle import strip
+from loam.plans.oracle import SOURCE, canon, cosine, strip
 from loam.plans.oracle import sql as chain
 from loam.store import workspace
 
-_STORES: dict[tuple[str, str], graph.Graph] = {}
+_STORES: dict[tuple, graph.Graph] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """When the files under a path were last written, and how long they are."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((str(f.getPath()), f.getModificationTime(), f.getLen()) for f in system.listStatus(at)))
+
+
 def stored(spark: SparkSession, sf_dir: str) -> graph.Graph:
-    """The graph of a folder's documents, built when first asked for."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The graph of a folder's documents, built when first asked for, and again when they change."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _STORES:
         _STORES[key] = graph.build(_table(spark, sf_dir, "documents"))
     return _STORES[key]
@@ -66,43 +73,19 @@ def _(spark, d):
 
 @query(
     "title_case",
-    f"""select doc_id, array_to_string(list_transform(regexp_extract_all({strip("substr(text, 1, 200)")}, '\\p{{L}}+|\\P{{L}}+'),
+    f"""select doc_id, array_to_string(list_transform(regexp_extract_all({strip("text")}, '\\p{{L}}+|\\P{{L}}+'),
     lambda r: case when r[1] = 'ß' then 'Ss' else upper(r[1]) end || lower(substr(r, 2))), '') as title from documents""",
 )
 def _(spark, d):
-    return _table(spark, d, "documents").select("doc_id", X.entity_name(F.substring("text", 1, 200)).alias("title"))
-
-
-@query("title_case_whole")
-def _(spark, d):
-    # whole texts; title_case has the first 200 characters that its SQL has
     return _table(spark, d, "documents").select("doc_id", X.entity_name(F.col("text")).alias("title"))
 
 
-_NAMES = "select doc_id, case doc_id % 4 when 0 then ' The ' || substr(text, 1, 40) || ' (UN)  x' when 1 then 'A The ' || substr(text, 1, 30) when 2 then 'An ' || substr(text, 1, 30) else substr(text, 1, 50) end as name from documents"
-
-
-def _raw_names(documents: DataFrame) -> DataFrame:
-    t = lambda n: F.substring("text", 1, n)
-    k = F.col("doc_id") % 4
-    name = F.when(k == 0, F.concat(F.lit(" The "), t(40), F.lit(" (UN)  x"))).when(k == 1, F.concat(F.lit("A The "), t(30))).when(k == 2, F.concat(F.lit("An "), t(30))).otherwise(t(50))
-    return documents.select("doc_id", name.alias("name"))
-
-
-def _canon_oracle() -> str:
-    from loam.plans.oracle import canon
-
-    return f"select doc_id, {canon('name')} as canon from ({_NAMES})"
+_NAMES = "select doc_id, case doc_id % 4 when 0 then ' The ' || text || ' (UN)  x' when 1 then 'A The ' || text when 2 then 'An ' || text else text end as name from documents"
 
 
-@query("canonical_key", _canon_oracle())
+@query("canonical_key", f"select doc_id, {canon('name')} as canon from ({_NAMES})")
 def _(spark, d):
-    return _raw_names(_table(spark, d, "documents")).select("doc_id", X.canonical_key(F.col("name")).alias("canon"))
-
-
-@query("canonical_key_whole")
-def _(spark, d):
-    # whole texts in the four forms of canonical_key, whose SQL has their first 30 to 50 characters
+    # whole texts in four forms: an article, two, one, and an abbreviation in parentheses
     k, text = F.col("doc_id") % 4, F.col("text")
     name = F.when(k == 0, F.concat(F.lit(" The "), text, F.lit(" (UN)  x"))).when(k == 1, F.concat(F.lit("A The "), text)).when(k == 2, F.concat(F.lit("An "), text)).otherwise(text)
     return _table(spark, d, "documents").select("doc_id", X.canonical_key(name).alias("canon"))
@@ -141,7 +124,7 @@ def _(spark, d):
     return _table(spark, d, "events").select("event_id", F.get_json_object(X.reply_json(reply), "$.k").cast("long").alias("k"))
 
 
-@query("detect_source", "select chunk_id, " + __import__("loam.plans.oracle", fromlist=["SOURCE"]).SOURCE.format(t="text") + " as source from chunk")
+@query("detect_source", "select chunk_id, " + SOURCE.format(t="text") + " as source from chunk")
 def _(spark, d):
     return extract.chunk(_table(spark, d, "documents")).select("chunk_id", X.detected_source(F.col("text")).alias("source"))
 
@@ -191,45 +174,42 @@ def _(spark, d):
     return stored(spark, d).relation
 
 
-@query("flat_entity_index", "select key, name, type, len(chunks)::bigint as n_chunks, md5(array_to_string(list_transform(chunks, lambda c: c.doc_id || ':' || c.idx), ',')) as chunks_md5 from flat_index")
+@query("flat_entity_index", "select key, name, type, n_chunks::bigint as n_chunks from flat_index")
+def _(spark, d):
+    return resolve.flat_index(extract.mentions(extract.chunk(_table(spark, d, "documents"))))
+
+
+@query("flat_postings", "select lower(name) as key, doc_id, idx::bigint as idx from mention where name <> ''")
 def _(spark, d):
-    rows = resolve.flat_index(extract.mentions(extract.chunk(_table(spark, d, "documents"))))
-    shown = F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c.doc_id.cast("string"), c.idx.cast("string"))), ",")
-    return rows.select("key", "name", "type", F.size("chunks").cast("long").alias("n_chunks"), F.md5(shown).alias("chunks_md5"))
+    return resolve.flat_postings(extract.mentions(extract.chunk(_table(spark, d, "documents"))))
 
 
-@query("prompt_budget", """select doc_id, batch, count(*)::bigint as n_entities, md5(string_agg(line, chr(10) order by place)) as listing_md5 from (
-    select *, min(case when used + length(line) > 6000 then place end) over (partition by doc_id, batch) as cut from (
-      select *, coalesce(sum(length(line) + 1) over (partition by doc_id, batch order by place rows between unbounded preceding and 1 preceding), 0) as used from (
-        select doc_id, place, (place // 25)::bigint as batch, line from (select doc_id, row_number() over (partition by doc_id order by doc_id, idx, pos, canon) - 1 as place,
-          '- ' || name || ' [' || type || ']: ' || substr(description, 1, 80) as line from entity)))) where cut is null or place < cut group by doc_id, batch""")
+@query("prompt_budget", """select batch, count(*)::bigint as n_entities, md5(string_agg(line, chr(10) order by n)) as listing_md5 from (
+    select *, min(case when used + length(line) > 6000 then n end) over (partition by batch) as cut from (
+      select *, coalesce(sum(length(line) + 1) over (partition by batch order by n rows between unbounded preceding and 1 preceding), 0) as used from (
+        select n, (n // 25)::bigint as batch, '- ' || name || ' [' || type || ']: ' || substr(description, 1, 80) as line from numbered))) where cut is null or n < cut group by batch""")
 def _(spark, d):
     merged = resolve.merge_entities(extract.mentions(extract.chunk(_table(spark, d, "documents"))))
-    return concepts.entity_prompt(merged).select("doc_id", F.col("batch").cast("long").alias("batch"), "n_entities", F.md5("listing").alias("listing_md5"))
+    return concepts.entity_prompt(merged, workspace(spark, "budget")).select(F.col("batch").cast("long").alias("batch"), "n_entities", F.md5("listing").alias("listing_md5"))
 
 
 # ---- vectors ----
 
 
-@query("topk_cosine", """select label, vec_id, similarity, rank::int as rank from (select *, row_number() over (partition by label order by similarity desc, vec_id) as rank from (
-    select label, vec_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)) + 1e-9), 6) as similarity
-    from (select vec_id, label, embedding::double[] as v from embeddings), (select embedding::double[] as q from embeddings order by vec_id limit 1))) where rank <= 5""", plain=True)
+@query("topk_cosine", """select query, label, vec_id, similarity, rank::int as rank from (select *, row_number() over (partition by query, label order by similarity desc, vec_id) as rank from (
+    select query, label, vec_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)) + 1e-9), 6) as similarity
+    from (select vec_id, label, embedding::double[] as v from embeddings), (select vec_id as query, embedding::double[] as q from embeddings where vec_id % 100 = 0))) where rank <= 5""", plain=True)
 def _(spark, d):
+    # the stated queries: ids divisible by 100, against all rows
     rows = _table(spark, d, "embeddings")
-    first = rows.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    pairs = rows.crossJoin(first).select("label", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("label", "vec_id", "similarity", "rank")
+    found = similar.top_pairs(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", "label")
+    return found.select("query", "label", F.col("id").alias("vec_id"), "similarity", "rank")
 
 
-@query("topk_cosine_all")
+@query("l2_normalise", "select vec_id, list_transform(embedding, lambda x: round(x::double / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-9), 6)) as unit from embeddings", plain=True)
 def _(spark, d):
-    # the stated queries: ids divisible by 100, against all rows; topk_cosine has the one query of its SQL
-    rows = _table(spark, d, "embeddings")
-    found = similar.top_pairs(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", "label")
-    return found.select("query", "label", F.col("id").alias("vec_id"), "similarity", "rank")
+    unit = V.normalised(F.col("embedding"))
+    return _table(spark, d, "embeddings").select("vec_id", F.transform(unit, lambda x: F.round(x, 6)).alias("unit"))
 
 
 @query("similar_pairs", """select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.v, b.v), 5) as similarity
@@ -239,7 +219,14 @@ def _(spark, d):
     return similar.similar_pairs(_table(spark, d, "embeddings"), "vec_id", "embedding", 0.35).select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
-@query("dedup_leaders")
+@query("dedup_leaders", """with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+    near as (select a.vec_id as id, list(b.vec_id) as below from v a join v b on b.vec_id < a.vec_id and list_cosine_similarity(a.e, b.e) >= 0.35 group by a.vec_id),
+    place as (select vec_id as id, below, row_number() over (order by vec_id) as n from v left join near on near.id = v.vec_id),
+    scan as (
+      select 0::bigint as n, null::bigint as id, null::bigint as leader, []::bigint[] as leads
+      union all select p.n, p.id, coalesce(list_min(list_intersect(p.below, s.leads)), p.id),
+        case when len(coalesce(list_intersect(p.below, s.leads), [])) = 0 then list_append(s.leads, p.id) else s.leads end from scan s join place p on p.n = s.n + 1)
+    select id, leader from scan where n > 0""", plain=True)
 def _(spark, d):
     rows = _table(spark, d, "embeddings")
     pairs = similar.similar_pairs(rows, "vec_id", "embedding", 0.35)
@@ -256,13 +243,7 @@ def _(spark, d):
 
 @query("concept_drafts", "select concept, member, place::int as place from draft")
 def _(spark, d):
-    documents = _table(spark, d, "documents")
-    return concepts.draft(extract.mentions(extract.chunk(documents)), documents)
-
-
-@query("concept_drafts_whole")
-def _(spark, d):
-    # all merged entities; concept_drafts has the few names a source that its SQL has
+    # all merged entities
     merged = resolve.merge_entities(extract.mentions(extract.chunk(_table(spark, d, "documents"))))
     return concepts.draft_batches(merged, workspace(spark, "drafts"))
 
@@ -283,7 +264,10 @@ def _(spark, d):
     return community.components(members.select("concept").distinct(), concepts.overlap(members), workspace(spark, "components"))
 
 
-@query("community_detect")
+# A batch's runs are a path of five concepts at most. Merging two parts of it gains modularity where
+# twice all edges outnumber the product of their degrees, 16 at most: so with over eight edges in
+# all, the best merges end at the components, which SQL can say.
+@query("community_detect", "select concept, root from label")
 def _(spark, d):
     members = stored(spark, d).concept_member
     return community.detect(members.select("concept").distinct(), concepts.overlap(members), workspace(spark, "detect"))
@@ -350,7 +334,7 @@ def _(spark, d):
     return _retrieved(spark, d).relationships
 
 
-@query("relationship_chain")
+@query("relationship_chain", "select qid, step::bigint as step, source, type, target, evidence from chain_edge")
 def _(spark, d):
     return retrieve.chained(_retrieved(spark, d).relationships)
 
@@ -380,7 +364,11 @@ def _(spark, d):
     return _retrieved(spark, d).path
 
 
-@query("answer_prompts")
+@query("answer_prompts", """select qid, 'Relationships:' || chr(10) || coalesce(listing, '(none)') || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(shown, '') || chr(10) || chr(10) || 'Question: ' || query as prompt
+    from question left join (select qid, string_agg((step + 1) || '. ' || source || ' --[' || type || ']--> ' || target || case when evidence <> '' then ' | ' || substr(evidence, 1, 300) else '' end, chr(10) order by step) as listing
+      from chain_edge where step < 20 group by qid) using (qid)
+    left join (select qid, string_agg(case when length(text) > 1200 then substr(text, 1, 1200) || '...' else text end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by c.doc_id, c.idx, text) as shown
+      from context c join chunk using (chunk_id) group by qid) using (qid)""")
 def _(spark, d):
     store, found = stored(spark, d), _retrieved(spark, d)
     lines = retrieve.relationship_lines(retrieve.chained(found.relationships))
@@ -390,6 +378,14 @@ def _(spark, d):
 # ---- flat pipeline ----
 
 
+@query("baseline_prompts", """select qid, 'Context:' || chr(10) || coalesce(shown, '') || chr(10) || chr(10) || 'Question: ' || query as prompt from question
+    left join (select qid, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as shown from top_chunk join chunk using (chunk_id) where rank <= 5 group by qid) using (qid)""")
+def _(spark, d):
+    store, asked = stored(spark, d), questions(spark, d)
+    texts = retrieve.by_rank(retrieve.top_chunks(asked, store.chunk), store)
+    return retrieve.formed("baseline", asked, None, texts)
+
+
 def _flat(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = extract.mentions(extract.chunk(_table(spark, d, "documents")))
     return questions(spark, d), flat.mentioned(questions(spark, d), resolve.flat_index(found)), found
@@ -402,11 +398,11 @@ def _(spark, d):
 
 @query("flat_context", """select qid, chunk_id, phase::int as phase, place::int as place from (select *, row_number() over (partition by qid order by phase, o1, o2) as place from (
     select qid, chunk_id, 0 as phase, rank as o1, 0 as o2 from top_chunk
-    union all select distinct qid, c.doc_id || '_chunk_' || c.idx, 1, c.doc_id, c.idx from (select qid, unnest(chunks) as c from flat_match)
-      where (qid, c.doc_id || '_chunk_' || c.idx) not in (select (qid, chunk_id) from top_chunk))) where place <= 10""")
+    union all select distinct qid, doc_id || '_chunk_' || idx, 1, doc_id, idx from flat_match f join mention m on lower(m.name) = f.key
+      where (qid, doc_id || '_chunk_' || idx) not in (select (qid, chunk_id) from top_chunk))) where place <= 10""")
 def _(spark, d):
-    asked, matched, _found = _flat(spark, d)
-    return flat.merged_context(retrieve.top_chunks(asked, stored(spark, d).chunk, DEFAULT.flat_top_k), matched)
+    asked, matched, found = _flat(spark, d)
+    return flat.merged_context(retrieve.top_chunks(asked, stored(spark, d).chunk, DEFAULT.flat_top_k), matched, resolve.flat_postings(found))
 
 
 @query("flat_relationships", """select qid, place::int as place, source, target, type from (select *, row_number() over (partition by qid order by doc_id, idx, pos) as place from (
@@ -467,15 +463,25 @@ def _(spark, d):
 # ---- explain and export ----
 
 
-@query("trace_stages", f"""select qid, stage, rank::int as rank, item, score, flag, repeat('#', floor(greatest(score, 0) * 30)::int) || repeat('.', 30 - floor(greatest(score, 0) * 30)::int) as bar from (
+@query("trace_stages", f"""select qid, stage, rank::int as rank, item, score::double as score, flag, repeat('#', floor(greatest(score, 0) * 30)::int) || repeat('.', 30 - floor(greatest(score, 0) * 30)::int) as bar from (
     select qid, '1 communities' as stage, rank, community as item, similarity as score,
       case when rank <= 3 and (similarity >= 0.35 or rank = 1) then 'SELECTED' when similarity < 0.35 then 'BELOW THRESHOLD' else 'DROPPED' end as flag
-    from (select *, row_number() over (partition by qid order by similarity desc, community) as rank from (select qid, community, {__import__("loam.plans.oracle", fromlist=["cosine"]).cosine("embedding", "q")} as similarity from community, question))
-    union all select qid, '2 concepts', rank, concept, relevance, case when rank <= 10 then 'SELECTED' else 'DROPPED' end
-    from (select *, row_number() over (partition by qid order by relevance desc, concept) as rank from (select qid, concept, {__import__("loam.plans.oracle", fromlist=["cosine"]).cosine("embedding", "q")} as relevance
-      from (select distinct qid, concept from matched join community_concept using (community)) join concept using (concept) join question using (qid))))""")
+    from (select *, row_number() over (partition by qid order by similarity desc, community) as rank from (select qid, community, {cosine("embedding", "q")} as similarity from community, question))
+    union all select qid, '2 concepts', rank, concept, relevance, case when rank <= 10 then 'SELECTED' else 'DROPPED' end from t_concept
+    union all select qid, '3 entities', rank, way, relevance, case when rank <= 25 then 'SELECTED' else 'DROPPED' end from t_entity
+    union all select qid, '4 chunks', rank, chunk_id || ' (via ' || n || ' entities)', 0, case when rank <= 6 then 'READ' else 'LISTED' end from t_chunk)""")
 def _(spark, d):
-    return explain.trace(questions(spark, d), stored(spark, d))
+    return explain.trace(questions(spark, d), stored(spark, d), folder=workspace(spark, "trace"))
+
+
+@query("path_lines", """select qid, section::int as section, place::int as place, line from (
+    select qid, 1 as section, rank as place, '[' || repeat('#', floor(greatest(similarity, 0) * 20)::int) || repeat('.', 20 - floor(greatest(similarity, 0) * 20)::int) || '] ' || printf('%.3f', similarity) || '  ' || name as line
+      from matched join community using (community)
+    union all select qid, 2, rank, '* ' || concept || ' (relevance=' || printf('%.3f', relevance) || ')' from drilled
+    union all select qid, 3, 1, (select count(*) from collected c where c.qid = q.qid) || ' entities, ' || (select count(*) from context c where c.qid = q.qid) || ' chunks, ' || (select count(*) from edge c where c.qid = q.qid) || ' relationships' from question q
+    union all select qid, 4, place, '> ' || reached_via from (select *, row_number() over (partition by qid order by rank) as place from collected where reached_via is not null) where place <= 4)""")
+def _(spark, d):
+    return retrieve.path_lines(_retrieved(spark, d))
 
 
 @query("hop_counts", "select qid, count(*) filter (hop = 0)::bigint as n_seeds, count(*) filter (hop > 0)::bigint as n_found from reached group by qid")
@@ -494,7 +500,12 @@ def _(spark, d):
     return explain.type_counts(stored(spark, d).entity)
 
 
-@query("export_nodes")
+_COLOUR = "case coalesce(type, 'OTHER') " + " ".join(f"when '{k}' then '{v}'" for k, v in explain.COLOURS.items()) + " else '#7f8c8d' end"
+
+
+@query("export_nodes", f"""select 'comm_' || community as node_id, name as label, 0 as level, '#c0392b' as colour from community
+    union all select 'concept_' || concept, concept, 1, '#2980b9' from concept
+    union all select distinct 'entity_' || name, name, 2, {_COLOUR} from entity""")
 def _(spark, d):
     return explain.nodes(stored(spark, d))
 
@@ -529,6 +540,17 @@ def _(spark, d):
     return graph.ends_where(_supply(spark, d), "type", ["BULK"])
 
 
+@query("induced_edges", """select source, type, target, evidence from relation where source in (select name from entity where type in ('PERSON', 'EVENT')) and target in (select name from entity where type in ('PERSON', 'EVENT'))""")
+def _(spark, d):
+    store = stored(spark, d)
+    return graph.induced(store.relation, graph.nodes_where(store.entity, "type", ["PERSON", "EVENT"]))
+
+
+@query("document_chunks", "select doc_id, count(*)::bigint as n_chunks from chunk0 group by doc_id")
+def _(spark, d):
+    return graph.has_chunk(stored(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
 @query("type_filter", "select name from entity where type in ('PERSON', 'EVENT')")
 def _(spark, d):
     return graph.nodes_where(stored(spark, d).entity, "type", ["PERSON", "EVENT"])

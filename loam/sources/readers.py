@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
+from loam.sources.sinks import cache_file
+from loam.store import numbered, workspace
 
 Extractor = Callable[[bytes], list[str]]
 
@@ -75,7 +77,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     missing = {"query", "ground_truth"} - set(rows.columns)
     if missing:
         raise ValueError(f"questions need {sorted(missing)}")
-    rows = rows.withColumn("loam_place", F.monotonically_increasing_id() + 1)
+    rows = numbered(rows.withColumn("loam_place", F.monotonically_increasing_id()), ["loam_place"], workspace(spark, "questions")).withColumn("loam_place", F.col("n") + 1)
     own = F.col("id").cast("string") if "id" in rows.columns else F.lit(None).cast("string")
     kind = F.col("category") if "category" in rows.columns else F.lit(None).cast("string")
     return rows.select(F.coalesce(own, F.concat(F.lit("q_"), F.col("loam_place"))).alias("id"), F.coalesce(kind, F.lit("general")).alias("category"), "query", "ground_truth")
@@ -83,9 +85,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cache(spark: SparkSession, folder: str, path: str) -> DataFrame | None:
     """Cached extractions of a document, or None."""
-    import hashlib
-
-    at = f"{folder.rstrip('/')}/extraction_{hashlib.md5(path.encode()).hexdigest()[:10]}.json"
+    at = cache_file(folder, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None

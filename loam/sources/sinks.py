@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,14 @@ def read_graph(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
 
 
+def cache_file(folder: str, path: str) -> str:
+    """Where the extractions of a document are kept, by its absolute path."""
+    whole = path if "://" in path else os.path.abspath(path)
+    return f"{folder.rstrip('/')}/extraction_{hashlib.md5(whole.encode()).hexdigest()[:10]}.json"
+
+
 def write_cache(extractions: DataFrame, folder: str, path: str) -> None:
-    extractions.write.mode("overwrite").json(f"{folder.rstrip('/')}/extraction_{hashlib.md5(path.encode()).hexdigest()[:10]}.json")
+    extractions.write.mode("overwrite").json(cache_file(folder, path))
 
 
 def write_json(df: DataFrame, path: str) -> None:

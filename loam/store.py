@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -55,3 +56,15 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str], folder: str, name: str = "numbered") -> DataFrame:
+    """``rows`` with their number ``n`` from 0 in the given order: places within the written parts of
+    a range sort, plus the rows of the parts before. No task gets all rows."""
+    at = F.monotonically_increasing_id()
+    rows = materialize(rows.orderBy(*order).withColumn("loam_at", at), folder, name)
+    rows = rows.withColumns({"loam_part": F.shiftright("loam_at", 33), "loam_k": F.col("loam_at").bitwiseAND((1 << 33) - 1)})
+    parts = rows.groupBy("loam_part").agg(F.count(F.lit(1)).alias("loam_rows"))
+    before = F.sum("loam_rows").over(Window.orderBy("loam_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("loam_part", F.coalesce(before, F.lit(0)).alias("loam_before"))
+    return rows.join(parts, "loam_part").withColumn("n", F.col("loam_before") + F.col("loam_k")).drop("loam_part", "loam_at", "loam_k", "loam_before")

@@ -137,8 +137,8 @@ def test_concepts_take_every_entity(spark):
 def test_a_graph_of_batched_concepts_holds_every_entity(spark):
     text = " ".join(f"Alpha{a}{b}" for a in "abcdefgh" for b in "abcdefgh")
     docs = spark.createDataFrame([(k, text, f"s{k}") for k in range(5)], "doc_id long, text string, source string")
-    assert graph.build(docs).concept_member.count() == 0  # all names are in over three sources
-    whole = graph.build(docs, drafts="batches")
+    assert graph.build(docs, drafts="sources").concept_member.count() == 0  # all names are in over three sources
+    whole = graph.build(docs)
     assert whole.concept_member.select("entity").distinct().count() == whole.entity.count() == 64
 
 

@@ -32,14 +32,14 @@ def key(name):
 
 def test_title_case_reaches_the_end_of_every_text(spark):
     want = {k: None if t is None else title(t) for k, t in texts().items()}
-    got = {r.doc_id: r.title for r in plans.QUERIES["title_case_whole"](spark, FOLDER).collect()}
+    got = {r.doc_id: r.title for r in plans.QUERIES["title_case"](spark, FOLDER).collect()}
     assert any(t and len(t) > 200 for t in got.values()) and got == want
 
 
 def test_canonical_key_of_whole_texts(spark):
     forms = (" The {} (UN)  x", "A The {}", "An {}", "{}")
     want = {k: None if t is None else key(forms[k % 4].replace("{}", t)) for k, t in texts().items()}
-    got = {r.doc_id: r.canon for r in plans.QUERIES["canonical_key_whole"](spark, FOLDER).collect()}
+    got = {r.doc_id: r.canon for r in plans.QUERIES["canonical_key"](spark, FOLDER).collect()}
     assert any(t and len(t) > 200 for t in got.values()) and got == want
 
 
@@ -58,7 +58,7 @@ def test_every_stated_query_searches_all_vectors(spark):
     table = pq.read_table(f"{FOLDER}/embeddings.parquet")
     rows = [(i, label, np.array(v, float)) for i, label, v in zip(*(table[c].to_pylist() for c in ("vec_id", "label", "embedding")), strict=True)]
     asked = [r for r in rows if r[0] % 100 == 0]
-    got = plans.QUERIES["topk_cosine_all"](spark, FOLDER).collect()
+    got = plans.QUERIES["topk_cosine"](spark, FOLDER).collect()
     assert len(asked) > 1 and {(r.query, r.label, r.vec_id, r.rank) for r in got} == brute(rows, asked)
 
 
