@@ -1,55 +1,133 @@
-"""Command line: build a graph, ask it, trace a question, export it.
+"""Command line: build a graph, ask it, compare pipelines, trace a question, export.
 
-    python -m loam build INPUT STORE        INPUT: a directory or .txt file
-    python -m loam ask STORE QUESTION
+    python -m loam build INPUT STORE            INPUT: a directory or .txt file
+    python -m loam ask STORE QUESTION           the graph's prompt, after what retrieval went through
+    python -m loam baseline STORE QUESTION      the prompt of vector search alone
+    python -m loam flat STORE QUESTION          the prompt of vector search and the flat index
+    python -m loam live STORE                   questions from the keyboard, until an empty line
+    python -m loam benchmark STORE QUESTIONS --out FOLDER   all questions of a CSV or JSON file
     python -m loam trace STORE QUESTION
-    python -m loam export STORE TARGET      hierarchy, nodes, edges and a page
+    python -m loam export STORE TARGET          hierarchy, nodes, edges and a page
+
+Run it with spark-submit on a cluster; settings are read from LOAM_* variables and loam.* settings.
+Without a model the commands print prompts, and the benchmark judges an extract of the context.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.config import Config
 from loam.functions import vector as V
-from loam.operators import explain, graph, retrieve
+from loam.operators import evaluate, explain, extract, flat, graph, models, resolve, retrieve
 from loam.session import get_spark
 from loam.sources import readers, sinks
+from loam.store import workspace
 
 
-def asked(spark: SparkSession, question: str):
+def asked(spark: SparkSession, question: str) -> DataFrame:
     return V.embed(spark.createDataFrame([(1, question)], "qid long, query string"), "qid", "query", "q")
 
 
 def build(spark: SparkSession, source: str, store: str) -> None:
+    config = Config.load(spark)
     files, name = readers.read_input(spark, source)
     docs = files.withColumn("doc_id", F.xxhash64("file_name")).select("doc_id", "text", F.col("file_name").alias("source"))
-    built = graph.build(docs, drafts="batches")
+    built = graph.build(docs, config)
     built.save(store)
-    sinks.write_json(graph.statistics(built, docs).withColumn("document", F.lit(name)), f"{store}/statistics")
+    found = extract.mentions(built.chunk)
+    sinks.write_graph({"mention": found, "flat_relation": extract.relationships(found)}, store)
+    sinks.write_json(graph.statistics(built, docs, config).withColumn("document", F.lit(name)), f"{store}/statistics")
+
+
+def retrieval(spark: SparkSession, store: str, questions: DataFrame) -> retrieve.Retrieval:
+    return retrieve.Retrieval(questions, graph.Graph.load(spark, store), Config.load(spark), workspace(spark, "retrieval"))
+
+
+def graph_texts(found: retrieve.Retrieval) -> DataFrame:
+    return retrieve.in_reading_order(found.context, found.graph)
+
+
+def vector_texts(found: retrieve.Retrieval) -> DataFrame:
+    return retrieve.by_rank(retrieve.top_chunks(found.questions, found.graph.chunk, found.config.top_k_chunks), found.graph)
+
+
+def flat_parts(spark: SparkSession, store: str, found: retrieve.Retrieval) -> tuple[DataFrame, DataFrame]:
+    """(qid, chunks) and (qid, place, source, target, type, evidence) of the flat pipeline."""
+    mention, edges = (spark.read.parquet(f"{store}/{name}") for name in ("mention", "flat_relation"))
+    matched = flat.mentioned(found.questions, resolve.flat_index(mention))
+    vector = retrieve.top_chunks(found.questions, found.graph.chunk, found.config.flat_top_k)
+    merged = flat.merged_context(vector, matched, resolve.flat_postings(mention), found.config)
+    return retrieve.by_rank(merged.withColumnRenamed("place", "rank"), found.graph), flat.matched_relationships(matched, edges, found.config)
+
+
+def ask(spark: SparkSession, store: str, question: str, found: retrieve.Retrieval | None = None) -> DataFrame:
+    found = found or retrieval(spark, store, asked(spark, question))
+    return retrieve.formed("graph", found.questions, retrieve.chained(found.relationships), graph_texts(found))
+
+
+def baseline(spark: SparkSession, store: str, question: str) -> DataFrame:
+    found = retrieval(spark, store, asked(spark, question))
+    return retrieve.formed("baseline", found.questions, None, vector_texts(found))
+
+
+def flat_prompt(spark: SparkSession, store: str, question: str) -> DataFrame:
+    found = retrieval(spark, store, asked(spark, question))
+    texts, edges = flat_parts(spark, store, found)
+    return retrieve.formed("flat", found.questions, edges, texts, "place")
+
+
+def benchmark(spark: SparkSession, store: str, questions: str, out: str) -> DataFrame:
+    """(category, metric, pipeline's means and the graph's lead): all questions through the three
+    pipelines, judged offline; details and means are written under ``out``."""
+    rows = readers.read_questions(spark, questions).withColumn("qid", F.xxhash64("id"))
+    found = retrieval(spark, store, V.embed(rows, "qid", "query", "q"))
+    texts = {"baseline": vector_texts(found), "flat": flat_parts(spark, store, found)[0], "graph": graph_texts(found)}
+    means = {}
+    for name, chunks in texts.items():
+        shown = rows.join(chunks, "qid", "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<string>")))
+        extractive = F.array_join(F.slice("chunks", 1, 1), "")  # the offline stand-in for a model's answer
+        judged = models.metrics(shown.select("qid", "category", "query", extractive.alias("answer"), "ground_truth", "chunks"))
+        judged.write.mode("overwrite").json(f"{out}/detailed/{name}")
+        means[name] = evaluate.roll_up(spark.read.schema(judged.schema).json(f"{out}/detailed/{name}"))
+        sinks.write_json(means[name], f"{out}/aggregated/{name}")
+    table = evaluate.compare(means["baseline"], means["graph"])
+    side = means["flat"].unpivot(["category"], list(evaluate.METRICS), "metric", "flat")
+    return table.join(side, ["category", "metric"], "left").select("category", "metric", "baseline", "flat", "graph", "delta", "better")
 
 
-def ask(spark: SparkSession, store: str, question: str):
-    found = retrieve.Retrieval(asked(spark, question), graph.Graph.load(spark, store))
-    lines = retrieve.relationship_lines(retrieve.chained(found.relationships))
-    return retrieve.prompts(found.questions, lines, retrieve.in_reading_order(found.context, found.graph))
+def show(found: retrieve.Retrieval, prompt: DataFrame) -> None:
+    for r in retrieve.path_lines(found).orderBy("section", "place").toLocalIterator():
+        print(r.line)
+    print("\n" + prompt.first().prompt)
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="loam", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("action", choices=["build", "ask", "trace", "export"])
+    parser.add_argument("action", choices=["build", "ask", "baseline", "flat", "live", "benchmark", "trace", "export"])
     parser.add_argument("first")
-    parser.add_argument("second")
-    args = parser.parse_args()
+    parser.add_argument("second", nargs="?")
+    parser.add_argument("--out", default="results")
+    args = parser.parse_args(argv)
+    if args.second is None and args.action != "live":
+        parser.error(f"{args.action} needs two arguments")
     spark = get_spark("loam")
     if args.action == "build":
         build(spark, args.first, args.second)
-    elif args.action == "ask":
-        print(ask(spark, args.first, args.second).first().prompt)
+    elif args.action in ("ask", "live"):
+        for question in [args.second] if args.action == "ask" else iter(lambda: input("question: ").strip(), ""):
+            found = retrieval(spark, args.first, asked(spark, question))
+            show(found, ask(spark, args.first, question, found))
+    elif args.action in ("baseline", "flat"):
+        print({"baseline": baseline, "flat": flat_prompt}[args.action](spark, args.first, args.second).first().prompt)
+    elif args.action == "benchmark":
+        for r in benchmark(spark, args.first, args.second, args.out).orderBy("category", "metric").toLocalIterator():
+            print(f"{r.category:12} {r.metric:22} {r.baseline:8.4f} {r.flat:8.4f} {r.graph:8.4f} {r.delta:+8.4f}{' *' if r.better else ''}")
     elif args.action == "trace":
-        for r in explain.trace(asked(spark, args.second), graph.Graph.load(spark, args.first)).orderBy("stage", "rank").toLocalIterator():
+        for r in explain.trace(asked(spark, args.second), graph.Graph.load(spark, args.first), Config.load(spark), workspace(spark, "trace")).orderBy("stage", "rank").toLocalIterator():
             print(f"{r.stage:14} {r.rank:3} {r.score:8.4f} {r.bar} {r.flag:16} {r.item}")
     else:
         stored = graph.Graph.load(spark, args.first)

@@ -29,7 +29,9 @@ ENTITY_WORDS = "entities (name, type, description) and relationships (source, ta
 
 def call_each(rows: DataFrame, client: Client, prompt: str = "prompt", tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
     """``rows`` with a ``reply`` to each ``prompt``, on ``tasks`` tasks that share the rate limit;
-    a prompt over the model's size gives a null reply. The replies are written."""
+    a prompt over the model's size gives a null reply. The replies are written. There are no more
+    tasks than calls a minute."""
+    tasks = min(tasks, config.calls_per_minute)
     schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -42,6 +42,88 @@ def test_concepts_summaries_and_answers(spark):
     assert models.answers(asked, lambda p: f"because {p}").first().answer == "because why?"
 
 
+def counting(folder, reply):
+    """A client that leaves a file for each call, so calls in any process count."""
+    import uuid
+
+    def ask(prompt):
+        (folder / uuid.uuid4().hex).write_text(prompt)
+        return reply(prompt)
+
+    return ask
+
+
+def test_a_client_sees_every_prompt_once(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, k, f"name{k} text") for k in range(3)] + [(2, 0, "none")], "doc_id long, idx long, text string")
+    first = lambda p: json.dumps([{"segment": k, "entities": [{"name": "x", "type": "ORG"}] if "name0" in p else []} for k in (1, 2, 3)])
+    found = models.extract_adaptive(chunks, counting(tmp_path, first))
+    assert found.count() == 3 and found.count() == 3 and extract.totals(found).first().entities == 3
+    # one batch a document, and the batch without an entity once more, chunk by chunk
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_flat_extraction_reads_the_beginning_of_a_chunk(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, "a" * 2000 + "TAIL"), (1, 1, "broken")], "doc_id long, idx long, text string")
+    reply = json.dumps({"entities": [{"name": " Acme "}, {"name": ""}], "relationships": [{"source": "Acme", "target": "B", "type": "OWNS"}]})
+    named, edges = models.extract_flat(chunks, counting(tmp_path, lambda p: "oops" if "broken" in p else reply))
+    assert [(r.idx, r.name, r.type) for r in named.collect()] == [(0, "Acme", "UNKNOWN")]
+    assert [(r.source, r.target, r.evidence) for r in edges.collect()] == [("Acme", "B", "")]
+    assert not any("TAIL" in p.read_text() for p in tmp_path.iterdir())
+
+
+def test_concepts_are_asked_for_again(spark):
+    found = extract.mentions(spark.createDataFrame([(1, 0, "Alphaone Betatwo")], "doc_id long, idx long, text string"))
+    slept = []
+    assert models.draft_concepts(resolve.merge_entities(found), lambda p: "nothing", sleep=slept.append).count() == 0
+    assert slept == [60, 120, 180]
+
+
+def test_summaries_of_large_communities_name_fewer_members(spark):
+    groups = spark.createDataFrame([("c0", [f"m{k:02}" for k in range(40)]), ("c1", ["a"])], "community string, members array<string>")
+    TokenLimit = client.TokenLimitError
+
+    def ask(prompt):
+        if prompt.count(",") >= 15:
+            raise TokenLimit
+        return "" if "m00" in prompt else "fine"
+
+    got = {r.community: r.summary for r in models.summaries(groups, ask).collect()}
+    assert got == {"c0": "Community covering: " + ", ".join(f"m{k:02}" for k in range(15)), "c1": "fine"}
+
+
+def test_fatal_errors_are_not_tried_again():
+    import pytest
+
+    for text, kind in (("Error 401: invalid api key", client.FatalError), ("413 request too large", client.TokenLimitError), ("daily quota reached", client.QuotaError)):
+        calls = []
+
+        def broken(prompt, text=text, calls=calls):
+            calls.append(prompt)
+            raise RuntimeError(text)
+
+        with pytest.raises(kind):
+            client.call(broken, "p", client.RateLimiter(100), sleep=lambda s: None)
+        assert len(calls) == 1
+    slept = []
+    assert client.call(lambda p: (_ for _ in ()).throw(RuntimeError("429 rate_limit")), "p", client.RateLimiter(100), attempts=3, sleep=slept.append) == "" and slept == [60.0, 120.0]
+
+
+def test_no_minute_holds_more_calls_than_allowed():
+    import pytest
+
+    for per_minute, tasks in ((28, 1), (28, 3), (28, 28), (1, 1)):
+        at = []
+        for _ in range(tasks):
+            now = [0.0]
+            limiter = client.RateLimiter(per_minute, tasks, clock=lambda now=now: now[0], sleep=lambda s, now=now: now.__setitem__(0, now[0] + s))
+            for _ in range(40):
+                limiter.wait()
+                at.append(now[0])
+        assert max(sum(1 for u in at if t <= u <= t + 60) for t in at) <= per_minute
+    with pytest.raises(ValueError):
+        client.RateLimiter(28, 29)
+
+
 def test_metrics_and_judges(spark):
     rows = spark.createDataFrame([(1, "factual", "where is the tower", "the tower stands", "the tower", ["the tower stands here"]), (2, "global", "x", "", "y", [])], "qid long, category string, query string, answer string, ground_truth string, chunks array<string>")
     got = {r.qid: r for r in models.metrics(rows).collect()}
@@ -51,6 +133,77 @@ def test_metrics_and_judges(spark):
     assert scores == {1: 0.75, 2: 0.0}
 
 
+def test_vectors_of_a_model_of_any_width(spark):
+    """The whole retrieval on vectors of 7 entries, and the nearest rows against numpy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from loam.functions import vector as V
+    from loam.operators import graph, retrieve, similar
+
+    def encode(texts):
+        return np.array([[len(t) % 5 + 1.0, t.count("a"), t.count("e"), t.count("t"), t.count("s"), t.count("n"), 1.0] for t in texts])
+
+    embed = V.model_embed(encode, batch=3)
+    docs = spark.createDataFrame([(k, f"Alpha{'abcdefgh'[k]}zz meets Betas{'hgfedcba'[k]}qq at noon. " * 4, "s") for k in range(8)], "doc_id long, text string, source string")
+    built = graph.build(docs, embed=embed)
+    asked = embed(spark.createDataFrame([(1, "what meets"), (2, None)], "qid long, query string"), "qid", "query", "q")
+    assert {len(r.embedding) for r in built.entity.collect()} == {7}
+    found = retrieve.Retrieval(asked, built)
+    assert found.path.count() == 2 and found.entities.count() > 0
+    rows = built.chunk.select("chunk_id", "embedding").collect()
+    q = {r.qid: np.array(r.q) for r in asked.collect()}
+    got = {(r.qid, r.chunk_id) for r in retrieve.top_chunks(asked, built.chunk, 3).collect()}
+    want = set()
+    for i, v in q.items():
+        score = sorted((-round(float(np.dot(v, r.embedding) / (np.linalg.norm(v) * np.linalg.norm(r.embedding) + 1e-9)), 6), r.chunk_id) for r in rows)
+        want |= {(i, c) for _, c in score[:3]}
+    assert got == want
+    other = spark.createDataFrame([(9, [1.0, 2.0])], "qid long, q array<double>")
+    assert retrieve.top_chunks(other, built.chunk).count() == 0  # another width has no cosine
+    many = spark.range(9000).select(F.col("id").alias("qid"), F.array(*[(F.col("id") % (k + 2)).cast("double") for k in range(7)]).alias("q"))
+    assert similar.nearest(built.chunk, many, "chunk_id", 2).groupBy("qid").count().count() == 9000  # several slices
+
+
+def test_questions_are_numbered_over_files(spark, tmp_path):
+    from loam.sources import readers
+
+    for k in range(3):
+        (tmp_path / f"q{k}.csv").write_text("query,ground_truth\n" + "".join(f"a{k}{j},b\n" for j in range(4)))
+    got = sorted(r.id for r in readers.read_questions(spark, f"{tmp_path}/*.csv").collect())
+    assert got == sorted(f"q_{k}" for k in range(1, 13))
+
+
+def test_unknown_methods_are_refused(spark):
+    import pytest
+
+    from loam.operators import graph
+
+    with pytest.raises(ValueError):
+        graph.build(spark.createDataFrame([], "doc_id long, text string, source string"), method="leiden")
+
+
+def test_command_line_pipelines(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for k, (a, b) in enumerate([("Alphaone", "Betatwo"), ("Betatwo", "Gammathree"), ("Gammathree", "Deltafour")]):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"{a} meets {b}. {a} leaves {b}.")
+    (tmp_path / "q.csv").write_text('id,category,query,ground_truth\n1,factual,What does Alphaone do?,"meets Betatwo"\n2,global,Who meets Deltafour?,Gammathree\n')
+    store = str(tmp_path / "store")
+    monkeypatch.setattr(cli, "get_spark", lambda app: spark)
+    cli.main(["build", str(tmp_path / "in"), store])
+    cli.main(["ask", store, "What does Alphaone do?"])
+    cli.main(["baseline", store, "What does Alphaone do?"])
+    cli.main(["flat", store, "What does Alphaone do?"])
+    said = iter(["Who meets Deltafour?", ""])
+    monkeypatch.setattr("builtins.input", lambda p: next(said))
+    cli.main(["live", store])
+    cli.main(["trace", store, "What does Alphaone do?"])
+    cli.main(["benchmark", store, str(tmp_path / "q.csv"), "--out", str(tmp_path / "out")])
+    out = capsys.readouterr().out
+    assert "Entity relationships:" in out and "4 chunks" in out and "Relationships:" in out and "Who meets Deltafour?" in out
+    assert "overall" in out and "context_recall" in out and (tmp_path / "out" / "detailed" / "flat").is_dir()
+
+
 def test_command_line_steps(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("Alphaone meets Betatwo.")
