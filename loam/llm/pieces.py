@@ -9,7 +9,7 @@ into the alignment and give the source span of each piece. The lengths must add
 normalised text, which is checked for every document. Decoding joins the pieces' bytes.
 
 Where no piece of the model goes on past the blank that ends a word, words are merged apart,
-and the pieces of up to twice ``REMEMBERED`` short words are kept at hand. The library is not called: it
+many side by side, and the pieces of ``REMEMBERED`` or so short words are kept at hand. The library is not called: it
 is what the tests hold ids and decoded texts against.
 
 Defined results: null and empty text give the end id alone, with an empty span; a model must be of
@@ -33,8 +33,8 @@ from loam.llm import textkit
 
 BLANK = "▁"
 SPACE = BLANK.encode()
-REMEMBERED = 150_000
-#: Words of more characters are not kept at hand, and are merged with a heap.
+REMEMBERED = 250_000
+#: Words of more characters are not kept at hand, and are merged one by one with a heap.
 SHORT = 40
 # Fixed values of the format: the kinds of pieces, and of models.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -179,47 +179,109 @@ class Segmenter:
         if len(self.byte) != 256:
             raise ValueError("the model has no byte pieces")
         apart = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
-        self.words = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if apart else r"(?s:.+)").findall
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for word in self.words(text):
-            found = known.get(word)
-            if found is None:
-                found = self.older.get(word) or self.merged(word)
-                if len(word) <= SHORT:
-                    if len(known) >= REMEMBERED:  # words seen since the last turn stay for another
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[word] = found
-            out += found
+        # control characters that no piece holds stand alone: nothing merges with them
+        alone = "".join(f"\\x{c:02x}" for c in range(32) if not any(chr(c) in p for p in self.ids))
+        some = f"[{alone}]|" if alone else ""
+        self.words = re.compile(f"{some}{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+" if apart else r"(?s:.+)").findall
+        self.known: dict[str, bytes] = {}  # 32-bit ids
+        self._tables()
+
+    def _tables(self) -> None:
+        """Symbols (pieces, and characters of pieces) as numbers, and what two of them make."""
+        symbols = list(self.ids)
+        symbols += sorted({c for p in symbols for c in p} - set(symbols))
+        number = {p: k for k, p in enumerate(symbols)}
+        self.piece_of = np.array([self.ids.get(p, -1) for p in symbols], np.int32)
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for p, k in number.items():
+            if len(p) == 1:
+                self.symbol_of[ord(p)] = k
+        ranks = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.wide = len(symbols)
+        pairs = sorted((number[p[:k]] * self.wide + number[p[k:]], ranks[x], number[p]) for p, x in self.score.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.pair, self.rank, self.whole = (np.array([r[c] for r in pairs], np.int64) for c in range(3))
+        self.none = len(ranks)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, 32 bits each. Words seen before are looked up, the others merged
+        side by side."""
+        split = [self.words(t) for t in texts]
+        seen = set().union(*split)
+        new = seen - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {w: x for w, x in self.known.items() if w in seen}
+        short = [w for w in new if len(w) <= SHORT]
+        self.known.update(zip(short, self.merged_short(short), strict=True))
+        long_ = [w for w in new if len(w) > SHORT]
+        self.known.update((w, self.merged(w)) for w in long_)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for w in long_:
+            del self.known[w]
         return out
 
-    def merged(self, word: str) -> list[int]:
-        parts = self._few(list(word)) if len(word) <= SHORT else self._many(list(word))
+    def merged_short(self, words: list[str]) -> list[bytes]:
+        """``merged`` of many words at once: each round makes the best merge of every word."""
+        if not words:
+            return []
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        symbol = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        owner = np.repeat(np.arange(len(words)), length)
+        rank, whole = self._pairs(symbol[:-1], symbol[1:])
+        rank, whole = np.append(rank, self.none), np.append(whole, -1)
+        rank[np.cumsum(length) - 1] = self.none
+        done = []
+        while len(symbol):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            least = np.minimum.reduceat(rank, first)
+            size = np.diff(np.append(first, len(owner)))
+            more = np.repeat(least < self.none, size)
+            done.append((owner[~more], symbol[~more]))
+            if not more.any():
+                break
+            least = np.repeat(least, size)[more]
+            symbol, owner, rank, whole = symbol[more], owner[more], rank[more], whole[more]
+            at = np.flatnonzero(rank == least)
+            at = at[np.diff(owner[at], prepend=-1) > 0]  # the leftmost of each word
+            symbol[at] = whole[at]
+            keep = np.ones(len(symbol), bool)
+            keep[at + 1] = False
+            ends = np.append(owner[1:] != owner[:-1], True)[at + 1]
+            at = at - np.arange(len(at))  # places once the second symbols are gone
+            symbol, owner, rank, whole = symbol[keep], owner[keep], rank[keep], whole[keep]
+            right = at[~ends]
+            rank[at[ends]] = self.none
+            rank[right], whole[right] = self._pairs(symbol[right], symbol[right + 1])
+            left = at[(at > 0)]
+            left = left[owner[left - 1] == owner[left]] - 1
+            rank[left], whole[left] = self._pairs(symbol[left], symbol[left + 1])
+        owner, symbol = (np.concatenate([d[c] for d in done]) for c in range(2))
+        order = np.argsort(owner, kind="stable")
+        owner, symbol = owner[order], symbol[order]
+        ids = np.where(symbol >= 0, self.piece_of[symbol], -1)
+        ends = np.searchsorted(owner, np.arange(len(words)), "right").tolist()
+        flat, lo, out = ids.astype(np.int32).tobytes(), 0, []
+        for hi in ends:
+            out.append(flat[4 * lo : 4 * hi])
+            lo = hi
+        for k in np.unique(owner[ids < 0]).tolist():  # characters that no piece is: bytes
+            out[k] = self.merged(words[k])
+        return out
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of what two symbols make; the last rank where they make nothing."""
+        key = left.astype(np.int64) * self.wide + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = (self.pair[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.rank[at], self.none), np.where(hit, self.whole[at], -1)
+
+    def merged(self, word: str) -> bytes:
         out = []
-        for part in parts:
+        for part in self._merged_parts(list(word)):
             k = self.ids.get(part)
             out += [k] if k is not None else [self.byte[b] for b in part.encode()]
-        return out
+        return np.array(out, np.int32).tobytes()
 
-    def _few(self, parts: list[str]) -> list[str]:
-        score, none = self.score.get, -np.inf
-        scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while scores and (best := max(scores)) > none:
-            k = scores.index(best)
-            parts[k] += parts.pop(k + 1)
-            del scores[k]
-            if k < len(scores):
-                scores[k] = score(parts[k] + parts[k + 1], none)
-            if k:
-                scores[k - 1] = score(parts[k - 1] + parts[k], none)
-        return parts
-
-    def _many(self, parts: list[str]) -> list[str]:
+    def _merged_parts(self, parts: list[str]) -> list[str]:
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
@@ -274,15 +336,16 @@ class Encoder:
         else:
             both = [self.normalizer(t.encode()) for t in texts]
             normal = [x.decode() for x, _ in both]
-        found = [self.segment(t) + [self.end] for t in normal]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        ids = np.array([k for x in found for k in x], np.int32)
+        last = np.array([self.end], np.int32).tobytes()
+        found = [x + last for x in self.segment(normal)]
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int64)
+        ids = np.frombuffer(b"".join(found), np.int32)
         if self.plain:
             begins, ends = self._plain_spans(texts, ids, offsets)
         else:
             spans = [self.spans(*pair, ids[lo:hi]) for pair, lo, hi in zip(both, offsets, offsets[1:], strict=False)]
             begins, ends = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in spans)]) for k in (0, 1))
-        return ids, offsets.astype(np.int32), begins.astype(np.int32), ends.astype(np.int32), [self.decode(x) for x in found]
+        return ids, offsets.astype(np.int32), begins.astype(np.int32), ends.astype(np.int32), [self.decode(np.frombuffer(x, np.int32).tolist()) for x in found]
 
     def decode(self, ids: list[int]) -> str:
         whole = b"".join(map(self.surface.__getitem__, ids))
