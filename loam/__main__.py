@@ -1,13 +1,13 @@
 """Command line: build a graph, ask it, compare pipelines, trace a question, export.
 
-    python -m loam build INPUT STORE            INPUT: a directory or .txt file
+    python -m loam build INPUT STORE            INPUT: a directory, or a .txt or .pdf file
     python -m loam ask STORE QUESTION           the graph's prompt, after what retrieval went through
     python -m loam baseline STORE QUESTION      the prompt of vector search alone
     python -m loam flat STORE QUESTION          the prompt of vector search and the flat index
     python -m loam live STORE                   questions from the keyboard, until an empty line
     python -m loam benchmark STORE QUESTIONS --out FOLDER   all questions of a CSV or JSON file
     python -m loam trace STORE QUESTION
-    python -m loam export STORE TARGET          hierarchy, nodes, edges and a page
+    python -m loam export STORE TARGET          hierarchy, nodes, edges and a page (--question: marked)
 
 Run it with spark-submit on a cluster; settings are read from LOAM_* variables and loam.* settings.
 Without a model the commands print prompts, and the benchmark judges an extract of the context.
@@ -24,7 +24,7 @@ from loam.config import Config
 from loam.functions import vector as V
 from loam.operators import evaluate, explain, extract, flat, graph, models, resolve, retrieve
 from loam.session import get_spark
-from loam.sources import readers, sinks
+from loam.sources import pdf, readers, sinks
 from loam.store import workspace
 
 
@@ -34,7 +34,7 @@ def asked(spark: SparkSession, question: str) -> DataFrame:
 
 def build(spark: SparkSession, source: str, store: str) -> None:
     config = Config.load(spark)
-    files, name = readers.read_input(spark, source)
+    files, name = readers.read_input(spark, source, pdf.pages)
     docs = files.withColumn("doc_id", F.xxhash64("file_name")).select("doc_id", "text", F.col("file_name").alias("source"))
     built = graph.build(docs, config)
     built.save(store)
@@ -111,6 +111,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("first")
     parser.add_argument("second", nargs="?")
     parser.add_argument("--out", default="results")
+    parser.add_argument("--question")
     args = parser.parse_args(argv)
     if args.second is None and args.action != "live":
         parser.error(f"{args.action} needs two arguments")
@@ -134,7 +135,8 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_text(explain.hierarchy(stored).orderBy("community"), f"{args.second}/hierarchy", "tree")
         sinks.write_json(explain.nodes(stored), f"{args.second}/nodes")
         sinks.write_json(explain.edges(stored), f"{args.second}/edges")
-        sinks.write_text(explain.html(stored), f"{args.second}/page")
+        shown = explain.overlay(retrieval(spark, args.first, asked(spark, args.question))) if args.question else None
+        sinks.write_text(explain.html(stored, shown), f"{args.second}/page")
 
 
 if __name__ == "__main__":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.config import DEFAULT
 from loam.operators.resolve import numbered
+from loam.operators.within import holding
 
 MEMBERS = 6
 
@@ -50,9 +51,10 @@ def resolve_members(drafts: DataFrame, entities: DataFrame) -> DataFrame:
     lower = names.groupBy(F.lower("entity").alias("key")).agg(F.min("entity").alias("by_lower"))
     rows = exact.join(lower, F.lower(F.trim("member")) == F.col("key"), "left").withColumn("entity", F.coalesce("entity", "by_lower"))
     open_ = rows.filter("entity is null").select("concept", "member").distinct()
-    # few members are left here; each meets the names once, in either direction
-    m, n = F.lower("member"), F.lower("near")
-    loose = open_.join(names.withColumnRenamed("entity", "near"), F.contains(n, m) | F.contains(m, n)).groupBy("concept", "member").agg(F.min("near").alias("entity"))
+    open_ = open_.withColumn("m", F.lower("member"))
+    near = names.select(F.col("entity").alias("near"), F.lower("entity").alias("n"))
+    inside = holding(open_, "m", near, "n").unionByName(holding(near, "n", open_, "m"))  # either holds the other
+    loose = inside.groupBy("concept", "member").agg(F.min("near").alias("entity"))
     found = rows.filter("entity is not null").select("concept", "entity").unionByName(loose.select("concept", "entity")).distinct()
     enough = found.groupBy("concept").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("concept")
     return found.join(enough, "concept", "left_semi")

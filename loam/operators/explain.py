@@ -85,10 +85,41 @@ def edges(graph: Graph) -> DataFrame:
     return rows.join(known.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
 
 
-def html(graph: Graph) -> DataFrame:
-    """(line): a self-contained page with the nodes and edges as JSON rows, in pieces."""
-    head = graph.chunk.sparkSession.createDataFrame([(0, "<!DOCTYPE html><meta charset='utf-8'><title>graph</title><script>const rows=[")], "part int, line string")
-    tail = graph.chunk.sparkSession.createDataFrame([(2, "];document.write(rows.length+' rows')</script>")], "part int, line string")
-    body = nodes(graph).select(F.lit(1).alias("part"), F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("line"))
-    body = body.unionByName(edges(graph).select(F.lit(1).alias("part"), F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("line")))
-    return head.unionByName(body).unionByName(tail).orderBy("part", "line").select("line")
+_HEAD = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>graph</title>
+<style>body{margin:0;font:13px sans-serif}canvas{display:block}#bar{position:fixed;top:8px;left:8px;background:#fffc;padding:6px}</style></head>
+<body><div id="bar"><input id="find" placeholder="node"> hops <input id="hops" type="number" value="2" min="0" max="9"> <select id="kind"><option value="">all relations</option></select> <span id="said"></span></div>
+<canvas id="view"></canvas><script>const nodes=[],edges=[],path=[];"""
+# The layers stand in rings, communities inside; a click or a search marks what is within so many hops.
+_TAIL = """const at=new Map(),next=new Map();let marked=null;
+const rings=[120,300,520],view=document.getElementById('view'),pen=view.getContext('2d'),said=document.getElementById('said');
+[0,1,2].forEach(l=>{const own=nodes.filter(n=>n.level===l);own.forEach((n,k)=>{const a=2*Math.PI*k/own.length;at.set(n.node_id,{x:Math.cos(a)*rings[l],y:Math.sin(a)*rings[l],n})})});
+edges.forEach(e=>{for(const[a,b]of[[e.source_id,e.target_id],[e.target_id,e.source_id]]){if(!next.has(a))next.set(a,[]);next.get(a).push(b)}});
+[...new Set(edges.map(e=>e.label))].sort().forEach(t=>document.getElementById('kind').add(new Option(t,t)));
+function within(id,hops){let seen=new Set([id]),edge=[id];while(hops-->0){edge=edge.flatMap(x=>next.get(x)||[]).filter(x=>!seen.has(x)&&seen.add(x))}return seen}
+function draw(){view.width=innerWidth;view.height=innerHeight;const s=Math.min(innerWidth,innerHeight)/1120,X=p=>innerWidth/2+p.x*s,Y=p=>innerHeight/2+p.y*s,kind=document.getElementById('kind').value;
+const lit=marked||(path.length?new Set(path):null),on=id=>!lit||lit.has(id);
+edges.forEach(e=>{const a=at.get(e.source_id),b=at.get(e.target_id);if(!a||!b||kind&&e.label!==kind)return;pen.strokeStyle=lit&&on(e.source_id)&&on(e.target_id)?'#c0392b':lit?'#eee':'#ccc';pen.beginPath();pen.moveTo(X(a),Y(a));pen.lineTo(X(b),Y(b));pen.stroke()});
+at.forEach((p,id)=>{pen.globalAlpha=on(id)?1:.15;pen.fillStyle=p.n.colour;pen.beginPath();pen.arc(X(p),Y(p),9-3*p.n.level,0,7);pen.fill();if(lit&&on(id)){pen.fillStyle='#000';pen.fillText(p.n.label,X(p)+8,Y(p))}});pen.globalAlpha=1;
+said.textContent=nodes.length+' nodes, '+edges.length+' edges'+(lit?', '+lit.size+' marked':'')}
+function mark(id){marked=id?within(id,+document.getElementById('hops').value):null;draw()}
+view.onclick=e=>{const s=Math.min(innerWidth,innerHeight)/1120;let best=null,d=100;at.forEach((p,id)=>{const q=(innerWidth/2+p.x*s-e.clientX)**2+(innerHeight/2+p.y*s-e.clientY)**2;if(q<d){d=q;best=id}});mark(best)};
+document.getElementById('find').onchange=e=>{const n=nodes.find(n=>n.label.toLowerCase()===e.target.value.toLowerCase());mark(n&&n.node_id)};
+document.getElementById('kind').onchange=draw;onresize=draw;draw();</script></body></html>"""
+
+
+def html(graph: Graph, shown: DataFrame | None = None) -> DataFrame:
+    """(line): a self-contained page that draws the network, marks neighbourhoods and filters
+    relations. ``shown`` (node_id): a retrieval's nodes, marked from the start (``overlay``)."""
+    spark = graph.chunk.sparkSession
+    line = lambda part, df, name: df.select(F.lit(part).alias("part"), F.concat(F.lit(f"{name}.push("), F.replace(F.to_json(F.struct("*")), F.lit("</"), F.lit("<\\/")), F.lit(");")).alias("line"))
+    body = line(1, nodes(graph), "nodes").unionByName(line(2, edges(graph), "edges"))
+    if shown is not None:
+        body = body.unionByName(shown.distinct().select(F.lit(3).alias("part"), F.concat(F.lit("path.push("), F.replace(F.to_json(F.struct("node_id")), F.lit("</"), F.lit("<\\/")), F.lit(".node_id);")).alias("line")))
+    ends = spark.createDataFrame([(0, _HEAD), (4, _TAIL)], "part int, line string")
+    return ends.unionByName(body).orderBy("part", "line").select("line")
+
+
+def overlay(found: R.Retrieval) -> DataFrame:
+    """(node_id): the communities, concepts and entities that a retrieval went through."""
+    named = lambda df, prefix, name: df.select(F.concat(F.lit(prefix), F.col(name)).alias("node_id"))
+    return named(found.communities, "comm_", "community").unionByName(named(found.concepts, "concept_", "concept")).unionByName(named(found.entities, "entity_", "name")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.config import DEFAULT, Config
+from loam.operators.within import holding
 
 
 def terms(index: DataFrame) -> DataFrame:
@@ -15,21 +16,10 @@ def terms(index: DataFrame) -> DataFrame:
 
 
 def mentioned(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, key, name): entities of which a term stands in the question as a substring.
-
-    Every stretch of a question as long as some term is joined with the terms by equality, so the
-    work is that of the questions' letters and of the index, not of their product. How many lengths
-    there are is bounded by the longest name.
-    """
-    known = terms(index)
-    lengths = sorted(r.n for r in known.select(F.length("term").alias("n")).distinct().collect())
-    if not lengths:
-        return questions.select("qid").join(index.select("key", "name").limit(0))
-    q = F.lower("query")
-    stretch = lambda n: F.transform(F.sequence(F.lit(1), F.length(q) - n + 1), lambda i: F.substr(q, i, F.lit(n)))
-    each = [F.when(F.length(q) >= n, stretch(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
-    seen = questions.select("qid", F.explode(F.array_distinct(F.concat(*each))).alias("term"))
-    return seen.join(known, "term").select("qid", "key").distinct().join(index.select("key", "name"), "key").select("qid", "key", "name")
+    """(qid, key, name): entities of which a term stands in the question as a substring."""
+    lower = questions.select("qid", F.lower("query").alias("loam_query"))
+    hits = holding(lower, "loam_query", terms(index), "term").select("qid", "key").distinct()
+    return hits.join(index.select("key", "name"), "key").select("qid", "key", "name")
 
 
 def merged_context(vector: DataFrame, matched: DataFrame, postings: DataFrame, config: Config = DEFAULT) -> DataFrame:

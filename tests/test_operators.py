@@ -232,3 +232,29 @@ def test_call_retries_then_gives_up():
         raise OSError
 
     assert client.call(broken, "p", client.RateLimiter(100), attempts=3, sleep=lambda s: None) == "" and len(calls) == 3
+
+
+def test_substrings_by_equality(spark):
+    from loam.operators.within import holding
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab c\u00e9\U0001f642") for _ in range(rng.randint(0, 12))) for _ in range(40)] + [""]
+    terms = sorted({"".join(rng.choice("ab c\u00e9\U0001f642") for _ in range(rng.randint(0, 4))) for _ in range(30)})
+    t = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k long, text string")
+    q = spark.createDataFrame([(x,) for x in terms], "term string")
+    got = {(r.k, r.term) for r in holding(t, "text", q, "term").collect()}
+    assert got == {(k, y) for k, x in enumerate(texts) for y in terms if y and y in x}
+    assert holding(t, "text", q.limit(0), "term").count() == 0
+
+
+def test_page_holds_the_network_and_a_retrieval(spark):
+    from loam.operators import explain
+
+    text = "Alphaone meets Betatwo. Gammathree leaves Alphaone. </script>"
+    built = graph.build(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"))
+    asked = V.embed(spark.createDataFrame([(1, "Alphaone")], "qid long, query string"), "qid", "query", "q")
+    shown = explain.overlay(retrieve.Retrieval(asked, built))
+    page = "\n".join(r.line for r in explain.html(built, shown).collect())
+    assert page.startswith("<!DOCTYPE html>") and page.endswith("</html>") and page.count("</script>") == 1
+    assert page.count("nodes.push(") == explain.nodes(built).count() and page.count("edges.push(") == explain.edges(built).count()
+    assert page.count("path.push(") == shown.count() > 0

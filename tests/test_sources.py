@@ -78,3 +78,28 @@ def test_streamed_documents_merge_as_the_batch_does(spark, tmp_path):
     whole = resolve.merge_entities(extract.mentions(extract.chunk(docs)))
     key = lambda df: sorted((r.canon, r.name, r.type, r.n_mentions) for r in df.collect())
     assert key(ingest.merged_entities(spark, str(tmp_path / "out"))) == key(whole)
+
+
+def made_pdf(pages, deflate):
+    import zlib
+
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (3 + 2 * k) for k in range(len(pages))), len(pages))]
+    for k, lines in enumerate(pages):
+        shown = b" ".join(b"(%s) Tj 0 -14 Td" % x.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") for x in lines)
+        body = b"BT /F1 12 Tf 72 700 Td " + shown + b" [(ker) -20 (ned)] TJ <48 69> Tj ET"
+        packed = zlib.compress(body) if deflate else body
+        objects += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (4 + 2 * k), b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(packed), b" /Filter /FlateDecode" if deflate else b"", packed)]
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (k, o) for k, o in enumerate(objects, 1)) + b"\ntrailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_pages(spark, tmp_path):
+    from loam.sources import pdf, readers
+
+    pages = [["Alphaone (UN) meets", "Betatwo \u00e9"], ["back\\slash"]]
+    for deflate in (False, True):
+        data = made_pdf(pages, deflate)
+        assert pdf.pages(data) == ["Alphaone (UN) meets\nBetatwo \u00e9\nkernedHi\n", "back\\slash\nkernedHi\n"]
+        (tmp_path / f"{deflate}.pdf").write_bytes(data)
+    assert pdf.pages(b"no pdf") == [] and pdf.pages(b"") == []
+    files, _ = readers.read_input(spark, str(tmp_path), pdf.pages)
+    assert [r.text.startswith("Alphaone (UN) meets\nBetatwo") for r in files.collect()] == [True, True]
