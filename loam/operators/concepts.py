@@ -26,7 +26,7 @@ def draft(found: DataFrame, documents: DataFrame) -> DataFrame:
 
 def draft_batches(entities: DataFrame, folder: str, per_batch: int = DEFAULT.concept_batch) -> DataFrame:
     """(concept, member, place): every merged entity, in batches of ``per_batch`` in entity order,
-    as the reference puts them to its model. The offline stand-in for the reply: runs of two to six
+    as they are put to a model. The offline stand-in for the reply: runs of two to six
     neighbours, each sharing its last member with the next run of the batch.
 
     Every entity is in one concept or two; a batch of one alone makes a concept of one member, which

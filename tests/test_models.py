@@ -180,7 +180,7 @@ def test_unknown_methods_are_refused(spark):
     from loam.operators import graph
 
     with pytest.raises(ValueError):
-        graph.build(spark.createDataFrame([], "doc_id long, text string, source string"), method="leiden")
+        graph.build(spark.createDataFrame([], "doc_id long, text string, source string"), method="unknown")
 
 
 def test_command_line_pipelines(spark, tmp_path, capsys, monkeypatch):
