@@ -135,6 +135,20 @@ def least_reached(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
     return root
 
 
+def first_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For every row of ``n`` the first row within reach over the pairs (i, j)."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root] != root).any():  # every row hangs on its root again
+            root[up] = root[root[up]]
+
+
 def _stars(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """One large-star and one small-star step on distinct edges (hi, lo) with hi > lo.
 

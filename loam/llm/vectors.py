@@ -37,8 +37,9 @@ COSINE = 0.93
 MISS = 1e-4
 LOAD = 16
 BITS = 128
-#: Buckets of so many rows at most are compared without a step of Python each.
-FEW = 8
+WORDS = tuple(f"sketch{k}" for k in range(BITS // 64))
+#: Buckets of so many rows at most are compared without a step of Python each: all that go in one block.
+FEW = 128
 SIGMAS = 6
 #: Vectors of a bucket or component compared in one task at most.
 BLOCK = 1024
@@ -118,6 +119,9 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, scaled by a power of two first, so that squares neither overflow nor vanish
+    and no digit is lost."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -129,14 +133,14 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     element = df.schema["embedding"].dataType.elementType.simpleString()
     element = element if element in ("float", "double") else "double"
     rows = df.select("vec_id", "label", F.col("embedding").cast(f"array<{element}>").alias("v"))
-    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    # the largest component is NaN where any is
+    low, high = F.array_min("v"), F.array_max("v")
+    finite = ~F.isnan(high) & (high < float("inf")) & (low > float("-inf")) & ((high != 0) | (low != 0)) & ~F.exists("v", F.isnull)
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     keys = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(1), "v", "label").alias("h2")]
     rows = rows.select("vec_id", "label", "sound", F.when(F.col("sound"), F.col("v")).alias("v"), *keys)
     classes = rows.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    # scaled by a power of two, so that squares neither overflow nor vanish and no digit is lost
-    top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    classes = classes.withColumn("top", F.pow(F.lit(2.0), F.floor(F.log2(top)))).select("h1", "h2", "id", "copies", "label", F.transform("v", lambda x: (x.cast("double") / F.col("top")).cast(element)).alias("v"))
     classes = materialize(classes, folder, "classes")
     lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
     if not lengths:
@@ -163,7 +167,7 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
     """(id, links, component) of the classes that link with others; links count rows."""
     k, tables = plan(classes.count(), dim, cosine)
     hasher = Hasher(dim, k, tables)
-    light = T.StructType([T.StructField(n, t) for n, t in (("bucket", T.LongType()), ("id", T.LongType()), ("own", T.BooleanType()), ("sketch", T.BinaryType()))])
+    light = T.StructType([T.StructField(n, t) for n, t in (("bucket", T.LongType()), ("id", T.LongType()), ("own", T.BooleanType()), *((w, T.LongType()) for w in WORDS))])
     limit = most_bits(cosine)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +177,9 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
             ids, n = batch.column(0), batch.num_rows
             salt = batch.column(1).to_numpy().view(np.uint64)
             x = _unit(_matrix(batch.column(2), dim))
-            raw = hasher.sketch(x).tobytes()
-            sketch = pa.array([raw[k * BITS // 8 : (k + 1) * BITS // 8] for k in range(n)], pa.binary())
+            sketch = [pa.array(word) for word in np.ascontiguousarray(hasher.sketch(x).view(np.int64).T)]
             for key, own in hasher.buckets(x, salt):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, pa.array(np.full(n, own)), sketch], names=[f.name for f in light])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, pa.array(np.full(n, own)), *sketch], names=[f.name for f in light])
 
     spread = materialize(classes.select("id", F.xxhash64("label").alias("salt"), "v").mapInArrow(hashed, light), folder, f"buckets-{dim}")
     edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -185,15 +188,18 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
         column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
         ids, own, blk, bi, bj = (column(c) for c in ("id", "own", "blk", "bi", "bj"))
         bounds = groups.group_bounds([column("bucket"), bi, bj])
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        bits = np.stack([column(w) for w in WORDS], 1).view(np.uint64)
         size = np.diff(bounds)
-        few = (size <= FEW) & (bi[bounds[:-1]] == bj[bounds[:-1]])  # most buckets: compared side by side
+        few = (size <= FEW) & (bi[bounds[:-1]] == bj[bounds[:-1]])  # nearly all buckets: compared side by side
         until = np.where(np.repeat(few, size), np.repeat(bounds[1:], size), 0)
-        ends = [np.zeros((0, 2), np.int64)]
-        for step in range(1, FEW):
+        alike = [np.zeros((2, 0), np.int64)]
+        for step in range(1, size[few].max(initial=1)):
             i = np.flatnonzero(until > np.arange(len(ids)) + step)
             i = i[(own[i] | own[i + step]) & (np.bitwise_count(bits[i] ^ bits[i + step]).sum(1) <= limit)]
-            ends.append(np.stack([ids[i], ids[i + step]], 1))
+            alike.append(np.stack([i, i + step]))
+        root = groups.first_reached(len(ids), *np.concatenate(alike, axis=1))
+        hung = np.flatnonzero(root != np.arange(len(ids)))
+        ends = np.stack([ids[root[hung]], ids[hung]], 1)
         out: list[tuple[int, int]] = []
         for lo, hi in zip(bounds[:-1][~few].tolist(), bounds[1:][~few].tolist(), strict=True):
             part, mine, at = bits[lo:hi], own[lo:hi], blk[lo:hi]
@@ -206,7 +212,7 @@ def _links(classes: DataFrame, dim: int, cosine: float, folder: str) -> DataFram
                 return (mine[i] | mine[js]) & ((at[js] != at[i]) if cross else True)
 
             out += [(int(ids[lo + i]), int(ids[lo + j])) for i, j in groups.spanning(hi - lo, like, allowed)]
-        pairs = np.unique(np.concatenate([*ends, np.array(out, np.int64).reshape(-1, 2)]), axis=0)
+        pairs = np.unique(np.concatenate([ends, np.array(out, np.int64).reshape(-1, 2)]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     full = groups.blocks(spread, ["bucket"], F.lit(1), BLOCK, folder, f"buckets-{dim}", least=2)

@@ -217,6 +217,17 @@ def test_components_of_chains_stars_and_pairs(spark):
     assert got == {k: v for k, v in root.items() if k != 500}
 
 
+def test_first_reached_is_that_of_the_pairs():
+    rng = np.random.default_rng(6)
+    for n, m in [(1, 0), (30, 12), (200, 150), (200, 900)]:
+        i, j = rng.integers(0, n, (2, m))
+        want = np.arange(n)
+        for _ in range(n):
+            for a, b in zip(i, j, strict=True):
+                want[a] = want[b] = min(want[a], want[b])
+        assert (groups.first_reached(n, i, j) == want).all()
+
+
 def vector_rows(seed=1):
     rng = np.random.default_rng(seed)
     rows = []
@@ -233,6 +244,7 @@ def vector_rows(seed=1):
 def test_vector_links_and_components(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(vectors, "BLOCK", 4)
+        monkeypatch.setattr(vectors, "FEW", 2)
     rows = vector_rows()
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, sound string")
     links, root = collections.Counter(), {r[0]: r[0] for r in rows}
@@ -256,6 +268,15 @@ def test_vectors_of_over_a_thousand_lengths(spark):
     assert got == want
 
 
+def test_vectors_of_any_scale_link_and_unsound_ones_do_not(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    odd = [[1.0, 2.0, 3.0, None], [1.0, 2.0, 3.0, float("nan")], [float("-inf"), 2.0, 3.0, 4.0], [1.0, 2.0, float("inf"), None], [0.0, -0.0, 0.0, 0.0], [None] * 4]
+    scaled = [v, [x * 1e300 for x in v], [x * 1e-300 for x in v], [x * 4e307 for x in v], [-x for x in v]]
+    df = spark.createDataFrame([(k, x, 0) for k, x in enumerate(scaled + odd)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == {k: (3, 0) if k < 4 else (0, k) for k in range(len(scaled + odd))}
+
+
 def test_vectors_with_labels_of_any_type(spark):
     v = [1.0, 2.0, 3.0, 4.0]
     for schema, labels in (("string", ["a", "a", "b", None]), ("double", [1.2, 1.2, 1.7, None])):
