@@ -47,12 +47,21 @@ BLOCK = 1024
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of every row, scaled to keep lengths."""
-    n, h = x.shape[1], 1
-    while h < n:
-        x = x.reshape(len(x), -1, 2, h)
-        x = np.concatenate([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], -1).reshape(len(x), n)
+    return _rotated(x.T).T
+
+
+def _rotated(y: np.ndarray) -> np.ndarray:
+    """The transform of every column: its steps add and subtract whole rows of ``y``."""
+    width, n = y.shape
+    h = 1
+    while h < width:
+        pairs = y.reshape(-1, 2, h, n)
+        y = np.empty_like(pairs, order="C")
+        np.add(pairs[:, 0], pairs[:, 1], out=y[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=y[:, 1])
+        y = y.reshape(width, n)
         h *= 2
-    return x / math.sqrt(n)
+    return y / math.sqrt(width)
 
 
 class Hasher:
@@ -64,16 +73,16 @@ class Hasher:
 
     def axes(self, x: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest and the second nearest signed axis of each row under function ``which``."""
-        y = np.zeros((len(x), self.width))
-        y[:, : x.shape[1]] = x
+        y = np.zeros((self.width, len(x)))
+        y[: x.shape[1]] = x.T
         for signs in self.signs[which]:
-            y = hadamard(y * signs)
+            y = _rotated(y * signs[:, None])
         size = np.abs(y)
-        rows = np.arange(len(y))
-        first = size.argmax(1)
-        size[rows, first] = -1
-        second = size.argmax(1)
-        return first * 2 + (y[rows, first] > 0), second * 2 + (y[rows, second] > 0)
+        rows = np.arange(len(x))
+        first = size.argmax(0)
+        size[first, rows] = -1
+        second = size.argmax(0)
+        return first * 2 + (y[first, rows] > 0), second * 2 + (y[second, rows] > 0)
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
         """``BITS`` sides of random planes, in 64-bit words."""
