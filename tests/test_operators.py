@@ -165,6 +165,22 @@ def test_similar_pairs_in_blocks(spark):
     assert whole == blocked == brute
 
 
+def test_similar_pairs_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PRODUCTS", 3)
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, None]), (5, None), (6, []), (None, [1.0, 0.0]), (7, [5.0, 0.0, 0.1]), (8, [0.0, 0.0]), (9, [1.0, float("nan")]), (1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for block_rows in (None, 2):
+        assert sorted((r.a, r.b) for r in similar.similar_pairs(df, "id", "v", 0.9, block_rows).collect()) == [(1, 2), (1, 2), (3, 7)]
+    assert similar.similar_pairs(df.limit(0), "id", "v", 0.9).count() == 0
+
+
+def test_blocks_follow_bytes_and_tasks():
+    assert similar._blocks(0, 1, 8) == similar._blocks(500, 64, 8) == 1
+    assert similar._blocks(2000, 64, 8) == 6  # 21 pairs of blocks for 8 tasks
+    assert similar._blocks(1_000_000, 64, 8) == 31
+    assert similar._blocks(1_000_000, 768, 8) == 367
+
+
 def diverse(candidates, k):
     """The selection rule, read literally: candidates are (id, source) by falling similarity."""
     if len(candidates) <= k:
