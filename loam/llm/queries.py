@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, jaccard, langid, mixing, pieces, pii, quality_conv, rules, vectors, warc
+from loam.llm import chat, jaccard, langid, mixing, negatives, pieces, pii, quality_conv, rules, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,12 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the stated anchors: ids divisible by 100, against all rows
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of operator 3: the base spans."""
     return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -109,7 +115,7 @@ def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules, "pii_base": pii_base, "rule_statistics": rule_statistics}
+QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules, "op12_negatives": op12_negatives, "pii_base": pii_base, "rule_statistics": rule_statistics}
 
 _ESCAPED = r"""regexp_replace({x}, '([<\[])(\\*)(\|(?:turn|text|also|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"""
 
@@ -218,6 +224,21 @@ select conv_id,
   sum(case when before = role then 0 else 1 end)::bigint as n_groups,
   count(*) filter (where role = 'assistant')::bigint as n_loss_spans
 from marked group by conv_id
+""",
+    "op12_negatives": """
+with sound as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from sound a join sound b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+), positive as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::int as rank, id as negative_id, positive_score, score as negative_score
+from positive p join scored s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, id) <= 5
 """,
     "op9_vectors": """
 with recursive sound as (
