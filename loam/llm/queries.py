@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, jaccard, langid, mixing, negatives, pieces, pii, quality_conv, rules, vectors, warc
+from loam.llm import chat, jaccard, langid, mixing, negatives, phrases, pieces, pii, quality_conv, rules, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,10 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the stated anchors: ids divisible by 100, against all rows
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -115,7 +119,7 @@ def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules, "op12_negatives": op12_negatives, "pii_base": pii_base, "rule_statistics": rule_statistics}
+QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules, "op11_phrases": op11_phrases, "op12_negatives": op12_negatives, "pii_base": pii_base, "rule_statistics": rule_statistics}
 
 _ESCAPED = r"""regexp_replace({x}, '([<\[])(\\*)(\|(?:turn|text|also|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"""
 
@@ -224,6 +228,31 @@ select conv_id,
   sum(case when before = role then 0 else 1 end)::bigint as n_groups,
   count(*) filter (where role = 'assistant')::bigint as n_loss_spans
 from marked group by conv_id
+""",
+    "op11_phrases": r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), listed as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from piece),
+often as materialized (
+  select lang, phrase, count(*)::bigint as f from (
+    select lang, unnest(w) as phrase from listed
+    union all select lang, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) from listed
+    union all select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) from listed
+  ) group by lang, phrase having count(*) >= 10
+), total as (select lang, sum(len(w))::bigint as n from listed group by lang),
+candidate as materialized (select lang, phrase, f as a, string_split(phrase, ' ') as w from often where contains(phrase, ' ')),
+cut as materialized (select lang, phrase, a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail from (select *, unnest(range(1, len(w))) as k from candidate)),
+scored as (
+  select c.lang, c.phrase, c.a, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a // (l.f::hugeint * r.f))::bigint as score from cut c
+  join often l on l.lang = c.lang and l.phrase = c.head join often r on r.lang = c.lang and r.phrase = c.tail
+  qualify row_number() over (partition by c.lang, c.phrase order by score, c.k) = 1
+), longer as (
+  select lang, phrase, max(a) as most from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from candidate where len(w) = 3) group by lang, phrase
+)
+select s.lang, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank, s.phrase, a, l, r, n, score
+from scored s join total using (lang) left join longer g on g.lang = s.lang and g.phrase = s.phrase where most is null or 100 * most < 50 * a
+qualify rank <= 2000
 """,
     "op12_negatives": """
 with sound as (
