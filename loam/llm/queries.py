@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, jaccard, langid, mixing, negatives, phrases, pieces, pii, quality_conv, rules, vectors, warc
+from loam.llm import chat, jaccard, langid, mixing, negatives, phrases, pieces, pii, quality_conv, rules, substrings, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,11 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of operator 3: the base spans."""
     return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -119,7 +124,7 @@ def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules, "op11_phrases": op11_phrases, "op12_negatives": op12_negatives, "pii_base": pii_base, "rule_statistics": rule_statistics}
+QUERIES = {"op1_warc": op1_warc, "op2_chat": op2_chat, "op3_pii": op3_pii, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_language": op6_language, "op7_pieces": op7_pieces, "op8_mixing": op8_mixing, "op9_vectors": op9_vectors, "op10_rules": op10_rules, "op11_phrases": op11_phrases, "op12_negatives": op12_negatives, "op13_substrings": op13_substrings, "pii_base": pii_base, "rule_statistics": rule_statistics}
 
 _ESCAPED = r"""regexp_replace({x}, '([<\[])(\\*)(\|(?:turn|text|also|end|im_start|im_end|endoftext)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"""
 
