@@ -258,6 +258,22 @@ scored as (
 select s.lang, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) as rank, s.phrase, a, l, r, n, score
 from scored s join total using (lang) left join longer g on g.lang = s.lang and g.phrase = s.phrase where most is null or 100 * most < 50 * a
 qualify rank <= 2000
+""",
+    "op13_substrings": r"""
+with texts as materialized (
+  select doc_id, row_number() over (order by doc_id nulls first, sha256(coalesce(text, ''))) as place, encode(coalesce(text, '')) as b from documents
+), run as (select place, p, md5(b[p + 1:p + 100]) as h from (select place, b, unnest(range(0, octet_length(b) - 99)) as p from texts)),
+again as materialized (select place, p from run qualify row_number() over (partition by h order by place, p) > 1),
+edge as (select place, p, case when p - lag(p) over (partition by place order by p) <= 100 then 0 else 1 end as fresh from again),
+span as materialized (
+  select place, min(p) as lo, max(p) + 100 as hi from (select place, p, sum(fresh) over (partition by place order by p rows unbounded preceding) as k from edge) group by place, k
+), cut as (
+  select place, sum(hi - lo) as n_removed, count(*) as n_spans, list(lo order by lo) as los, list(hi order by lo) as his from span group by place
+)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  case when n_spans is null then sha256(b) else sha256(unhex(array_to_string(list_transform(range(1, n_spans + 2), lambda k:
+    hex(b[case when k = 1 then 1 else his[k - 1] + 1 end:case when k > n_spans then octet_length(b) else los[k] end])), ''))) end as kept_sha256
+from texts left join cut using (place)
 """,
     "op12_negatives": """
 with sound as (
