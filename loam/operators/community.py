@@ -1,108 +1,34 @@
-"""Communities of concepts: connected components, greedy modularity, scores and summaries."""
+"""Communities of concepts: connected components, modularity, scores and summaries."""
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as X
-from loam.store import materialize, numbered
-
-
-def components(concepts: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
-    """(concept, root): the smallest concept within reach over overlap edges; min-label rounds
-    with pointer jumping, each written as a table. Without any edge all concepts are one group."""
-    if edges.limit(1).isEmpty():
-        return concepts.select("concept").distinct().withColumn("root", F.lit(concepts.agg(F.min("concept")).first()[0]))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both, folder, "both")
-    state = materialize(concepts.select("concept", F.col("concept").alias("root")).distinct(), folder, "labels-0")
-    for k in range(1, 1000):
-        near = both.join(state.select(F.col("concept").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = state.join(near, F.col("concept") == F.col("a"), "left").select("concept", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = step.select(F.col("concept").alias("j"), F.col("root").alias("far"))
-        after = materialize(step.join(jump, F.col("root") == F.col("j")).select("concept", "old", F.least("root", "far").alias("root")), folder, f"labels-{k}")
-        if after.filter("old <> root").limit(1).isEmpty():
-            return after.select("concept", "root")
-        state = after.select("concept", "root")
-    raise RuntimeError("no fixed point")
-
+from loam.operators.leiden import FEW, leiden, reach
+from loam.store import numbered
 
-def greedy_modularity(nodes: list[str], edges: list[tuple[str, str, float]]) -> dict[str, str]:
-    """Agglomeration by best modularity gain; ties go to the smaller names. Communities are named
-    by their smallest node. A merge changes the gains of the merged community alone, so the others
-    stay in a heap."""
-    total = sum(w for _, _, w in edges)
-    if not total:
-        return {v: min(nodes) for v in nodes}
-    degree = dict.fromkeys(nodes, 0.0)
-    between: dict[str, dict[str, float]] = {v: {} for v in nodes}
-    for a, b, w in edges:
-        degree[a] += w
-        degree[b] += w
-        between[a][b] = between[a].get(b, 0) + w
-        between[b][a] = between[b].get(a, 0) + w
-    age = dict.fromkeys(nodes, 0)
-    into: dict[str, str] = {}
 
-    def gain(a: str, b: str) -> tuple[float, str, str, int, int]:
-        a, b = min(a, b), max(a, b)
-        return (-round(between[a][b] / total - degree[a] * degree[b] / (2 * total * total), 12), a, b, age[a], age[b])
+def _one_group(concepts: DataFrame) -> DataFrame:
+    """Without any edge all concepts are one group."""
+    return concepts.select("concept").distinct().withColumn("root", F.lit(concepts.agg(F.min("concept")).first()[0]))
 
-    heap = [gain(a, b) for a in between for b in between[a] if a < b]
-    heapify(heap)
-    while heap:
-        least, a, b, was_a, was_b = heappop(heap)
-        if least >= -1e-12:
-            break
-        if a in into or b in into or (was_a, was_b) != (age[a], age[b]):
-            continue
-        into[b] = a
-        for c, w in between.pop(b).items():
-            del between[c][b]
-            if c != a:
-                between[a][c] = between[a].get(c, 0) + w
-                between[c][a] = between[a][c]
-        degree[a] += degree.pop(b)
-        age[a] += 1
-        for c in between[a]:
-            heappush(heap, gain(a, c))
-    out = {}
-    for v in nodes:
-        root = v
-        while root in into:
-            root = into[root]
-        out[v] = root
-    return out
 
-
-def detect(concepts: DataFrame, edges: DataFrame, folder: str, weighted: bool = False) -> DataFrame:
-    """(concept, root) communities by greedy modularity inside each connected component.
-
-    Modularity never merges across components, so components are worked on apart, in parallel;
-    the gain's denominator is the whole graph's edge weight.
-    """
-    roots = components(concepts, edges, folder)
-    weight = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    rows = edges.select("a", "b", weight.alias("w"))
-    total = rows.agg(F.sum("w")).first()[0]
-    if not total:
-        return roots
-    placed = rows.join(roots, F.col("a") == F.col("concept")).select("root", "a", "b", "w")
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        links = list(zip(part.a, part.b, part.w, strict=True))
-        nodes = sorted({*part.a, *part.b})
-        # a far pair carries the weight of the other components into the denominators
-        rest = total - sum(w for _, _, w in links)
-        label = greedy_modularity([*nodes, "￿1", "￿2"], [*links, ("￿1", "￿2", rest)] if rest > 0 else links)
-        return pd.DataFrame({"concept": nodes, "community": [label[v] for v in nodes]})
-
-    found = placed.groupBy("root").applyInPandas(work, "concept string, community string")
-    return roots.join(found, "concept", "left").select("concept", F.coalesce("community", "concept").alias("root"))
+def components(concepts: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """(concept, root): the smallest concept within reach over overlap edges (a, b)."""
+    if edges.isEmpty():
+        return _one_group(concepts)
+    return reach(concepts.select(F.col("concept").alias("id")), edges, folder).withColumnRenamed("id", "concept")
+
+
+def detect(concepts: DataFrame, edges: DataFrame, folder: str, weighted: bool = False, few: int = FEW) -> DataFrame:
+    """(concept, root): communities of overlap edges (a, b, weight) by modularity (see ``leiden``), each connected
+    and named by its smallest concept; graphs of ``few`` edges are worked on in one task."""
+    if edges.isEmpty():
+        return _one_group(concepts)
+    weight = F.col("weight") if weighted else F.lit(1)
+    return leiden(concepts.select(F.col("concept").alias("id")), edges.select("a", "b", weight.alias("w")), folder, few).withColumnRenamed("id", "concept")
 
 
 def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:

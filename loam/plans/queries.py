@@ -5,16 +5,16 @@ The graph is stored once per input folder (the build), and retrieval queries rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.config import DEFAULT
 from loam.functions import text as X
 from loam.functions import vector as V
-from loam.operators import client, community, concepts, evaluate, explain, extract, flat, graph, resolve, retrieve, similar
+from loam.operators import client, community, concepts, evaluate, explain, extract, flat, graph, leiden, resolve, retrieve, similar
 from loam.plans.oracle import SOURCE, canon, cosine, strip
 from loam.plans.oracle import sql as chain
-from loam.store import workspace
+from loam.store import materialize, workspace
 
 _STORES: dict[tuple, graph.Graph] = {}
 
@@ -264,22 +264,64 @@ def _(spark, d):
     return community.components(members.select("concept").distinct(), concepts.overlap(members), workspace(spark, "components"))
 
 
-# A batch's runs are a path of five concepts at most. Merging two parts of it gains modularity where
-# twice all edges outnumber the product of their degrees, 16 at most: so with over eight edges in
-# all, the best merges end at the components, which SQL can say.
-@query("community_detect", "select concept, root from label")
+# Customers of a nation are linked by six maps of their ranks to one another, nations by every tenth rank: from 100
+# customers on that is one component, whose best communities are the nations.
+_RANKED = "select c_nationkey as g, row_number() over (partition by c_nationkey order by c_custkey) - 1 as r, count(*) over (partition by c_nationkey) as m from customer"
+_LINKED = f"""ranked as ({_RANKED}), links as (select distinct least(a, b) as a, greatest(a, b) as b from (
+      select g || '-' || r as a, g || '-' || ((r * k + k) % m) as b from ranked, unnest([3, 5, 7, 11, 13, 17]) as u(k)
+      union all select g || '-' || r, x.g2 || '-' || r from ranked join (select distinct g as g1, (g + 1) % 25 as g2 from ranked) x on x.g1 = g where r % 10 = 9 and (x.g2, r) in (select (g, r) from ranked)) where a <> b),
+    linked as (select a as v, b as u from links union all select b, a from links), planted as (select g || '-' || r as id, g, min(g || '-' || r) over (partition by g) as root from ranked)"""
+
+
+def _linked(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(concept) and (a, b, weight) of the graph of customers."""
+    nation = Window.partitionBy("c_nationkey")
+    rows = _table(spark, d, "customer").select(F.col("c_nationkey").alias("g"), (F.row_number().over(nation.orderBy("c_custkey")) - 1).alias("r"), F.count(F.lit(1)).over(nation).alias("m"))
+    rows = materialize(rows, workspace(spark, "linked"), "ranked")
+    name = lambda g, r: F.concat_ws("-", g.cast("string"), r.cast("string"))
+    inner = rows.withColumn("k", F.explode(F.array(*map(F.lit, (3, 5, 7, 11, 13, 17))))).select(name(F.col("g"), F.col("r")).alias("a"), name(F.col("g"), (F.col("r") * F.col("k") + F.col("k")) % F.col("m")).alias("b"))
+    ends = rows.filter("r % 10 = 9").select("g", "r")
+    outer = ends.join(rows.select(((F.col("g") + 24) % 25).alias("g"), "r", F.col("g").alias("after")), ["g", "r"]).select(name(F.col("g"), F.col("r")).alias("a"), name(F.col("after"), F.col("r")).alias("b"))
+    edges = inner.unionByName(outer).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.select(name(F.col("g"), F.col("r")).alias("concept")), edges.withColumn("weight", F.lit(1))
+
+
+_FOUND: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _found(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The communities that are found in the graph of customers, and its edges; found once a table."""
+    key = (spark.sparkContext.applicationId, d, _state(spark, f"{d}/customer.parquet"))
+    if key not in _FOUND:
+        folder = workspace(spark, "detect")
+        nodes, edges = _linked(spark, d)
+        edges = materialize(edges, folder, "links")
+        _FOUND[key] = materialize(community.detect(nodes, edges, f"{folder}/rounds", few=0), folder, "found"), edges
+    return _FOUND[key]
+
+
+@query("community_detect", f"with {_LINKED} select id as concept, root from planted", plain=True)
 def _(spark, d):
-    members = stored(spark, d).concept_member
-    return community.detect(members.select("concept").distinct(), concepts.overlap(members), workspace(spark, "detect"))
+    return _found(spark, d)[0]
 
 
-@query("community_modularity", """select round(sum(case when ra = rb then 1 else 0 end) / count(*) - (select sum(n * n) from (select count(*) as n from (
-      select x.root from overlap o join label x on x.concept = o.a union all select y.root from overlap o join label y on y.concept = o.b) group by root)) / (4.0 * count(*) * count(*)), 6)::double as modularity
-    from (select x.root as ra, y.root as rb from overlap o join label x on x.concept = o.a join label y on y.concept = o.b)""")
+@query("community_modularity", f"""with {_LINKED} select count(*) as edges, round(sum(case when x.g = y.g then 1 else 0 end) / count(*) - (select sum(n * n) from (
+      select count(*) as n from linked join planted on id = v group by root)) / (4.0 * count(*) * count(*)), 6)::double as modularity
+    from links join planted x on x.id = a join planted y on y.id = b""", plain=True)
 def _(spark, d):
-    members = stored(spark, d).concept_member
-    edges = concepts.overlap(members)
-    return community.modularity(community.components(members.select("concept").distinct(), edges, workspace(spark, "modularity")), edges)
+    labels, edges = _found(spark, d)
+    return community.modularity(labels, edges).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
+
+
+# in one piece: from its smallest member every member of a community is reached inside it
+@query("community_connected", f"""with recursive {_LINKED}, walk(root, id) as (select distinct root, root from planted
+      union select w.root, u from walk w join linked on v = w.id join planted p on p.id = u and p.root = w.root)
+    select p.root, count(*) as members, (select count(*) from walk w where w.root = p.root) as reached from planted p group by p.root""", plain=True)
+def _(spark, d):
+    labels, edges = _found(spark, d)
+    named = labels.select(F.col("concept").alias("id"), F.col("root").alias("c"))
+    parts = leiden.connected(named, edges, workspace(spark, "connected")).join(named, "id")
+    return parts.groupBy(F.col("c").alias("root")).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("root") == F.col("c")).alias("reached"))
 
 
 @query("community_members", "select community, name, n_concepts::bigint as n_concepts, array_to_string(members, ', ') as members, summary from community")
