@@ -1,42 +1,44 @@
 """Language identification: script ranges, per-word scores, and Viterbi over words.
 
-A word is a run of letters. The scripts of its characters narrow the languages to those that
-use one of them in the training texts; each language left scores the word with hashed byte
-n-grams. Viterbi with a penalty for changing language labels every word; equal neighbours make
+A word is a run of letters. The scripts of its characters narrow its candidates to the languages that
+use one of them in the training texts (all, where none does), and only those can label it; each
+scores the word with hashed byte n-grams. Viterbi with a penalty for changing language labels every word; equal neighbours make
 spans, and the language that labels most letters is the document's.
 
 The recursion is cut into blocks of ``BLOCK`` words. Max-plus matrices of all blocks of many
 documents are made side by side, chained per document, and traced back, so a very long text
-costs no Python step per word and the path is the exact optimum.
+costs no Python step per word and the path is the exact optimum. From ``FEW`` languages on, whose matrices would
+be large, a document goes word by word and is traced back from states kept every ``BLOCK`` words.
 
-Learning takes at most ``PER_LANGUAGE`` labelled documents of each language, of at most
-``LONGEST`` characters, the smallest by hash of doc_id and text (repeated rows count once). Defined results: null text, or text
+Learning takes at most ``PER_LANGUAGE`` labelled documents of each language, the smallest by hash of doc_id
+and text (repeated rows count once), whole and whatever their length, until they hold ``LEARNED`` characters. Defined results: null text, or text
 with no letter, is ``und`` with score 0 and no spans; with nothing learned all is ``und``;
 ties go to the smaller language name. The score is the share of letters under the prediction.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam.llm import sampling, textkit
 
 PER_LANGUAGE = 400
-LONGEST = 20_000
+LEARNED = 2_000_000
 SWITCH = 12.0
 BITS = 17
 GRAMS = (2, 3, 5)
 BLOCK = 64
-#: Log-probability taken off a language whose scripts a word doesn't use.
-FOREIGN = 40.0
+FEW = 32
+#: Score of a language that is no candidate of a word: no path is worth it, as changing the language costs less.
+BARRED = np.float32(-1e9)
 #: A language uses a script that at least this share of its letters is in.
 SCRIPT_SHARE = 0.02
 
@@ -56,7 +58,6 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @lru_cache(1)
@@ -136,15 +137,47 @@ class Model:
         used = np.bitwise_or.reduceat(bits, starts)
         fits = (used[:, None] & self.scripts[None, :]) > 0
         narrowed = fits.any(1)
-        scores[narrowed[:, None] & ~fits] -= FOREIGN
+        scores[narrowed[:, None] & ~fits] = BARRED
         return scores
 
 
+def _stepwise(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """The best path of one document: forward with what every ``BLOCK``-th word begins from kept, then back block by block."""
+    n, states = scores.shape
+    own = np.arange(states)
+
+    def forward(value: np.ndarray, part: np.ndarray, came: np.ndarray | None) -> np.ndarray:
+        for t, s in enumerate(part):
+            best = int(value.argmax())
+            other = value[best] - penalty
+            if came is not None:
+                came[t] = np.where(value >= other, own, best)
+            value = np.maximum(value, other) + s
+        return value
+
+    value, kept = np.zeros(states), []
+    for lo in range(0, n, BLOCK):
+        kept.append(value)
+        value = forward(value, scores[lo : lo + BLOCK], None)
+    path, state = np.zeros(n, np.int64), int(value.argmax())
+    for k in range(len(kept) - 1, -1, -1):
+        part = scores[k * BLOCK : (k + 1) * BLOCK]
+        came = np.zeros(part.shape, np.int16)
+        forward(kept[k], part, came)
+        for t in range(len(part) - 1, -1, -1):
+            path[k * BLOCK + t] = state
+            state = int(came[t, state])
+    return path
+
+
 def best_path(scores: np.ndarray, doc: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """The state of every word on the best path of its document; ``doc`` is sorted."""
     n, states = scores.shape
     if n == 0 or states == 1:
         return np.zeros(n, np.int64)
+    if states >= FEW:
+        edges = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), n)
+        return np.concatenate([_stepwise(scores[a:b], penalty) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     length = np.diff(np.append(first, n))
     blocks = -(-length // BLOCK)
@@ -186,7 +219,7 @@ def best_path(scores: np.ndarray, doc: np.ndarray, penalty: float = SWITCH) -> n
         state[live] = before[at] = back[at, state[live]]
     # inside the blocks, between the known states at both ends
     v = change[before].copy()
-    came = np.zeros((int(size.max()), len(chain), states), np.int8)
+    came = np.zeros((int(size.max()), len(chain), states), np.int16)
     for t in range(int(size.max())):
         live, s = word(t)
         u = v[live]
@@ -218,10 +251,10 @@ def label(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str
     if not len(starts) or not model.languages:
         return pred, score, spans
     path = best_path(model.word_scores(data, bits, starts, ends), doc)
-    letters = np.bincount(doc * len(model.languages) + path, weights=ends - starts, minlength=n * len(model.languages)).reshape(n, -1)
+    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    letters = np.bincount(doc * len(model.languages) + path, weights=point[ends] - point[starts], minlength=n * len(model.languages)).reshape(n, -1)
     best = letters.argmax(1)
     share = letters.max(1) / np.maximum(letters.sum(1), 1)
-    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     edge = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(path, prepend=-1) != 0))
     until = np.append(edge[1:], len(doc)) - 1
     shift = point[offsets[doc[edge]]]
@@ -229,17 +262,20 @@ def label(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str
         spans[d].append({"lang": model.languages[p], "begin": b, "end": e})
     for d in np.unique(doc).tolist():
         text = data[offsets[d] : offsets[d + 1]]
-        if _ASCII_LETTER[text].any() or _LETTER.search(text.tobytes().decode(errors="replace")):
+        if _ASCII_LETTER[text].any() or any(map(str.isalpha, text.tobytes().decode(errors="replace"))):
             pred[d], score[d] = model.languages[best[d]], share[d]
         else:
             spans[d] = []
     return pred, score, spans
 
 
-def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, learned: int = LEARNED) -> Model:
     """Learn from documents (doc_id, text, lang), all of which may be used."""
-    rows = documents.filter(f"lang is not null and text is not null and length(text) <= {LONGEST}").select("doc_id", "text", "lang")
-    return Model.fit(sorted((r.text, r.lang) for r in sampling.smallest(rows, ["doc_id", "text"], per_language, "lang").collect()))
+    rows = documents.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    few = sampling.smallest(rows, ["doc_id", "text"], per_language, "lang").withColumn("loam_hash", F.xxhash64("doc_id", "text"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("loam_hash", "text").rowsBetween(Window.unboundedPreceding, -1))
+    few = few.withColumn("loam_before", F.coalesce(before, F.lit(0))).filter(F.col("loam_before") < learned)
+    return Model.fit(sorted((r.text, r.lang) for r in few.select("text", "lang").collect()))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -250,7 +286,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     textkit.bound_batches(spark)
     kept = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
-    most = textkit.SLICE_BYTES * 16 // max(16, len(model.languages) ** 2)
+    # of the scores: words by languages; of the matrices: languages squared for each block
+    most = textkit.SLICE_BYTES * 16 // max(16, len(model.languages) ** (2 if len(model.languages) < FEW else 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -294,12 +294,14 @@ def test_mixed_language_spans():
     assert langid.label(model, *textkit.string_bytes(pa.array(["12 ☂ !!", "😀"])))[0] == ["und", "und"]
 
 
-def test_block_viterbi_is_exact():
-    rng = np.random.default_rng(0)
-    for _ in range(30):
+@pytest.mark.parametrize("states", [1, 2, 4, 31, 32, 129, 1000])
+def test_viterbi_is_exact(states):
+    rng = np.random.default_rng(states)
+    for _ in range(20 if states < 10 else 2):
         doc = np.repeat(np.arange(4), rng.integers(1, 300, size=4))
-        scores = rng.normal(size=(len(doc), rng.integers(1, 5))) * 3
+        scores = rng.normal(size=(len(doc), states)) * 3
         path = langid.best_path(scores, doc, 2.0)
+        assert path.min() >= 0 and path.max() < states
         for d in range(4):
             s, p = scores[doc == d], path[doc == d]
             v = s[0].copy()
@@ -308,6 +310,33 @@ def test_block_viterbi_is_exact():
             assert s[np.arange(len(s)), p].sum() - 2.0 * (np.diff(p) != 0).sum() == pytest.approx(v.max())
 
 
+def test_a_long_text_in_many_languages_takes_bounded_memory():
+    import tracemalloc
+
+    scores = np.zeros((20_000, 1000), np.float32)
+    scores[np.arange(20_000), np.arange(20_000) // 100 % 1000] = 9
+    tracemalloc.start()
+    path = langid.best_path(scores, np.zeros(20_000, np.int64), 12.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert path.tolist() == (np.arange(20_000) // 100 % 1000).tolist() and peak < 20 << 20
+
+
+def test_letters_scripts_and_lengths_that_decide_a_language(spark):
+    said = langid.Model.fit([("the thing of that", "en"), ("\u0434\u043e\u043c \u0438 \u0441\u0430\u0434", "ru"), ("\u0ba4\u0bae\u0bbf\u0bb4\u0bcd", "ta")])
+    ask = lambda t: langid.label(said, *textkit.string_bytes(pa.array([t])))
+    for t in ("\u0bf0 \u0bf1", "\u0be7\u0be8", "\u00b2", "\u2167", "1_2", "\u0301"):  # numbers and marks, no letter
+        (pred,), (score,), (spans,) = ask(t)
+        assert (pred, score, spans) == ("und", 0, []) if not any(map(str.isalpha, t)) else pred != "und"
+    # twenty Cyrillic letters of two bytes against thirty of one
+    (pred,), (score,), _ = ask("\u0434" * 20 + " " + "the" * 10)
+    assert pred == "en" and score == 30 / 50
+    # a language that has long texts alone is learned
+    rows = [(k, "der die das und " * 4000, "de") for k in range(3)] + [(9, "the thing of that", "en")]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), learned=10).languages == ["de", "en"]
+
+
 TEXTS = ["", " ", "  ", "a ", "a  b", "\n x", "<s> é你\x00 y</s>", " a", "\t\t", "▁a ▁▁ b", "🙂🙂 🙂", "Hello  world"]
 
 
