@@ -6,8 +6,8 @@ role or text get a backslash behind their first character, one more than they ha
 restores the text exactly.
 
 The loss mask is a list of spans of the formatted text, one for each assistant text, in code
-points and in bytes; it touches no control string. Offsets are running sums made by doubling, so
-a conversation of n turns takes n log n steps.
+points and in bytes; it touches no control string. Offsets are running sums over the turns taken apart, by
+a window on the partitioning that the conversations are collected by, so n turns take n steps.
 
 Defined results: null text or role is empty; a null conversation id is a conversation of its
 own; turns sort by turn number (null first), then role, then text, and repeated rows all stay;
@@ -16,9 +16,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, ALSO, END = "<|turn|>", "<|text|>", "<|also|>", "<|end|>"
@@ -35,22 +33,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*)({CONTROL})", "$1$2$3")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _added(step: int) -> Callable[[Column], Column]:
-    return lambda a: F.when(F.size(a) > step, F.transform(a, lambda x, i: F.when(i >= step, x + F.get(a, i - step)).otherwise(x))).otherwise(a)
-
-
-def running(sizes: Column) -> Column:
-    """Running sums of an array: each step adds what stands 1, 2, 4, .. places before."""
-    for k in range(31):  # as many as an array may need; the steps beyond its length do nothing
-        sizes = _let(sizes, _added(1 << k))
-    return sizes
-
-
 def format_conversations(df: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss), one row a conversation, from rows (conv_id, turn, role, text);
     ``loss``: spans (begin, end, byte_begin, byte_end) of ``formatted`` that carry loss."""
@@ -64,19 +46,17 @@ def format_conversations(df: DataFrame) -> DataFrame:
         lead = F.when(before.isNull(), opened).when(before == t.role, F.lit(ALSO)).otherwise(F.concat(F.lit(END), opened))
         return F.struct(lead.alias("lead"), escape(t.text).alias("said"), (t.role == ASSISTANT).alias("loss"))
 
-    pieces = turns.select("conv_id", F.zip_with("turns", previous, piece).alias("pieces"))
-    ends = lambda size: running(F.transform("pieces", lambda p: (size(p.lead) + size(p.said)).cast("int")))
-    placed = pieces.select("conv_id", "pieces", ends(F.length).alias("ends"), ends(F.octet_length).alias("byte_ends"))
-    spans = F.transform(
-        F.arrays_zip("pieces", "ends", "byte_ends"),
-        lambda z: F.struct(
-            (z.ends - F.length(z.pieces.said)).alias("begin"), z.ends.alias("end"),
-            (z.byte_ends - F.octet_length(z.pieces.said)).alias("byte_begin"), z.byte_ends.alias("byte_end"), z.pieces.loss.alias("loss"),
-        ),
+    pieces = turns.select("conv_id", F.posexplode(F.zip_with("turns", previous, piece)).alias("pos", "piece")).select("conv_id", "pos", "piece.*")
+    run = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = lambda size: F.sum(size("lead") + size("said")).over(run).cast("int")
+    placed = pieces.withColumns({"end": ends(F.length), "byte_end": ends(F.octet_length)})
+    span = F.struct((F.col("end") - F.length("said")).alias("begin"), "end", (F.col("byte_end") - F.octet_length("said")).alias("byte_begin"), "byte_end")
+    whole = placed.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.concat("lead", "said").alias("x")))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(F.col("loss"), span))).alias("loss"),
     )
-    loss = F.transform(F.filter(spans, lambda s: s.loss), lambda s: s.dropFields("loss"))
-    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p.lead, p.said)), ""), F.lit(END))
-    return placed.select("conv_id", formatted.alias("formatted"), loss.alias("loss"))
+    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: p.x), ""), F.lit(END))
+    return whole.select("conv_id", formatted.alias("formatted"), "loss")
 
 
 def loss_texts(formatted: Column, loss: Column) -> Column:

@@ -171,10 +171,13 @@ def test_tied_turns_sort_by_their_own_text(spark):
     assert r.loss_sha256 == hashlib.sha256("".join(sorted(texts)).encode()).hexdigest()
 
 
-def test_running_sums(spark):
-    for n in (1, 2, 3, 64, 65, 1000):
-        (r,) = spark.range(1).select(chat.running(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x)).alias("s")).collect()
-        assert r.s == [k * (k + 1) // 2 for k in range(1, n + 1)]
+def test_a_conversation_of_many_turns(spark):
+    n = 100_000
+    turns = spark.range(n).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t\u00e9"), F.col("id").cast("string")).alias("text"))
+    made = chat.format_conversations(turns)
+    (r,) = chat.read_back(made).collect()
+    said = "".join(f"t\u00e9{k}" for k in range(1, n, 2))
+    assert (r.n_turns, r.loss_chars, r.n_loss_spans, r.loss_sha256) == (n, len(said), n // 2, hashlib.sha256(said.encode()).hexdigest())
 
 
 def test_conversations_read_back(spark):
