@@ -5,7 +5,7 @@ bytes (a learned vector for each filter, place and byte value) slide over each c
 filter's largest response in a chunk is kept, passed through a ReLU, and the chunks' mean and
 largest values go, with the log of the length, into one logistic unit: the probability.
 
-Training: Adam on at most ``SAMPLE`` labelled documents of at most ``LONGEST`` bytes, the
+Training: Adam on at most ``SAMPLE`` labelled documents of some ``LEARNED`` bytes in all, the
 smallest by hash of doc_id, seeded, so that refits agree. Defined results: null and empty text
 have no chunk and score the bias of the length feature alone; with no labels, or one class
 only, the score is that class's rate (0.5 without labels). Other columns pass through.
@@ -18,14 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam.llm import sampling, textkit
 
 SAMPLE = 1500
-LONGEST = 30_000
+#: Bytes of them, whatever the length of each.
+LEARNED = 12_000_000
 FILTERS = 12
 WIDTH = 5
 CHUNK = 512
@@ -157,8 +158,11 @@ def fit_from(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
     """Learn from documents (doc_id, text) and labels (doc_id, quality), all of which may be used."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = F.broadcast(sampling.smallest(known, ["doc_id"], 2 * sample))  # twice, as some have no text that fits
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").filter(f"text is not null and octet_length(text) <= {LONGEST}")
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = documents.select("doc_id", "text").join(chosen, "doc_id").filter("text is not null")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).withColumn("loam_hash", F.xxhash64("doc_id"))
+    rows = rows.orderBy("loam_hash", "doc_id").limit(sample)
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("loam_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("loam_before", F.coalesce(before, F.lit(0))).filter(F.col("loam_before") < LEARNED)
     return fit(sorted((r.text, r.quality) for r in rows.collect()))
 
 
