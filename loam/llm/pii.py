@@ -9,8 +9,8 @@ labelling of a window, boundaries and types jointly; forward-backward over the s
 the gradient in training.
 
 Training needs no labels: entities of each kind and look-alikes (versions, years, counts) are
-generated from a seed and put between words of a bounded sample of documents: the first
-``CARRIER_CHARS`` characters of the ``CARRIERS`` documents with the smallest hashes.
+generated from a seed and put between words of a bounded sample of documents: the whole texts of the
+``CARRIERS`` documents with the smallest hashes.
 Segments that touch a base span are no candidates. Added kind ``secret``: keys and tokens.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive;
@@ -43,7 +43,6 @@ REACH = 80
 #: Candidates hold an ``@``, so many digits, or a run of letters and digits so long.
 LEAST_DIGITS, MOST_DIGITS, LONG_TOKEN = 7, 80, 12
 CARRIERS = 200
-CARRIER_CHARS = 2000
 EXAMPLES = 700
 EPOCHS = 5
 
@@ -431,9 +430,8 @@ def fit(carriers: list[str], n: int = EXAMPLES, epochs: int = EPOCHS, seed: int
 
 
 def fit_from(documents: DataFrame, carriers: int = CARRIERS) -> Model:
-    """Learn with words of ``carriers`` documents, the smallest by hash of doc_id and text: the first
-    ``CARRIER_CHARS`` characters of each."""
-    texts = documents.filter("text is not null and text <> ''").select("doc_id", F.substring("text", 1, CARRIER_CHARS).alias("t"))
+    """Learn with words of ``carriers`` documents, the smallest by hash of doc_id and text."""
+    texts = documents.filter("text is not null and text <> ''").select("doc_id", F.col("text").alias("t"))
     return fit([r.t for r in sampling.smallest(texts, ["doc_id", "t"], carriers).collect()])
 
 
