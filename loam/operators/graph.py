@@ -76,7 +76,7 @@ def build(
     described = members.groupBy("concept").agg(F.array_join(F.sort_array(F.collect_set("entity")), " ").alias("description"))
     concept = keep(embed(described, "concept", "description", "embedding"), "concept")
     edges = keep(concepts.overlap(members), "overlap")
-    labels = keep(METHODS[method](members.select("concept").distinct(), edges, folder), "labels")
+    labels = keep(METHODS[method](members.select("concept").distinct(), edges, f"{folder}/{method}"), "labels")
     summary = community.summarise(labels, members, folder)
     communities = keep(embed(summary, "community", "summary", "embedding"), "community")
     contains = keep(labels.join(communities.select("root", "community"), "root").select("community", "concept"), "community_concept")
