@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,18 +67,46 @@ def upserted(entities: DataFrame) -> DataFrame:
     return entities.groupBy("name").agg(last).select("name", "node.*").select(*entities.columns)
 
 
-def leaders(pairs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
+#: Undecided ids that a task may finish by itself, with as many pairs.
+FEW = 50_000
+
+
+def _scanned(open_: DataFrame) -> DataFrame:
+    """(id, leader) of what is still open, by one scan in id order, in one task."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        below: dict[int, list[int]] = {}
+        leader: dict[int, int] = {}
+        for hi, lo, known in zip(part.hi, part.lo, part.known, strict=True):
+            if lo >= 0:
+                below.setdefault(int(hi), []).append(int(lo))
+                if known >= 0:
+                    leader[int(lo)] = int(known)
+            else:
+                below.setdefault(int(hi), [])
+        for id_ in sorted(below):
+            leads = [lo for lo in below[id_] if leader[lo] == lo]
+            leader[id_] = min(leads, default=id_)
+        return pd.DataFrame({"id": sorted(below), "leader": [leader[i] for i in sorted(below)]}, dtype="int64")
+
+    return open_.groupBy(F.lit("all")).applyInPandas(work, "id long, leader long")
+
+
+def leaders(pairs: DataFrame, ids: DataFrame, folder: str, few: int = FEW) -> DataFrame:
     """(id, leader): greedy merging in id order. An id that no smaller leader is similar to leads;
     any other follows its smallest similar leader. Not transitive.
 
     The sequential scan equals the lexicographically first maximal independent set, found in
     rounds: an undecided id leads once every smaller neighbour follows someone, and follows
-    once a smaller neighbour leads. Each round is a join, cut off by a written table.
+    once a smaller neighbour leads. Each round is a join, cut off by a written table. What is open goes down
+    fast unless ids form long chains; as soon as it is ``few`` ids and pairs, a task scans it.
     """
     down = pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct()
     down = materialize(down, folder, "down")
     state = materialize(ids.select("id", F.lit(None).cast("long").alias("leader")), folder, "round-0")
-    for k in range(1, 10_000):
+    k = 0
+    while True:
+        k += 1
         lower = state.select(F.col("id").alias("lo"), F.col("leader").alias("lo_leader"))
         seen = down.join(lower, "lo").groupBy("hi").agg(
             F.min(F.when(F.col("lo_leader") == F.col("lo"), F.col("lo"))).alias("leads"), F.max(F.col("lo_leader").isNull()).alias("open")
@@ -87,9 +116,14 @@ def leaders(pairs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
         open_below = F.coalesce("open", F.lit(False))
         after = F.when(F.col("leader").isNotNull(), F.col("leader")).when(~open_below & F.col("leads").isNotNull(), F.col("leads")).when(~open_below, F.col("id"))
         state = materialize(joined.select("id", after.alias("leader")), folder, f"round-{k}")
-        if state.filter("leader is null").limit(1).isEmpty():
+        open_ = state.filter("leader is null").select(F.col("id").alias("hi"))
+        if open_.isEmpty():
             return state
-    raise RuntimeError("no fixed point")
+        known = state.select(F.col("id").alias("lo"), F.coalesce("leader", F.lit(-1)).alias("known"))
+        left = open_.join(down, "hi", "left").join(known, "lo", "left").select("hi", F.coalesce("lo", F.lit(-1)).alias("lo"), F.coalesce("known", F.lit(-1)).alias("known"))
+        if left.limit(few + 1).count() <= few:
+            last = materialize(_scanned(left), folder, "scanned").withColumnRenamed("leader", "found")
+            return state.join(last, "id", "left").select("id", F.coalesce("leader", "found").alias("leader"))
 
 
 def merge_similar(entities: DataFrame, embed: Callable[[DataFrame], DataFrame], folder: str, threshold: float = DEFAULT.entity_dedup_threshold) -> DataFrame:
@@ -97,19 +131,26 @@ def merge_similar(entities: DataFrame, embed: Callable[[DataFrame], DataFrame],
     later ones whose display name is at least so similar and that none absorbed before.
 
     ``embed`` adds ``name_vector`` to a frame with ``name``. An absorbed entity leaves its
-    description, mentions and longer name; its key goes, so edges that name it fall away at ingest.
+    description, mentions and longer name; its key goes, so edges that name it fall away at ingest. Entities with
+    one vector have the same partners, so the first of them decides for all: only it is compared.
     """
     rows = materialize(embed(numbered(entities, folder)), folder, "named")
-    pairs = materialize(similar_pairs(rows, "n", "name_vector", threshold), folder, "pairs")
-    led = leaders(pairs.select("a", "b"), rows.select(F.col("n").alias("id")), f"{folder}/leaders")
-    merged = rows.drop("name_vector").join(led, F.col("n") == F.col("id")).groupBy("leader").agg(
+    alike = materialize(rows.groupBy("name_vector").agg(F.min("n").alias("first")), folder, "alike")
+    pairs = materialize(similar_pairs(alike, "first", "name_vector", threshold), folder, "pairs")
+    led = leaders(pairs.select("a", "b"), alike.select(F.col("first").alias("id")), f"{folder}/leaders")
+    # no vector, no partner
+    whole = rows.select("n", "name_vector").join(alike, "name_vector").join(led, F.col("first") == F.col("id")).select("n", "leader")
+    whole = whole.join(rows.filter("name_vector is null or size(name_vector) = 0").select("n"), "n", "left_anti")
+    described = rows.join(whole, "n", "left").withColumn("leader", F.coalesce("leader", "n")).withColumn("said", F.coalesce("description", F.lit("")))
+    merged = described.groupBy("leader").agg(
         F.max_by("name", F.struct(F.length("name"), -F.col("n"))).alias("name"),
         *[F.min_by(c, "n").alias(c) for c in ("canon", "type", "doc_id", "idx", "first_place")],
         F.sum("n_mentions").alias("n_mentions"),
-        F.sort_array(F.collect_list(F.struct("n", F.coalesce("description", F.lit("")).alias("d")))).alias("all"),
     )
-    described = F.aggregate(F.transform("all", lambda x: x.d), F.lit(""), lambda a, b: X.better_description(a, b))
-    return merged.withColumn("description", described).select(*entities.columns)
+    # the longest description, the first of equally long ones, in the last way of writing it
+    forms = described.groupBy("leader", F.length("said").alias("long"), F.lower("said").alias("lower")).agg(F.min("n").alias("first"), F.max_by("said", "n").alias("said"))
+    best = forms.groupBy("leader").agg(F.max_by("said", F.struct("long", -F.col("first"))).alias("description"))
+    return merged.join(best, "leader").select(*entities.columns)
 
 
 def resolve(names: Column, canon_known: Column) -> Column:

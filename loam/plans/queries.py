@@ -169,6 +169,36 @@ def _(spark, d):
     return resolve.clean_relationships(extract.relationships(found), resolve.merge_entities(found))
 
 
+# A vector model that SQL can repeat: how often each letter stands at an odd and at an even place.
+_LETTERS = "list_transform(range(52), lambda k: length(list_filter(range(1, length(name) + 1), lambda i: ascii(lower(name[i])) = 97 + k // 2 and i % 2 = k % 2))::double)"
+
+
+def _letters(rows: DataFrame) -> DataFrame:
+    each = F.split(F.lower("name"), "")
+    even, odd = F.transform(each, lambda c, i: F.when((i + 1) % 2 == 0, c).otherwise("")), F.transform(each, lambda c, i: F.when((i + 1) % 2 == 1, c).otherwise(""))
+    count = lambda k: F.size(F.filter("loam_even" if k % 2 == 0 else "loam_odd", lambda c: c == chr(97 + k // 2))).cast("double")
+    return rows.withColumns({"loam_even": even, "loam_odd": odd}).withColumn("name_vector", F.array(*[count(k) for k in range(52)])).drop("loam_even", "loam_odd")
+
+
+# the scan over all names in entity order, step by step; equal vectors have equal partners, so it goes over the first of each
+@query("entity_resolved", f"""select * from (with recursive vectors as (select *, {_LETTERS} as v from numbered), firsts as (select v, min(n) as first, sqrt(list_dot_product(v, v)) as l from vectors group by v),
+    near as materialized (select a.first as hi, list(b.first) as below from firsts a join firsts b on b.first < a.first and list_dot_product(a.v, b.v) / ((a.l + 1e-9) * (b.l + 1e-9)) >= 0.95 group by a.first),
+    step as materialized (select hi, below, row_number() over (order by hi) as k from near),
+    scan as (select 0::bigint as k, null::bigint as hi, null::bigint as leader, []::bigint[] as led
+      union all select p.k, p.hi, coalesce(list_min(list_filter(p.below, lambda x: not list_contains(s.led, x))), p.hi),
+        case when len(list_filter(p.below, lambda x: not list_contains(s.led, x))) > 0 then list_append(s.led, p.hi) else s.led end from scan s join step p on p.k = s.k + 1),
+    follow as (select hi, leader from scan where k > 0),
+    member as (select n, name, canon, type, n_mentions, coalesce(leader, first) as leader from vectors join firsts using (v) left join follow on hi = first)
+    select first(canon order by n) as canon, first(name order by length(name) desc, n) as name, first(type order by n) as type, sum(n_mentions)::bigint as n_mentions
+    from member group by leader)""")
+def _(spark, d):
+    merged = resolve.merge_entities(extract.mentions(extract.chunk(_table(spark, d, "documents"))))
+    folder = workspace(spark, "resolved")
+    merged = materialize(merged, folder, "merged")
+    whole = resolve.merge_similar(merged, _letters, folder)
+    return whole.select("canon", "name", "type", "n_mentions")
+
+
 @query("edge_ingest", "select source, type, target, evidence from relation")
 def _(spark, d):
     return stored(spark, d).relation

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,17 +69,19 @@ def greedy(n, pairs):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_leaders_equal_the_sequential_scan(spark, seed):
+@pytest.mark.parametrize("few", [0, 5, 1000])
+@pytest.mark.parametrize("seed", range(2))
+def test_leaders_equal_the_sequential_scan(spark, seed, few):
     rng = random.Random(seed)
     n = 14
-    pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.2}
+    pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.2} | {(a, a + 1) for a in range(n - 1)}
     ids = spark.createDataFrame([(k,) for k in range(n)], "id long")
     rows = spark.createDataFrame(sorted(pairs), "a long, b long")
-    got = {r.id: r.leader for r in resolve.leaders(rows, ids, workspace(spark, "t")).collect()}
+    got = {r.id: r.leader for r in resolve.leaders(rows, ids, workspace(spark, "t"), few).collect()}
     assert got == greedy(n, pairs)
 
 
+
 def reference_chain(edges):
     by_source = {}
     for k, (s, _) in enumerate(edges):
@@ -192,11 +195,23 @@ def test_similar_pairs_of_odd_vectors(spark, monkeypatch):
     assert similar.similar_pairs(df.limit(0), "id", "v", 0.9).count() == 0
 
 
-def test_blocks_follow_bytes_and_tasks():
-    assert similar._blocks(0, 1, 8) == similar._blocks(500, 64, 8) == 1
-    assert similar._blocks(2000, 64, 8) == 6  # 21 pairs of blocks for 8 tasks
-    assert similar._blocks(1_000_000, 64, 8) == 31
-    assert similar._blocks(1_000_000, 768, 8) == 367
+@pytest.mark.parametrize("threshold, pivots", [(0.95, 1), (0.95, 40), (0.3, 40), (-0.5, 9)])
+def test_cells_and_rings_lose_no_pair_and_spare_most_products(spark, threshold, pivots):
+    rng = random.Random(2)
+    centres = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(40)]
+    rows = [(k, [x + rng.gauss(0, 0.15) for x in centres[k % 40]]) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sim = x @ x.T
+    want = {(i, j) for i, j in zip(*np.nonzero(sim >= threshold), strict=True) if i < j and abs(sim[i, j] - threshold) > 1e-7}
+    got = {(r.a, r.b) for r in similar.similar_pairs(df, "id", "v", threshold, 50, pivots).collect()}
+    assert len(want) > 500 and want == {(a, b) for a, b in got if abs(sim[a, b] - threshold) > 1e-7}
+    met = similar.dealt(df, "id", "v", threshold, workspace(spark, "t"), pivots, 50).groupBy(*similar.CELL, "part").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
+    products = met.agg(F.sum(F.col("h") * F.col("g"))).first()[0]
+    if (threshold, pivots) == (0.95, 40):
+        assert products < 600 * 600 / 8
+
 
 
 def diverse(candidates, k):
