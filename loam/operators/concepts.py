@@ -12,18 +12,6 @@ from loam.operators.within import holding
 MEMBERS = 6
 
 
-def draft(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """(concept, member, place): per source its six commonest names among those that two or three
-    sources share. The offline stand-in for a model's grouping."""
-    seen = found.select("doc_id", "name").distinct().join(documents.select("doc_id", "source").filter("source is not null"), "doc_id")
-    counted = seen.groupBy("source", "name").agg(F.count(F.lit(1)).alias("docs"))
-    spread = counted.groupBy("name").agg(F.count(F.lit(1)).alias("sources")).filter("sources between 2 and 3")
-    rows = counted.join(spread, "name")
-    best = Window.partitionBy("source").orderBy(F.desc("docs"), F.desc("sources"), F.asc("name"))
-    rows = rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= MEMBERS)
-    return rows.select(F.concat(F.lit("Theme of "), F.col("source")).alias("concept"), F.col("name").alias("member"), "place")
-
-
 def draft_batches(entities: DataFrame, folder: str, per_batch: int = DEFAULT.concept_batch) -> DataFrame:
     """(concept, member, place): every merged entity, in batches of ``per_batch`` in entity order,
     as they are put to a model. The offline stand-in for the reply: runs of two to six

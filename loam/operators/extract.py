@@ -1,19 +1,14 @@
 """Chunks, and the entities and relationships that an extractor finds in them.
 
 The offline extractor is deterministic: mentions are capitalised words of six letters or more,
-relationships join neighbouring mentions of a chunk. A model-backed one plugs in as a function
-from a batch of chunk texts to replies (``extract_with``). Every row carries its place
+relationships join neighbouring mentions of a chunk; ``models`` has one that asks a model. Every row carries its place
 (doc_id, idx, pos), by which "first" is defined everywhere else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loam.config import DEFAULT
 from loam.functions import text as X
@@ -59,19 +54,6 @@ def batches(chunks: DataFrame, size: int = DEFAULT.extraction_batch) -> DataFram
     return rows.groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("n_segments"), listed.alias("segments"))
 
 
-REPLY = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("reply", T.StringType())])
-
-
-def extract_with(prompts: DataFrame, client: Callable[[list[str]], list[str]]) -> DataFrame:
-    """(doc_id, batch, reply): a client's replies to the segments, one Arrow batch at a time."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"doc_id": part.doc_id, "batch": part.batch, "reply": client(list(part.segments))})
-
-    return prompts.select("doc_id", F.col("batch").cast("long").alias("batch"), "segments").mapInPandas(run, REPLY)
-
-
 _ITEM = "segment int, entities array<struct<name:string,type:string,description:string>>, relationships array<struct<source:string,target:string,type:string,evidence:string>>"
 
 

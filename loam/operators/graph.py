@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loam.config import DEFAULT, Config
 from loam.functions import vector as V
-from loam.operators import community, concepts, extract, resolve
+from loam.operators import community, concepts, extract, models, resolve
 from loam.sources import sinks
 from loam.store import materialize, workspace
 
@@ -36,48 +36,58 @@ class Graph:
 
 
 METHODS = {"components": community.components, "modularity": community.detect}
-DRAFTS = ("batches", "sources")
 
 
 def build(
-    documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "modularity", drafts: str = "batches",
+    documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "modularity",
     names: Callable[[DataFrame], DataFrame] | None = None, embed: Callable[..., DataFrame] = V.embed,
+    client: models.Client | None = None, replies: str | None = None, tasks: int = 1, extracted: DataFrame | None = None,
 ) -> Graph:
     """All layers from (doc_id, text, source), each written before the next reads it.
 
     ``method``: communities by ``modularity`` of concept overlap, or by its connected ``components``.
-    ``drafts``: concepts of all merged entities in ``batches``, or of a few names of each of the ``sources``.
     ``embed``: the vector model of chunks, entities, concepts and communities, called with a frame,
     its key, a text column and the name of the new column (``vector.model_embed`` makes one of any
     function from texts to a matrix); by default hashed words. Questions need the same one.
     ``names``: a vector model of display names (see ``resolve.merge_similar``); without one, entities
     are merged by canonical key alone.
+    ``client``: a model that is asked for entities and relationships, concepts and summaries, by ``tasks`` tasks; what it said is
+    kept in the folder ``replies``, and a build that is broken off goes on from there. Without one, the offline stand-ins serve.
+    ``extracted``: extractions (doc_id, idx, entities, relationships) made before, in place of asking for them.
     """
-    if method not in METHODS or drafts not in DRAFTS:
-        raise ValueError(f"method must be one of {sorted(METHODS)}, drafts one of {sorted(DRAFTS)}")
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {sorted(METHODS)}")
     spark = documents.sparkSession
     folder = folder or workspace(spark, "graph")
     keep = lambda df, name: materialize(df, folder, name)
     source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string")
     document = keep(documents.select("doc_id", source.alias("source"), F.length("text").cast("long").alias("n_chars")).groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_chars").alias("n_chars")), "document")
     chunk = keep(embed(extract.chunk(documents, config.chunk_size, config.chunk_overlap), "chunk_id", "text", "embedding"), "chunk")
-    found = keep(extract.mentions(chunk), "mention")
+    asking = {"client": client, "tasks": tasks, "config": config, "replies": replies or f"{folder}/replies"}
+    if extracted is None and client is not None:
+        extracted = models.extract_adaptive(chunk, **asking)
+    if extracted is not None:
+        extracted = keep(extracted.select("doc_id", "idx", "entities", "relationships"), "extraction")
+    found = keep(extract.mentions(chunk) if extracted is None else models.named_mentions(extracted), "mention")
+    claimed = keep(extract.relationships(found) if extracted is None else models.named_relationships(extracted), "claim")
     resolved = resolve.merge_entities(found)
     if names is not None:
         resolved = resolve.merge_similar(resolved, names, f"{folder}/similar", config.entity_dedup_threshold)
     resolved = keep(resolved, "resolved")
     merged = resolve.upserted(resolved).withColumn("loam_text", F.concat("name", F.lit(": "), F.coalesce("description", F.lit(""))))
     entity = keep(embed(merged, "name", "loam_text", "embedding").drop("loam_text"), "entity")
-    cleaned = resolve.clean_relationships(extract.relationships(found), resolved)
+    cleaned = resolve.clean_relationships(claimed, resolved)
     relation = keep(resolve.ingest_edges(cleaned, entity), "relation")
     has_entity = keep(entity.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("idx").cast("string")).alias("chunk_id"), F.col("name").alias("entity")), "has_entity")
-    drafted = concepts.draft(found, documents) if drafts == "sources" else concepts.draft_batches(entity, folder, config.concept_batch)
+    drafted = concepts.draft_batches(entity, folder, config.concept_batch) if client is None else models.draft_concepts(entity, **asking)
     members = keep(concepts.resolve_members(drafted, entity), "concept_member")
     described = members.groupBy("concept").agg(F.array_join(F.sort_array(F.collect_set("entity")), " ").alias("description"))
     concept = keep(embed(described, "concept", "description", "embedding"), "concept")
     edges = keep(concepts.overlap(members), "overlap")
     labels = keep(METHODS[method](members.select("concept").distinct(), edges, f"{folder}/{method}"), "labels")
     summary = community.summarise(labels, members, folder)
+    if client is not None:
+        summary = models.summaries(summary, **asking)
     communities = keep(embed(summary, "community", "summary", "embedding"), "community")
     contains = keep(labels.join(communities.select("root", "community"), "root").select("community", "concept"), "community_concept")
     return Graph(document, chunk, entity, has_entity, relation, members, concept, communities, contains)

@@ -1,52 +1,34 @@
 """Functions backed by a language model: extraction, concepts, summaries, answers, judges, metrics.
 
 A client is any picklable function from a prompt to a reply. Calls run inside partitions, under
-a share of the rate limit (``call_each``), and replies are written before anything reads them: they
-cost money and may differ when asked for again. Prompts and replies are built and parsed in
+a share of the rate limit, and every reply is kept as it comes (``replies``): they cost money and may
+differ when asked for again. Prompts and replies are built and parsed in
 expressions. Every function has a deterministic stand-in elsewhere, so nothing needs a network.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loam.config import DEFAULT, Config
 from loam.functions import text as X
 from loam.functions import vector as V
-from loam.operators import client as C
 from loam.operators import concepts, evaluate, extract
-from loam.store import materialize, workspace
+from loam.operators import replies as R
+from loam.store import workspace
 
 Client = Callable[[str], str]
 ENTITY_WORDS = "entities (name, type, description) and relationships (source, target, type, evidence)"
 
 
-def call_each(rows: DataFrame, client: Client, prompt: str = "prompt", tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
-    """``rows`` with a ``reply`` to each ``prompt``, on ``tasks`` tasks that share the rate limit;
-    a prompt over the model's size gives a null reply. The replies are written. There are no more
-    tasks than calls a minute."""
-    tasks = min(tasks, config.calls_per_minute)
-    schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType())])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter = C.RateLimiter(config.calls_per_minute, tasks)
-
-        def one(text: str) -> str | None:
-            try:
-                return C.call(client, text, limiter)
-            except C.TokenLimitError:
-                return None
-
-        for part in parts:
-            yield part.assign(reply=[one(p) for p in part[prompt]])
-
-    return materialize(rows.repartition(tasks).mapInPandas(run, schema), workspace(rows.sparkSession, "replies"), "replies")
+def call_each(rows: DataFrame, client: Client, prompt: str = "prompt", tasks: int = 1, config: Config = DEFAULT, replies: str | None = None) -> DataFrame:
+    """``rows`` with a ``reply`` to each ``prompt`` (see ``replies.ask``), kept in the folder ``replies``; a prompt over
+    the model's size gives a null reply."""
+    return R.ask(rows, client, replies or workspace(rows.sparkSession, "replies"), prompt, tasks, config)
 
 
 def extraction_prompts(segments: DataFrame) -> DataFrame:
@@ -54,15 +36,16 @@ def extraction_prompts(segments: DataFrame) -> DataFrame:
     return segments.withColumn("prompt", ask)
 
 
-def extract_adaptive(chunks: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
+def extract_adaptive(chunks: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT, replies: str | None = None) -> DataFrame:
     """(doc_id, idx, entities, relationships) of every chunk. Batches that are too large for the
     model go again chunk by chunk, as do batches without any entity; what still fails is empty."""
-    first = call_each(extraction_prompts(extract.batches(chunks, config.extraction_batch)), client, tasks=tasks, config=config)
+    replies = replies or workspace(chunks.sparkSession, "replies")
+    first = call_each(extraction_prompts(extract.batches(chunks, config.extraction_batch)), client, tasks=tasks, config=config, replies=replies)
     found = extract.parse_replies(first.select("doc_id", F.col("batch").cast("long").alias("batch"), F.coalesce("reply", F.lit("")).alias("reply")), config.extraction_batch)
     filled = found.filter(F.size("entities") > 0)
     done = filled.select("doc_id", F.floor(F.col("idx") / config.extraction_batch).alias("batch")).distinct()
     again = chunks.withColumn("batch", F.floor(F.col("idx") / config.extraction_batch)).join(done, ["doc_id", "batch"], "left_anti")
-    single = call_each(extraction_prompts(extract.batches(again.drop("batch"), 1)), client, tasks=tasks, config=config)
+    single = call_each(extraction_prompts(extract.batches(again.drop("batch"), 1)), client, tasks=tasks, config=config, replies=replies)
     second = extract.parse_replies(single.select("doc_id", F.col("batch").cast("long").alias("batch"), F.coalesce("reply", F.lit("")).alias("reply")), 1)
     return filled.unionByName(second.filter(F.size("entities") > 0))
 
@@ -81,14 +64,14 @@ def named_relationships(extractions: DataFrame) -> DataFrame:
 FLAT = "entities array<struct<name:string,type:string>>, relationships array<struct<source:string,target:string,type:string,evidence:string>>"
 
 
-def extract_flat(chunks: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def extract_flat(chunks: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT, replies: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The flat pipeline's own extraction: each chunk alone, its first ``flat_extract_chars``
     characters. (doc_id, idx, pos, name, type) of mentions, names as written, and (doc_id, idx, pos,
     source, target, type, evidence) of relationships; a reply that is no object holds nothing."""
     ask = F.concat(F.lit(f"Return JSON with the {ENTITY_WORDS} of this text.\n\n"), F.substring("text", 1, config.flat_extract_chars))
-    replies = call_each(chunks.select("doc_id", "idx", ask.alias("prompt")), client, tasks=tasks, config=config)
+    told = call_each(chunks.select("doc_id", "idx", ask.alias("prompt")), client, tasks=tasks, config=config, replies=replies)
     body = X.reply_json(F.coalesce("reply", F.lit("")))
-    rows = replies.select("doc_id", "idx", F.when(~F.startswith(F.ltrim(body), F.lit("[")), F.from_json(body, FLAT)).alias("found"))
+    rows = told.select("doc_id", "idx", F.when(~F.startswith(F.ltrim(body), F.lit("[")), F.from_json(body, FLAT)).alias("found"))
     named = rows.select("doc_id", "idx", F.posexplode("found.entities").alias("pos", "e"))
     named = named.select("doc_id", "idx", F.col("pos").cast("long").alias("pos"), X.strip(F.coalesce("e.name", F.lit(""))).alias("name"), F.coalesce("e.type", F.lit("UNKNOWN")).alias("type")).filter("name <> ''")
     edges = rows.select("doc_id", "idx", F.posexplode("found.relationships").alias("pos", "r"))
@@ -99,14 +82,15 @@ def extract_flat(chunks: DataFrame, client: Client, tasks: int = 1, config: Conf
 CONCEPT_PAUSES = (60, 120, 180)
 
 
-def draft_concepts(entities: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def draft_concepts(entities: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT, replies: str | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(concept, member, place) from a client, asked about batches of entity lines. Where no reply
     holds a concept, all batches are asked again, up to three times, after growing pauses."""
     prompts = concepts.entity_prompt(entities, workspace(entities.sparkSession, "concepts"), config.entity_text_chars, config.concept_batch)
     prompts = prompts.withColumn("prompt", F.concat(F.lit('Group these entities: JSON {"concepts": [{"name", "description", "members"}]}, exact names.\n'), F.col("listing")))
     parsed = F.from_json(X.reply_json(F.coalesce("reply", F.lit(""))), "concepts array<struct<name:string,description:string,members:array<string>>>")
-    for pause in (*CONCEPT_PAUSES, None):
-        found = call_each(prompts, client, tasks=tasks, config=config).select(F.explode(parsed["concepts"]).alias("c"))
+    for turn, pause in enumerate((*CONCEPT_PAUSES, None)):
+        # a blank more each time, as the same prompt would be answered from what is kept
+        found = call_each(prompts.withColumn("prompt", F.concat("prompt", F.lit(" " * turn))), client, tasks=tasks, config=config, replies=replies).select(F.explode(parsed["concepts"]).alias("c"))
         if pause is None or not found.isEmpty():
             break
         sleep(pause)
@@ -118,7 +102,7 @@ def draft_concepts(entities: DataFrame, client: Client, tasks: int = 1, config:
 FEWER_MEMBERS = 15
 
 
-def summaries(communities: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
+def summaries(communities: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT, replies: str | None = None) -> DataFrame:
     """``communities`` (community, members, ..) with a client's summary. A prompt that is too large
     is asked again with the first ``FEWER_MEMBERS`` members; an empty reply falls back to the list."""
     rows = communities.drop("summary")
@@ -126,7 +110,7 @@ def summaries(communities: DataFrame, client: Client, tasks: int = 1, config: Co
 
     def ask(some: DataFrame, members) -> DataFrame:
         said = some.withColumn("loam_listed", F.array_join(members, ", "))
-        return call_each(said.withColumn("prompt", F.concat(F.lit("Summarise what unites: "), F.col("loam_listed"))), client, tasks=tasks, config=config).drop("prompt")
+        return call_each(said.withColumn("prompt", F.concat(F.lit("Summarise what unites: "), F.col("loam_listed"))), client, tasks=tasks, config=config, replies=replies).drop("prompt")
 
     asked = ask(rows, F.col("members"))
     again = asked.filter("reply is null").select(*columns)
@@ -135,16 +119,16 @@ def summaries(communities: DataFrame, client: Client, tasks: int = 1, config: Co
     return asked.select(*columns, X.fallback_summary(X.strip_think(F.coalesce("reply", F.lit(""))), F.col("loam_listed")).alias("summary"))
 
 
-def answers(prompts: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
+def answers(prompts: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT, replies: str | None = None) -> DataFrame:
     """(qid, answer) to (qid, prompt)."""
-    return call_each(prompts, client, tasks=tasks, config=config).select("qid", X.strip_think(F.coalesce("reply", F.lit(""))).alias("answer"))
+    return call_each(prompts, client, tasks=tasks, config=config, replies=replies).select("qid", X.strip_think(F.coalesce("reply", F.lit(""))).alias("answer"))
 
 
-def judged(rows: DataFrame, client: Client, items: str, flag: str, said: str, out: str, tasks: int = 1, config: Config = DEFAULT) -> DataFrame:
+def judged(rows: DataFrame, client: Client, items: str, flag: str, said: str, out: str, tasks: int = 1, config: Config = DEFAULT, replies: str | None = None) -> DataFrame:
     """(qid, ``out``): a judge's score of the text ``said`` against the first chunks of ``chunks``."""
     shown = F.array_join(F.slice("chunks", 1, config.judge_chunks), "\n\n---\n\n")
     prompts = rows.withColumn("prompt", F.concat(F.lit(f'JSON {{"{items}": [{{"{flag}"}}], "score"}}.\nContext:\n'), shown, F.lit("\nText:\n"), F.col(said)))
-    scored = call_each(prompts, client, tasks=tasks, config=config)
+    scored = call_each(prompts, client, tasks=tasks, config=config, replies=replies)
     score = evaluate.judge_score(F.coalesce("reply", F.lit("")), items, flag)
     return scored.select("qid", F.when((F.size("chunks") == 0) | (F.coalesce(F.col(said), F.lit("")) == ""), F.lit(0.0)).otherwise(score).alias(out))
 

@@ -64,11 +64,13 @@ def pages(data: bytes) -> list[str]:
             return m[2]
         try:
             return zlib.decompressobj().decompress(m[2])
-        except zlib.error:
-            return b""
+        except zlib.error as e:
+            raise ValueError(f"object {number} of the file cannot be inflated: {e}") from e
 
     out = []
     for body in objects.values():
         if re.search(rb"/Type\s*/Page\b", body) and (m := _CONTENTS.search(body)):
             out.append(_page_text(b"\n".join(content(int(n)) for n in _REFERENCE.findall(m[1]))))
+    if not out and re.search(rb"/ObjStm\b|/Encrypt\b", data):
+        raise ValueError("the file keeps its objects in streams, or encrypted; give an extractor that reads such files")
     return out

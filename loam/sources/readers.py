@@ -83,10 +83,17 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce(own, F.concat(F.lit("q_"), F.col("loam_place"))).alias("id"), F.coalesce(kind, F.lit("general")).alias("category"), "query", "ground_truth")
 
 
+#: Of a cached extraction. Read with it, as JSON leaves out what is null.
+EXTRACTION = (
+    "doc_id long, idx long, entities array<struct<name:string,type:string,description:string>>, "
+    "relationships array<struct<source:string,target:string,type:string,evidence:string>>"
+)
+
+
 def read_cache(spark: SparkSession, folder: str, path: str) -> DataFrame | None:
     """Cached extractions of a document, or None."""
     at = cache_file(folder, path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    return spark.read.json(at)
+    return spark.read.schema(EXTRACTION).json(at)

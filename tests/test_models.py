@@ -58,8 +58,8 @@ def test_a_client_sees_every_prompt_once(spark, tmp_path):
     first = lambda p: json.dumps([{"segment": k, "entities": [{"name": "x", "type": "ORG"}] if "name0" in p else []} for k in (1, 2, 3)])
     found = models.extract_adaptive(chunks, counting(tmp_path, first))
     assert found.count() == 3 and found.count() == 3 and extract.totals(found).first().entities == 3
-    # one batch a document, and the batch without an entity once more, chunk by chunk
-    assert len(list(tmp_path.iterdir())) == 3
+    # one batch a document; the batch without an entity, asked chunk by chunk, is the prompt that was answered
+    assert len(list(tmp_path.iterdir())) == 2
 
 
 def test_flat_extraction_reads_the_beginning_of_a_chunk(spark, tmp_path):
@@ -104,8 +104,159 @@ def test_fatal_errors_are_not_tried_again():
         with pytest.raises(kind):
             client.call(broken, "p", client.RateLimiter(100), sleep=lambda s: None)
         assert len(calls) == 1
-    slept = []
-    assert client.call(lambda p: (_ for _ in ()).throw(RuntimeError("429 rate_limit")), "p", client.RateLimiter(100), attempts=3, sleep=slept.append) == "" and slept == [60.0, 120.0]
+    def failing(text):
+        def ask(prompt):
+            raise RuntimeError(text)
+
+        return ask
+
+    for text, pauses in (("429 rate_limit", [60.0, 120.0]), ("Connection reset by peer", [10.0, 20.0])):
+        slept = []
+        assert client.call(failing(text), "p", client.RateLimiter(100), attempts=3, sleep=slept.append) == "" and slept == pauses
+    with pytest.raises(client.CallError):
+        client.call(failing("something odd"), "p", client.RateLimiter(100), attempts=2, sleep=lambda s: None)
+
+
+def test_what_messages_say_about_an_error():
+    # fixed values: messages, and the kind of each
+    for text, kind in (
+        ("Error code: 413 - request entity", "tokens"), ("Requested 9000 tokens, limit 6000", "tokens"), ("context_length_exceeded", "tokens"), ("Prompt too large", "tokens"),
+        ("Error code: 429", "busy"), ("rate_limit_exceeded", "busy"), ("daily cap", "quota"), ("insufficient_quota", "quota"), ("HTTP 401", "fatal"), ("status=403.", "fatal"),
+        ("took 4030 ms", "other"), ("id 1429x4", "other"), ("4.413 s", "other"), ("read timeout", "network"), ("ssl: eof", "network"), ("odd", "other"),
+    ):
+        assert client.kind_of(RuntimeError(text)) == kind, text
+
+
+def test_a_broken_run_goes_on_without_asking_twice(spark, tmp_path):
+    import collections
+
+    import pytest
+
+    calls, folder = tmp_path / "calls", str(tmp_path / "replies")
+    calls.mkdir()
+    rows = spark.createDataFrame([(k, f"prompt {k % 9}" if k else None) for k in range(20)], "k long, prompt string")
+
+    def dying(prompt):
+        import os
+
+        (calls / f"{prompt}-{len(list(calls.iterdir()))}").write_text(prompt)
+        if len(list(calls.iterdir())) == 5:
+            os._exit(1)  # the task's process is lost
+        return prompt.upper()
+
+    with pytest.raises(Exception):  # noqa: B017
+        models.call_each(rows, dying, replies=folder)
+    assert len(list(calls.iterdir())) == 5
+    got = {r.k: r.reply for r in models.call_each(rows, dying, tasks=2, replies=folder).collect()}
+    assert got == {k: (f"PROMPT {k % 9}" if k else None) for k in range(20)}
+    asked = collections.Counter(p.read_text() for p in calls.iterdir())
+    # the one in whose middle the process went had no reply yet
+    assert sorted(asked.values()) == [1] * 8 + [2]
+    before = len(list(calls.iterdir()))
+    assert models.call_each(rows, dying, replies=folder).count() == 20 and len(list(calls.iterdir())) == before
+
+
+def test_failures_are_rows_and_only_they_are_asked_again(spark, tmp_path):
+    import pytest
+
+    calls, folder = tmp_path / "calls", str(tmp_path / "replies")
+    calls.mkdir()
+    rows = spark.createDataFrame([(k, f"p{k}") for k in range(6)], "k long, prompt string")
+    spent = tmp_path / "spent"
+    spent.write_text("")
+
+    def ask(prompt):
+        (calls / f"{prompt}-{len(list(calls.iterdir()))}").write_text(prompt)
+        if prompt == "p1":
+            raise RuntimeError("413")
+        if prompt == "p3" and spent.exists():
+            raise RuntimeError("daily quota reached")
+        return prompt + "!"
+
+    from loam.operators import replies
+
+    with pytest.raises(client.QuotaError):
+        models.call_each(rows.orderBy("k").coalesce(1), ask, replies=folder)
+    kinds = {r.kind for r in replies.table(spark, folder).collect()}
+    assert "quota" in kinds
+    spent.unlink()
+    told = {r.k: r.reply for r in models.call_each(rows, ask, replies=folder).collect()}
+    assert told == {k: None if k == 1 else f"p{k}!" for k in range(6)}
+    seen = [p.read_text() for p in calls.iterdir()]
+    assert all(seen.count(f"p{k}") == (2 if k == 3 else 1) for k in range(6))
+
+
+def test_calls_of_the_minute_before_count():
+    now = [1000.0]
+    limiter = client.RateLimiter(4, 2, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s), used=[990.0, 995.0])
+    limiter.wait()
+    assert now[0] == 990 + client.SPAN
+    limiter.wait()
+    assert now[0] == 995 + client.SPAN
+
+
+def builder():
+    """A model for a whole build: entities and a relationship a segment, one concept, a summary."""
+    def reply(prompt):
+        if "Group these entities" in prompt:
+            names = [line[2:].split(" [")[0] for line in prompt.split("\n") if line.startswith("- ")]
+            return json.dumps({"concepts": [{"name": "All of it", "members": names}]})
+        if prompt.startswith("Summarise"):
+            return "a summary"
+        if "=== Segment" in prompt:
+            words = [[w.strip(".") for w in p.split() if w[:1].isupper()] for p in prompt.split("===\n")[1:]]
+            return json.dumps([{"segment": k, "entities": [{"name": n, "type": "ORG", "description": f"{n} is"} for n in w], "relationships": [{"source": w[0], "target": w[-1], "type": "met", "evidence": "e"}]} for k, w in enumerate(words, 1)])
+        return "an answer"
+
+    return reply
+
+
+def test_a_graph_built_by_a_model(spark, tmp_path):
+    from loam.operators import graph
+
+    docs = spark.createDataFrame([(k, f"{a} meets {b}. {a} leaves {b}.", "s") for k, (a, b) in enumerate([("Alphaone", "Betatwo"), ("Betatwo", "Gammathree")])], "doc_id long, text string, source string")
+    built = graph.build(docs, client=builder(), replies=str(tmp_path / "replies"))
+    assert {r.name for r in built.entity.collect()} == {"Alphaone", "Betatwo", "Gammathree"}
+    assert {(r.source, r.type, r.target) for r in built.relation.collect()} == {("Alphaone", "MET", "Betatwo"), ("Betatwo", "MET", "Gammathree")}
+    assert [(r.summary, r.members) for r in built.community.collect()] == [("a summary", ["Alphaone", "Betatwo", "Gammathree"])]
+
+    def silent(prompt):
+        raise AssertionError(prompt)
+
+    again = graph.build(docs, client=silent, replies=str(tmp_path / "replies"))  # all is kept
+    assert again.entity.select("name").exceptAll(built.entity.select("name")).isEmpty()
+
+
+def test_the_command_line_takes_models_and_keeps_what_they_said(spark, tmp_path, capsys, monkeypatch):
+    import sys
+
+    import pytest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Alphaone meets Betatwo.")
+    (tmp_path / "said.py").write_text("""import json
+def client(prompt):
+    if "Group these" in prompt:
+        return json.dumps({"concepts": [{"name": "Both", "members": ["Alphaone", "Betatwo"]}]})
+    if "=== Segment" in prompt:
+        return json.dumps([{"segment": 1, "entities": [{"name": "Alphaone"}, {"name": "Betatwo"}], "relationships": []}])
+    return "forty-two"
+def vectors(texts):
+    import numpy as np
+    return np.array([[len(t) + 1.0, t.count("e"), 1.0] for t in texts])
+""")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "said.py"))
+    monkeypatch.setattr(cli, "get_spark", lambda app: spark)
+    store, models_ = str(tmp_path / "store"), ["--client", "said:client", "--embed", "said:vectors", "--replies", str(tmp_path / "kept"), "--cache", str(tmp_path / "cache")]
+    cli.main(["build", str(tmp_path / "in"), store, *models_])
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+    cli.main(["build", str(tmp_path / "in"), store, *models_])  # from the cache
+    cli.main(["ask", store, "What does Alphaone do?", *models_])
+    assert "forty-two" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="said:vectors"):
+        cli.main(["ask", store, "What does Alphaone do?"])
+    sys.modules.pop("said", None)
 
 
 def test_no_minute_holds_more_calls_than_allowed():

@@ -46,8 +46,18 @@ def test_questions(spark, tmp_path):
 
 def test_cache_round_trip(spark, tmp_path):
     assert readers.read_cache(spark, str(tmp_path), "/doc") is None
-    sinks.write_cache(spark.createDataFrame([(1, "x")], "idx long, e string"), str(tmp_path), "/doc")
-    assert readers.read_cache(spark, str(tmp_path), "/doc").first().e == "x"
+    sinks.write_cache(spark.createDataFrame([(1, 0, [("A", None, None)], [])], readers.EXTRACTION), str(tmp_path), "/doc")
+    (kept,) = readers.read_cache(spark, str(tmp_path), "/doc").collect()
+    assert (kept.doc_id, kept.idx, kept.entities[0].name, kept.entities[0].type, kept.relationships) == (1, 0, "A", None, [])
+
+
+def test_files_that_cannot_be_read_raise():
+    from loam.sources import pdf
+
+    with pytest.raises(ValueError, match="streams"):
+        pdf.pages(b"%PDF-1.5 1 0 obj <</Type /ObjStm /N 1>> stream x endstream endobj")
+    with pytest.raises(ValueError, match="inflated"):
+        pdf.pages(b"%PDF-1.4\n1 0 obj <</Type /Page /Contents 2 0 R>> endobj\n2 0 obj <</Length 3 /Filter /FlateDecode>>\nstream\nabc\nendstream endobj\n")
 
 
 DOCS = [
