@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loam.config import Config
 from loam.functions import vector as V
-from loam.operators import evaluate, explain, flat, graph, models, resolve, retrieve
+from loam.operators import evaluate, explain, extract, flat, graph, models, resolve, retrieve
 from loam.session import get_spark
 from loam.sources import pdf, readers, sinks
 from loam.store import workspace
@@ -72,10 +72,14 @@ def asked(spark: SparkSession, question: str, use: Models = OFFLINE) -> DataFram
 def build(spark: SparkSession, source: str, store: str, use: Models = OFFLINE, cache: str | None = None) -> None:
     config = Config.load(spark)
     files, name = readers.read_input(spark, source, pdf.pages)
-    docs = files.withColumn("doc_id", F.xxhash64("file_name")).select("doc_id", "text", F.col("file_name").alias("source"))
-    known = readers.read_cache(spark, cache, source) if cache else None
+    # all files are one document, a blank line between them, and its chunks run over their borders
     folder = workspace(spark, "build")
-    built = graph.build(docs, config, folder, embed=use.embed, extracted=known, **use.ask())
+    files = files.withColumn("doc_id", F.xxhash64(F.lit(name)))
+    chunks = extract.chunk_joined(files, "doc_id", "file_name", folder, config.chunk_size, config.chunk_overlap)
+    chars = (F.sum(F.length("text")) + 2 * (F.count(F.lit(1)) - 1)).alias("n_chars")
+    docs = files.groupBy("doc_id").agg(chars).withColumn("source", F.lit(name))
+    known = readers.read_cache(spark, cache, source) if cache else None
+    built = graph.build(docs, config, folder, embed=use.embed, extracted=known, chunks=chunks, **use.ask())
     if cache and known is None and use.client:
         sinks.write_cache(spark.read.parquet(f"{folder}/extraction"), cache, source)
     built.save(store)

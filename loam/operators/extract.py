@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loam.config import DEFAULT
 from loam.functions import text as X
+from loam.store import materialize, placed
 
 MENTION = "[A-Z][a-z]{5,}"
 # The offline extractor's types, by the length of a name and of a pair.
@@ -26,6 +27,41 @@ def chunk(documents: DataFrame, size: int = DEFAULT.chunk_size, overlap: int = D
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("idx").cast("string")).alias("chunk_id"), "doc_id", F.col("idx").cast("long").alias("idx"), "text")
 
 
+def chunk_joined(files: DataFrame, group: str, order: str, folder: str, size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.chunk_overlap, between: str = "\n\n") -> DataFrame:
+    """(chunk_id, doc_id, idx, text): the chunks of each ``group``'s files, taken as one text in ``order`` with ``between`` between
+    them, as ``chunk`` would make them of it. The text is never put together: lengths are summed up in order, each file
+    gives its share of every window that it reaches into, and a window joins its shares.
+
+    A null text is empty; files of one place in the order stand by their text; windows that hold nothing but blanks fall away.
+    """
+    step = size - overlap
+    rows = files.select(F.col(group).alias("doc_id"), F.col(order).alias("loam_order"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
+    keyed = materialize(rows.withColumn("loam_hash", F.xxhash64("text")).withColumn("loam_id", F.monotonically_increasing_id()), folder, "files")
+    # lengths alone are sorted; a group begins where its first file does
+    sizes = keyed.select("doc_id", "loam_order", "loam_hash", "loam_id", F.length("text").alias("loam_chars"))
+    at = placed(sizes, ["doc_id", "loam_order", "loam_hash", "loam_id"], F.col("loam_chars") + len(between), folder, "sizes")
+    at = materialize(at.select("doc_id", "loam_id", "loam_chars", "before"), folder, "places")
+    starts = at.groupBy("doc_id").agg(F.min("before").alias("loam_start"), F.max_by("loam_id", "before").alias("loam_last"))
+    at = at.join(materialize(starts, folder, "starts"), "doc_id").select("loam_id", (F.col("before") - F.col("loam_start")).alias("begin"), (F.col("loam_id") == F.col("loam_last")).alias("last"))
+    rows = keyed.join(at, "loam_id").withColumn("text", F.concat("text", F.when(F.col("last"), "").otherwise(between)))
+    rows = rows.withColumn("end", F.col("begin") + F.length("text")).filter("end > begin")
+    first = F.greatest(F.lit(0), F.floor((F.col("begin") - size) / step) + 1)
+    rows = rows.withColumn("window", F.explode(F.sequence(first, F.floor((F.col("end") - 1) / step)))).withColumn("from", F.col("window") * step)
+    low = F.greatest("begin", "from")
+    share = F.substring("text", (low - F.col("begin") + 1).cast("int"), (F.least(F.col("end"), F.col("from") + size) - low).cast("int"))
+    shares = rows.select("doc_id", "window", low.alias("low"), share.alias("share")).filter("share <> ''")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("low", "share"))), lambda x: x.share), "")
+    made = shares.groupBy("doc_id", "window").agg(X.strip(whole).alias("text")).filter("text <> ''")
+    # numbered through, group by group
+    made = materialize(made, folder, "windows")
+    nth = placed(made.select("doc_id", "window"), ["doc_id", "window"], F.lit(1), folder, "nth")
+    nth = materialize(nth, folder, "numbers")
+    zero = materialize(nth.groupBy("doc_id").agg(F.min("before").alias("zero")), folder, "zeros")
+    nth = nth.join(zero, "doc_id").select("doc_id", "window", (F.col("before") - F.col("zero")).alias("idx"))
+    out = made.join(nth, ["doc_id", "window"])
+    return out.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("idx").cast("string")).alias("chunk_id"), "doc_id", "idx", "text")
+
+
 def _named(index, names: list[str]):
     return F.element_at(F.array(*map(F.lit, names)), (index % len(names)).cast("int") + 1)
 

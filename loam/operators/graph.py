@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loam.config import DEFAULT, Config
 from loam.functions import vector as V
 from loam.operators import community, concepts, extract, models, resolve
+from loam.operators.adjacency import Adjacent
 from loam.sources import sinks
 from loam.store import materialize, workspace
 
@@ -26,13 +27,28 @@ class Graph:
     concept: DataFrame  # concept, description, embedding
     community: DataFrame  # community, name, summary, embedding, members
     community_concept: DataFrame  # community, concept
+    adjacent: Adjacent | None = None  # the edges by node
+
+    @classmethod
+    def _tables(cls) -> list[str]:
+        return [f.name for f in fields(cls) if f.name != "adjacent"]
 
     def save(self, folder: str) -> None:
-        sinks.write_graph({f.name: getattr(self, f.name) for f in fields(self)}, folder)
+        sinks.write_graph({name: getattr(self, name) for name in self._tables()}, folder)
+        Adjacent.store(self.relation, f"{folder}/adjacency")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Graph:
-        return cls(**sinks.read_graph(spark, folder, [f.name for f in fields(cls)]))
+        return cls(**sinks.read_graph(spark, folder, cls._tables()), adjacent=Adjacent.load(spark, f"{folder}/adjacency"))
+
+    def edges_of(self, names: DataFrame) -> DataFrame:
+        """The columns of ``names`` (name, ..) with each edge (v, source, type, target, evidence) of the node; only
+        ``names`` is moved where the edges are laid out by node."""
+        if self.adjacent is not None:
+            return self.adjacent.of(names)
+        rows = self.relation.select("source", "type", "target", "evidence")
+        forth = names.join(rows, F.col("name") == F.col("source")).withColumn("v", F.col("target"))
+        return forth.unionByName(names.join(rows.filter("source <> target"), F.col("name") == F.col("target")).withColumn("v", F.col("source")))
 
 
 METHODS = {"components": community.components, "modularity": community.detect}
@@ -41,7 +57,7 @@ METHODS = {"components": community.components, "modularity": community.detect}
 def build(
     documents: DataFrame, config: Config = DEFAULT, folder: str | None = None, method: str = "modularity",
     names: Callable[[DataFrame], DataFrame] | None = None, embed: Callable[..., DataFrame] = V.embed,
-    client: models.Client | None = None, replies: str | None = None, tasks: int = 1, extracted: DataFrame | None = None,
+    client: models.Client | None = None, replies: str | None = None, tasks: int = 1, extracted: DataFrame | None = None, chunks: DataFrame | None = None,
 ) -> Graph:
     """All layers from (doc_id, text, source), each written before the next reads it.
 
@@ -54,6 +70,8 @@ def build(
     ``client``: a model that is asked for entities and relationships, concepts and summaries, by ``tasks`` tasks; what it said is
     kept in the folder ``replies``, and a build that is broken off goes on from there. Without one, the offline stand-ins serve.
     ``extracted``: extractions (doc_id, idx, entities, relationships) made before, in place of asking for them.
+    ``chunks``: (chunk_id, doc_id, idx, text) made before, as of files taken as one text (``extract.chunk_joined``); documents then
+    have ``n_chars`` in place of ``text``.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {sorted(METHODS)}")
@@ -61,8 +79,9 @@ def build(
     folder = folder or workspace(spark, "graph")
     keep = lambda df, name: materialize(df, folder, name)
     source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string")
-    document = keep(documents.select("doc_id", source.alias("source"), F.length("text").cast("long").alias("n_chars")).groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_chars").alias("n_chars")), "document")
-    chunk = keep(embed(extract.chunk(documents, config.chunk_size, config.chunk_overlap), "chunk_id", "text", "embedding"), "chunk")
+    chars = (F.length("text") if chunks is None else F.col("n_chars")).cast("long")
+    document = keep(documents.select("doc_id", source.alias("source"), chars.alias("n_chars")).groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_chars").alias("n_chars")), "document")
+    chunk = keep(embed(extract.chunk(documents, config.chunk_size, config.chunk_overlap) if chunks is None else chunks, "chunk_id", "text", "embedding"), "chunk")
     asking = {"client": client, "tasks": tasks, "config": config, "replies": replies or f"{folder}/replies"}
     if extracted is None and client is not None:
         extracted = models.extract_adaptive(chunk, **asking)
@@ -90,13 +109,13 @@ def build(
         summary = models.summaries(summary, **asking)
     communities = keep(embed(summary, "community", "summary", "embedding"), "community")
     contains = keep(labels.join(communities.select("root", "community"), "root").select("community", "concept"), "community_concept")
-    return Graph(document, chunk, entity, has_entity, relation, members, concept, communities, contains)
+    return Graph(document, chunk, entity, has_entity, relation, members, concept, communities, contains, Adjacent.store(relation, f"{folder}/adjacency"))
 
 
 def statistics(graph: Graph, documents: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row of counts; model calls: one per extraction batch, concept batch and community."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    out = documents.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("characters"))
+    out = documents.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text") if "text" in documents.columns else "n_chars").alias("characters"))
     for df, name in ((graph.chunk, "chunks"), (graph.entity, "entities"), (graph.relation, "relationships"), (graph.concept, "concepts"), (graph.community, "communities")):
         out = out.join(one(df, name))
     calls = F.ceil(F.col("chunks") / config.extraction_batch) + F.ceil(F.col("entities") / config.concept_batch) + F.col("communities")

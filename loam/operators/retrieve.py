@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loam.config import DEFAULT, Config
 from loam.functions import text as X
 from loam.functions import vector as V
-from loam.operators.graph import Graph, symmetric
+from loam.operators.graph import Graph
 from loam.operators.similar import nearest
 from loam.store import materialize
 
@@ -76,10 +76,9 @@ def seeds(drilled: DataFrame, graph: Graph) -> DataFrame:
 def expand(start: DataFrame, graph: Graph, hops: int = DEFAULT.max_hops) -> DataFrame:
     """Breadth-first over discourse edges in both directions; a node is found once, by the
     smallest (source, type) of the hop that reaches it first."""
-    edges = symmetric(graph.relation)
     reached, frontier = start, start
     for hop in range(1, hops + 1):
-        step = frontier.select("qid", "name").join(edges, F.col("name") == F.col("u")).select("qid", F.col("u").alias("src"), "type", F.col("v").alias("name"))
+        step = graph.edges_of(frontier.select("qid", "name")).select("qid", F.col("name").alias("src"), "type", F.col("v").alias("name"))
         step = step.join(reached.select("qid", "name"), ["qid", "name"], "left_anti")
         via = F.min(F.struct("src", "type")).alias("via")
         frontier = step.groupBy("qid", "name").agg(via).select(
@@ -99,11 +98,10 @@ def collect(questions: DataFrame, reached: DataFrame, graph: Graph, config: Conf
 
 def _marked(names: DataFrame, graph: Graph) -> DataFrame:
     """Edges that touch a question's names: (qid, source, type, target, evidence, inner)."""
-    keys = names.select("qid", "name").distinct()
-    out = keys.join(graph.relation, F.col("name") == F.col("source")).select("qid", "source", "type", "target", "evidence")
-    back = keys.join(graph.relation, F.col("name") == F.col("target")).select("qid", "source", "type", "target", "evidence")
-    # an edge found from both ends is inside
-    return out.unionByName(back).groupBy("qid", "source", "type", "target").agg(F.first("evidence").alias("evidence"), (F.count(F.lit(1)) > 1).alias("inner"))
+    seen = graph.edges_of(names.select("qid", "name").distinct())
+    # an edge found from both ends is inside, and one of a node to itself
+    inner = (F.count(F.lit(1)) > 1) | (F.col("source") == F.col("target"))
+    return seen.groupBy("qid", "source", "type", "target").agg(F.first("evidence").alias("evidence"), inner.alias("inner"))
 
 
 def inner_edges(names: DataFrame, graph: Graph) -> DataFrame:

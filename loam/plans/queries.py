@@ -71,6 +71,16 @@ def _(spark, d):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
+# all documents of a source as one text
+@query("chunk_joined", f"""select source || '_chunk_' || idx as chunk_id, source, idx::bigint as idx, md5(text) as text_md5, length(text)::bigint as n_chars from (
+    select source, row_number() over (partition by source order by p) - 1 as idx, txt as text from (
+      select source, p, {strip("substr(text, p + 1, 1500)")} as txt from (select source, string_agg(coalesce(text, ''), chr(10) || chr(10) order by doc_id) as text from documents where source is not null group by source),
+        unnest(range(0, length(text), 1350)) as u(p)) where txt <> '')""", plain=True)
+def _(spark, d):
+    rows = extract.chunk_joined(_table(spark, d, "documents"), "source", "doc_id", workspace(spark, "joined"))
+    return rows.select("chunk_id", F.col("doc_id").alias("source"), "idx", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 @query(
     "title_case",
     f"""select doc_id, array_to_string(list_transform(regexp_extract_all({strip("text")}, '\\p{{L}}+|\\P{{L}}+'),

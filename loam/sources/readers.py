@@ -50,11 +50,6 @@ def _any(spark: SparkSession, path: str, extension: str) -> bool:
     return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop))
 
 
-def combined(files: DataFrame, doc_name: str) -> DataFrame:
-    """One document from many files, in code-point order of their names, a blank line between."""
-    return files.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_name", "text"))), lambda x: x.text), "\n\n").alias("text")).select(F.lit(doc_name).alias("doc_name"), "text")
-
-
 def read_input(spark: SparkSession, path: str, extractor: Extractor | None = None) -> tuple[DataFrame, str]:
     """(files, document name): a directory, a .txt file, or anything else through the extractor."""
     name = path.rstrip("/").rpartition("/")[2]

@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
@@ -58,6 +58,20 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, order: list[str], size: Column, folder: str, name: str = "placed") -> DataFrame:
+    """``rows`` in the given order with ``before``, the sum of ``size`` of all rows before: running sums within the
+    written parts of a range sort, plus the sums of the parts before. No task gets all rows."""
+    at = F.monotonically_increasing_id()
+    rows = materialize(rows.orderBy(*order).withColumns({"loam_at": at, "loam_size": size.cast("long")}), folder, name)
+    rows = rows.withColumn("loam_part", F.shiftright("loam_at", 33))
+    own = Window.partitionBy("loam_part").orderBy("loam_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("loam_own", F.coalesce(F.sum("loam_size").over(own), F.lit(0)))
+    parts = rows.groupBy("loam_part").agg(F.sum("loam_size").alias("loam_sum"))
+    ahead = F.sum("loam_sum").over(Window.orderBy("loam_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("loam_part", F.coalesce(ahead, F.lit(0)).alias("loam_ahead"))
+    return rows.join(parts, "loam_part").withColumn("before", F.col("loam_ahead") + F.col("loam_own")).drop("loam_part", "loam_at", "loam_size", "loam_own", "loam_ahead")
+
+
 def numbered(rows: DataFrame, order: list[str], folder: str, name: str = "numbered") -> DataFrame:
     """``rows`` with their number ``n`` from 0 in the given order: places within the written parts of
     a range sort, plus the rows of the parts before. No task gets all rows."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import vector as V
-from loam.operators import client, community, concepts, evaluate, extract, graph, leiden, resolve, retrieve, similar
+from loam.operators import adjacency, client, community, concepts, evaluate, extract, graph, leiden, resolve, retrieve, similar
 from loam.store import workspace
 
 OVERLAP = [("c0", "c2", 1), ("c0", "c3", 1), ("c0", "c4", 1), ("c1", "c3", 1), ("c4", "c5", 1), ("c6", "c7", 3)]
@@ -301,3 +301,58 @@ def test_page_holds_the_network_and_a_retrieval(spark):
     assert page.startswith("<!DOCTYPE html>") and page.endswith("</html>") and page.count("</script>") == 1
     assert page.count("nodes.push(") == explain.nodes(built).count() and page.count("edges.push(") == explain.edges(built).count()
     assert page.count("path.push(") == shown.count() > 0
+
+
+@pytest.mark.parametrize("size, overlap", [(1500, 150), (7, 3)])
+def test_files_are_chunked_as_one_text(spark, size, overlap):
+    rng = random.Random(size)
+    texts = {k: "".join(rng.choice("ab\u00e9 \n") for _ in range(n)) for k, n in enumerate([0, 5, 1, 40, 0, 23, 3])}
+    texts[7] = None
+    rows = [(g, k, t) for g in ("x", "y") for k, t in texts.items() if g == "x" or k != 3] + [("blank", 1, " \n "), (None, 1, "gone")]
+    df = spark.createDataFrame(rows, "name string, place long, text string").repartition(4)
+    got = {(r.doc_id, r.idx): (r.chunk_id, r.text) for r in extract.chunk_joined(df, "name", "place", workspace(spark, "t"), size, overlap).collect()}
+    want = {}
+    for g in ("x", "y", "blank"):
+        whole = "\n\n".join(t or "" for n, k, t in sorted(rows, key=lambda r: r[1]) if n == g)
+        kept = [c for c in (whole[p : p + size].strip() for p in range(0, len(whole), size - overlap)) if c]
+        want |= {(g, i): (f"{g}_chunk_{i}", c) for i, c in enumerate(kept)}
+    assert got == want
+
+
+def test_six_files_of_23397_characters_are_18_chunks(spark):
+    sizes = [3900, 3900, 3900, 3900, 3900, 23397 - 5 * 3902]
+    rows = [("corpus", f"f{k}", "x" * n) for k, n in enumerate(sizes)]
+    made = extract.chunk_joined(spark.createDataFrame(rows, "name string, file string, text string"), "name", "file", workspace(spark, "t"))
+    assert sorted(r.idx for r in made.select("idx").collect()) == list(range(18))
+
+
+def test_a_frontier_meets_edges_that_stay_where_they_are(spark):
+    rng = random.Random(9)
+    rows = [("hub", f"t{k % 3}", f"n{k}", f"e{k}") for k in range(2000)] + [(f"n{rng.randrange(60)}", "t", f"n{rng.randrange(60)}", "e") for _ in range(300)]
+    relation = spark.createDataFrame(sorted({r[:3]: r for r in rows}.values()), "source string, type string, target string, evidence string")
+    folder = workspace(spark, "t")
+    laid = adjacency.Adjacent.store(relation, folder, buckets=6, hub=100)
+    names = spark.createDataFrame([(1, "hub"), (1, "n1"), (2, "n5"), (2, "hub"), (3, "none")], "qid long, name string")
+    columns = ["qid", "name", "v", "source", "type", "target", "evidence"]
+    plain = graph.Graph(*[None] * 4, relation, *[None] * 4)
+    want = sorted(tuple(r) for r in plain.edges_of(names).select(*columns).collect())
+    assert sorted(tuple(r) for r in laid.of(names).select(*columns).collect()) == want and len(want) > 4000
+    # the hub's edges lie in several files
+    assert laid.edges.filter("u = 'hub'").select(F.input_file_name().alias("f")).distinct().count() > 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = laid.of(names)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # what lies below each exchange is indented further; no scan of the edges is among it
+    lines, below = plan.split("\n"), []
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        below = [d for d in below if d < depth]
+        if "Exchange" in line:
+            below.append(depth)
+        assert not ("FileScan" in line and "evidence" in line and below), plan
+    assert "Bucketed: true" in plan
+    # another session reads the layout anew
+    spark.sql(f"drop table {adjacency._name(folder)}")
+    assert sorted(tuple(r) for r in adjacency.Adjacent.load(spark, folder).of(names).select(*columns).collect()) == want
