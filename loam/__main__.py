@@ -84,8 +84,6 @@ def build(spark: SparkSession, source: str, store: str, use: Models = OFFLINE, c
         sinks.write_cache(spark.read.parquet(f"{folder}/extraction"), cache, source)
     built.save(store)
     sinks.write_json(spark.createDataFrame([(use.vectors or "words",)], "vectors string"), f"{store}/vectors")
-    # what the flat pipeline reads: mentions and relationships as they were found
-    sinks.write_graph({"mention": spark.read.parquet(f"{folder}/mention"), "flat_relation": spark.read.parquet(f"{folder}/claim")}, store)
     sinks.write_json(graph.statistics(built, docs, config).withColumn("document", F.lit(name)), f"{store}/statistics")
 
 
@@ -104,11 +102,10 @@ def vector_texts(found: retrieve.Retrieval) -> DataFrame:
 
 def flat_parts(spark: SparkSession, store: str, found: retrieve.Retrieval) -> tuple[DataFrame, DataFrame]:
     """(qid, chunks) and (qid, place, source, target, type, evidence) of the flat pipeline."""
-    mention, edges = (spark.read.parquet(f"{store}/{name}") for name in ("mention", "flat_relation"))
-    matched = flat.mentioned(found.questions, resolve.flat_index(mention))
+    matched = flat.mentioned(found.questions, found.graph.flat_entity)
     vector = retrieve.top_chunks(found.questions, found.graph.chunk, found.config.flat_top_k)
-    merged = flat.merged_context(vector, matched, resolve.flat_postings(mention), found.config)
-    return retrieve.by_rank(merged.withColumnRenamed("place", "rank"), found.graph), flat.matched_relationships(matched, edges, found.config)
+    merged = flat.merged_context(vector, matched, resolve.flat_postings(found.graph.mention), found.config)
+    return retrieve.by_rank(merged.withColumnRenamed("place", "rank"), found.graph), flat.matched_relationships(matched, found.graph.claim, found.config)
 
 
 def ask(spark: SparkSession, store: str, question: str, found: retrieve.Retrieval | None = None, use: Models = OFFLINE) -> DataFrame:

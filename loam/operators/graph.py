@@ -27,6 +27,9 @@ class Graph:
     concept: DataFrame  # concept, description, embedding
     community: DataFrame  # community, name, summary, embedding, members
     community_concept: DataFrame  # community, concept
+    mention: DataFrame | None = None  # doc_id, idx, pos, name, type, .. as found
+    claim: DataFrame | None = None  # doc_id, idx, pos, source, target, type, evidence as found
+    flat_entity: DataFrame | None = None  # key, name, type, n_chunks
     adjacent: Adjacent | None = None  # the edges by node
 
     @classmethod
@@ -34,7 +37,7 @@ class Graph:
         return [f.name for f in fields(cls) if f.name != "adjacent"]
 
     def save(self, folder: str) -> None:
-        sinks.write_graph({name: getattr(self, name) for name in self._tables()}, folder)
+        sinks.write_graph({name: getattr(self, name) for name in self._tables() if getattr(self, name) is not None}, folder)
         Adjacent.store(self.relation, f"{folder}/adjacency")
 
     @classmethod
@@ -109,7 +112,7 @@ def build(
         summary = models.summaries(summary, **asking)
     communities = keep(embed(summary, "community", "summary", "embedding"), "community")
     contains = keep(labels.join(communities.select("root", "community"), "root").select("community", "concept"), "community_concept")
-    return Graph(document, chunk, entity, has_entity, relation, members, concept, communities, contains, Adjacent.store(relation, f"{folder}/adjacency"))
+    return Graph(document, chunk, entity, has_entity, relation, members, concept, communities, contains, found, claimed, keep(resolve.flat_index(found), "flat_entity"), Adjacent.store(relation, f"{folder}/adjacency"))
 
 
 def statistics(graph: Graph, documents: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -469,8 +469,8 @@ def _(spark, d):
 
 
 def _flat(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = extract.mentions(extract.chunk(_table(spark, d, "documents")))
-    return questions(spark, d), flat.mentioned(questions(spark, d), resolve.flat_index(found)), found
+    store = stored(spark, d)
+    return questions(spark, d), flat.mentioned(questions(spark, d), store.flat_entity), store.mention
 
 
 @query("entity_match", "select qid, key, name from flat_match")
@@ -490,8 +490,8 @@ def _(spark, d):
 @query("flat_relationships", """select qid, place::int as place, source, target, type from (select *, row_number() over (partition by qid order by doc_id, idx, pos) as place from (
     select distinct qid, doc_id, idx, pos, source, target, type from raw_relation r join (select distinct qid, lower(name) as n from flat_match) m on m.n = lower(r.source) or m.n = lower(r.target))) where place <= 10""")
 def _(spark, d):
-    _asked, matched, found = _flat(spark, d)
-    return flat.matched_relationships(matched, extract.relationships(found))
+    _asked, matched, _found = _flat(spark, d)
+    return flat.matched_relationships(matched, stored(spark, d).claim)
 
 
 # ---- evaluation ----

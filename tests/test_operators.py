@@ -356,3 +356,18 @@ def test_a_frontier_meets_edges_that_stay_where_they_are(spark):
     # another session reads the layout anew
     spark.sql(f"drop table {adjacency._name(folder)}")
     assert sorted(tuple(r) for r in adjacency.Adjacent.load(spark, folder).of(names).select(*columns).collect()) == want
+
+
+@pytest.mark.parametrize("most", [200_000, 7])
+def test_terms_in_texts_are_found_by_reading_each_text_once(spark, monkeypatch, most):
+    from loam.operators import within
+
+    monkeypatch.setattr(within, "TERMS", most)
+    rng = random.Random(most)
+    draw = lambda n: "".join(rng.choice("ab\u00e9\U0001f642 ") for _ in range(n))
+    texts = [(k, draw(rng.randrange(40))) for k in range(60)] + [(90, None), (91, ""), (92, draw(1 << 20)), (93, "ab"), (94, "ab")]
+    terms = [(k, draw(rng.randrange(6))) for k in range(40)] + [(90, None), (91, "ab"), (92, "ab"), (93, "x" * 300)]
+    got = within.holding(spark.createDataFrame(texts, "k long, t string"), "t", spark.createDataFrame(terms, "j long, w string"), "w")
+    assert got.columns == ["k", "t", "j", "w"]
+    assert sorted((r.k, r.j) for r in got.collect()) == sorted((k, j) for k, t in texts for j, w in terms if t and w and w in t)
+    assert within.holding(spark.createDataFrame([], "k long, t string"), "t", spark.createDataFrame([], "j long, w string"), "w").count() == 0
