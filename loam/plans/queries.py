@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loam.config import DEFAULT
 from loam.functions import text as X
 from loam.functions import vector as V
-from loam.operators import client, community, concepts, evaluate, explain, extract, flat, graph, leiden, resolve, retrieve, similar
+from loam.operators import client, community, concepts, evaluate, explain, extract, flat, graph, index, leiden, resolve, retrieve, similar
 from loam.plans.oracle import SOURCE, canon, cosine, strip
 from loam.plans.oracle import sql as chain
 from loam.store import materialize, workspace
@@ -246,6 +246,16 @@ def _(spark, d):
     return found.select("query", "label", F.col("id").alias("vec_id"), "similarity", "rank")
 
 
+@query("index_topk", """select query, id, similarity, rank::int as rank from (select *, row_number() over (partition by query order by similarity desc, id) as rank from (
+    select q.vec_id as query, r.vec_id as id, round(list_dot_product(r.v, q.v) / ((sqrt(list_dot_product(r.v, r.v)) + 1e-9) * (sqrt(list_dot_product(q.v, q.v)) + 1e-9)), 6) as similarity
+    from (select vec_id, embedding::double[] as v from embeddings) r, (select vec_id, embedding::double[] as v from embeddings where vec_id % 100 = 0) q)) where rank <= 10""", plain=True)
+def _(spark, d):
+    # the stated queries: ids divisible by 100, against all rows
+    rows = _table(spark, d, "embeddings")
+    made = index.VectorIndex.build(rows, "vec_id", "embedding", workspace(spark, "index"))
+    return made.search(rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10, exact=True).withColumnRenamed("qid", "query")
+
+
 @query("l2_normalise", "select vec_id, list_transform(embedding, lambda x: round(x::double / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-9), 6)) as unit from embeddings", plain=True)
 def _(spark, d):
     unit = V.normalised(F.col("embedding"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import vector as V
 from loam.operators import adjacency, client, community, concepts, evaluate, extract, graph, leiden, resolve, retrieve, similar
-from loam.store import workspace
+from loam.store import materialize, workspace
 
 OVERLAP = [("c0", "c2", 1), ("c0", "c3", 1), ("c0", "c4", 1), ("c1", "c3", 1), ("c4", "c5", 1), ("c6", "c7", 3)]
 
@@ -371,3 +371,52 @@ def test_terms_in_texts_are_found_by_reading_each_text_once(spark, monkeypatch,
     assert got.columns == ["k", "t", "j", "w"]
     assert sorted((r.k, r.j) for r in got.collect()) == sorted((k, j) for k, t in texts for j, w in terms if t and w and w in t)
     assert within.holding(spark.createDataFrame([], "k long, t string"), "t", spark.createDataFrame([], "j long, w string"), "w").count() == 0
+
+
+@pytest.mark.parametrize("slice_seconds", [60, 90, 600])
+def test_call_rates_by_slices_of_time(spark, slice_seconds):
+    rng = random.Random(slice_seconds)
+    rows = [(k, rng.randrange(2), rng.choice([None, *range(-200, 900)])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: (r.calls, r.over) for r in client.call_rate(df, limit=100, slice_seconds=slice_seconds).collect()}
+    for k, u, s in rows:
+        n = sum(v == u and (t is None if s is None else t is not None and s - 60 <= t <= s) for _, v, t in rows)
+        assert got[k] == (n, n > 100)
+    assert len(got) == len(rows)
+
+
+def test_an_index_finds_most_in_few_cells_and_all_in_as_many_as_it_takes(spark, monkeypatch):
+    from loam.operators import index
+
+    monkeypatch.setattr(index, "PART", 40)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(50, 16))
+    x = centres[rng.integers(0, 50, 3000)] + rng.normal(size=(3000, 16)) * 0.35
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5001, [1.0]), (5002, [float("nan")] * 16), (None, x[0].tolist()), (5003, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    made = index.VectorIndex.build(df, "k", "v", workspace(spark, "t"))
+    assert made.rows.count() == 3001
+    asked = df.filter("k % 100 = 0 or k in (5001, 5002)")
+    unit = np.array([v for k, v in rows if k is not None and v and len(v) == 16 and k != 5002])
+    ids = np.array([k for k, v in rows if k is not None and v and len(v) == 16 and k != 5002])
+    unit = unit / (np.linalg.norm(unit, axis=1, keepdims=True) + 1e-9)
+    want = {}
+    for q in range(0, 3000, 100):
+        score = np.round(unit @ unit[q], 6)
+        want[q] = [int(i) for i in ids[np.lexsort((ids, -score))[:10]]]
+    get = lambda out: {q: [i for _, i in sorted(own)] for q, own in _by(out).items()}
+
+    def _by(out):
+        held = {}
+        for r in out.collect():
+            held.setdefault(r.qid, []).append((r["rank"], r.id))
+        return held
+
+    found = get(made.search(asked, "k", "v", 10, probes=4).filter("qid < 5000"))
+    recall = np.mean([len(set(found[q]) & set(want[q])) / 10 for q in want])
+    near = made._near(materialize(index._sound(asked, "k", "v", "qid"), workspace(spark, "t"), "a"), 4, False)
+    read = made.rows.join(near.select("cell", "qid"), "cell").groupBy("qid").count().agg(F.avg("count")).first()[0]
+    assert recall >= 0.9 and read < 3001 / 5
+    assert get(made.search(asked, "k", "v", 10, probes=2, exact=True).filter("qid < 5000")) == want
+    empty = index.VectorIndex.build(df.limit(0), "k", "v", workspace(spark, "t"))
+    assert empty.search(asked, "k", "v", 10, exact=True).count() == 0
