@@ -195,7 +195,7 @@ def main(argv: list[str] | None = None) -> None:
             print(f"{r.stage:14} {r.rank:3} {r.score:8.4f} {r.bar} {r.flag:16} {r.item}")
     else:
         stored = graph.Graph.load(spark, args.first)
-        sinks.write_text(explain.hierarchy(stored).orderBy("community"), f"{args.second}/hierarchy", "tree")
+        sinks.write_text(explain.hierarchy_lines(stored).orderBy("community", "concept", "entity"), f"{args.second}/hierarchy", "line")
         sinks.write_json(explain.nodes(stored), f"{args.second}/nodes")
         sinks.write_json(explain.edges(stored), f"{args.second}/edges")
         shown = explain.overlay(retrieval(spark, args.first, asked(spark, args.question, use), use)) if args.question else None

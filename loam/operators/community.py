@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as X
 from loam.operators.leiden import FEW, leiden, reach
-from loam.store import numbered
+from loam.store import materialize, numbered
 
 
 def _one_group(concepts: DataFrame) -> DataFrame:
@@ -40,16 +40,33 @@ def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return inside.join(squares).select(F.round(F.col("inner") / F.col("m") - F.col("squares") / (4.0 * F.col("m") * F.col("m")), 6).alias("modularity"))
 
 
-def summarise(labels: DataFrame, members: DataFrame, folder: str) -> DataFrame:
-    """(root, community, name, n_concepts, members, summary), numbered by the root's name: places in
-    a range sort, so that no task gets all communities."""
-    rows = labels.join(members, "concept", "left")
-    grouped = rows.groupBy("root").agg(F.count_distinct("concept").alias("n_concepts"), F.sort_array(F.collect_set("entity")).alias("members"))
-    listed = F.array_join("members", ", ")
+#: Members of a community that are held as one value: a page of its list.
+PAGE = 1000
+
+
+def member_pages(labels: DataFrame, members: DataFrame, folder: str, page: int = PAGE) -> DataFrame:
+    """(root, page, place, entity): every community's members once each, by name, in pages. Places are those of a range
+    sort less that of the community's first row, so a community of any size spreads over tasks."""
+    rows = labels.join(members, "concept").filter("entity is not null").select("root", "entity").distinct()
+    rows = materialize(numbered(rows, ["root", "entity"], folder, "listed"), folder, "places")
+    first = rows.groupBy("root").agg(F.min("n").alias("first"))
+    place = F.col("n") - F.col("first")
+    return rows.join(first, "root").select("root", F.floor(place / page).cast("long").alias("page"), place.alias("place"), "entity")
+
+
+def summarise(labels: DataFrame, pages: DataFrame, folder: str) -> DataFrame:
+    """(root, community, name, n_concepts, n_members, members, summary), numbered by the root's name: places in
+    a range sort, so that no task gets all communities. ``members`` is the first of a community's ``pages``."""
+    counted = labels.groupBy("root").agg(F.count_distinct("concept").alias("n_concepts"))
+    sizes = pages.groupBy("root").agg(F.count(F.lit(1)).alias("n_members"))
+    listing = F.transform(F.sort_array(F.collect_list(F.struct("place", "entity"))), lambda x: x.entity)
+    head = pages.filter("page = 0").groupBy("root").agg(listing.alias("members"))
+    grouped = counted.join(sizes, "root", "left").join(head, "root", "left")
+    grouped = grouped.withColumns({"n_members": F.coalesce("n_members", F.lit(0)), "members": F.coalesce("members", F.array().cast("array<string>"))})
     return numbered(grouped, ["root"], folder, "communities").select(
         "root",
         F.concat(F.lit("community_"), F.col("n").cast("string")).alias("community"),
         F.concat(F.lit("Community "), (F.col("n") + 1).cast("string")).alias("name"),
-        "n_concepts", "members",
-        X.fallback_summary(F.lit(""), listed).alias("summary"),
+        "n_concepts", "n_members", "members",
+        X.fallback_summary(F.lit(""), F.array_join("members", ", ")).alias("summary"),
     )

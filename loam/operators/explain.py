@@ -9,21 +9,26 @@ from loam.config import DEFAULT, Config
 from loam.functions import text as X
 from loam.operators import retrieve as R
 from loam.operators.graph import Graph
+from loam.operators.similar import nearest
 from loam.store import materialize
 
 # Display colours by entity type and layer.
 COLOURS = {"PERSON": "#e74c3c", "TECHNOLOGY": "#3498db", "ORGANIZATION": "#2ecc71", "EVENT": "#f39c12", "CONCEPT": "#9b59b6", "PRODUCT": "#1abc9c", "DEPARTMENT": "#34495e"}
 
 
-def trace(questions: DataFrame, graph: Graph, config: Config = DEFAULT, folder: str | None = None) -> DataFrame:
+def trace(questions: DataFrame, graph: Graph, config: Config = DEFAULT, folder: str | None = None, candidates: int | None = None) -> DataFrame:
     """(qid, stage, rank, item, score, flag, bar): every candidate community and concept with its
     fate, every entity with the way it was reached, and the chunks in reading order.
 
     As the trace defines it, a missing vector scores 0, concepts have no least relevance, and all
     chunks of the kept entities are listed, of which a model reads the first ``judge_chunks``.
+    ``candidates``: communities listed for a question, the best ones; all, if not given. They are scored where they are
+    (``similar.nearest``), so of a list that is cut no more than this from each task becomes rows.
     """
-    rows = R.embedded(graph.community, "community").crossJoin(R.asked(questions))
-    rows = R.ranked(R.scored(rows).na.fill(0.0, ["similarity"]), "similarity", "community")
+    listed = max(1, graph.community.count()) if candidates is None else candidates
+    rows = R.best(nearest(graph.community, questions, "community", listed, missing=0.0), "similarity", "community", listed)
+    if folder:  # read twice
+        rows = materialize(rows, folder, "trace-communities")
     keep = (F.col("rank") <= config.top_k_communities) & ((F.col("similarity") >= config.min_community_similarity) | (F.col("rank") == 1))
     flag = F.when(keep, "SELECTED").when(F.col("similarity") < config.min_community_similarity, "BELOW THRESHOLD").otherwise("DROPPED")
     first = rows.select("qid", F.lit("1 communities").alias("stage"), "rank", F.col("community").alias("item"), F.col("similarity").alias("score"), flag.alias("flag"))
@@ -63,6 +68,17 @@ def hierarchy(graph: Graph) -> DataFrame:
     return rows.join(graph.community.select("community", "name"), "community").select("community", F.concat("name", F.lit("\n"), F.col("lines")).alias("tree"))
 
 
+def hierarchy_lines(graph: Graph) -> DataFrame:
+    """(community, concept, entity, line): the lines of ``hierarchy`` as rows, so that no community is one value; the
+    heading of a community or concept has an empty concept or entity and comes first in the order of these columns."""
+    shown = graph.community_concept.join(graph.community.select("community", "name"), "community")
+    line = lambda df, concept, entity, text: df.select("community", concept.alias("concept"), entity.alias("entity"), text.alias("line")).distinct()
+    rows = line(shown, F.lit(""), F.lit(""), F.col("name"))
+    under = shown.join(graph.concept_member, "concept")
+    rows = rows.unionByName(line(under, F.col("concept"), F.lit(""), F.concat(F.lit("  * "), "concept")))
+    return rows.unionByName(line(under, F.col("concept"), F.col("entity"), F.concat(F.lit("    - "), "entity")))
+
+
 def type_counts(entity: DataFrame) -> DataFrame:
     return entity.groupBy(F.coalesce("type", F.lit("OTHER")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 

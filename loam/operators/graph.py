@@ -25,11 +25,12 @@ class Graph:
     relation: DataFrame  # source, type, target, evidence
     concept_member: DataFrame  # concept, entity
     concept: DataFrame  # concept, description, embedding
-    community: DataFrame  # community, name, summary, embedding, members
+    community: DataFrame  # community, name, summary, embedding, n_members, members (the first page of them)
     community_concept: DataFrame  # community, concept
     mention: DataFrame | None = None  # doc_id, idx, pos, name, type, .. as found
     claim: DataFrame | None = None  # doc_id, idx, pos, source, target, type, evidence as found
     flat_entity: DataFrame | None = None  # key, name, type, n_chunks
+    community_member: DataFrame | None = None  # community, page, place, entity
     adjacent: Adjacent | None = None  # the edges by node
 
     @classmethod
@@ -107,12 +108,15 @@ def build(
     concept = keep(embed(described, "concept", "description", "embedding"), "concept")
     edges = keep(concepts.overlap(members), "overlap")
     labels = keep(METHODS[method](members.select("concept").distinct(), edges, f"{folder}/{method}"), "labels")
-    summary = community.summarise(labels, members, folder)
+    pages = keep(community.member_pages(labels, members, folder), "member_pages")
+    summary = community.summarise(labels, pages, folder)
     if client is not None:
         summary = models.summaries(summary, **asking)
     communities = keep(embed(summary, "community", "summary", "embedding"), "community")
     contains = keep(labels.join(communities.select("root", "community"), "root").select("community", "concept"), "community_concept")
-    return Graph(document, chunk, entity, has_entity, relation, members, concept, communities, contains, found, claimed, keep(resolve.flat_index(found), "flat_entity"), Adjacent.store(relation, f"{folder}/adjacency"))
+    listed = pages.join(communities.select("root", "community"), "root").select("community", "page", "place", "entity")
+    flat_entity = keep(resolve.flat_index(found), "flat_entity")
+    return Graph(document, chunk, entity, has_entity, relation, members, concept, communities, contains, found, claimed, flat_entity, keep(listed, "community_member"), Adjacent.store(relation, f"{folder}/adjacency"))
 
 
 def statistics(graph: Graph, documents: DataFrame, config: Config = DEFAULT) -> DataFrame:

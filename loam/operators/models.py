@@ -104,7 +104,8 @@ FEWER_MEMBERS = 15
 
 def summaries(communities: DataFrame, client: Client, tasks: int = 1, config: Config = DEFAULT, replies: str | None = None) -> DataFrame:
     """``communities`` (community, members, ..) with a client's summary. A prompt that is too large
-    is asked again with the first ``FEWER_MEMBERS`` members; an empty reply falls back to the list."""
+    is asked again with the first ``FEWER_MEMBERS`` members, which a community of more members (``n_members``) than
+    are held as a value is asked with at once; an empty reply falls back to the list."""
     rows = communities.drop("summary")
     columns = rows.columns
 
@@ -112,10 +113,12 @@ def summaries(communities: DataFrame, client: Client, tasks: int = 1, config: Co
         said = some.withColumn("loam_listed", F.array_join(members, ", "))
         return call_each(said.withColumn("prompt", F.concat(F.lit("Summarise what unites: "), F.col("loam_listed"))), client, tasks=tasks, config=config, replies=replies).drop("prompt")
 
-    asked = ask(rows, F.col("members"))
+    fewer = F.slice("members", 1, FEWER_MEMBERS)
+    # a list of several pages is too large for any prompt
+    asked = ask(rows, F.when(F.col("n_members") > F.size("members"), fewer).otherwise(F.col("members")) if "n_members" in columns else F.col("members"))
     again = asked.filter("reply is null").select(*columns)
     if not again.isEmpty():
-        asked = asked.filter("reply is not null").unionByName(ask(again, F.slice("members", 1, FEWER_MEMBERS)))
+        asked = asked.filter("reply is not null").unionByName(ask(again, fewer))
     return asked.select(*columns, X.fallback_summary(X.strip_think(F.coalesce("reply", F.lit(""))), F.col("loam_listed")).alias("summary"))
 
 

@@ -376,7 +376,16 @@ def _(spark, d):
 
 @query("community_members", "select community, name, n_concepts::bigint as n_concepts, array_to_string(members, ', ') as members, summary from community")
 def _(spark, d):
-    return stored(spark, d).community.select("community", "name", "n_concepts", F.array_join("members", ", ").alias("members"), "summary")
+    g = stored(spark, d)
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "entity"))), lambda x: x.entity), ", ")
+    whole = g.community_member.groupBy("community").agg(listed.alias("members"))
+    return g.community.select("community", "name", "n_concepts", "summary").join(whole, "community").select("community", "name", "n_concepts", "members", "summary")
+
+
+@query("community_member_pages", f"""select community, (place // {community.PAGE})::bigint as page, place::bigint as place, entity from (
+    select community, unnest(members) as entity, generate_subscripts(members, 1) - 1 as place from community)""")
+def _(spark, d):
+    return stored(spark, d).community_member
 
 
 # ---- retrieval ----
@@ -587,6 +596,13 @@ def _(spark, d):
     return explain.hierarchy(stored(spark, d))
 
 
+@query("hierarchy_lines", """select community, '' as concept, '' as entity, name as line from community where community in (select community from community_concept)
+    union all select community, concept, '', '  * ' || concept from community_concept
+    union all select community, concept, entity, '    - ' || entity from community_concept join concept_member using (concept)""")
+def _(spark, d):
+    return explain.hierarchy_lines(stored(spark, d))
+
+
 @query("type_counts", "select type, count(*)::bigint as n from entity group by type")
 def _(spark, d):
     return explain.type_counts(stored(spark, d).entity)

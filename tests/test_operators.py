@@ -420,3 +420,44 @@ def test_an_index_finds_most_in_few_cells_and_all_in_as_many_as_it_takes(spark,
     assert get(made.search(asked, "k", "v", 10, probes=2, exact=True).filter("qid < 5000")) == want
     empty = index.VectorIndex.build(df.limit(0), "k", "v", workspace(spark, "t"))
     assert empty.search(asked, "k", "v", 10, exact=True).count() == 0
+
+
+def test_nearest_rows_held_and_in_blocks(spark):
+    """Both ways of the nearest rows against plain loops: ties, two widths, missing vectors and unsound ones."""
+    import numpy as np
+
+    from loam.operators import similar
+    from loam.operators.retrieve import best
+
+    rng = np.random.default_rng(0)
+    some = lambda n, wide: [float(v) for v in rng.integers(-3, 4, wide)] if n else None
+    rows = [(f"c{i}", some(i % 97, 6 if i % 5 else 4)) for i in range(300)]
+    rows[3], rows[4] = ("c3", [float("nan")] * 6), ("c4", [1.0, None, 2.0, 3.0, 4.0, 5.0])
+    asked = [(i, some(i % 20, 6 if i % 7 else 4)) for i in range(60)]
+    r, q = spark.createDataFrame(rows, "chunk_id string, embedding array<double>"), spark.createDataFrame(asked, "qid long, q array<double>")
+    for missing, k in ((None, 3), (0.0, 3), (0.0, 400)):
+        want = set()
+        for i, v in asked:
+            score = []
+            for c, x in rows:
+                if v and x and len(v) == len(x) and all(e is not None and e == e for e in x):
+                    score.append((-round(float(np.dot(v, x) / (np.linalg.norm(v) * np.linalg.norm(x) + 1e-9)), 6) + 0.0, c))
+                elif missing is not None:
+                    score.append((-missing + 0.0, c))
+            want |= {(i, c) for _, c in sorted(score)[:k]}
+        for few, block in ((4096, 4096), (10, 50), (10, 5000)):
+            got = best(similar.nearest(r, q, "chunk_id", k, missing, few, block), "similarity", "chunk_id", k)
+            assert {(x.qid, x.chunk_id) for x in got.collect()} == want, (missing, k, few, block)
+    assert similar.nearest(r.limit(0), q, "chunk_id", 3, few=0).count() == 0 == similar.nearest(r, q.limit(0), "chunk_id", 3, few=0).count()
+
+
+def test_members_of_communities_in_pages(spark, tmp_path):
+    from loam.operators import community
+
+    labels = spark.createDataFrame([(f"t{k}", "t0") for k in range(9)] + [("u", "u"), ("x", "x")], "concept string, root string")
+    members = spark.createDataFrame([(f"t{k}", f"e{j:02}") for k in range(9) for j in range(k, k + 5)] + [("u", "e99")], "concept string, entity string")
+    pages = community.member_pages(labels, members, str(tmp_path), 4)
+    got = sorted((r.root, r.place, r.page, r.entity) for r in pages.collect())
+    assert got == [("t0", k, k // 4, f"e{k:02}") for k in range(13)] + [("u", 0, 0, "e99")]
+    rows = {r.root: (r.n_concepts, r.n_members, r.members) for r in community.summarise(labels, pages, str(tmp_path)).collect()}
+    assert rows == {"t0": (9, 13, ["e00", "e01", "e02", "e03"]), "u": (1, 1, ["e99"]), "x": (1, 0, [])}
