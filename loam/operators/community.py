@@ -22,6 +22,19 @@ def components(concepts: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
     return reach(concepts.select(F.col("concept").alias("id")), edges, folder).withColumnRenamed("id", "concept")
 
 
+def extended(labels: DataFrame, concepts: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """``labels`` (concept, root) of ``components`` after more ``concepts`` and overlap ``edges`` (a, b). Only components that an
+    edge touches are joined, as one node each; the other labels are read once. A concept that is not known yet begins alone."""
+    known = materialize(labels.unionByName(concepts.select("concept").distinct().join(labels, "concept", "left_anti").withColumn("root", F.col("concept"))), folder, "known")
+    end = lambda c: known.select(F.col("concept").alias(c), F.col("root").alias(f"root_{c}"))
+    links = edges.select("a", "b").join(end("a"), "a").join(end("b"), "b").filter("root_a <> root_b")
+    links = materialize(links.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), folder, "links")
+    if links.isEmpty():
+        return known
+    moved = reach(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links, folder).withColumnRenamed("root", "to")
+    return known.join(moved, F.col("root") == F.col("id"), "left").select("concept", F.coalesce("to", "root").alias("root"))
+
+
 def detect(concepts: DataFrame, edges: DataFrame, folder: str, weighted: bool = False, few: int = FEW) -> DataFrame:
     """(concept, root): communities of overlap edges (a, b, weight) by modularity (see ``leiden``), each connected
     and named by its smallest concept; graphs of ``few`` edges are worked on in one task."""

@@ -43,6 +43,29 @@ def merge_entities(found: DataFrame) -> DataFrame:
     )
 
 
+def entity_shares(found: DataFrame) -> DataFrame:
+    """What a part of the mentions knows of each canonical key, with the places that decide between parts; see ``merged_shares``."""
+    later = [-F.col(c) for c in ORDER]
+    longest = lambda c: F.max(F.struct(F.length(c).alias("n"), *[x.alias(f"p{k}") for k, x in enumerate(later)], F.col(c).alias("value")))
+    rows = found.withColumn("canon", X.canonical_key(F.col("name"))).filter("canon <> ''")
+    return rows.groupBy("canon").agg(longest("name").alias("name"), longest("description").alias("description"), F.min(F.struct(*ORDER, "type")).alias("first"), F.count(F.lit(1)).alias("n_mentions"))
+
+
+def merged_shares(shares: DataFrame) -> DataFrame:
+    """The rows of ``merge_entities`` from the shares of any parts of the mentions, whatever their order: least and largest of
+    the same structs."""
+    rows = shares.groupBy("canon").agg(F.max("name").alias("name"), F.max("description").alias("description"), F.min("first").alias("first"), F.sum("n_mentions").alias("n_mentions"))
+    place = F.struct(*[F.col(f"first.{c}").alias(c) for c in ORDER])
+    return rows.select("canon", F.col("name.value").alias("name"), F.col("first.type").alias("type"), F.col("description.value").alias("description"), "first.doc_id", "first.idx", place.alias("first_place"), "n_mentions")
+
+
+def first_claims(claims: DataFrame) -> DataFrame:
+    """The first claim of each pair of endpoints, as keyed and as titled, and kind: ``clean_relationships`` makes the same of these
+    as of all, with whatever names entities get later, as what it compares is the same within each."""
+    keyed = claims.withColumns({"s": F.struct(X.canonical_key(F.col("source")), X.entity_name(F.col("source"))), "t": F.struct(X.canonical_key(F.col("target")), X.entity_name(F.col("target"))), "kind": F.lower(F.coalesce("type", F.lit("")))})
+    return keyed.groupBy("s", "kind", "t").agg(F.min_by(F.struct("source", "target", "type", "evidence", *ORDER), _place()).alias("r")).select("r.*")
+
+
 def numbered(entities: DataFrame, folder: str) -> DataFrame:
     """``entities`` with their number ``n`` from 0 in entity order (the first mention's place)."""
     return store.numbered(entities, ["first_place", "canon"], folder)

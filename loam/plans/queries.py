@@ -15,6 +15,7 @@ from loam.operators import client, community, concepts, evaluate, explain, extra
 from loam.plans.oracle import SOURCE, canon, cosine, strip
 from loam.plans.oracle import sql as chain
 from loam.store import materialize, workspace
+from loam.streaming import ingest
 
 _STORES: dict[tuple, graph.Graph] = {}
 
@@ -214,6 +215,25 @@ def _(spark, d):
     return stored(spark, d).relation
 
 
+def _grown(spark, d) -> str:
+    """All documents, streamed file by file into a store."""
+    folder = workspace(spark, "grown")
+    docs = _table(spark, d, "documents").select("doc_id", "text", "source")
+    docs.repartition(4, "doc_id").write.parquet(f"{folder}/in")
+    ingest.ingest(spark, f"{folder}/in", "doc_id long, text string, source string", f"{folder}/store", f"{folder}/offsets", files=1).awaitTermination()
+    return f"{folder}/store"
+
+
+@query("stream_entities", "select canon, name, type, description, doc_id, idx::bigint as idx, n_mentions::bigint as n_mentions from entity")
+def _(spark, d):
+    return ingest.merged_entities(spark, _grown(spark, d)).drop("first_place")
+
+
+@query("stream_edges", "select source, type, target, evidence from relation")
+def _(spark, d):
+    return ingest.merged_relations(spark, _grown(spark, d))
+
+
 @query("flat_entity_index", "select key, name, type, n_chunks::bigint as n_chunks from flat_index")
 def _(spark, d):
     return resolve.flat_index(extract.mentions(extract.chunk(_table(spark, d, "documents"))))
@@ -678,6 +698,4 @@ def _(spark, d):
 
 @query("calls_per_minute", "select date_trunc('minute', ts)::timestamp as minute, user_id, count(*)::bigint as calls from events group by 1, 2", plain=True)
 def _(spark, d):
-    from loam.streaming import ingest
-
     return ingest.call_rates(_table(spark, d, "events"))

@@ -1,4 +1,8 @@
-"""Structured Streaming: documents into chunk tables, and call rates with late data."""
+"""Structured Streaming: documents into a store that grows, and call rates with late data.
+
+The store keeps what each batch knows of an entity or edge, never a merged row: least and largest places and lengths merge in
+any order, so batches give what one build over all documents gives, and a batch writes as much as it holds itself.
+"""
 
 from __future__ import annotations
 
@@ -9,25 +13,57 @@ from pyspark.sql.streaming import StreamingQuery
 from loam.operators import extract, resolve
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
-    """New files of documents become chunks and entity rows; a batch that is replayed overwrites itself."""
+def _read(spark: SparkSession, target: str, table: str) -> DataFrame:
+    return spark.read.option("basePath", f"{target}/{table}").parquet(f"{target}/{table}/batch=*")
+
+
+def _fresh(batch: DataFrame, number: int, target: str) -> DataFrame:
+    """Documents that no other batch holds: one that comes again keeps its first text."""
+    spark = batch.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/document")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return batch
+    known = _read(spark, target, "document").filter(F.col("batch") != number).select("doc_id")
+    return batch.join(known, "doc_id", "left_anti")
+
+
+def absorb(batch: DataFrame, number: int, target: str) -> None:
+    """A batch of documents (doc_id, text, source) as its share of every table of the store: documents, chunks, mentions, and
+    what it knows of each entity and edge. A batch that is replayed under its number overwrites itself; the
+    shares of earlier batches are not touched. A null or empty text has no share but its document."""
+    spark = batch.sparkSession
 
-    def load(batch: DataFrame, number: int) -> None:
-        chunks = extract.chunk(batch)
-        chunks.write.mode("overwrite").parquet(f"{target}/chunk/batch={number}")
-        found = extract.mentions(spark.read.parquet(f"{target}/chunk/batch={number}"))
-        resolve.merge_entities(found).write.mode("overwrite").parquet(f"{target}/entity/batch={number}")
+    def put(df: DataFrame, table: str) -> DataFrame:
+        path = f"{target}/{table}/batch={number}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = _fresh(batch, number, target)
+    chunks = put(extract.chunk(fresh), "chunk")
+    found = put(extract.mentions(chunks), "mention")
+    put(resolve.entity_shares(found), "entity")
+    put(resolve.first_claims(extract.relationships(found)), "claim")
+    put(fresh.select("doc_id", "source", F.length("text").cast("long").alias("n_chars")), "document")
+
+
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
+    """New files of documents go into the store ``target``, at most ``files`` in a batch."""
+    stream = spark.readStream.schema(schema)
+    stream = (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(source)
+    return stream.writeStream.foreachBatch(lambda batch, number: absorb(batch, number, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged_entities(spark: SparkSession, target: str) -> DataFrame:
-    """Entities over all batches: merging is associative, so batches merge as documents do."""
-    rows = spark.read.parquet(f"{target}/entity")
-    place = F.col("first_place")
-    longest = lambda c: F.max_by(c, F.struct(F.length(c), -place.doc_id, -place.idx, -place.pos))
-    return rows.groupBy("canon").agg(longest("name").alias("name"), F.min_by("type", "first_place").alias("type"), longest("description").alias("description"), F.sum("n_mentions").alias("n_mentions"))
+    """Entities over all batches, as one build over all documents merges them."""
+    return resolve.merged_shares(_read(spark, target, "entity"))
+
+
+def merged_relations(spark: SparkSession, target: str, entities: DataFrame | None = None) -> DataFrame:
+    """Edges (source, type, target, evidence) over all batches, as one build over all documents stores them: names are
+    given when read, so a longer name that comes later renames the edges of all batches before."""
+    entities = merged_entities(spark, target) if entities is None else entities
+    claims = _read(spark, target, "claim").drop("batch")
+    return resolve.ingest_edges(resolve.clean_relationships(claims, entities), resolve.upserted(entities))
 
 
 def call_rates(events: DataFrame, late: str = "10 minutes") -> DataFrame:

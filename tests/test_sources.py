@@ -90,6 +90,49 @@ def test_streamed_documents_merge_as_the_batch_does(spark, tmp_path):
     assert key(ingest.merged_entities(spark, str(tmp_path / "out"))) == key(whole)
 
 
+def test_batches_in_any_order_make_the_store_of_one_build(spark, tmp_path):
+    """Longest names that come late, ties of length over batches, replays and documents that come again."""
+    texts = ["Zetaone meets Alphaone. Alphaone leaves Betatwo.", "Alphaone meets Gammathree here. Betatwo leaves Zetaone.", None, "", "Gammathree leaves Betatwo; Betatwo leaves Alphaone.", "Alphaone meets Betatwo. Alphaone leaves Betatwo."]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = extract.mentions(extract.chunk(docs))
+    entities = resolve.merge_entities(found)
+    edges = resolve.ingest_edges(resolve.clean_relationships(extract.relationships(found), entities), resolve.upserted(entities))
+    key = lambda df, names: sorted(map(str, df.select(*names).collect()))
+    names, ends = ["canon", "name", "type", "description", "doc_id", "idx", "first_place", "n_mentions"], ["source", "type", "target", "evidence"]
+    for n, order in enumerate([(0, 1, 2), (2, 1, 0), (1, 2, 0, 1)]):
+        target = str(tmp_path / str(n))
+        for k in order:
+            ingest.absorb(docs.filter(f"doc_id % 3 = {k}"), k, target)
+        ingest.absorb(docs.filter("doc_id = 1"), 9, target)  # is there already
+        assert key(ingest.merged_entities(spark, target), names) == key(entities, names)
+        assert key(ingest.merged_relations(spark, target), ends) == key(edges, ends) != []
+
+
+def test_shares_with_ties_over_batches(spark):
+    """A name as long as another of an earlier batch stands if it was written first."""
+    rows = [(9, 0, 0, "The Alphax", "T", "dd"), (2, 0, 0, "AN alphaX", "U", "ee"), (1, 0, 0, "Alphax", "V", None), (3, 0, 0, "Alphax", None, "ff")]
+    found = spark.createDataFrame(rows, "doc_id long, idx long, pos long, name string, type string, description string")
+    want = resolve.merge_entities(found).collect()
+    for cut in ("doc_id > 2", "doc_id % 2 = 1", "doc_id = 9"):
+        parts = resolve.entity_shares(found.filter(cut)).unionByName(resolve.entity_shares(found.filter(f"not ({cut})")))
+        assert resolve.merged_shares(parts).select(*want[0].asDict()).collect() == want
+
+
+def test_components_extended_by_batches(spark, tmp_path):
+    from loam.operators import community
+
+    pairs = [(f"c{a:02}", f"c{b:02}") for a, b in ((1, 2), (3, 4), (5, 6), (2, 9), (9, 3), (11, 12), (7, 8), (8, 1))]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    concepts = spark.createDataFrame([(f"c{k:02}",) for k in range(14)], "concept string")
+    want = sorted(community.components(concepts, edges, str(tmp_path / "all")).collect())
+    labels = spark.createDataFrame([], "concept string, root string")
+    for k in range(0, 8, 3):
+        some = spark.createDataFrame(pairs[k : k + 3], "a string, b string")
+        new = concepts if k == 6 else some.selectExpr("explode(array(a, b)) as concept")
+        labels = community.extended(labels, new, some, str(tmp_path / f"step{k}"))
+    assert sorted(labels.select("concept", "root").collect()) == want
+
+
 def made_pdf(pages, deflate):
     import zlib
 
