@@ -51,6 +51,18 @@ def test_rounds_come_close_to_joining_the_best_pair_each_time(spark):
     assert community.components(names, edges, workspace(spark, "t")).select("root").distinct().count() == 1
 
 
+def test_rounds_end_when_no_node_would_move(spark, monkeypatch):
+    """However soon the first rounds stop, no node is left in a community that it would leave: a stray one also names it."""
+    monkeypatch.setattr(leiden, "STILL", 0.9)
+    rng = random.Random(5)
+    rows = {(f"{g}-{i}", f"{g}-{rng.randrange(40)}") for g in range(6) for i in range(40) for _ in range(5)}
+    rows |= {(f"{g}-{i}", f"{(g + 1) % 6}-{i}") for g in range(6) for i in range(0, 40, 4)}
+    edges = spark.createDataFrame(sorted({(min(e), max(e)) for e in rows if e[0] != e[1]}), "a string, b string").withColumn("weight", F.lit(1))
+    names = spark.createDataFrame([(f"{g}-{i}",) for g in range(6) for i in range(40)], "concept string")
+    found = community.detect(names, edges, workspace(spark, "t"), few=0)
+    assert {(r.concept, r.root) for r in found.collect()} == {(f"{g}-{i}", f"{g}-0") for g in range(6) for i in range(40)}
+
+
 def test_no_overlap_is_one_community(spark):
     few = spark.createDataFrame([("a",), ("b",), ("c",)], "concept string")
     labels = community.components(few, edge_table(spark, []), workspace(spark, "t"))
