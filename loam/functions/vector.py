@@ -32,6 +32,17 @@ def normalised(a: Column) -> Column:
     return F.transform(F.arrays_zip(a.alias("v"), F.array_repeat(length, F.size(a)).alias("n")), lambda x: x.v.cast("double") / (x.n + EPSILON))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """``value`` (double) to ``digits`` decimal places as C and SQL engines round: scaled first, halves of the product away
+    from zero, and zeros keep their sign. Spark's own rounds the shortest decimal form, and differs where that is nearly a half."""
+    scale = float(10**digits)
+    size = F.abs(value * scale)
+    whole = F.floor(size).cast("double")
+    # from 2^52 on there are no fractions
+    near = F.signum(value) * (whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0)) / scale
+    return F.when(size < float(1 << 52), near).otherwise(value)
+
+
 def word_bucket(word: Column, dim: int = DIM) -> Column:
     """A bucket from a word's letters and length, the same in any SQL engine."""
     letter = lambda k: F.ascii(F.substring(word, k, 1))

@@ -32,7 +32,7 @@ def embedded(df: DataFrame, *columns: str) -> DataFrame:
 
 def scored(pairs: DataFrame, out: str = "similarity") -> DataFrame:
     """``pairs`` of ``asked`` and ``embedded`` rows with their cosine."""
-    return pairs.withColumn(out, F.round(V.unrolled_dot("q", "embedding") / (F.col("q_norm") * F.col("embedding_norm") + V.EPSILON), 6))
+    return pairs.withColumn(out, V.rounded(V.unrolled_dot("q", "embedding") / (F.col("q_norm") * F.col("embedding_norm") + V.EPSILON), 6))
 
 
 def ranked(rows: DataFrame, score: str, tie: str, out: str = "rank") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as X
 from loam.functions import vector as V
+from loam.plans import queries as plans
 
 
 def apply(spark, f, values):
@@ -81,3 +82,15 @@ def test_embedding_counts_words(spark):
     assert [sum(r.embedding) for r in rows] == [4.0, 0.0, 0.0]
     assert max(rows[0].embedding) == 2.0 and len(rows[0].embedding) == V.DIM
     assert re.fullmatch("[0-9.]+", str(rows[0].embedding[0]))
+
+
+def test_rounding_is_that_of_sql(spark):
+    values = [-1e-9, -0.0, 0.0, 2.5e-6, -0.1234565, 4.999999999999999e-7, 1e300, float("inf"), 0.1, None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double").select("k", V.rounded(F.col("x"), 6).alias("r"))
+    want = [-0.0, -0.0, 0.0, 3e-6, -0.123457, 0.0, 1e300, float("inf"), 0.1, None]
+    assert [repr(r.r) for r in rows.orderBy("k").collect()] == [repr(x) for x in want]  # a small negative number is -0.0, not 0.0
+
+
+def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
+    spark.createDataFrame([(1, [-1e-8, 3.0, 4.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert repr(plans.QUERIES["l2_normalise"](spark, str(tmp_path)).first().unit) == "[-0.0, 0.6, 0.8]"
