@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import vector as V
-from loam.operators import adjacency, client, community, concepts, evaluate, extract, graph, leiden, resolve, retrieve, similar
+from loam.operators import adjacency, client, community, concepts, evaluate, extract, flat, graph, leiden, resolve, retrieve, similar
 from loam.store import materialize, workspace
 
 OVERLAP = [("c0", "c2", 1), ("c0", "c3", 1), ("c0", "c4", 1), ("c1", "c3", 1), ("c4", "c5", 1), ("c6", "c7", 3)]
@@ -487,3 +487,37 @@ def test_members_of_communities_in_pages(spark, tmp_path):
     assert got == [("t0", k, k // 4, f"e{k:02}") for k in range(13)] + [("u", 0, 0, "e99")]
     rows = {r.root: (r.n_concepts, r.n_members, r.members) for r in community.summarise(labels, pages, str(tmp_path)).collect()}
     assert rows == {"t0": (9, 13, ["e00", "e01", "e02", "e03"]), "u": (1, 1, ["e99"]), "x": (1, 0, [])}
+
+
+def test_common_names_bring_the_first_places_only(spark):
+    """A question's chunks and claims are the first of all its names', though each name hands on no more than that many."""
+    rng = random.Random(4)
+    names = ["Aaa", "Bbb", "Ccc", "Ddd"]
+    claims = [(d, i, p, rng.choice(names), rng.choice(names), "x") for d in range(12) for i in range(3) for p in range(8)]
+    claims += rng.sample(claims, 60)  # some come again
+    matched = [(1, "aaa", "Aaa"), (1, "bbb", "Bbb"), (2, "ccc", "Ccc"), (3, "zzz", "Zzz")]
+    vector = [(1, f"{d}_chunk_{i}", d * 3 + i + 1) for d in range(2) for i in range(3)] + [(2, "9_chunk_0", 1)]
+    rows = spark.createDataFrame(claims, "doc_id long, idx int, pos int, source string, target string, type string")
+    asked = spark.createDataFrame(matched, "qid long, key string, name string")
+    found = flat.matched_relationships(asked, rows)
+    got = sorted((r.qid, r.place, r.source, r.target) for r in found.collect())
+    want = []
+    for qid in (1, 2):
+        own = {n for q, _, n in matched if q == qid}
+        first = sorted({c for c in claims if own & {c[3], c[4]}})[:10]
+        want += [(qid, k + 1, c[3], c[4]) for k, c in enumerate(first)]
+    assert got == want
+    postings = rows.select(F.lower("source").alias("key"), "doc_id", "idx")
+    near = spark.createDataFrame(vector, "qid long, chunk_id string, rank int")
+    context = flat.merged_context(near, asked, postings)
+    got = sorted((r.qid, r.place, r.chunk_id) for r in context.collect())
+    want = []
+    for qid in (1, 2):
+        first = [c for q, c, _ in vector if q == qid]
+        own = {k for q, k, _ in matched if q == qid}
+        more = [f"{d}_chunk_{i}" for d, i in sorted({c[:2] for c in claims if c[3].lower() in own}) if f"{d}_chunk_{i}" not in first]
+        want += [(qid, k + 1, c) for k, c in enumerate((first + more)[:10])]
+    assert got == want
+    # what is not among the first places is left before questions are joined
+    for made in (found, context):
+        assert "dense_rank" in made._jdf.queryExecution().optimizedPlan().toString()
