@@ -521,3 +521,16 @@ def test_common_names_bring_the_first_places_only(spark):
     # what is not among the first places is left before questions are joined
     for made in (found, context):
         assert "dense_rank" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_a_hub_are_bounded_and_its_communities_right(spark, tmp_path):
+    # a node of more neighbours than one list holds, in a clique beside another
+    n = leiden.LIST + 6
+    near = spark.range(1, n).select(F.col("id").alias("v"), F.lit(0).cast("long").alias("u"), F.lit(1.0).alias("w"))
+    sizes = [r[0] for r in leiden._listed(near).select(F.size("edges")).collect()]
+    assert sum(sizes) == n - 1 and max(sizes) <= leiden.LIST
+    star = [("m", f"x{k:05d}", 1.0) for k in range(n)] + [("a", "b", 2.0), ("b", "c", 2.0), ("a", "c", 2.0), ("c", "m", 0.5)]
+    edges = spark.createDataFrame(star, "a string, b string, w double")
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    found = {r.id: r.root for r in leiden.leiden(ids, edges, f"file://{tmp_path}", few=0).collect()}
+    assert len(found) == n + 4 and {found[x] for x in "abc"} == {"a"} and {found[x] for x in found if x not in "abc"} == {"m"}
