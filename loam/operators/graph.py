@@ -140,15 +140,36 @@ def symmetric(relation: DataFrame) -> DataFrame:
     return forth.unionByName(relation.select(F.col("target").alias("u"), F.col("source").alias("v"), "type"))
 
 
-def neighbourhood(relation: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """(seed, node, hop): nodes within ``hops`` of each seed, with their smallest distance."""
-    both = symmetric(relation).select("u", "v").distinct()
+#: Edges that a task follows from a frontier, about.
+STEPS = 1 << 19
+
+
+def _stepped(frontier: DataFrame, both: DataFrame, degree: DataFrame, steps: int) -> tuple[DataFrame, int]:
+    """(seed, node): the ends of the edges (u, v) from a frontier (seed, node), and the number of tasks that follow them, about
+    ``steps`` each. The seeds that stand at one node are dealt to several tasks where they and its edges multiply to more."""
+    many = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("seeds")).join(degree, F.col("node") == F.col("u"))
+    many = many.select("u", (F.col("seeds") * F.col("edges")).alias("steps"))
+    parts = max(1, -(-(many.agg(F.sum("steps")).first()[0] or 0) // steps))
+    shares = many.select("u", F.ceil(F.col("steps") / steps).alias("shares"))
+    left = frontier.join(shares, F.col("node") == F.col("u")).select("seed", "u", F.pmod(F.xxhash64("seed"), "shares").alias("share"))
+    right = both.join(shares, "u").select("u", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    # dealt so even where one side would fit a broadcast: a task's edges count, not its rows
+    met = left.repartition(parts, "u", "share").hint("merge").join(right.repartition(parts, "u", "share"), ["u", "share"])
+    return met.select("seed", F.col("v").alias("node")), parts
+
+
+def neighbourhood(relation: DataFrame, seeds: DataFrame, hops: int = 2, folder: str | None = None, steps: int = STEPS) -> DataFrame:
+    """(seed, node, hop): nodes within ``hops`` of each seed, with their smallest distance. Each hop is dealt by the number of
+    its edges, so a task follows, and holds, about ``steps`` whatever the size of the graph."""
+    folder = folder or workspace(relation.sparkSession, "neighbourhood")
+    both = materialize(symmetric(relation).select("u", "v").distinct(), folder, "both")
+    degree = materialize(both.groupBy("u").agg(F.count(F.lit(1)).alias("edges")), folder, "degree")
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
-    frontier = reached
     for hop in range(1, hops + 1):
-        step = frontier.join(both, F.col("node") == F.col("u")).select("seed", F.col("v").alias("node")).distinct()
-        frontier = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        reached = reached.unionByName(frontier)
+        reached = materialize(reached, folder, f"hop-{hop - 1}")
+        step, parts = _stepped(reached.filter(F.col("hop") == hop - 1).select("seed", "node"), both, degree, steps)
+        rows = reached.unionByName(step.withColumn("hop", F.lit(hop))).repartition(parts, "seed", "node")
+        reached = rows.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
     return reached
 
 

@@ -534,3 +534,17 @@ def test_lists_of_a_hub_are_bounded_and_its_communities_right(spark, tmp_path):
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     found = {r.id: r.root for r in leiden.leiden(ids, edges, f"file://{tmp_path}", few=0).collect()}
     assert len(found) == n + 4 and {found[x] for x in "abc"} == {"a"} and {found[x] for x in found if x not in "abc"} == {"m"}
+
+
+def test_neighbourhood_deals_hops_by_their_edges(spark, tmp_path):
+    # every seed meets in one hub of many edges: shares of its steps go to several tasks
+    edges = [(f"s{k}", "hub", "x") for k in range(20)] + [("hub", f"t{k}", "x") for k in range(50)]
+    relation = spark.createDataFrame(edges, "source string, target string, type string")
+    seeds = spark.createDataFrame([(f"s{k}",) for k in range(20)], "seed string")
+    rows = graph.neighbourhood(relation, seeds, 2, f"file://{tmp_path}", steps=100)
+    want = {(f"s{k}", f"s{k}", 0) for k in range(20)} | {(f"s{k}", "hub", 1) for k in range(20)}
+    want |= {(f"s{k}", x, 2) for k in range(20) for x in [f"s{i}" for i in range(20) if i != k] + [f"t{i}" for i in range(50)]}
+    assert {tuple(r) for r in rows.collect()} == want
+    both, degree = (spark.read.parquet(f"file://{tmp_path}/{n}") for n in ("both", "degree"))
+    step, parts = graph._stepped(seeds.select("seed", F.lit("hub").alias("node")), both, degree, 100)
+    assert parts == 14 and step.count() == 1400 and max(step.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 700
