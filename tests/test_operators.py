@@ -548,3 +548,17 @@ def test_neighbourhood_deals_hops_by_their_edges(spark, tmp_path):
     both, degree = (spark.read.parquet(f"file://{tmp_path}/{n}") for n in ("both", "degree"))
     step, parts = graph._stepped(seeds.select("seed", F.lit("hub").alias("node")), both, degree, 100)
     assert parts == 14 and step.count() == 1400 and max(step.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 700
+
+
+def test_small_components_of_a_large_graph_need_no_rounds(spark, monkeypatch):
+    chains = [(f"c{n}.{k}", f"c{n}.{k + 1}") for n in range(6) for k in range(1, 5)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in chains], "a string, b string, weight int")
+    names = edges.select(F.explode(F.array("a", "b")).alias("concept")).unionByName(spark.createDataFrame([("lone",)], "concept string")).distinct()
+    rows = lambda few: {tuple(r) for r in community.detect(names, edges, workspace(spark, "t"), few=few).collect()}
+    one = rows(1000)
+
+    def broken(*_):
+        raise AssertionError("rounds")
+
+    monkeypatch.setattr(leiden, "_numbers", broken)
+    assert rows(5) == one and ("lone", "lone") in one and len(one) == 31
