@@ -162,7 +162,8 @@ def merge_similar(entities: DataFrame, embed: Callable[[DataFrame], DataFrame],
     pairs = materialize(similar_pairs(alike, "first", "name_vector", threshold), folder, "pairs")
     led = leaders(pairs.select("a", "b"), alike.select(F.col("first").alias("id")), f"{folder}/leaders")
     # no vector, no partner
-    whole = rows.select("n", "name_vector").join(alike, "name_vector").join(led, F.col("first") == F.col("id")).select("n", "leader")
+    # merged at every size: vectors of many zeros are small in files and large in a broadcast, which the driver would collect
+    whole = rows.select("n", "name_vector").join(alike.hint("merge"), "name_vector").join(led.hint("merge"), F.col("first") == F.col("id")).select("n", "leader")
     whole = whole.join(rows.filter("name_vector is null or size(name_vector) = 0").select("n"), "n", "left_anti")
     described = rows.join(whole, "n", "left").withColumn("leader", F.coalesce("leader", "n")).withColumn("said", F.coalesce("description", F.lit("")))
     merged = described.groupBy("leader").agg(

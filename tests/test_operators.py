@@ -562,3 +562,11 @@ def test_small_components_of_a_large_graph_need_no_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(leiden, "_numbers", broken)
     assert rows(5) == one and ("lone", "lone") in one and len(one) == 31
+
+
+def test_name_vectors_are_merged_at_every_size(spark):
+    rows = [(f"k{i}", f"Name{i}", "A", "", i, 0, (i, 0, 0), 1) for i in range(4)]
+    entities = spark.createDataFrame(rows, "canon string, name string, type string, description string, doc_id long, idx long, first_place struct<doc_id:long,idx:long,pos:long>, n_mentions long")
+    whole = resolve.merge_similar(entities, lambda df: df.withColumn("name_vector", F.array(F.col("n") + 1.0, F.lit(1.0))), workspace(spark, "t"), 0.95)
+    plan = [line for line in whole._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "name_vector" in line]
+    assert plan and all("SortMergeJoin" in line for line in plan) and whole.count() < 4
