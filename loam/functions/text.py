@@ -51,11 +51,18 @@ def title(text: Column) -> Column:
 
 
 def entity_name(raw: Column) -> Column:
-    return title(strip(raw))
+    # most names are one plain word, which has no blanks and one run of letters
+    word = F.concat(F.upper(F.substring(raw, 1, 1)), F.lower(F.substr(raw, F.lit(2))))
+    return F.when(F.regexp_like(raw, F.lit(r"^[A-Za-z]+\z")), word).otherwise(title(strip(raw)))
 
 
 def canonical_key(name: Column) -> Column:
     """Articles (each once, in this order), parentheses and punctuation go; blanks collapse."""
+    # one plain word has none of these
+    return F.when(F.regexp_like(name, F.lit(r"^[A-Za-z0-9]+\z")), F.lower(name)).otherwise(_canonical(name))
+
+
+def _canonical(name: Column) -> Column:
     key = F.regexp_replace(F.lower(name), r"^\s+|\s+$", "")
     for article in ("the ", "a ", "an "):
         key = F.regexp_replace(key, f"^{article}", "")

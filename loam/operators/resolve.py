@@ -184,15 +184,19 @@ def resolve(names: Column, canon_known: Column) -> Column:
 
 def clean_relationships(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """Endpoints as display names, no self-loops, the first of each (source, type, target) key."""
-    names = entities.select("canon", F.col("name").alias("display"))
+    # the key of a display name is made once an entity, not once a claim
+    names = entities.select("canon", F.col("name").alias("display"), X.canonical_key(F.col("name")).alias("named"))
     rows = relationships.withColumns({"s_key": X.canonical_key(F.col("source")), "t_key": X.canonical_key(F.col("target"))})
-    rows = rows.join(names.select(F.col("canon").alias("s_key"), F.col("display").alias("s_name")), "s_key", "left")
-    rows = rows.join(names.select(F.col("canon").alias("t_key"), F.col("display").alias("t_name")), "t_key", "left")
-    rows = rows.withColumns({"source": resolve(F.col("source"), F.col("s_name")), "target": resolve(F.col("target"), F.col("t_name")), "kind": F.lower(F.coalesce("type", F.lit("")))})
+    rows = rows.join(names.select(F.col("canon").alias("s_key"), F.col("display").alias("s_name"), F.col("named").alias("s_named")), "s_key", "left")
+    rows = rows.join(names.select(F.col("canon").alias("t_key"), F.col("display").alias("t_name"), F.col("named").alias("t_named")), "t_key", "left")
+    keyed = lambda end, known: F.coalesce(known, X.canonical_key(X.entity_name(F.col(end))))
+    rows = rows.withColumns({
+        "source": resolve(F.col("source"), F.col("s_name")), "target": resolve(F.col("target"), F.col("t_name")), "kind": F.lower(F.coalesce("type", F.lit(""))),
+        "source_key": keyed("source", "s_named"), "target_key": keyed("target", "t_named"),
+    })
     rows = rows.filter("source <> '' and target <> '' and source <> target")
-    key = [X.canonical_key(F.col("source")).alias("source_key"), F.col("kind"), X.canonical_key(F.col("target")).alias("target_key")]
     first = F.min_by(F.struct("source", "target", "type", "evidence", *ORDER), _place()).alias("r")
-    return rows.groupBy(*key).agg(first).select("source_key", "kind", "target_key", "r.*")
+    return rows.groupBy("source_key", "kind", "target_key").agg(first).select("source_key", "kind", "target_key", "r.*")
 
 
 def ingest_edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ def _fresh(batch: DataFrame, number: int, target: str) -> DataFrame:
 def absorb(batch: DataFrame, number: int, target: str) -> None:
     """A batch of documents (doc_id, text, source) as its share of every table of the store: documents, chunks, mentions, and
     what it knows of each entity and edge. A batch that is replayed under its number overwrites itself; the
-    shares of earlier batches are not touched. A null or empty text has no share but its document."""
+    shares of earlier batches are not touched. A null or empty text has no share but its document. Documents are dealt out anew,
+    as a file that comes is often one row group, which one task reads."""
     spark = batch.sparkSession
 
     def put(df: DataFrame, table: str) -> DataFrame:
@@ -39,7 +40,7 @@ def absorb(batch: DataFrame, number: int, target: str) -> None:
         return spark.read.schema(df.schema).parquet(path)
 
     fresh = _fresh(batch, number, target)
-    chunks = put(extract.chunk(fresh), "chunk")
+    chunks = put(extract.chunk(fresh.repartition("doc_id", "text")), "chunk")
     found = put(extract.mentions(chunks), "mention")
     put(resolve.entity_shares(found), "entity")
     put(resolve.first_claims(extract.relationships(found)), "claim")
