@@ -362,3 +362,7 @@ def test_command_line_steps(spark, tmp_path):
     cli.build(spark, str(tmp_path / "in"), str(tmp_path / "store"))
     prompt = cli.ask(spark, str(tmp_path / "store"), "What does Alphaone do?").first().prompt
     assert "Question: What does Alphaone do?" in prompt and "Alphaone --[" in prompt
+
+
+def test_errors_of_the_system_are_the_way_and_missing_files_are_not():
+    assert [client.kind_of(e) for e in (OSError(), OSError(113, "No route to host"), TimeoutError(), FileNotFoundError("x"), ValueError())] == ["network"] * 3 + ["other"] * 2
