@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip sees it.
-_BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_BLANK = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+$", "")
+    # only the ends are looked at; a pattern would be tried at every blank of the text
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def normalise_newlines(text: Column) -> Column:

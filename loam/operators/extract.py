@@ -66,18 +66,22 @@ def _named(index, names: list[str]):
     return F.element_at(F.array(*map(F.lit, names)), (index % len(names)).cast("int") + 1)
 
 
-def mentions(chunks: DataFrame) -> DataFrame:
-    """(doc_id, idx, pos, name, type, description), one row a mention."""
-    rows = chunks.select("doc_id", "idx", F.posexplode(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0))).alias("pos", "raw"))
-    name = X.entity_name(F.col("raw"))
+def mentions(chunks: DataFrame, after: bool = False) -> DataFrame:
+    """(doc_id, idx, pos, name, type, description), one row a mention; if asked for, with ``after``, the name that follows in the
+    chunk, so that ``relationships`` needs no shuffle. A match of ``MENTION`` is a name in title case as it stands."""
+    rows = chunks.select("doc_id", "idx", F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)).alias("names"))
+    # exploded as they are, the names would be looked for once more, to see whether there are any
+    pairs = F.arrays_zip(F.col("names").alias("name"), F.slice("names", 2, F.size("names")).alias("after"))
+    rows = rows.select("doc_id", "idx", F.posexplode(pairs).alias("pos", "found"))
     described = F.concat(F.lit("seen at "), F.col("pos").cast("string"), F.lit(" of chunk "), F.col("idx").cast("string"))
-    return rows.select("doc_id", "idx", F.col("pos").cast("long").alias("pos"), name.alias("name"), _named(F.length("raw"), TYPES).alias("type"), described.alias("description"))
+    follows = ["found.after"] if after else []
+    return rows.select("doc_id", "idx", F.col("pos").cast("long").alias("pos"), "found.name", _named(F.length("found.name"), TYPES).alias("type"), described.alias("description"), *follows)
 
 
 def relationships(found: DataFrame) -> DataFrame:
     """(doc_id, idx, pos, source, target, type, evidence) between neighbouring mentions of a chunk."""
-    window = Window.partitionBy("doc_id", "idx").orderBy("pos")
-    rows = found.select("doc_id", "idx", "pos", F.col("name").alias("source"), F.lead("name").over(window).alias("target")).filter("target is not null")
+    follows = F.col("after") if "after" in found.columns else F.lead("name").over(Window.partitionBy("doc_id", "idx").orderBy("pos"))
+    rows = found.select("doc_id", "idx", "pos", F.col("name").alias("source"), follows.alias("target")).filter("target is not null")
     kind = _named(F.length("source") + F.length("target"), RELATIONS)
     return rows.select("doc_id", "idx", "pos", "source", "target", kind.alias("type"), F.concat_ws(" then ", "source", "target").alias("evidence"))
 

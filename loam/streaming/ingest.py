@@ -17,21 +17,22 @@ def _read(spark: SparkSession, target: str, table: str) -> DataFrame:
     return spark.read.option("basePath", f"{target}/{table}").parquet(f"{target}/{table}/batch=*")
 
 
-def _fresh(batch: DataFrame, number: int, target: str) -> DataFrame:
-    """Documents that no other batch holds: one that comes again keeps its first text."""
+def _seen(batch: DataFrame, number: int, target: str) -> DataFrame | None:
+    """(doc_id) of the batch's documents that another batch holds; None before there are any."""
     spark = batch.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/document")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return batch
+        return None
     known = _read(spark, target, "document").filter(F.col("batch") != number).select("doc_id")
-    return batch.join(known, "doc_id", "left_anti")
+    return known.join(batch.select("doc_id"), "doc_id", "left_semi")
 
 
 def absorb(batch: DataFrame, number: int, target: str) -> None:
     """A batch of documents (doc_id, text, source) as its share of every table of the store: documents, chunks, mentions, and
     what it knows of each entity and edge. A batch that is replayed under its number overwrites itself; the
     shares of earlier batches are not touched. A null or empty text has no share but its document. Documents are dealt out anew,
-    as a file that comes is often one row group, which one task reads."""
+    as a file that comes is often one row group, which one task reads. One that comes again keeps its first text; the ids of those
+    are written first, so that texts are not sorted and dealt against all ids of a store that grows."""
     spark = batch.sparkSession
 
     def put(df: DataFrame, table: str) -> DataFrame:
@@ -39,9 +40,10 @@ def absorb(batch: DataFrame, number: int, target: str) -> None:
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    fresh = _fresh(batch, number, target)
+    seen = _seen(batch, number, target)
+    fresh = batch if seen is None else batch.join(put(seen, "seen"), "doc_id", "left_anti")
     chunks = put(extract.chunk(fresh.repartition("doc_id", "text")), "chunk")
-    found = put(extract.mentions(chunks), "mention")
+    found = put(extract.mentions(chunks, after=True), "mention")
     put(resolve.entity_shares(found), "entity")
     put(resolve.first_claims(extract.relationships(found)), "claim")
     put(fresh.select("doc_id", "source", F.length("text").cast("long").alias("n_chars")), "document")
