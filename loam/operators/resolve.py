@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loam import store
 from loam.config import DEFAULT
 from loam.functions import text as X
+from loam.operators import similar
 from loam.operators.extract import ORDER
 from loam.operators.similar import similar_pairs
 from loam.store import materialize
@@ -151,6 +152,18 @@ def leaders(pairs: DataFrame, ids: DataFrame, folder: str, few: int = FEW) -> Da
             return state.join(last, "id", "left").select("id", F.coalesce("leader", "found").alias("leader"))
 
 
+def led(rows: DataFrame, key: str, vector: str, threshold: float, folder: str) -> DataFrame:
+    """(id, leader): greedy merging in id order by the cosine of vectors; rows without a sound vector lead none but themselves.
+    Where an id has several rows, whichever are so similar count, which takes all pairs."""
+    ids = rows.select(F.col(key).cast("long").alias("id"))
+    known = materialize(ids.filter("id is not null").groupBy("id").count(), folder, "ids")
+    if not known.filter("count > 1").isEmpty():
+        return leaders(similar_pairs(rows, key, vector, threshold), ids.distinct(), folder)
+    found = materialize(similar.leaders(rows, key, vector, threshold, folder), folder, "found")
+    # many ids are few bytes in files
+    return ids.distinct().join(found.hint("merge"), "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
+
+
 def merge_similar(entities: DataFrame, embed: Callable[[DataFrame], DataFrame], folder: str, threshold: float = DEFAULT.entity_dedup_threshold) -> DataFrame:
     """``entities`` (of ``merge_entities``) after the second phase: in entity order, each absorbs the
     later ones whose display name is at least so similar and that none absorbed before.

@@ -93,6 +93,22 @@ def test_leaders_equal_the_sequential_scan(spark, seed, few):
     assert got == greedy(n, pairs)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_leaders_of_vectors_meet_leaders_only(spark, tmp_path, monkeypatch, repeated):
+    """Several rounds of blocks, two widths, copies, and rows without a sound vector; all pairs are made only where ids repeat."""
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=4 if k % 5 else 3).tolist() for k in range(90)]
+    vectors[40], vectors[7], vectors[60], vectors[61] = vectors[1], None, [float("nan"), 1.0, 0.0, 0.0], []
+    rows = [(3 * k, v) for k, v in enumerate(vectors)] + ([(30, vectors[11])] if repeated else [])
+    unit = [(i, np.array(v) / (np.linalg.norm(v) + 1e-9)) for i, v in rows if v and not np.isnan(v).any()]
+    near = {(a // 3, b // 3) for a, x in unit for b, y in unit if a < b and len(x) == len(y) and x @ y >= 0.7}
+    if not repeated:
+        monkeypatch.setattr(resolve, "similar_pairs", None)
+        monkeypatch.setattr(similar.leaders, "__defaults__", (8,))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id // 3: r.leader // 3 for r in resolve.led(df, "vec_id", "embedding", 0.7, f"file://{tmp_path}").collect()}
+    assert got == greedy(90, near)
+
 
 def reference_chain(edges):
     by_source = {}
