@@ -63,6 +63,38 @@ def test_rounds_end_when_no_node_would_move(spark, monkeypatch):
     assert {(r.concept, r.root) for r in found.collect()} == {(f"{g}-{i}", f"{g}-0") for g in range(6) for i in range(40)}
 
 
+def linked_groups(spark, groups, size):
+    """(concept) and (a, b, weight): groups of nodes at random links inside, and few between."""
+    rng = random.Random(11)
+    rows = {(f"{g}-{i}", f"{g}-{rng.randrange(size)}") for g in range(groups) for i in range(size) for _ in range(5)}
+    rows |= {(f"{g}-{i}", f"{(g + 1) % groups}-{i}") for g in range(groups) for i in range(0, size, 10)}
+    edges = spark.createDataFrame(sorted({(min(e), max(e)) for e in rows if e[0] != e[1]}), "a string, b string").withColumn("weight", F.lit(1))
+    return spark.createDataFrame([(f"{g}-{i}",) for g in range(groups) for i in range(size)], "concept string"), edges
+
+
+def test_large_graphs_grow_together_first_and_single_nodes_move_until_none_would(spark, monkeypatch):
+    monkeypatch.setattr(leiden, "GROWN", 0)
+    monkeypatch.setattr(leiden, "HELD", 0)  # nothing goes to every task
+    names, edges = linked_groups(spark, 8, 150)
+    seen = []
+    monkeypatch.setattr(leiden, "_contracted", lambda edges, parts, f=leiden._contracted: seen.append((parts.count(), parts.select("c").distinct().count())) or f(edges, parts))
+    found = community.detect(names, edges, workspace(spark, "t"), few=0)
+    assert {(r.concept, r.root) for r in found.collect()} == {(f"{g}-{i}", f"{g}-0") for g in range(8) for i in range(150)}
+    assert seen[0][0] == 1200 and 4 * seen[0][1] < seen[0][0]  # the first level is far smaller than the graph
+
+
+def test_parts_of_communities_grow_as_they_are_reached(spark, monkeypatch, tmp_path):
+    """Two long paths, a star and a lone node in one community, a path in another."""
+    edges = [(f"p{k:03}", f"p{k + 1:03}") for k in range(60)] + [(f"q{k:03}", f"q{k + 1:03}") for k in range(40)] + [("s", f"t{k:03}") for k in range(30)] + [("p005", "x0"), ("x0", "x1")]
+    nodes = sorted({n for e in edges for n in e} | {"alone"})
+    labels = spark.createDataFrame([(n, "x" if n[0] == "x" else "all") for n in nodes], "id string, c string")
+    rows = spark.createDataFrame(edges, "a string, b string")
+    want = sorted(map(tuple, leiden.connected(labels, rows, f"file://{tmp_path}/plain").collect()))
+    monkeypatch.setattr(leiden, "GROWN", 0)
+    assert sorted(map(tuple, leiden.connected(labels, rows, f"file://{tmp_path}/grown").collect())) == want
+    assert len({root for _, root in want}) == 5
+
+
 def test_no_overlap_is_one_community(spark):
     few = spark.createDataFrame([("a",), ("b",), ("c",)], "concept string")
     labels = community.components(few, edge_table(spark, []), workspace(spark, "t"))
