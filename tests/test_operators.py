@@ -95,6 +95,15 @@ def test_parts_of_communities_grow_as_they_are_reached(spark, monkeypatch, tmp_p
     assert len({root for _, root in want}) == 5
 
 
+def test_no_join_with_labels_is_a_broadcast(spark, tmp_path):
+    """Labels of many nodes take few bytes in files."""
+    rows = spark.range(100).select(F.concat(F.lit("n"), F.lpad("id", 4, "0")).alias("concept"), F.lit("n0000").alias("root"))
+    labels = materialize(rows, f"file://{tmp_path}", "labels")
+    edges = materialize(spark.createDataFrame([("n0001", "n0002")], "a string, b string"), f"file://{tmp_path}", "edges")
+    plan = community.modularity(labels, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_no_overlap_is_one_community(spark):
     few = spark.createDataFrame([("a",), ("b",), ("c",)], "concept string")
     labels = community.components(few, edge_table(spark, []), workspace(spark, "t"))
